@@ -1,0 +1,272 @@
+"""Secrets: patterns, and a battery of randomness tests under false-discovery control.
+
+Patterns (kinds ``assign``, ``access``, ``hex``) give the base spans: the whole
+match, in code points. The battery then looks at runs of 20 or more characters
+of ``[A-Za-z0-9+/_-]`` with letters and digits that no base span overlaps. The
+smallest fitting alphabet is the encoding; against it go a chi-squared test of
+uniformity, a runs test and a serial-correlation test, joined by Fisher's
+method. Runs of letters alone are the null sample: words look random the more
+easily the shorter they are, so each length class has its own null, that of all
+runs up to its length. In each class the Benjamini-Hochberg rule picks the
+discoveries (kind ``random``).
+
+Defined cases: null text is empty (no spans; the digest is that of the empty
+string); repeated rows are scanned each; texts are scanned whole.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tabularium.llm.common import materialise
+from tabularium.llm.textkernel import text_bytes
+
+KINDS = ("assign", "access", "hex", "random")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_RUN = 12, 18, 16, 20
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+FDR = 0.05
+BINS = 64
+
+_DIGITS, _UP, _LOW = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Alphabets from the smallest on; an encoding is the first that holds all of a run's characters.
+ALPHABETS = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", "234567" + _UP, _DIGITS + _LOW, _DIGITS + _UP, _DIGITS + _UP + _LOW, _DIGITS + _UP + _LOW + "+/", "-" + _DIGITS + _UP + "_" + _LOW, "+-/" + _DIGITS + _UP + "_" + _LOW)
+_PLACE = np.full((len(ALPHABETS), 256), -1, np.int16)
+for _k, _a in enumerate(ALPHABETS):
+    _PLACE[_k, np.frombuffer(_a.encode(), np.uint8)] = np.arange(len(_a))
+_HEXES = np.zeros(256, bool)
+_HEXES[np.frombuffer((_DIGITS + "abcdef").encode(), np.uint8)] = True
+_RUNS = np.zeros(256, bool)
+_RUNS[np.frombuffer(ALPHABETS[-1].encode(), np.uint8)] = True
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """``(start, kind, end)`` of the patterns' matches, sorted."""
+    out = []
+    if ":" in text or "=" in text:
+        out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
+    if "AKIA" in text:
+        out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
+    return out
+
+
+def hex_spans(text: str) -> list[tuple[int, int, int]]:
+    return [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST_HEX]
+
+
+def has_run(data: np.ndarray, bounds: np.ndarray, known: np.ndarray, least: int) -> np.ndarray:
+    """For each row, whether ``least`` bytes of a class stand in a row."""
+    sums = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(known[data], out=sums[1:])
+    out = np.zeros(len(bounds) - 1, bool)
+    if len(data) >= least:
+        at = np.flatnonzero(sums[least:] - sums[:-least] == least)
+        row = np.searchsorted(bounds[1:], at, side="right")
+        out[row[at + least <= bounds[1:][row]]] = True
+    return out
+
+
+def _tail(z2: np.ndarray) -> np.ndarray:
+    """Two-sided tail of a normal deviate, from its square."""
+    return np.array([math.erfc(math.sqrt(v / 2)) for v in z2.tolist()])
+
+
+def battery(runs: list[str], encodings: np.ndarray) -> np.ndarray:
+    """Fisher's combined p-value of the three tests for each run under its encoding; near 0: not random."""
+    if not runs:
+        return np.empty(0)
+    n = np.array([len(r) for r in runs])
+    data = np.frombuffer("".join(runs).encode("latin-1"), np.uint8)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.concatenate([[0], np.cumsum(n)[:-1]])
+    size = np.array([len(a) for a in ALPHABETS])[encodings]
+    x = _PLACE[encodings[row], data].astype(np.int64)
+    cells = np.clip(n // 5, 2, size)
+    counts = np.bincount(row * 80 + x * cells[row] // size[row], minlength=80 * len(n)).reshape(len(n), 80)
+    k = np.arange(80)
+    lo, hi = -(-k * size[:, None] // cells[:, None]), -(-(k + 1) * size[:, None] // cells[:, None])
+    expected = np.where(k < cells[:, None], (hi - lo) * (n / size)[:, None], 1)
+    chi = np.where(k < cells[:, None], (counts - expected) ** 2 / expected, 0).sum(1)
+    df = cells - 1
+    z = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
+    p_chi = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z.tolist()])
+    high = x >= size[row] / 2
+    inner = np.ones(len(x), bool)
+    inner[at] = False
+    turns = np.bincount(row[1:], weights=(high[1:] != high[:-1]) & inner[1:], minlength=len(n))
+    p_runs = _tail((turns - (n - 1) / 2) ** 2 / ((n - 1) / 4))
+    y = (x - (size[row] - 1) / 2) / np.sqrt((size[row].astype(float) ** 2 - 1) / 12)
+    serial = np.bincount(row[1:], weights=np.where(inner[1:], y[1:] * y[:-1], 0), minlength=len(n))
+    p_serial = _tail(serial**2 / (n - 1))
+    half = -np.log(np.clip(np.stack([p_chi, p_runs, p_serial]), 1e-30, 1)).sum(0)
+    return np.exp(-half) * (1 + half + half**2 / 2)
+
+
+def bin_of(p: np.ndarray) -> np.ndarray:
+    """Bin 0: least random. Fine towards 1, logarithmic towards 0."""
+    return np.clip(BINS - 1 + np.ceil(4 * np.log2(np.clip(p, 1e-30, 1))), 0, BINS - 1).astype(np.int64)
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(4 * np.log2(n)), 63).astype(np.int64)
+
+
+def encoding_of(run: str) -> int:
+    codes = np.frombuffer(run.encode("latin-1"), np.uint8)
+    return next(k for k in range(len(ALPHABETS)) if (_PLACE[k, codes] >= 0).all())
+
+
+def scan_table(docs: DataFrame) -> DataFrame:
+    """A slim row a document: base spans, candidate runs with class and bin, and the null sample's bins.
+
+    ``family`` is 0 for alphabets of up to 36 characters and 1 for larger ones; null runs are judged in both.
+    """
+    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base string, cand array<struct<s:int,e:int,cell:int>>, nulls array<int>"
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1)
+            data, bounds = text_bytes(texts)
+            hexes, longs = has_run(data, bounds, _HEXES, LEAST_HEX), has_run(data, bounds, _RUNS, LEAST_RUN)
+            spans, runs, owner, place, encs, nulls = [], [], [], [], [], []
+            for i, text in enumerate(texts.to_pylist()):
+                text = text or ""
+                own = sorted(base_spans(text) + (hex_spans(text) if hexes[i] else []))
+                spans.append(own)
+                if longs[i]:
+                    for m in RUN.finditer(text):
+                        run = m[0]
+                        if run.isalpha():
+                            nulls.append((i, run))
+                        elif not run.strip("+/_-").isdigit() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < m.end() and e > m.start() for s, _, e in own):
+                            runs.append(run)
+                            owner.append(i)
+                            place.append((m.start(), m.end()))
+                            encs.append(encoding_of(run))
+            encs = np.array(encs, np.int64)
+            family = np.array([len(a) > 36 for a in ALPHABETS], np.int64)
+            cells = np.empty(0, np.int64)
+            if runs:
+                cells = (family[encs] * 64 + length_class(np.array([len(r) for r in runs]))) * BINS + bin_of(battery(runs, encs))
+            cand: list[list] = [[] for _ in range(len(spans))]
+            for i, (s, e), c in zip(owner, place, cells.tolist()):
+                cand[i].append({"s": s, "e": e, "cell": c})
+            bins: list[list] = [[] for _ in range(len(spans))]
+            if nulls:
+                words = [r for _, r in nulls]
+                lc = length_class(np.array([len(r) for r in words]))
+                for fam in (0, 1):
+                    # Within a family a run is judged in the alphabet of letters of its case with digits, or of both cases.
+                    enc = np.array([(3 if r.islower() else 4 if r.isupper() else 5) if not fam else 5 for r in words])
+                    for (i, _), c in zip(nulls, ((fam * 64 + lc) * BINS + bin_of(battery(words, enc))).tolist()):
+                        bins[i].append(c)
+            kinds = [[sum(k == want for _, k, _ in own) for own in spans] for want in range(3)]
+            base = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in own) for own in spans]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(k, pa.int64()) for k in kinds), pa.array(base, pa.string()), pa.array(cand, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("cell", pa.int32())]))), pa.array(bins, pa.list_(pa.int32()))],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base", "cand", "nulls"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(scanned, schema)
+
+
+def discovery_bins(scans: DataFrame, q: float = FDR) -> dict[int, int]:
+    """Family and length class to the least bin that is a discovery. The histograms have 128 x 64 cells at most."""
+    null, cand = np.zeros((2, 64, BINS)), np.zeros((2, 64, BINS))
+    for into, column in ((null, F.col("nulls")), (cand, F.col("cand.cell"))):
+        for r in scans.select(F.explode(column).alias("c")).groupBy("c").count().collect():
+            into[r["c"] // BINS // 64, r["c"] // BINS % 64, r["c"] % BINS] = r["count"]
+    out = {}
+    tail = lambda x: x[..., ::-1].cumsum(-1)[..., ::-1]
+    pooled = tail(null.cumsum(1))
+    found = tail(cand)
+    for fam in (0, 1):
+        for c in range(64):
+            if not found[fam, c, 0]:
+                continue
+            p = (1 + pooled[fam, c]) / (1 + pooled[fam, c, 0])
+            good = np.flatnonzero((found[fam, c] > 0) & (p * found[fam, c, 0] <= q * found[fam, c]))
+            if len(good):
+                out[fam * 64 + c] = int(good[0])
+    return out
+
+
+def _spans(base: Column, cand: Column, least: dict[int, int]) -> Column:
+    """All spans as ``kind:start:end``, by start and kind."""
+    table = F.create_map(*[F.lit(x) for kv in sorted(least.items()) for x in kv]) if least else F.create_map().cast("map<int,int>")
+    hit = F.filter(cand, lambda c: (c["cell"] % BINS) >= F.coalesce(F.try_element_at(table, (c["cell"] / BINS).cast("int")), F.lit(BINS)))
+    added = F.transform(hit, lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), F.concat_ws(":", F.lit("random"), c["s"], c["e"]).alias("t")))
+    kind = lambda t: F.when(t.startswith("assign"), 0).when(t.startswith("access"), 1).otherwise(2)
+    old = F.transform(F.filter(F.split(base, ","), lambda t: t != ""), lambda t: F.struct(F.split(t, ":")[1].cast("int").alias("s"), kind(t).alias("k"), t.alias("t")))
+    return F.array_join(F.transform(F.array_sort(F.concat(old, added)), lambda x: x["t"]), ",")
+
+
+def find_secrets(docs: DataFrame, q: float = FDR) -> DataFrame:
+    """``doc_id, n_assign, n_access, n_hex, n_random, base, spans`` for every row."""
+    scans = materialise(scan_table(docs), "secrets")
+    spans = _spans(F.col("base"), F.col("cand"), discovery_bins(scans, q))
+    out = scans.select("doc_id", "n_assign", "n_access", "n_hex", "base", spans.alias("spans"))
+    return out.withColumn("n_random", F.size(F.filter(F.split("spans", ","), lambda t: t.startswith("random"))).cast("long"))
+
+
+def query(docs: DataFrame) -> DataFrame:
+    return find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_random")
+
+
+def redact(text: str | None, spans: str) -> str | None:
+    """The text with every span, merged where they overlap, replaced by a mark."""
+    if not text or not spans:
+        return text
+    out, last = [], 0
+    for s, e in sorted((int(s), int(e)) for _, s, e in (t.split(":") for t in spans.split(","))):
+        if s >= last:
+            out += [text[last:s], "<SECRET>"]
+        last = max(last, e)
+    return "".join(out) + text[last:]
+
+
+def redact_documents(docs: DataFrame, q: float = FDR) -> DataFrame:
+    """The rows of ``docs`` with secrets masked in ``text`` and ``n_chars`` counted anew where it changed.
+
+    The bounded thresholds go back over the texts, so no text is shuffled.
+    """
+    scans = materialise(scan_table(docs), "secrets")
+    least = discovery_bins(scans, q)
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, bounds = text_bytes(b.column("text"))
+            hexes, longs = has_run(data, bounds, _HEXES, LEAST_HEX), has_run(data, bounds, _RUNS, LEAST_RUN)
+            texts = b.column("text").to_pylist()
+            for i, text in enumerate(texts):
+                if text:
+                    texts[i] = redact(text, ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in _all_spans(text, hexes[i], longs[i], least)))
+            at = b.schema.get_field_index("text")
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+    out = docs.mapInArrow(masked, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def _all_spans(text: str, hexes: bool, longs: bool, least: dict[int, int]) -> list[tuple[int, int, int]]:
+    own = sorted(base_spans(text) + (hex_spans(text) if hexes else []))
+    added = []
+    for m in RUN.finditer(text) if longs else ():
+        run = m[0]
+        if run.isalpha() or run.strip("+/_-").isdigit() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or any(s < m.end() and e > m.start() for s, _, e in own):
+            continue
+        enc = np.array([encoding_of(run)])
+        cls = int((len(ALPHABETS[enc[0]]) > 36) * 64 + length_class(np.array([len(run)]))[0])
+        if int(bin_of(battery([run], enc))[0]) >= least.get(cls, BINS):
+            added.append((m.start(), 3, m.end()))
+    return sorted(own + added)
