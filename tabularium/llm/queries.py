@@ -39,17 +39,32 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabularium.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabularium.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_secrets": secrets,
     "op4_warc": warc,
+    "op5_substrings": substrings,
+    "op7_packing": packing,
     "op8_rules": rules,
     "op9_urls": urls,
 }
 
 
 def oracle_sql() -> dict[str, str]:
+    from tabularium.llm.substrings import ORACLE_SQL as substrings_sql
     from tabularium.llm.urls import oracle_sql as urls_sql
     from tabularium.llm.warc import ORACLE_SQL as warc_sql
 
-    return {"op4_warc": warc_sql, "op9_urls": urls_sql()}
+    return {"op4_warc": warc_sql, "op5_substrings": substrings_sql, "op9_urls": urls_sql()}
