@@ -1,11 +1,16 @@
-"""A training-data pipeline: quality rules, near duplicates, decontamination, secrets, packing."""
+"""A training-data pipeline: quality rules, near duplicates, decontamination, secrets, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
+kept; all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularium.llm import rules
-from tabularium.llm import secrets as secret_scan
+from tabularium.llm import decontaminate, jaccard, packing, rules, secretscan
+from tabularium.llm.common import materialise, table
+from tabularium.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,19 +18,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.apply_rules(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that of least id."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in them are masked."""
-    return secret_scan.redact_documents(docs)
+    return secretscan.redact_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("secret scans", secret_scans)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its sequence and place."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scans),
+    ("best-fit packing", packed),
+]
+
+#: Robust estimates, tokenizer and packing have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between stages the table is written to the shared folder and read again."""
-    from tabularium.llm.common import materialise, table
-
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

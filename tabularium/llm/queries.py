@@ -16,7 +16,7 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tabularium.llm.secrets import query
+    from tabularium.llm.secretscan import query
 
     return query(table(spark, sf_dir, "documents"))
 
@@ -40,6 +40,7 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabularium.llm.jaccard import ORACLE_SQL as jaccard_sql
     from tabularium.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
@@ -51,20 +52,35 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabularium.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabularium.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_secrets": secrets,
     "op4_warc": warc,
     "op5_substrings": substrings,
+    "op6_decontaminate": decontaminate,
     "op7_packing": packing,
     "op8_rules": rules,
     "op9_urls": urls,
+    "op10_jaccard": jaccard,
 }
 
 
 def oracle_sql() -> dict[str, str]:
+    from tabularium.llm.jaccard import ORACLE_SQL as jaccard_sql
     from tabularium.llm.substrings import ORACLE_SQL as substrings_sql
     from tabularium.llm.urls import oracle_sql as urls_sql
     from tabularium.llm.warc import ORACLE_SQL as warc_sql
 
-    return {"op4_warc": warc_sql, "op5_substrings": substrings_sql, "op9_urls": urls_sql()}
+    return {"op4_warc": warc_sql, "op5_substrings": substrings_sql, "op9_urls": urls_sql(), "op10_jaccard": jaccard_sql}
