@@ -1 +1 @@
-
+"""Streams: the engine has no streaming operators of its own; its row-wise functions work on streams as they are."""
