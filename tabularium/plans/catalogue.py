@@ -228,9 +228,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of an embedded object, with text after it."""
     e = read(spark, sf_dir, "events")
     html = F.concat(F.lit("<script>var recipeJson = "), F.col("props"), F.lit("; var x = 1;</script>"))
-    from pyspark.sql import types as T
-
-    return e.select("event_id", listings.embedded_json(html, schema=T.StructType.fromDDL("k bigint"))["k"].alias("k"))
+    return e.select("event_id", listings.embedded_json(html, schema="k bigint")["k"].alias("k"))
 
 
 @query(f"""

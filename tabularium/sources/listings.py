@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tabularium.functions.text import absolute, name_before_weight, normalize, strip, without_link_note
@@ -73,10 +72,10 @@ def second_hop(pages: DataFrame, base: str = "https://www.nosler.com") -> DataFr
     return found.filter(F.lower("t.h").endswith(".pdf")).select(*[c for c in found.columns if c != "t"], F.col("t.n").alias("name"), absolute(F.col("t.h"), base).alias("pdf_url"))
 
 
-RECIPES = T.StructType.fromDDL("cartridges array<struct<value:string,label:string>>, recipes array<struct<name:string,pdf_url:string,cartridge:array<string>>>")
+RECIPES = "cartridges array<struct<value:string,label:string>>, recipes array<struct<name:string,pdf_url:string,cartridge:array<string>>>"
 
 
-def embedded_json(html: Column, variable: str = "var recipeJson", schema: T.StructType = RECIPES) -> Column:
+def embedded_json(html: Column, variable: str = "var recipeJson", schema: str = RECIPES) -> Column:
     """The object that a script assigns; what follows it is ignored, an absent one is null."""
     at = F.locate(variable, html)
     rest = F.substr(html, at)

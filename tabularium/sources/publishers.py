@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tabularium.functions import text as t
@@ -23,15 +22,15 @@ TEXT_META = {
 SHEET_SKIP = r"(?i)always start low|not responsible|for your load process"
 SHEET_NOTE = r"(?i)^\s*[*√]|^shorter than saami|^minimal coal published"
 
-_FACT = T.StructType.fromDDL(LOAD_LINE)
+_FACT = [tuple(f.split(" ")) for f in LOAD_LINE.split(", ")]
 _EMPTY = {"bullet_type", "bullet_id", "case_name", "primer", "barrel", "twist", "test_firearm", "source_url", "notes", "flags"}
 
 
 def as_load_lines(rows: DataFrame, **given: Column) -> DataFrame:
     """The fact's columns in order: those given, those of ``rows``, else empty or null."""
     have = set(rows.columns)
-    pick = lambda f: given[f.name] if f.name in given else F.col(f.name) if f.name in have else F.lit("" if f.name in _EMPTY else None)
-    return rows.select(*[pick(f).cast(f.dataType).alias(f.name) for f in _FACT])
+    pick = lambda n: given[n] if n in given else F.col(n) if n in have else F.lit("" if n in _EMPTY else None)
+    return rows.select(*[pick(n).cast(kind).alias(n) for n, kind in _FACT])
 
 
 def from_layout_text(lines: DataFrame, docs: DataFrame, source: str = "nosler", manufacturer: str = "Nosler") -> DataFrame:
