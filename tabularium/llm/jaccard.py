@@ -255,7 +255,7 @@ def keep_one(docs: DataFrame, **knobs) -> DataFrame:
     """The rows of ``docs`` whose id names their class, and one of each set of equal rows; rows without id stay."""
     found = near_duplicates(docs.select("doc_id", "text"), **knobs)
     gone = found.filter("class_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 

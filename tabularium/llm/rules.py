@@ -227,5 +227,5 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least_group: int = LEAST_GROU
 def apply_rules(docs: DataFrame, **knobs) -> DataFrame:
     """The kept rows of ``docs``, with their columns as they are."""
     keep = judge(docs, **knobs).filter("kept").select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h"))
-    at = docs["doc_id"].eqNullSafe(F.col("_k")) & (F.xxhash64(docs["text"]) == F.col("_h"))
+    at = docs["doc_id"].eqNullSafe(keep["_k"]) & (F.xxhash64(docs["text"]) == keep["_h"])
     return docs.join(keep, at, "left_semi")
