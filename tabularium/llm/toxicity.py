@@ -35,7 +35,7 @@ from tabularium.llm.textkernel import row_batches, text_bytes
 SAMPLE_ROWS, MOST_FEATURES = 20_000, 4_096
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (4, 5)
-LEAST_SUPPORT, LEAST_WEIGHT, LEAST_Z = 5, 2.0, 4.0
+LEAST_SUPPORT, LEAST_WEIGHT, LEAST_Z = 5, 2.0, 2.5
 #: Weights of the strongest, second and third evidence: one sure word tells nearly all.
 TOP = (1.0, 0.25, 0.1)
 
