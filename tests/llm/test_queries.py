@@ -1,0 +1,25 @@
+
+import pytest
+
+from tabularium.llm.queries import QUERIES, oracle_sql
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_same_rows(name, same_as_sql):
+    got, want = same_as_sql(QUERIES[name], oracle_sql()[name])
+    assert got == want and got
+
+
+def test_pipeline_decisions(spark, small):
+    """The pipeline's documents are those that every decision, taken by its own operator's report, leaves."""
+    import corpus_pipeline as p
+    from tabularium.llm import decontaminate, jaccard, rules
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    kept = docs.join(rules.judge(docs).filter("kept").select("doc_id"), "doc_id")
+    ones = {r["doc_id"] for r in jaccard.near_duplicates(kept).collect() if r["class_id"] == r["doc_id"]}
+    leaked = {r["doc_id"] for r in decontaminate.find_leaks(kept, bench).collect()}
+    rows = p.run(spark, small).collect()
+    assert {r["doc_id"] for r in rows} == ones - leaked and rows
+    assert [n for n, _ in p.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "best-fit packing"]
