@@ -159,7 +159,7 @@ def suspects(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Restorer:
     """Restores texts; keeps the decoded form of the spans seen last."""
 
-    def __init__(self, model: np.ndarray, kept: int = 200_000):
+    def __init__(self, model: np.ndarray, kept: int = 50_000):
         self._model, self._kept, self._memo = model.tolist(), kept, {}
 
     def _decode(self, m: re.Match) -> str:
@@ -209,7 +209,9 @@ def fold(doc_id: Column) -> Column:
 
 
 def _restored(texts: list[str | None], column: pa.Array, restore: Restorer) -> Iterator[str]:
-    odd = suspects(*text_bytes(column))
+    data, bounds = text_bytes(column)
+    parts = [suspects(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in row_batches(bounds)]
+    odd = np.concatenate([np.empty(0, np.int64), *parts])
     for i, text in enumerate(texts):
         yield restore(text, int(odd[i])) if text and odd[i] else text or ""
 
@@ -238,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int = S
                 for n, p in zip(PREFIXES, starts):
                     into.update(f"{n}" + x for x in p)
                 into[""] += 1
-                if len(have[0]) + len(have[1]) > 200_000:
+                if len(have[0]) + len(have[1]) > 100_000:
                     yield drained()
         yield drained()
 
