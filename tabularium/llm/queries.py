@@ -21,6 +21,13 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(table(spark, sf_dir, "documents"))
 
 
+def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a passage which stands earlier."""
+    from tabularium.llm.suffixes import find_repeats
+
+    return find_repeats(table(spark, sf_dir, "documents")).filter("n_removed > 0")
+
+
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabularium.llm.warc import round_trip
 
@@ -40,7 +47,6 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tabularium.llm.jaccard import ORACLE_SQL as jaccard_sql
     from tabularium.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
@@ -67,6 +73,7 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_secrets": secrets,
+    "op3_suffixes": suffixes,
     "op4_warc": warc,
     "op5_substrings": substrings,
     "op6_decontaminate": decontaminate,
