@@ -287,12 +287,15 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         if not block.num_rows or not requests.num_rows:
             return _table([], *_BLOCK_ROW)
         own, rows = Suffixes(_ordered(block)), []
-        for b, d in zip(requests.column("shard").to_pylist(), requests.column("data").to_pylist()):
-            wanted = tuple(_unpack(d[1:], "i8", "i4", "u8"))
-            at = _find(own.doc, own.start, own.key, wanted)
-            ok = at >= 0
-            around = own.around(at[ok])
-            rows.append((name(block), b, b"a" + _pack(*(w[ok] for w in wanted), *np.ascontiguousarray(around.T))))
+        parts = [_unpack(d[1:], "i8", "i4", "u8") for d in requests.column("data").to_pylist()]
+        wanted = tuple(np.concatenate(c) for c in zip(*parts))
+        at = _find(own.doc, own.start, own.key, wanted)
+        if not len(own.at):
+            return _table([], *_BLOCK_ROW)
+        around, ends = own.around(np.maximum(at, 0)), np.cumsum([len(p[0]) for p in parts]).tolist()
+        for b, i, j in zip(requests.column("shard").to_pylist(), [0, *ends], ends):
+            ok = np.flatnonzero(at[i:j] >= 0) + i
+            rows.append((name(block), b, b"a" + _pack(*(w[ok] for w in wanted), *np.ascontiguousarray(around[ok].T))))
         return _table(rows, *_BLOCK_ROW)
 
     out_names = ["doc_id", "n_words", "n_removed", "spans", "first_docs", "kept_sha256"] + ["kept_text"] * keep_text
