@@ -79,14 +79,15 @@ def display_g(x: Column) -> Column:
     return F.regexp_replace(x.cast("string"), r"\.0$", "")
 
 
-def charge_display(point: Column, low: Column, high: Column) -> Column:
+def charge_display(point: Column, low: Column, high: Column, is_max: Column | None = None) -> Column:
+    """A range first, else the single charge, else the start alone."""
     both = F.concat(display_g(low), F.lit("–"), display_g(high), F.lit(" gr"))
-    return F.when(point.isNotNull(), F.concat(display_g(point), F.lit(" gr"))).when(low.isNotNull() & high.isNotNull(), both).when(low.isNotNull(), F.concat(display_g(low), F.lit(" gr (start)"))).otherwise("—")
+    one = F.concat(display_g(point), F.lit(" gr"), F.lit("") if is_max is None else F.when(is_max, " (MAX)").otherwise(""))
+    return F.when(low.isNotNull() & high.isNotNull(), both).when(point.isNotNull(), one).when(low.isNotNull(), F.concat(display_g(low), F.lit(" gr (start)"))).otherwise("—")
 
 
 def velocity_display(point: Column, low: Column) -> Column:
-    whole = lambda v: F.format_string("%.0f", v)
-    return F.when(low.isNotNull() & point.isNotNull(), F.concat(whole(low), F.lit("–"), whole(point), F.lit(" fps"))).when(point.isNotNull(), F.concat(whole(point), F.lit(" fps"))).otherwise("—")
+    return F.when(low.isNotNull() & point.isNotNull(), F.concat(display_g(low), F.lit("–"), display_g(point), F.lit(" fps"))).when(point.isNotNull(), F.concat(display_g(point), F.lit(" fps"))).otherwise("—")
 
 
 def escape_html(s: Column) -> Column:

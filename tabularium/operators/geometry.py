@@ -73,7 +73,7 @@ def next_boundary(df: DataFrame, keys: list[str], order: list[str], at: Column,
 def pair_exclusive(df: DataFrame, key: str, coord: str, ident: str, kind: str, header: str, trigger: str) -> DataFrame:
     """Each header, in order, takes the nearest unused trigger above it, else the first unused one before the next header.
 
-    One stack a group: triggers above are pushed as headers pass. ``key, header_id, trigger_id`` (null: none left).
+    One stack a group: triggers above are pushed as headers pass; of several at one height the first is taken. ``key, header_id, trigger_id`` (null: none left).
     """
     k, i = df.schema[key].dataType.simpleString(), df.schema[ident].dataType.simpleString()
 
@@ -84,11 +84,14 @@ def pair_exclusive(df: DataFrame, key: str, coord: str, ident: str, kind: str, h
         stack, at, out = [], 0, []
         for n, (top, name, _) in enumerate(heads):
             while at < len(trigs) and trigs[at][0] < top:
-                stack.append(trigs[at][1])
+                stack.append(trigs[at])
                 at += 1
             end = heads[n + 1][0] if n + 1 < len(heads) else None
             if stack:
-                out.append((name, stack.pop()))
+                low = len(stack) - 1
+                while low and stack[low - 1][0] == stack[low][0]:
+                    low -= 1
+                out.append((name, stack.pop(low)[1]))
             elif at < len(trigs) and (end is None or trigs[at][0] < end):
                 out.append((name, trigs[at][1]))
                 at += 1

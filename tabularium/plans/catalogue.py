@@ -292,3 +292,34 @@ def source_filter_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [docs.filter(F.col("source") == s) for s in ("src3", "src1")]
     parts.append(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("pages").alias("source")))
     return reduce(DataFrame.unionByName, [p.select(F.lit(i).alias("source_ord"), "doc_id", "source") for i, p in enumerate(parts)])
+
+
+@query("""
+with g as (select distinct doc_id from documents where contains(text, 'the'))
+select d.doc_id, l.quality, d.source from documents d join labels l using (doc_id) where d.doc_id > 0 and d.doc_id in (select doc_id from g) and not regexp_matches(coalesce(d.source, ''), '(?i)^src2')""")
+def semi_page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows after the first that hold a word, without those that a pattern skips."""
+    d, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    gate = d.filter(F.contains("text", F.lit("the"))).select("doc_id").distinct()
+    kept = d.filter((F.col("doc_id") > 0) & ~F.rlike(F.coalesce("source", F.lit("")), F.lit("(?i)^src2"))).join(gate, "doc_id", "left_semi")
+    return kept.join(labels, "doc_id").select("doc_id", "quality", "source")
+
+
+@query("select event_id, user_id, epoch_us(timestamp '2024-01-20 00:00:00') - epoch_us(ts) as age_us from events where epoch_us(timestamp '2024-01-20 00:00:00') - epoch_us(ts) between 0 and 604800000000")
+def ttl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of at most seven days before a fixed time; the limit itself still counts."""
+    age = F.lit(1705708800000000) - F.col("us")
+    return events(spark, sf_dir).withColumn("age_us", age).filter(F.col("age_us").between(0, 7 * 24 * 3600 * 1_000_000)).select("event_id", "user_id", "age_us")
+
+
+@query("""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '' and not regexp_matches(x, '^[A-Za-z0-9]$') and x not in ('the', 'and', 'for')) as w from documents),
+     x as (select doc_id, unnest(w) as x, unnest(range(len(w))) as i from w),
+     d as (select doc_id, x, min(i) as i from x group by doc_id, x),
+     j as (select doc_id, count(*) as n, string_agg(x, ' / ' order by i) as joined from d group by doc_id)
+select w.doc_id, cast(len(w) as bigint) as n_tokens, coalesce(n, 0) as n_distinct, md5(coalesce(joined, '')) as joined from w left join j using (doc_id)""")
+def token_filter_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens without stop words and single letters, each once in its first place."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: (x != "") & ~F.rlike(x, F.lit("^[A-Za-z0-9]$")) & ~x.isin("the", "and", "for"))
+    d = read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).withColumn("d", F.array_distinct("w"))
+    return d.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size("d").cast("long").alias("n_distinct"), F.md5(F.array_join("d", " / ").cast("binary")).alias("joined"))

@@ -51,7 +51,9 @@ def test_text_functions(spark):
     assert one(spark, t.slug(F.col("a")), a="--!") == "query"
     assert one(spark, t.bullet_type(F.col("a")), a="115 Grain") == ""
     assert one(spark, F.transform(t.badges(F.col("a")), lambda b: b["kind"]), a="most accurate, compressed, x") == ["green", "amber", "plain"]
-    assert one(spark, t.charge_display(F.col("a"), F.col("b"), F.col("c")), a=30.5, b=1.0, c=2.0) == "30.5 gr"
+    charge = lambda **v: one(spark, t.charge_display(F.col("a").try_cast("double"), F.col("b").try_cast("double"), F.col("c").try_cast("double"), F.lit(True)), **{k: str(x) for k, x in v.items()})
+    assert [charge(a=30.5, b=1.0, c=2.5), charge(a=30.0, b=1.0, c=""), charge(a="", b=1.0, c=""), charge(a="", b="", c=2.0)] == ["1–2.5 gr", "30 gr (MAX)", "1 gr (start)", "—"]
+    assert one(spark, t.velocity_display(F.col("a"), F.col("b")), a=2700.0, b=2500.5) == "2500.5–2700 fps"
 
 
 def test_best_matches_limits_first(spark):

@@ -21,6 +21,12 @@ def test_pairs_are_exclusive(spark):
     assert sorted((r["header_id"], r["trigger_id"]) for r in got) == [(1, 2), (3, None), (4, 5), (6, None)]
 
 
+def test_pairs_take_the_first_of_one_height(spark):
+    rows = [("d", 1, 5.0, "t"), ("d", 2, 5.0, "t"), ("d", 3, 6.0, "h"), ("d", 4, 7.0, "h")]
+    got = geometry.pair_exclusive(spark.createDataFrame(rows, "doc string, id long, top double, kind string"), "doc", "top", "id", "kind", "h", "t").collect()
+    assert sorted((r["header_id"], r["trigger_id"]) for r in got) == [(3, 1), (4, 2)]
+
+
 def test_dedupe_prefers_the_point_and_first(spark):
     rows = [("455", 1.0, 2.0, 0), ("45.5", 1.0, 2.0, 1), ("45.6", 1.0, 2.0, 2), ("7", 3.0, 2.0, 3)]
     df = spark.createDataFrame(rows, "text string, x double, y double, seq int")
