@@ -28,7 +28,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def host_path(url: Column) -> tuple[Column, Column]:
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
     return F.coalesce(F.translate(host, _UPPER, _LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
@@ -94,7 +94,7 @@ def oracle_sql() -> str:
 with a as (
   select page_id, url,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') as path,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
          cast({hard} as integer) as n_strict, cast({mild} as integer) as n_soft
   from pages)
 select page_id, host, path, case {rule}end as rule,

@@ -329,7 +329,7 @@ def test_warc_dictionary_and_damage():
 
 
 def test_urls(spark):
-    rows = ["http://WWW.Example.com/en/x?casino", "http://a.example.com/en/", "http://example.com", "https://b.net/es/1", "http://x.org/casino-win", "http://x.org/casinos", "http://free-bets.org/", "http://free.org/", None, "", "no scheme/porn", "http://net/fr/é"]
+    rows = ["http://WWW.Example.com/en/x?casino", "http://a.example.com/en/", "http://example.com", "https://b.net/es/1", "http://x.org/casino-win", "http://x.org/casinos", "http://free-bets.org/", "http://free.org/", None, "", "no scheme/porn", "http://net/fr/é", "http://a.example.com?to=http://b.net/es/1", "http://c.org#x://d.net/fr/"]
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
     got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages).orderBy("page_id").collect()]
     assert got == [
@@ -345,6 +345,8 @@ def test_urls(spark):
         ("", "", None, "allow"),
         ("", "", None, "block"),
         ("net", "/fr/é", "net/fr/", "block"),
+        ("a.example.com", "", None, "allow"),
+        ("c.org", "", None, "allow"),
     ]
 
 
