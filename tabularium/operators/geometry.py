@@ -73,36 +73,49 @@ def next_boundary(df: DataFrame, keys: list[str], order: list[str], at: Column,
 def pair_exclusive(df: DataFrame, key: str, coord: str, ident: str, kind: str, header: str, trigger: str) -> DataFrame:
     """Each header, in order, takes the nearest unused trigger above it, else the first unused one before the next header.
 
-    One stack a group: triggers above are pushed as headers pass; of several at one height the first is taken. ``key, header_id, trigger_id`` (null: none left).
+    A sorted stream: unused triggers are a stack, and a header that finds none waits until the next row. Of several
+    triggers at one height the first is taken. Groups may be of any size; only unused triggers are held.
+    ``key, header_id, trigger_id`` (null: none left).
     """
-    k, i = df.schema[key].dataType.simpleString(), df.schema[ident].dataType.simpleString()
-
-    def paired(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(coord, "ascending"), (ident, "ascending")])
-        rows = list(zip(*(group.column(c).to_pylist() for c in (coord, ident, kind))))
-        heads, trigs = [r for r in rows if r[2] == header], [r for r in rows if r[2] == trigger]
-        stack, at, out = [], 0, []
-        for n, (top, name, _) in enumerate(heads):
-            while at < len(trigs) and trigs[at][0] < top:
-                stack.append(trigs[at])
-                at += 1
-            end = heads[n + 1][0] if n + 1 < len(heads) else None
-            if stack:
-                low = len(stack) - 1
-                while low and stack[low - 1][0] == stack[low][0]:
-                    low -= 1
-                out.append((name, stack.pop(low)[1]))
-            elif at < len(trigs) and (end is None or trigs[at][0] < end):
-                out.append((name, trigs[at][1]))
-                at += 1
-            else:
-                out.append((name, None))
-        kinds = group.schema.field(ident).type
-        first = group.column(key)[0].as_py()
-        return pa.table([pa.array([first] * len(out), group.schema.field(key).type), pa.array([o[0] for o in out], kinds), pa.array([o[1] for o in out], kinds)], names=[key, "header_id", "trigger_id"])
-
-    slim = df.filter(F.col(kind).isin(header, trigger)).select(key, coord, ident, kind)
-    return slim.groupBy(key).applyInArrow(paired, f"{key} {k}, header_id {i}, trigger_id {i}")
+    schema = T.StructType([df.schema[key], T.StructField("header_id", df.schema[ident].dataType), T.StructField("trigger_id", df.schema[ident].dataType)])
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack, waiting, some = None, [], None, False
+
+        for b in batches:
+            out = []
+            for group, top, name, is_trigger in zip(*(b.column(c).to_pylist() for c in (key, coord, ident, "_below"))):
+                if not some or group != now:
+                    if waiting is not None:
+                        out.append((now, waiting, None))
+                    now, stack, waiting, some = group, [], None, True
+                if is_trigger:
+                    if waiting is None:
+                        stack.append((top, name))
+                    else:
+                        out.append((group, waiting, name))
+                        waiting = None
+                elif stack:
+                    low = len(stack) - 1
+                    while low and stack[low - 1][0] == stack[low][0]:
+                        low -= 1
+                    out.append((group, name, stack.pop(low)[1]))
+                else:
+                    if waiting is not None:
+                        out.append((group, waiting, None))
+                    waiting = name
+            yield _paired_batch(out, b, key, ident)
+        if waiting is not None:
+            yield _paired_batch([(now, waiting, None)], b, key, ident)
+
+    # At one height headers come first: a trigger there is not above them.
+    slim = df.filter(F.col(kind).isin(header, trigger)).select(key, coord, ident, (F.col(kind) == trigger).alias("_below"))
+    return slim.repartition(key).sortWithinPartitions(key, coord, "_below", ident).mapInArrow(paired, schema)
+
+
+def _paired_batch(rows: list[tuple], like: pa.RecordBatch, key: str, ident: str) -> pa.RecordBatch:
+    kinds = [like.schema.field(key).type, like.schema.field(ident).type, like.schema.field(ident).type]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, kinds)], names=[key, "header_id", "trigger_id"])
 
 
 def pivot4(cells: DataFrame, keys: list[str], column: str, value: Column, order: list[str], names: list[str]) -> DataFrame:

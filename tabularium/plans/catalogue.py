@@ -90,10 +90,37 @@ def fuzzy_topk_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "source", "ord", "label", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+#: The longest common block of two ranges, the leftmost of equals; ranges to either side of it follow in the recursion.
+_BLOCK_SQL = """list_max(flatten(list_transform(range(a_from, a_to), lambda i: list_transform(range(b_from, b_to), lambda j: {
+  'n': coalesce(list_max(list_filter(range(1, least(a_to - i, b_to - j) + 1), lambda n: substr(a, i, n) = substr(b, j, n))), 0), 'i': -i, 'j': -j}))))"""
+_RATIO_SQL = f"""
+with recursive q as (select i - 1 as query_id, [{', '.join(f"'{p}'" for p in _PHRASES)}][i] as text from range(1, {len(_PHRASES) + 1}) r(i)),
+c as (select 'name' as source, p_name as label, min(p_partkey) as ord from part group by all union all select 'brand', p_brand, min(p_partkey) from part group by all),
+x as (select query_id, source, ord, label, {_normal_sql('text')} as qn, {_raw_sql('text')} as qr, {_normal_sql('label')} as cn, {_raw_sql('label')} as cr from q, c),
+w as (select distinct array_to_string(qn, ' ') as a, array_to_string(cn, ' ') as b from x),
+m as (select a, b, a_from, a_to, b_from, b_to, {_BLOCK_SQL} as m from (select a, b, 1::bigint as a_from, len(a) + 1 as a_to, 1::bigint as b_from, len(b) + 1 as b_to from w)
+      union all
+      select a, b, a_from, a_to, b_from, b_to, {_BLOCK_SQL} from (
+        select a, b, p.a_from as a_from, p.a_to as a_to, p.b_from as b_from, p.b_to as b_to from (
+          select a, b, unnest([{{'a_from': a_from, 'a_to': -m.i, 'b_from': b_from, 'b_to': -m.j}}, {{'a_from': m.n - m.i, 'a_to': a_to, 'b_from': m.n - m.j, 'b_to': b_to}}]) as p from m where m.n > 0)
+        where p.a_from < p.a_to and p.b_from < p.b_to)),
+t as (select a, b, 2.0::double * sum(m.n) / (len(a) + len(b)) as ratio from m group by a, b),
+y as (select x.*, ratio, list_filter(list_distinct(qn), lambda v: not list_contains(cn, v)) as missing,
+             case when len(qn) > 0 and len(list_filter(qn, lambda v: not list_contains(cn, v))) = 0 then 0.75::double + 0.25::double * len(list_distinct(qn)) / greatest(len(list_distinct(cn)), 1)
+                  when ratio >= 0.75 then ratio else 0::double end as base
+      from x join t on t.a = array_to_string(qn, ' ') and t.b = array_to_string(cn, ' ')),
+z as (select query_id, source, ord, label, cast(case when array_to_string(qn, ' ') = array_to_string(cn, ' ') then 1
+             when len(list_filter(missing, lambda v: regexp_full_match(v, '[0-9]+'))) > 0 then 0
+             when len(qr) > 0 and cr[1:len(qr)] = qr then least(0.95::double, base + 0.3::double) else base end as double) as score from y),
+r as (select *, row_number() over (partition by query_id, source order by score desc, ord) as rank from z)
+select query_id, source, ord, label, round(score, 9) as score, rank from r where rank <= 20 and score >= 0.45"""
+
+
+@query(_RATIO_SQL)
 def fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best labels for phrases, character ratio included."""
-    return match.best_matches(_phrases(spark), _catalogue(spark, sf_dir), limit=20).select("query_id", "source", "ord", "label", "score", "rank")
+    found = match.best_matches(_phrases(spark), _catalogue(spark, sf_dir), limit=20)
+    return found.select("query_id", "source", "ord", "label", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
@@ -159,7 +186,19 @@ def dedupe_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity", "copies")
 
 
-@query()
+@query("""
+with recursive e as (select user_id, event_id, event_type = 'signup' as below, row_number() over (partition by user_id order by epoch_us(ts), event_type = 'signup', event_id) as k from events where event_type in ('error', 'signup')),
+s as (select user_id, 0::bigint as k, []::bigint[] as unused, null::bigint as waiting, null::bigint as header_id, null::bigint as trigger_id from e where k = 1
+      union all
+      select e.user_id, e.k,
+             case when below and waiting is null then list_append(unused, event_id::bigint) when not below and len(unused) > 0 then unused[:len(unused) - 1] else unused end,
+             case when not below and len(unused) = 0 then event_id end,
+             case when below or waiting is not null then waiting when len(unused) > 0 then event_id end,
+             case when below and waiting is not null then event_id when not below and waiting is null and len(unused) > 0 then unused[len(unused)] end
+      from s join e on e.user_id = s.user_id and e.k = s.k + 1)
+select user_id, header_id, trigger_id from s where header_id is not null
+union all
+select user_id, waiting, null from s where waiting is not null and k = (select max(k) from e where e.user_id = s.user_id)""")
 def asof_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of a user, each with the sign-up it takes."""
     return geometry.pair_exclusive(events(spark, sf_dir), "user_id", "us", "event_id", "event_type", "error", "signup")

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tabularium.operators import geometry, sequence
@@ -27,6 +29,31 @@ def test_pairs_take_the_first_of_one_height(spark):
     assert sorted((r["header_id"], r["trigger_id"]) for r in got) == [(3, 1), (4, 2)]
 
 
+def plain_pairs(rows):
+    """By the definition: for each header in order, every unused trigger is looked at."""
+    out = []
+    for doc in sorted({r[0] for r in rows}):
+        mine = sorted((r for r in rows if r[0] == doc), key=lambda r: (r[2], r[1]))
+        heads, free = [r for r in mine if r[3] == "h"], [r for r in mine if r[3] == "t"]
+        for n, h in enumerate(heads):
+            end = heads[n + 1][2] if n + 1 < len(heads) else float("inf")
+            above = [t for t in free if t[2] < h[2]]
+            below = [t for t in free if h[2] <= t[2] < end]
+            taken = min(above, key=lambda t: (-t[2], t[1])) if above else below[0] if below else None
+            if taken:
+                free.remove(taken)
+            out.append((doc, h[1], taken[1] if taken else None))
+    return out
+
+
+def test_pairs_in_a_stream_are_those_of_the_definition(spark):
+    rng = random.Random(1)
+    rows = [(f"d{rng.randrange(6)}", k, float(rng.randrange(60)), rng.choice("htx")) for k in range(600)]
+    got = geometry.pair_exclusive(spark.createDataFrame(rows, "doc string, id long, top double, kind string"), "doc", "top", "id", "kind", "h", "t")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(plain_pairs(rows), key=str)
+    assert geometry.pair_exclusive(spark.createDataFrame([], "doc string, id long, top double, kind string"), "doc", "top", "id", "kind", "h", "t").count() == 0
+
+
 def test_dedupe_prefers_the_point_and_first(spark):
     rows = [("455", 1.0, 2.0, 0), ("45.5", 1.0, 2.0, 1), ("45.6", 1.0, 2.0, 2), ("7", 3.0, 2.0, 3)]
     df = spark.createDataFrame(rows, "text string, x double, y double, seq int")
