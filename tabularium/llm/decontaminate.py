@@ -74,57 +74,94 @@ def tile(text: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray, least
 
 @dataclass
 class Index:
-    """Seeds of a block of benchmark items, sorted by hash."""
+    """A block of benchmark items: their seeds, and the sorted loud ones. Items of equal tokens are one.
 
-    ids: list
+    Seeds are silent, the most common first, as long as all silent ones of an item cover less of it than a leak needs.
+    So a leak has a loud seed, and a passage that many items share makes no candidates of those that it does not leak.
+    """
+
+    ids: list[list]
     items: list[np.ndarray]
-    seeds: np.ndarray
+    own: list[np.ndarray]
+    loud: np.ndarray
     item: np.ndarray
-    place: np.ndarray
     least: int
+    coverage: float
 
     @classmethod
-    def of(cls, ids: list, texts: list[str | None], least: int) -> Index:
+    def of(cls, ids: list, texts: list[str | None], least: int, coverage: float) -> Index:
         data, bounds = text_bytes(pa.array(texts, pa.large_string()))
         words, row = tokens(data, bounds)
-        sizes = np.bincount(row, minlength=len(ids))
-        first = np.cumsum(sizes) - sizes
+        ends = np.cumsum(np.bincount(row, minlength=len(ids)))
+        same: dict[bytes, list] = {}
+        for k, (e, n) in enumerate(zip(ends.tolist(), np.diff(ends, prepend=0).tolist())):
+            if n >= least:
+                same.setdefault(words[e - n : e].tobytes(), []).append(ids[k])
+        items = [np.frombuffer(key, words.dtype) for key in same]
+        sizes = np.array([len(x) for x in items], np.int64)
+        words, row = np.concatenate([np.empty(0, words.dtype), *items]), np.repeat(np.arange(len(items)), sizes)
         at = window_starts(row, least)
-        seeds = hash_windows(words, at, least)
-        order = np.argsort(seeds, kind="stable")
-        at = at[order]
-        return cls(list(ids), [words[f : f + n] for f, n in zip(first, sizes)], seeds[order], row[at], at - first[row[at]], least)
-
-    def leaks(self, data: np.ndarray, bounds: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
+        seeds, item = hash_windows(words, at, least), row[at]
+        loud = cls._loud(seeds, item, at, row, np.maximum(np.ceil(coverage * sizes - 1e-9), 1).astype(np.int64), least)
+        order = np.argsort(seeds[loud], kind="stable")
+        own = np.split(seeds, np.cumsum(sizes - least + 1)[:-1]) if items else []
+        return cls(list(same.values()), items, own, seeds[loud][order], item[loud][order], least, coverage)
+
+    @staticmethod
+    def _loud(seeds: np.ndarray, item: np.ndarray, at: np.ndarray, row: np.ndarray, need: np.ndarray, least: int) -> np.ndarray:
+        if not len(seeds):
+            return np.empty(0, np.int64)
+        code = np.unique(seeds, return_inverse=True)[1]
+        uses = np.bincount(np.unique(code * len(need) + item) // len(need))[code]
+        order = np.lexsort((at, -uses, item))
+        rank = np.empty(len(seeds), np.int64)
+        rank[order] = np.arange(len(seeds)) - np.searchsorted(item, item[order])
+        # The rank with which each token is first covered; the item's share is reached with that of its `need`-th token.
+        first = np.full(len(row), np.iinfo(np.int64).max)
+        for k in range(least):
+            np.minimum.at(first, at + k, rank)
+        by_item = first[np.lexsort((first, row))]
+        return np.flatnonzero(rank >= by_item[np.searchsorted(row, np.arange(len(need))) + need - 1][item])
+
+    def candidates(self, h: np.ndarray, row: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+        """``row * items + item`` of all that share a loud seed, sorted; ``most`` bounds what is expanded at a time."""
+        lo, hi = np.searchsorted(self.loud, h, side="left"), np.searchsorted(self.loud, h, side="right")
+        near = np.flatnonzero(hi > lo)
+        n = hi[near] - lo[near]
+        part = np.cumsum(n) // most
+        found = [np.empty(0, np.int64)]
+        for c, e in zip(*(lambda x: (x, [*x[1:], len(near)]))(np.flatnonzero(np.diff(part, prepend=-1)).tolist())):
+            m = n[c:e]
+            seed = np.repeat(lo[near[c:e]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            found.append(np.unique(np.repeat(row[near[c:e]], m) * len(self.items) + self.item[seed]))
+        return np.unique(np.concatenate(found))
+
+    def leaks(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """``(row, item, covered tokens, tiles, longest)`` of every leak in a batch of texts."""
         words, row = tokens(data, bounds)
         at = window_starts(row, self.least)
-        if not len(at) or not len(self.seeds):
-            return
-        h = hash_windows(words, at, self.least)
-        lo = np.searchsorted(self.seeds, h, side="left")
-        near = np.flatnonzero((lo < len(self.seeds)) & (self.seeds[np.minimum(lo, len(self.seeds) - 1)] == h))
-        if not len(near):
+        if not len(at) or not len(self.loud):
             return
-        lo, hi = lo[near], np.searchsorted(self.seeds, h[near], side="right")
-        n = hi - lo
-        p = np.repeat(at[near], n)
-        seed = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, q = self.item[seed], self.place[seed]
-        pair = row[p] * len(self.items) + item
-        order = np.argsort(pair, kind="stable")
-        cut = np.flatnonzero(np.diff(pair[order], prepend=-1))
-        sizes = np.bincount(row, minlength=len(bounds) - 1)
-        first = np.cumsum(sizes) - sizes
-        for c, e in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
-            w = order[c:e]
-            r, k = int(row[p[w[0]]]), int(item[w[0]])
-            size = len(self.items[k])
-            if len(np.unique(q[w][:, None] + np.arange(self.least))) < coverage * size:
+        h, row_at = hash_windows(words, at, self.least), row[at]
+        ends = np.cumsum(np.bincount(row, minlength=len(bounds) - 1))
+        now = -1
+        for pair in self.candidates(h, row_at).tolist():
+            r, k = divmod(pair, len(self.items))
+            if r != now:
+                now, (c, e) = r, np.searchsorted(row_at, [r, r + 1])
+                order = np.argsort(h[c:e], kind="stable")
+                mine, text = h[c:e][order], words[ends[r] - (e - c) - self.least + 1 : ends[r]]
+            lo, hi = np.searchsorted(mine, self.own[k], side="left"), np.searchsorted(mine, self.own[k], side="right")
+            n, size = hi - lo, len(self.items[k])
+            reach = np.zeros(size, bool)
+            for i in range(self.least):
+                reach[i : i + len(n)] |= n > 0
+            if reach.sum() < self.coverage * size:
                 continue  # what the seeds reach bounds what tiles can cover
-            tiles = tile(words[first[r] : first[r] + sizes[r]], self.items[k], p[w] - first[r], q[w], self.least)
+            p = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            tiles = tile(text, self.items[k], p, np.repeat(np.arange(len(n)), n), self.least)
             covered = sum(t[2] for t in tiles)
-            if covered >= coverage * size:
+            if covered >= self.coverage * size:
                 yield r, k, covered, len(tiles), max(t[2] for t in tiles)
 
 
@@ -142,15 +179,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     schema = "doc_id bigint, item_id bigint, n_tokens bigint, n_covered bigint, n_tiles bigint, longest bigint"
 
     def scan(items: list) -> DataFrame:
-        index = Index.of([r["item_id"] for r in items], [r["text"] for r in items], least)
+        index = Index.of([r["item_id"] for r in items], [r["text"] for r in items], least, coverage)
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 data, bounds = text_bytes(b.column(1))
                 ids, rows = b.column(0), []
                 for i, j in row_batches(bounds):
-                    for r, k, covered, n, longest in index.leaks(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], coverage):
-                        rows.append((ids[i + r].as_py(), index.ids[k], len(index.items[k]), covered, n, longest))
+                    for r, k, covered, n, longest in index.leaks(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]):
+                        rows += [(ids[i + r].as_py(), item, len(index.items[k]), covered, n, longest) for item in index.ids[k]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], names=["doc_id", "item_id", "n_tokens", "n_covered", "n_tiles", "longest"])
 
         return docs.select("doc_id", "text").mapInArrow(found, schema)
@@ -164,18 +201,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST_MATCH) -> DataFrame:
     """The rows of ``docs`` that leak no item; texts stay where they are."""
     for items in blocks(benchmark):
-        index = Index.of([r["item_id"] for r in items], [r["text"] for r in items], least)
-        docs = docs.mapInArrow(_clean_rows(index, coverage), docs.schema)
+        index = Index.of([r["item_id"] for r in items], [r["text"] for r in items], least, coverage)
+        docs = docs.mapInArrow(_clean_rows(index), docs.schema)
     return docs
 
 
-def _clean_rows(index: Index, coverage: float):
+def _clean_rows(index: Index):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, bounds = text_bytes(b.column("text"))
             keep = np.ones(b.num_rows, bool)
             for i, j in row_batches(bounds):
-                for r, *_ in index.leaks(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], coverage):
+                for r, *_ in index.leaks(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]):
                     keep[i + r] = False
             yield b.filter(pa.array(keep))
 

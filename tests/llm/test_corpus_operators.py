@@ -211,6 +211,58 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def plain_leaks(texts, items, least=5, coverage=0.5):
+    """Greedy tiling by the definition: all places are compared, the longest free match is marked, again and again."""
+    out = []
+    cut = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    for r, t in enumerate(map(cut, texts)):
+        for k, item in enumerate(map(cut, items)):
+            in_t, in_i, covered = [False] * len(t), [False] * len(item), 0
+            while True:
+                best = (least - 1, 0, 0)
+                for i in range(len(t)):
+                    for j in range(len(item)):
+                        n = 0
+                        while i + n < len(t) and j + n < len(item) and t[i + n] == item[j + n] and not in_t[i + n] and not in_i[j + n]:
+                            n += 1
+                        best = max(best, (n, -i, -j))
+                n, i, j = best[0], -best[1], -best[2]
+                if n < least:
+                    break
+                in_t[i : i + n], in_i[j : j + n], covered = [True] * n, [True] * n, covered + n
+            if len(item) >= least and covered >= coverage * len(item):
+                out.append((r, k, covered))
+    return out
+
+
+def test_leaks_with_shared_passages(spark, monkeypatch):
+    """Items that share a passage, equal items, and texts with pieces of them in any order, against the definition."""
+    rng = random.Random(11)
+    shared = prose(rng, 12)
+    items = [f"{shared} {prose(rng, rng.randrange(4, 30))}" for _ in range(12)]
+    items += [items[0], items[0].upper(), shared, prose(rng, 4), "a b " * 8, prose(rng, 20)]
+    texts = [f"{prose(rng, 6)} {shared} {prose(rng, 6)}", shared, "a b " * 12]
+    for k in range(14):
+        w = items[k].split()
+        a, b = sorted(rng.sample(range(len(w) + 1), 2))
+        texts.append(" ".join([*w[b:], "x", *w[a:b], "y", *w[:a]][rng.randrange(4) :]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = plain_leaks(texts, items)
+    got = decontaminate.find_leaks(table(spark, texts), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_covered"]) for r in got) == want and len(want) > 20
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaked(table(spark, texts), bench).collect()) == sorted(set(range(len(texts))) - {r for r, *_ in want})
+
+
+def test_candidates_in_parts():
+    rng = random.Random(12)
+    items = [prose(rng, 30, 12) for _ in range(40)]
+    index = decontaminate.Index.of(list(range(40)), items, 5, 0.5)
+    h = np.concatenate([*index.own, np.arange(5, dtype=np.uint64)])
+    row = np.sort(np.arange(len(h)) % 7)
+    assert index.candidates(h, row, 3).tolist() == index.candidates(h, row).tolist() and len(index.candidates(h, row)) >= 40
+
+
 def test_packing(spark):
     texts = [*corpus(), "a  b\n\n c", "x <|endoftext|> y", "日本 語", "it's\n's ' t", "word " * 9000]
     tok = packing.encoder(None)
