@@ -125,9 +125,9 @@ class Index:
 
     def candidates(self, h: np.ndarray, row: np.ndarray, most: int = 2_000_000) -> np.ndarray:
         """``row * items + item`` of all that share a loud seed, sorted; ``most`` bounds what is expanded at a time."""
-        lo, hi = np.searchsorted(self.loud, h, side="left"), np.searchsorted(self.loud, h, side="right")
-        near = np.flatnonzero(hi > lo)
-        n = hi[near] - lo[near]
+        lo = np.searchsorted(self.loud, h, side="left")
+        near = np.flatnonzero(self.loud[np.minimum(lo, len(self.loud) - 1)] == h)
+        n = np.searchsorted(self.loud, h[near], side="right") - lo[near]
         part = np.cumsum(n) // most
         found = [np.empty(0, np.int64)]
         for c, e in zip(*(lambda x: (x, [*x[1:], len(near)]))(np.flatnonzero(np.diff(part, prepend=-1)).tolist())):
