@@ -101,15 +101,19 @@ def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``node, root`` of undirected edges ``a, b``, by alternating large and small stars; ``root`` is the least node."""
+    """``node, root`` of undirected edges ``a, b``, by alternating large and small stars; ``root`` is the least node.
+
+    A node's least neighbour is a table of its own: joined back it is broadcast while small, and beyond that both
+    sides are plain exchanges, so that adaptive execution may split the edges of a hub among tasks.
+    """
     e = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialise(e, "edges")
+    e = materialise(e, "edges")  # u > v, here and in every round
     mark = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "least")
+        large = materialise(e.join(low, "v").select("u", F.col("m").alias("v")).distinct(), "large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = materialise(small.filter("u != v").distinct(), "edges")
         seen = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()

@@ -183,6 +183,25 @@ def test_jaccard(spark, tile):
     assert jaccard.depth_for() == 5
 
 
+@pytest.mark.parametrize("shape", ["hub of least id", "hub of greatest id", "chain", "random", "none"])
+def test_components(spark, shape):
+    rng = random.Random(13)
+    edges = {
+        "hub of least id": [(0, k) for k in range(1, 300)] + [(500, 501)],
+        "hub of greatest id": [(k, 900) for k in range(300)] + [(7, 7)],
+        "chain": [(k, k + 1) for k in rng.sample(range(100), 100)],
+        "random": [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] * 2,
+        "none": [],
+    }[shape]
+    root = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted(root.items())
+
+
 def test_keep_one(spark):
     texts, ids = ["a b c d e f", "a b c d e f", "x y z", None, "q", "q"], [3, 1, 2, 4, 7, 7]
     got = jaccard.keep_one(table(spark, texts, ids))
