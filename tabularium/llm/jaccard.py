@@ -235,8 +235,8 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, most_depth: int = MOST_
     heads = met.groupBy("tree", "label").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("tree", "label", "b")
     near = met.join(heads, ["tree", "label"]).select(F.col("node").alias("a"), "b")
     groups = components(near)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    # One row a component: joined back it meets as many rows as the component has nodes, which AQE splits.
+    # One row a component, as a table: joined back it meets as many rows as the component has nodes, which AQE can split.
+    sizes = materialise(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
     tiles = groups.join(sizes, "root").withColumn("n", F.ceil(F.col("size") / tile).cast("int"))
     members = nodes.join(tiles, "node").select("node", "text_key", "copies", "root", "n").withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("n")).cast("int"))
     keyed = docs.select(F.col("doc_id").alias("node"), "text", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32)).alias("text_key"))
