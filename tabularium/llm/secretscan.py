@@ -4,11 +4,17 @@ Patterns (kinds ``assign``, ``access``, ``hex``) give the base spans: the whole
 match, in code points. The battery then looks at runs of 20 or more characters
 of ``[A-Za-z0-9+/_-]`` with letters and digits that no base span overlaps. The
 smallest fitting alphabet is the encoding; against it go a chi-squared test of
-uniformity, a runs test and a serial-correlation test, joined by Fisher's
-method. Runs of letters alone are the null sample: words look random the more
-easily the shorter they are, so each length class has its own null, that of all
-runs up to its length. In each class the Benjamini-Hochberg rule picks the
-discoveries (kind ``random``).
+uniformity, a runs test, a serial-correlation test and a test of letter pairs
+against those of common words, joined by Fisher's method.
+
+The null is no run under test: the ordinary words of every text (pieces of
+letters alone in runs of under 20 characters) are joined to windows of each
+length class in the form of each family of encodings: one case, both cases, with
+a number, with separators; numbers are joined for digits. The same windows over
+a fixed text of common words are added, so that a small corpus has a null too.
+Words look random the more easily the shorter they are, so a class is judged by
+the windows of its length and a little under. In each family and class the
+Benjamini-Hochberg rule picks the discoveries (kind ``random``).
 
 Defined cases: null text is empty (no spans; the digest is that of the empty
 string); repeated rows are scanned each; texts are scanned whole.
@@ -18,8 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import materialise
-from tabularium.llm.textkernel import text_bytes
+from tabularium.llm.textkernel import row_batches, text_bytes
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -39,15 +47,63 @@ FDR = 0.05
 BINS = 64
 
 _DIGITS, _UP, _LOW = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Alphabets from the smallest on; an encoding is the first that holds all of a run's characters.
-ALPHABETS = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", "234567" + _UP, _DIGITS + _LOW, _DIGITS + _UP, _DIGITS + _UP + _LOW, _DIGITS + _UP + _LOW + "+/", "-" + _DIGITS + _UP + "_" + _LOW, "+-/" + _DIGITS + _UP + "_" + _LOW)
+#: An encoding is the smallest alphabet, the first of these among equals, that holds all of a run's characters.
+ALPHABETS = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", "234567" + _UP, _DIGITS + _LOW, _DIGITS + _UP, _DIGITS + _UP + _LOW, _DIGITS + _UP + _LOW + "+/", "-" + _DIGITS + _UP + "_" + _LOW, "+-/" + _DIGITS + _UP + "_" + _LOW, _LOW, _UP, _UP + _LOW, _DIGITS)
 _PLACE = np.full((len(ALPHABETS), 256), -1, np.int16)
 for _k, _a in enumerate(ALPHABETS):
     _PLACE[_k, np.frombuffer(_a.encode(), np.uint8)] = np.arange(len(_a))
 _HEXES = np.zeros(256, bool)
 _HEXES[np.frombuffer((_DIGITS + "abcdef").encode(), np.uint8)] = True
 _RUNS = np.zeros(256, bool)
-_RUNS[np.frombuffer(ALPHABETS[-1].encode(), np.uint8)] = True
+_RUNS[np.frombuffer(ALPHABETS[8].encode(), np.uint8)] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[np.frombuffer(ALPHABETS[5].encode(), np.uint8)] = True
+_BY_SIZE = sorted(range(len(ALPHABETS)), key=lambda k: len(ALPHABETS[k]))
+
+#: Families of encodings that have a null in common. Ordinary words do not fit hexadecimal, so it is judged with the words of one case.
+ONE_CASE, BOTH_CASES, ONE_CASE_DIGITS, BASE32, BOTH_CASES_DIGITS, SEPARATED, NUMBERS = range(7)
+FAMILIES = 7
+_FAMILY = np.array([ONE_CASE_DIGITS, ONE_CASE_DIGITS, BASE32, ONE_CASE_DIGITS, ONE_CASE_DIGITS, BOTH_CASES_DIGITS, SEPARATED, SEPARATED, SEPARATED, ONE_CASE, ONE_CASE, BOTH_CASES, NUMBERS])
+_NULL_ENCODING = np.array([9, 11, 3, 2, 5, 7, 12])
+#: Length classes of the null: the shortest of each class is taken, as shorter windows look more random. Longer runs are judged by the last.
+LAST_CLASS, REACH = 28, 4
+LENGTHS = [math.ceil(2 ** (c / 4)) for c in range(17, LAST_CLASS + 1)]
+_NUMBER_LENGTHS = [5, 6, 7, 8, 10, 12, 14, 17, *LENGTHS]
+_CYCLE = np.array([(n, f) for n in LENGTHS for f in range(NUMBERS)])
+_AT = np.concatenate([[0], np.cumsum(_CYCLE[:, 0])])
+#: Words of the fixed text.
+_COMMON = (
+    "the of and to in is for that with on as are this by from be or have not you all can more when one use new time user name file path data page home index image post list item view test main config server client value "
+    "number system report update default product search system-wide download version message content account public module service project manager library example information development international "
+    "der die und das nicht eine auch werden zwischen arbeit le les des une pour dans avec plus cette entre el los por para como pero sobre desde hasta"
+).replace("-", " ").split()
+
+
+def _pair_scores() -> np.ndarray:
+    """Log odds of a letter after another in common words against chance; smoothed."""
+    n = np.full((26, 26), 0.5)
+    for w in _COMMON:
+        for a, b in zip(w, w[1:]):
+            n[ord(a) - 97, ord(b) - 97] += 1
+    return np.log(n / n.sum() * 676)
+
+
+_PAIRS = np.zeros((256, 256))
+for _a in (65, 97):
+    for _b in (65, 97):
+        _PAIRS[_a : _a + 26, _b : _b + 26] = _pair_scores()
+_LETTERS = np.zeros(256, bool)
+_LETTERS[65:91] = _LETTERS[97:123] = True
+
+
+def _chance(alphabet: str) -> tuple[float, float, float]:
+    """Mean and variance of a pair's score, and covariance of neighbouring pairs, for random letters of an alphabet."""
+    letters = [ord(c) for c in alphabet if c.isalpha()]
+    x = _PAIRS[np.ix_(letters, letters)]
+    return (0.0, 1.0, 0.0) if not letters else (x.mean(), x.var(), float(((x.mean(0) - x.mean()) * (x.mean(1) - x.mean())).mean()))
+
+
+_CHANCE = np.array([_chance(a) for a in ALPHABETS])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -82,11 +138,14 @@ def _tail(z2: np.ndarray) -> np.ndarray:
 
 
 def battery(runs: list[str], encodings: np.ndarray) -> np.ndarray:
-    """Fisher's combined p-value of the three tests for each run under its encoding; near 0: not random."""
-    if not runs:
+    """Fisher's combined p-value of the four tests for each run under its encoding; near 0: not random."""
+    return battery_of_bytes(np.frombuffer("".join(runs).encode("latin-1"), np.uint8), np.array([len(r) for r in runs], np.int64), encodings)
+
+
+def battery_of_bytes(data: np.ndarray, n: np.ndarray, encodings: np.ndarray) -> np.ndarray:
+    """The same for runs of lengths ``n`` that stand one after the other."""
+    if not len(n):
         return np.empty(0)
-    n = np.array([len(r) for r in runs])
-    data = np.frombuffer("".join(runs).encode("latin-1"), np.uint8)
     row = np.repeat(np.arange(len(n)), n)
     at = np.concatenate([[0], np.cumsum(n)[:-1]])
     size = np.array([len(a) for a in ALPHABETS])[encodings]
@@ -108,8 +167,15 @@ def battery(runs: list[str], encodings: np.ndarray) -> np.ndarray:
     y = (x - (size[row] - 1) / 2) / np.sqrt((size[row].astype(float) ** 2 - 1) / 12)
     serial = np.bincount(row[1:], weights=np.where(inner[1:], y[1:] * y[:-1], 0), minlength=len(n))
     p_serial = _tail(serial**2 / (n - 1))
-    half = -np.log(np.clip(np.stack([p_chi, p_runs, p_serial]), 1e-30, 1)).sum(0)
-    return np.exp(-half) * (1 + half + half**2 / 2)
+    pair = inner[1:] & _LETTERS[data[1:]] & _LETTERS[data[:-1]]
+    mean, var, cov = _CHANCE[encodings].T
+    pairs = np.bincount(row[1:], weights=pair, minlength=len(n))
+    triples = np.bincount(row[2:], weights=pair[1:] & pair[:-1], minlength=len(n))
+    score = np.bincount(row[1:], weights=np.where(pair, _PAIRS[data[:-1], data[1:]], 0), minlength=len(n))
+    z = (score - pairs * mean) / np.sqrt(np.maximum(pairs * var + 2 * triples * cov, 1))
+    p_pairs = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z.tolist()])
+    half = -np.log(np.clip(np.stack([p_chi, p_runs, p_serial, p_pairs]), 1e-30, 1)).sum(0)
+    return np.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6)
 
 
 def bin_of(p: np.ndarray) -> np.ndarray:
@@ -123,57 +189,148 @@ def length_class(n: np.ndarray) -> np.ndarray:
 
 def encoding_of(run: str) -> int:
     codes = np.frombuffer(run.encode("latin-1"), np.uint8)
-    return next(k for k in range(len(ALPHABETS)) if (_PLACE[k, codes] >= 0).all())
+    return next(k for k in _BY_SIZE if (_PLACE[k, codes] >= 0).all())
 
 
-def scan_table(docs: DataFrame) -> DataFrame:
-    """A slim row a document: base spans, candidate runs with class and bin, and the null sample's bins.
+def candidates(text: str, own: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """``(start, end, what the battery judges)`` of the runs outside the base spans."""
+    for m in RUN.finditer(text):
+        run = m[0]
+        digits = "".join(c for c in run if c.isdigit())
+        if digits and any(c.isalpha() for c in run) and not any(s < m.end() and e > m.start() for s, _, e in own):
+            yield m.start(), m.end(), run
 
-    ``family`` is 0 for alphabets of up to 36 characters and 1 for larger ones; null runs are judged in both.
-    """
-    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base string, cand array<struct<s:int,e:int,cell:int>>, nulls array<int>"
+
+def cells_of(data: np.ndarray, n: np.ndarray, encodings: np.ndarray) -> np.ndarray:
+    """Family, length class and bin of each run, as one number."""
+    return (_FAMILY[encodings] * 64 + length_class(n)) * BINS + bin_of(battery_of_bytes(data, n, encodings))
+
+
+def judged(runs: list[str]) -> np.ndarray:
+    if not runs:
+        return np.empty(0, np.int64)
+    return cells_of(np.frombuffer("".join(runs).encode("latin-1"), np.uint8), np.array([len(r) for r in runs]), np.array([encoding_of(r) for r in runs]))
+
+
+def _marked(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in one of some disjoint intervals."""
+    steps = np.zeros(size + 1, np.int8)
+    steps[starts] += 1
+    steps[ends] -= 1
+    return np.cumsum(steps[:-1], dtype=np.int8).astype(bool)
+
+
+def null_histogram(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Counts of the cells of all null windows over some texts. It is a sum over the texts, in whatever batches they come."""
+    out = np.zeros(FAMILIES * 64 * BINS, np.int64)
+    size = len(data)
+    if not size:
+        return out
+    first = np.zeros(size + 1, bool)
+    first[bounds] = True
+
+    def pieces(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before, after = np.concatenate([[False], mask[:-1]]), np.concatenate([mask[1:], [False]])
+        return np.flatnonzero(mask & (first[:-1] | ~before)), np.flatnonzero(mask & (first[1:] | ~after)) + 1
+
+    s, e = pieces(_RUNS[data])
+    long = e - s >= LEAST_RUN
+    s, e = pieces(_ALNUM[data] & ~_marked(s[long], e[long], size))
+    figures = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58))])
+    figures = figures[e] - figures[s]
+    begins = np.zeros(size, bool)
+    begins[s] = True
+    for kept, tally in ((figures == 0, _word_windows), (figures == e - s, _number_windows)):
+        at = np.flatnonzero(_marked(s[kept], e[kept], size))
+        for part, n, encodings in tally(data[at], begins[at], np.searchsorted(at, bounds)):
+            out += np.bincount(cells_of(part, n, encodings), minlength=len(out))
+    return out
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _word_windows(letters: np.ndarray, begins: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each text's letters are cut into windows of all lengths and forms in turn, from a turn on that its size gives."""
+    m = np.diff(bounds)
+    turn = m * 29 % len(_CYCLE)
+    end = _AT[turn] + m
+    many = end // _AT[-1] * len(_CYCLE) + np.searchsorted(_AT, end % _AT[-1], side="right") - 1 - turn
+    turns = np.repeat(turn, many) + _within(many)
+    inside = turns // len(_CYCLE) * _AT[-1] + _AT[turns % len(_CYCLE)] - np.repeat(_AT[turn], many)
+    starts = np.repeat(bounds[:-1], many) + inside
+    for i in range(0, len(turns), 8192):
+        k, start, mixed = turns[i : i + 8192], starts[i : i + 8192], inside[i : i + 8192] * 7919 // 64 + turns[i : i + 8192]
+        n, fam = _CYCLE[k % len(_CYCLE)].T
+        sort, figures = mixed % 3, np.where((fam == ONE_CASE) | (fam == BOTH_CASES) | ((fam == SEPARATED) & (mixed // 3 % 2 == 0)), 0, 1 + mixed // 6 % 4)
+        j, f = _within(n), np.repeat(fam, n)
+        at = np.repeat(start, n) + j
+        c, opens = letters[at] | 32, begins[at] | (j == 0)
+        number = (letters[at].astype(np.int64) * 7 + letters[at - 1] * 3 + j) % 10
+        # A separator takes the place of a word's first letter; the next one is a capital in one window of three.
+        parted = (f == SEPARATED) & opens & (j > 0)
+        capital = (f == BASE32) | (((f == BOTH_CASES) | (f == BOTH_CASES_DIGITS)) & opens) | ((f == SEPARATED) & np.repeat(sort == 2, n) & np.concatenate([[False], parted[:-1]]))
+        c = np.where(capital, c & 0xDF, c)
+        c = np.where(parted, np.frombuffer(b"-_/", np.uint8)[np.repeat(sort, n)], c)
+        c = np.where(j >= np.repeat(n - figures, n), np.where(f == BASE32, 50 + number % 6, 48 + number), c).astype(np.uint8)
+        yield c, n, np.where((fam == SEPARATED) & (sort == 2), 6, np.where((fam == SEPARATED), 7, _NULL_ENCODING[fam]))
+
+
+def _number_windows(digits: np.ndarray, begins: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each text's numbers are joined, again from the first where they are too few."""
+    m = np.diff(bounds)
+    size = np.array(_NUMBER_LENGTHS)[m * 7 % len(_NUMBER_LENGTHS)]
+    many = np.where(m > 0, -(-m // size), 0)
+    for i in range(0, many.sum(), 8192):
+        row = np.repeat(np.arange(len(m)), many)[i : i + 8192]
+        n, start = size[row], _within(many)[i : i + 8192] * size[row]
+        yield digits[np.repeat(bounds[row], n) + (np.repeat(start, n) + _within(n)) % np.repeat(m[row], n)], n, np.full(len(n), 12)
+
+
+@cache
+def fixed_null() -> np.ndarray:
+    """The null over common words with a number now and then: about 200 windows of each form and length."""
+    rng = random.Random(0)
+    number = lambda: rng.choice([str(rng.randrange(1, 100)), str(rng.randrange(1950, 2030)), f"{rng.randrange(1950, 2030)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}", str(rng.randrange(1000) * 100)])
+    text = " ".join(number() if rng.random() < 0.08 else rng.choice(_COMMON) for _ in range(200 * int(_AT[-1]) // 5))
+    rows = pa.array([text[i : i + 6000 + i % 1000] for i in range(0, len(text), 7000)])
+    data, bounds = text_bytes(rows)
+    return sum(null_histogram(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in row_batches(bounds))
+
+
+def scan_table(docs: DataFrame) -> DataFrame:
+    """A slim row a document: base spans and candidate runs with their cells; the null cells of a batch stand in its first row."""
+    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base string, cand array<struct<s:int,e:int,cell:int>>, nulls array<struct<c:int,n:bigint>>"
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)
             data, bounds = text_bytes(texts)
             hexes, longs = has_run(data, bounds, _HEXES, LEAST_HEX), has_run(data, bounds, _RUNS, LEAST_RUN)
-            spans, runs, owner, place, encs, nulls = [], [], [], [], [], []
+            null = np.zeros(FAMILIES * 64 * BINS, np.int64)
+            for i, j in row_batches(bounds):
+                null += null_histogram(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            spans, runs, owner = [], [], []
             for i, text in enumerate(texts.to_pylist()):
                 text = text or ""
                 own = sorted(base_spans(text) + (hex_spans(text) if hexes[i] else []))
                 spans.append(own)
                 if longs[i]:
-                    for m in RUN.finditer(text):
-                        run = m[0]
-                        if run.isalpha():
-                            nulls.append((i, run))
-                        elif not run.strip("+/_-").isdigit() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < m.end() and e > m.start() for s, _, e in own):
-                            runs.append(run)
-                            owner.append(i)
-                            place.append((m.start(), m.end()))
-                            encs.append(encoding_of(run))
-            encs = np.array(encs, np.int64)
-            family = np.array([len(a) > 36 for a in ALPHABETS], np.int64)
-            cells = np.empty(0, np.int64)
-            if runs:
-                cells = (family[encs] * 64 + length_class(np.array([len(r) for r in runs]))) * BINS + bin_of(battery(runs, encs))
+                    for start, end, run in candidates(text, own):
+                        runs.append(run)
+                        owner.append((i, start, end))
             cand: list[list] = [[] for _ in range(len(spans))]
-            for i, (s, e), c in zip(owner, place, cells.tolist()):
-                cand[i].append({"s": s, "e": e, "cell": c})
+            for (i, start, end), c in zip(owner, judged(runs).tolist()):
+                cand[i].append({"s": start, "e": end, "cell": c})
             bins: list[list] = [[] for _ in range(len(spans))]
-            if nulls:
-                words = [r for _, r in nulls]
-                lc = length_class(np.array([len(r) for r in words]))
-                for fam in (0, 1):
-                    # Within a family a run is judged in the alphabet of letters of its case with digits, or of both cases.
-                    enc = np.array([(3 if r.islower() else 4 if r.isupper() else 5) if not fam else 5 for r in words])
-                    for (i, _), c in zip(nulls, ((fam * 64 + lc) * BINS + bin_of(battery(words, enc))).tolist()):
-                        bins[i].append(c)
+            if bins:
+                bins[0] = [{"c": c, "n": int(null[c])} for c in np.flatnonzero(null).tolist()]
             kinds = [[sum(k == want for _, k, _ in own) for own in spans] for want in range(3)]
             base = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in own) for own in spans]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(k, pa.int64()) for k in kinds), pa.array(base, pa.string()), pa.array(cand, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("cell", pa.int32())]))), pa.array(bins, pa.list_(pa.int32()))],
+                [b.column(0), *(pa.array(k, pa.int64()) for k in kinds), pa.array(base, pa.string()), pa.array(cand, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("cell", pa.int32())]))), pa.array(bins, pa.list_(pa.struct([("c", pa.int32()), ("n", pa.int64())])))],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base", "cand", "nulls"],
             )
 
@@ -181,20 +338,21 @@ def scan_table(docs: DataFrame) -> DataFrame:
 
 
 def discovery_bins(scans: DataFrame, q: float = FDR) -> dict[int, int]:
-    """Family and length class to the least bin that is a discovery. The histograms have 128 x 64 cells at most."""
-    null, cand = np.zeros((2, 64, BINS)), np.zeros((2, 64, BINS))
-    for into, column in ((null, F.col("nulls")), (cand, F.col("cand.cell"))):
-        for r in scans.select(F.explode(column).alias("c")).groupBy("c").count().collect():
-            into[r["c"] // BINS // 64, r["c"] // BINS % 64, r["c"] % BINS] = r["count"]
-    out = {}
-    tail = lambda x: x[..., ::-1].cumsum(-1)[..., ::-1]
-    pooled = tail(null.cumsum(1))
-    found = tail(cand)
-    for fam in (0, 1):
+    """Family and length class to the least bin that is a discovery. The histograms have 7 x 64 x 64 cells at most."""
+    null, cand = fixed_null().copy(), np.zeros(FAMILIES * 64 * BINS, np.int64)
+    for r in scans.select(F.explode("nulls").alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("n")).collect():
+        null[r["c"]] += r["n"]
+    for r in scans.select(F.explode("cand.cell").alias("c")).groupBy("c").count().collect():
+        cand[r["c"]] = r["count"]
+    tail = lambda x: x.reshape(FAMILIES, 64, BINS)[..., ::-1].cumsum(-1)[..., ::-1]
+    ordinary, found, out = tail(null), tail(cand), {}
+    for fam in range(FAMILIES):
         for c in range(64):
             if not found[fam, c, 0]:
                 continue
-            p = (1 + pooled[fam, c]) / (1 + pooled[fam, c, 0])
+            top = min(c, LAST_CLASS)
+            like = ordinary[fam, max(0, top - REACH + 1) : top + 1].sum(0)
+            p = (1 + like) / (1 + like[0])
             good = np.flatnonzero((found[fam, c] > 0) & (p * found[fam, c, 0] <= q * found[fam, c]))
             if len(good):
                 out[fam * 64 + c] = int(good[0])
@@ -260,13 +418,6 @@ def redact_documents(docs: DataFrame, q: float = FDR) -> DataFrame:
 
 def _all_spans(text: str, hexes: bool, longs: bool, least: dict[int, int]) -> list[tuple[int, int, int]]:
     own = sorted(base_spans(text) + (hex_spans(text) if hexes else []))
-    added = []
-    for m in RUN.finditer(text) if longs else ():
-        run = m[0]
-        if run.isalpha() or run.strip("+/_-").isdigit() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or any(s < m.end() and e > m.start() for s, _, e in own):
-            continue
-        enc = np.array([encoding_of(run)])
-        cls = int((len(ALPHABETS[enc[0]]) > 36) * 64 + length_class(np.array([len(run)]))[0])
-        if int(bin_of(battery([run], enc))[0]) >= least.get(cls, BINS):
-            added.append((m.start(), 3, m.end()))
-    return sorted(own + added)
+    found = list(candidates(text, own)) if longs else []
+    cells = judged([run for _, _, run in found]).tolist()
+    return sorted(own + [(start, 3, end) for (start, end, _), c in zip(found, cells) if c % BINS >= least.get(c // BINS, BINS)])

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -360,6 +361,34 @@ def test_secrets(spark):
     assert secretscan.query(table(spark, [])).count() == 0
 
 
+def planted(spark, small, keys):
+    """The documents of sf0.01 with keys in the prose of the first ones, and where these stand."""
+    docs = spark.read.parquet(f"{os.path.dirname(small)}/sf0.01/documents.parquet")
+    hosts = [r["doc_id"] for r in docs.filter("length(text) > 500").orderBy("doc_id").select("doc_id").limit(len(keys)).collect()]
+    made = spark.createDataFrame(list(zip(hosts, keys)), "_id long, _key string")
+    text = F.when(F.col("_key").isNotNull(), F.concat(F.lit("The word is "), F.col("_key"), F.lit(" and "), F.col("text"))).otherwise(F.col("text"))
+    return docs.join(F.broadcast(made), F.col("doc_id") == F.col("_id"), "left").withColumn("text", text).select(docs.columns), {h: (12, 12 + len(k)) for h, k in zip(hosts, keys)}
+
+
+def random_spans(docs):
+    rows = secretscan.find_secrets(docs).filter("n_random > 0").collect()
+    return {r["doc_id"]: [tuple(map(int, t.split(":")[1:])) for t in r["spans"].split(",") if t.startswith("random")] for r in rows}
+
+
+def test_secrets_one_key_in_prose(spark, small):
+    rng = random.Random(11)
+    docs, where = planted(spark, small, ["".join(rng.choice(secretscan.ALPHABETS[5]) for _ in range(40))])
+    assert random_spans(docs) == {i: [at] for i, at in where.items()}
+    masked = secretscan.redact_documents(docs).filter(F.col("doc_id").isin(list(where))).collect()
+    assert all(r["text"].startswith("The word is <SECRET> and ") for r in masked)
+
+
+def test_null_does_not_depend_on_batches():
+    texts = [prose(random.Random(i), 400).replace("w", "and") + " of words in 2024-05-06 and 17 more" * 9 for i in range(9)] + ["", "é"]
+    split = lambda t: secretscan.null_histogram(*textkernel.text_bytes(pa.array(t)))
+    assert split(texts).sum() > 50 and (split(texts) == sum(split([t]) for t in texts)).all()
+
+
 def test_battery_is_uniform_under_randomness():
     rng = random.Random(8)
     runs = ["".join(rng.choice(secretscan.ALPHABETS[5]) for _ in range(48)) for _ in range(400)]
