@@ -2,10 +2,10 @@
 
 Patterns (kinds ``assign``, ``access``, ``hex``) give the base spans: the whole
 match, in code points. The battery then looks at runs of 20 or more characters
-of ``[A-Za-z0-9+/_-]`` with letters and digits that no base span overlaps. The
+of ``[A-Za-z0-9+/_-]`` with a letter or digit that no base span overlaps. The
 smallest fitting alphabet is the encoding; against it go a chi-squared test of
 uniformity, a runs test, a serial-correlation test and a test of letter pairs
-against those of common words, joined by Fisher's method.
+against those of common words, joined by Fisher's method. Digits that separators part are judged without these.
 
 The null is no run under test: the ordinary words of every text (pieces of
 letters alone in runs of under 20 characters) are joined to windows of each
@@ -197,8 +197,8 @@ def candidates(text: str, own: list[tuple[int, int, int]]) -> Iterator[tuple[int
     for m in RUN.finditer(text):
         run = m[0]
         digits = "".join(c for c in run if c.isdigit())
-        if digits and any(c.isalpha() for c in run) and not any(s < m.end() and e > m.start() for s, _, e in own):
-            yield m.start(), m.end(), run
+        if (digits or any(c.isalpha() for c in run)) and not any(s < m.end() and e > m.start() for s, _, e in own):
+            yield m.start(), m.end(), run if any(c.isalpha() for c in run) else digits
 
 
 def cells_of(data: np.ndarray, n: np.ndarray, encodings: np.ndarray) -> np.ndarray:

@@ -389,6 +389,17 @@ def test_null_does_not_depend_on_batches():
     assert split(texts).sum() > 50 and (split(texts) == sum(split([t]) for t in texts)).all()
 
 
+def test_secrets_without_digits(spark, small):
+    rng = random.Random(12)
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in ((low + up, 20), (low + up, 32), (low, 32), (up, 40))]
+    docs, where = planted(spark, small, keys)
+    assert random_spans(docs) == {i: [at] for i, at in where.items()}
+    masked = secretscan.redact_documents(docs).filter(F.col("doc_id").isin(list(where))).collect()
+    assert len(masked) == 4 and all(r["text"].startswith("The word is <SECRET> and ") for r in masked)
+    assert [run for _, _, run in secretscan.candidates("call 0171-2345-6789-0123-4567 or antidisestablishmentarianism ---------------------", [])] == ["01712345678901234567", "antidisestablishmentarianism"]
+
+
 def test_battery_is_uniform_under_randomness():
     rng = random.Random(8)
     runs = ["".join(rng.choice(secretscan.ALPHABETS[5]) for _ in range(48)) for _ in range(400)]
