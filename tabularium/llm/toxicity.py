@@ -1,10 +1,11 @@
 """Toxicity: noisy-channel deobfuscation by Viterbi decoding, then a score of the restored text.
 
-A character trigram model is counted over the whole corpus. Suspicious spans
-(look-alike characters among letters, letters set apart, letters repeated) become
-lattices: each character may stand for the letters it resembles, a separator or
-a repetition for nothing. The Viterbi path that the model and the channel find
-likeliest replaces the span. Clean text has one path and is left alone.
+A character trigram model is counted over the whole corpus. Any token with a
+look-alike character or a doubled letter, and any chain of three or more single
+characters with separators between, becomes a lattice: each character may stand
+for the letters it resembles or itself, a separator or a repetition for nothing.
+The Viterbi path that the model and the channel find likeliest replaces the span.
+Words without any of these are left alone.
 
 The score: log-odds weights of words and word beginnings, learned from a bounded
 sample of labelled rows outside the held-out fold, summed over the strongest
@@ -49,10 +50,14 @@ _SYMBOL[128:] = 28
 
 #: What a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-_SEPARATORS = " .-_*~"
-_LEET = re.compile(r"(?<![A-Za-z0-9@$!|+€£(])(?=[0-9@$!|+€£(]{0,2}[A-Za-z])[A-Za-z0-9@$!|+€£(]*[A-Za-z][0-9@$!|+€£(]{1,2}[A-Za-z][A-Za-z0-9@$!|+€£(]*|(?<![A-Za-z0-9@$!|+€£(])[0-9@$!|+€£(]{1,2}[A-Za-z]{2,}[A-Za-z0-9@$!|+€£(]*")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*~]){3,}[^\W_](?![^\W_])")
-_REPEATED = re.compile(r"(?<![^\W_])(?=[^\W_]*([^\W\d_])\1\1)[^\W_]+")
+_SEPARATORS = " .-_*~/\\\n\r\t"
+_SYMBOLS = "@$!|+(€£"
+_PART = rf"[^\W_]|[{re.escape(_SYMBOLS)}]"
+_SPACED = re.compile(rf"(?<![^\W_])(?<![{re.escape(_SYMBOLS)}])(?:(?:{_PART})[{re.escape(_SEPARATORS)}]+){{2,}}(?:{_PART})(?!{_PART})")
+_TRIGGER = re.compile(rf"[{re.escape(''.join(LOOKALIKES))}]|([^\W\d_])\1")
+_REST = re.compile(rf"(?:{_PART})*")
+#: Marks that end a word, or open one, without standing for a letter.
+_CLOSING, _OPENING = "!|+", "(|+"
 _WORD = re.compile(r"[^\W\d_]+")
 
 _SUSPECT = np.zeros(256, bool)
@@ -96,18 +101,25 @@ def viterbi(span: str, model: list[list[list[float]]]) -> str:
 
     States are the last two symbols written. Each character offers letters at a
     channel cost; a separator, or a letter equal to the last one, may be dropped.
+    A letter written twice costs more to drop than one of a longer run, the less
+    so where several are. Figures among figures and marks around a word stay at no cost.
     """
     low = span.lower()
+    begin, end = len(low) - len(low.lstrip(_OPENING)), len(low.rstrip(_CLOSING))
+    number = low[begin:end].isdigit()
+    twice = sum(a == b and a.isalpha() for a, b in zip(low, low[1:]))
+    drop = -4.0 if twice < 2 else -1.5
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     spaced = any(c in _SEPARATORS for c in low)
     for i, c in enumerate(low):
         if c in _SEPARATORS and spaced:
-            options: list[tuple[str, float]] = [("", 0.0)]
+            options: list[tuple[str, float]] = [("", 0.0), (" ", -3.0)]
         elif c in LOOKALIKES:
-            options = [(x, -1.0) for x in LOOKALIKES[c]] + [(c, -3.0)]
+            options = [(x, -1.0) for x in LOOKALIKES[c]] + [(c, 0.0 if number or not begin <= i < end else -3.0 if c.isdigit() else -8.0)]
         else:
             options = [(c, 0.0)]
         repeated = i > 0 and low[i - 1] == c and c.isalpha()
+        longer = repeated and (low[i - 2 : i - 1] == c or low[i + 1 : i + 2] == c)
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, out) in paths.items():
             for x, cost in options:
@@ -118,41 +130,41 @@ def viterbi(span: str, model: list[list[list[float]]]) -> str:
                     to, s, o = (b, k), score + cost + model[a][b][k], out + x
                 if to not in nxt or s > nxt[to][0]:
                     nxt[to] = (s, o)
-            if repeated and ((a, b) not in nxt or score - 0.5 > nxt[(a, b)][0]):
-                nxt[(a, b)] = (score - 0.5, out)
+            if repeated:
+                less = score + (-0.5 if longer else drop)
+                if (a, b) not in nxt or less > nxt[(a, b)][0]:
+                    nxt[(a, b)] = (less, out)
         paths = nxt
     return max((s + model[a][b][0], o) for (a, b), (s, o) in paths.items())[1]
 
 
-SPACED, LEET, REPEATED = 1, 2, 4
+SPACED, TOKENS = 1, 2
 
 
 def suspects(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which of the three kinds of suspicious span each row may hold; a superset, found on whole arrays.
+    """Which kinds of suspicious span each row may hold; a superset, found on whole arrays.
 
     It looks at the first byte of each character, and at the second of those beyond ASCII.
     """
     out = np.zeros(len(bounds) - 1, np.int64)
     lead = np.flatnonzero((data & 0xC0) != 0x80)
-    if len(lead) < 3:
+    if len(lead) < 2:
         return out
     c = data[lead]
     letter, odd, sep = _LETTER[c] | ((c >= 48) & (c < 58)), _SUSPECT[c] | (c == 0xC2) | (c == 0xE2), _SEP[c]
-    code = c.astype(np.int32)
+    code = np.where(_LETTER[c], c | 0x20, c).astype(np.int32)
     high = c >= 128
-    code[high] = code[high] * 64 + data[np.minimum(lead[high] + 1, len(data) - 1)]
-    hits = (
-        (SPACED, letter[:-2] & sep[1:-1] & letter[2:]),
-        (LEET, odd[:-1] & _LETTER[c][1:]),
-        (REPEATED, (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:]) & _LETTER[c][:-2]),
-    )
-    for bit, hit in hits:
-        at = np.flatnonzero(hit)
-        if bit == SPACED:  # four in a row, two characters apart
-            chain = np.zeros(len(hit) + 6, bool)
-            chain[at] = True
-            at = at[chain[at + 2] & chain[at + 4]]
-        out[np.unique(np.searchsorted(bounds[1:], lead[at], side="right"))] |= bit
+    code[high] = c[high].astype(np.int32) * 64 + data[np.minimum(lead[high] + 1, len(data) - 1)]
+    part = letter | odd
+    hit = np.zeros(len(c), bool)
+    hit[1:] = (odd[1:] & part[:-1]) | (part[1:] & odd[:-1]) | (_LETTER[c][1:] & ((code[1:] == code[:-1]) | (high[1:] & high[:-1])))
+    out[np.unique(np.searchsorted(bounds[1:], lead[hit], side="right"))] |= TOKENS
+    one = np.ones(len(c), bool)  # runs of separators count as one
+    one[1:] = ~(sep[1:] & sep[:-1])
+    part, sep, lead = part[one], sep[one], lead[one]
+    if len(lead) >= 5:
+        at = np.flatnonzero(part[:-4] & sep[1:-3] & part[2:-2] & sep[3:-1] & part[4:])
+        out[np.unique(np.searchsorted(bounds[1:], lead[at], side="right"))] |= SPACED
     return out
 
 
@@ -162,8 +174,7 @@ class Restorer:
     def __init__(self, model: np.ndarray, kept: int = 50_000):
         self._model, self._kept, self._memo = model.tolist(), kept, {}
 
-    def _decode(self, m: re.Match) -> str:
-        span = m[0]
+    def _decode(self, span: str) -> str:
         out = self._memo.get(span)
         if out is None:
             if len(self._memo) >= self._kept:
@@ -171,12 +182,26 @@ class Restorer:
             out = self._memo[span] = viterbi(span, self._model)
         return out
 
-    def __call__(self, text: str, kinds: int = SPACED | LEET | REPEATED) -> str:
+    def _tokens(self, text: str) -> str:
+        out, last = [], 0
+        for m in _TRIGGER.finditer(text):
+            s = m.start()
+            if s < last:
+                continue
+            while s > last and (text[s - 1].isalnum() or text[s - 1] in _SYMBOLS):
+                s -= 1
+            e = _REST.match(text, m.end()).end()
+            span = text[s:e]
+            if e - s > 1 and any(c.isalnum() for c in span):
+                out += [text[last:s], self._decode(span)]
+                last = e
+        return "".join(out) + text[last:] if out else text
+
+    def __call__(self, text: str, kinds: int = SPACED | TOKENS) -> str:
+        text = text.lower()
         if kinds & SPACED:
-            text = _SPACED.sub(self._decode, text)
-        if kinds & (LEET | SPACED):
-            text = _LEET.sub(self._decode, text)
-        return _REPEATED.sub(self._decode, text)
+            text = _SPACED.sub(lambda m: self._decode(m[0]), text)
+        return self._tokens(text)
 
 
 def features(text: str) -> tuple[set[str], list[set[str]]]:

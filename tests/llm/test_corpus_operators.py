@@ -481,3 +481,28 @@ def test_toxicity(spark):
     assert rows[600]["predicted"] == 0 and 0 <= rows[600]["score"] <= 1
     assert toxicity.score_toxicity(docs, labels.limit(0)).filter("predicted = 1").count() == 0
     assert toxicity.score_toxicity(table(spark, []), labels).count() == 0
+
+
+@pytest.fixture(scope="module")
+def restore():
+    """A restorer whose model is counted over English words."""
+    words = "the of and to in is for that idiot moron stupid loser asshole hate shit die letter common book happy good common little been better see all will fat a to him you are an so I it at on this was 2024".split()
+    text = " ".join(random.Random(5).choices(words, k=30_000))
+    s = np.concatenate([[0, 0], toxicity._SYMBOL[np.frombuffer(text.lower().encode(), np.uint8)], [0, 0]])
+    n = np.bincount((s[:-2] * toxicity.SYMBOLS + s[1:-1]) * toxicity.SYMBOLS + s[2:], minlength=toxicity.SYMBOLS**3)
+    return toxicity.Restorer(toxicity.log_model(n.reshape((toxicity.SYMBOLS,) * 3)))
+
+
+@pytest.mark.parametrize(
+    "written, meant",
+    [(w, m) for m, ws in {"loser": ["l053r"], "hate": ["h473", "h a t 3"], "asshole": ["4$$h0l3", "a$$hole"], "idiot": ["1d107", "idi07", "iddiioott", "idiiot", "i  d  i  o  t", "i/d/i/o/t", "i\nd\ni\no\nt", "i d ! o t", "iDDiot", "id1o7!"], "shit": ["5h17"], "die": ["d13", "d i e"], "moron": ["m 0 r o n", "m0r0n"], "stupid": ["$ t u p i d", "$tup1d"]}.items() for w in ws],
+)
+def test_disguises_are_restored(restore, written, meant):
+    text = f"this was {written} and so"
+    odd = toxicity.suspects(*toxicity.text_bytes(pa.array([text])))
+    assert odd[0] and restore(text, int(odd[0])).replace("!", "") == f"this was {meant} and so"
+
+
+def test_ordinary_words_stay(restore):
+    text = "the common letter is happy, a good little book; in 2024 all will see better!"
+    assert restore(text) == text
