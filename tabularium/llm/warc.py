@@ -4,6 +4,8 @@ The archive stream is: a skippable frame (magic 0x184D2A5D) that holds the
 dictionary, then one Zstandard frame for every WARC record. The reader loads the
 dictionary, decodes frame by frame, and checks version line, required headers,
 Content-Length and payload digest; a record that fails raises, naming its offset.
+Archives of other writers are read too: header names in any case, records that
+are not HTTP (the block is the payload), SHA-1 digests or none; their ids are null.
 
 Archives are rows ``(archive string, content binary)``: the same columns as
 Spark's ``binaryFile`` source gives under other names, so that the committer of
@@ -17,6 +19,7 @@ and blanks in a url are percent-encoded, a null url writes no target header.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -33,6 +36,9 @@ SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 256, 65_536, 65_536
 ARCHIVE_BYTES = 16_000_000
 DATE = "2024-01-01T00:00:00Z"
 _NEEDED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+_NAMES = {n.lower(): n for n in (*_NEEDED, "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Truncated", "Content-Type")}
+#: Compressed bytes that the reader feeds first to a frame's decoder; the next portions double.
+PORTION = 4096
 
 
 def train_dictionary(payloads: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -90,6 +96,11 @@ class ArchiveWriter:
         return b"".join(self._frames)
 
 
+def _spelling(name: str) -> str:
+    """Header names in the standard's spelling, whatever case an archive writes."""
+    return _NAMES.get(name.lower(), name)
+
+
 def parse_record(rec: bytes, at: int = 0) -> tuple[dict[str, str], bytes]:
     """Headers and block of a record, validated."""
     head, sep, rest = rec.partition(b"\r\n\r\n")
@@ -101,7 +112,7 @@ def parse_record(rec: bytes, at: int = 0) -> tuple[dict[str, str], bytes]:
         k, colon, v = line.partition(":")
         if not colon:
             raise ValueError(f"frame at {at}: malformed header {line!r}")
-        headers[k.strip()] = v.strip()
+        headers[_spelling(k.strip())] = v.strip()
     missing = [k for k in _NEEDED if k not in headers]
     if missing:
         raise ValueError(f"frame at {at}: no header {missing[0]}")
@@ -125,22 +136,52 @@ def read_stream(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
             data = zstandard.ZstdDecompressor().decompress(data)
         known, at = zstandard.ZstdCompressionDict(data), 8 + n
     opener = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
+    view = memoryview(content)
     while at < len(content):
         magic = struct.unpack_from("<I", content, at)[0] if at + 4 <= len(content) else 0
         if magic & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + struct.unpack_from("<I", content, at + 4)[0]
             continue
-        one = opener.decompressobj()
-        rec = one.decompress(memoryview(content)[at:])
-        if not one.eof:
-            raise ValueError(f"frame at {at}: truncated")
+        rec, size = _frame(opener, view, at)
         yield (at, *parse_record(rec, at))
-        at = len(content) - len(one.unused_data)
+        at += size
+
+
+def _frame(opener, view: memoryview, at: int) -> tuple[bytes, int]:
+    """One frame's content and compressed size. It is fed in portions, as a decoder copies all that it is given beyond the frame."""
+    one, out, to, portion = opener.decompressobj(), [], at, PORTION
+    while not one.eof:
+        if to >= len(view):
+            raise ValueError(f"frame at {at}: truncated")
+        part = view[to : to + portion]
+        out.append(one.decompress(part))
+        to += len(part)
+        portion *= 2
+    return b"".join(out), to - len(one.unused_data) - at
+
+
+def _number(urn: str | None) -> int | None:
+    """The id in a name of this writer's; null for others."""
+    name = (urn or "").strip("<>").removeprefix("urn:page:")
+    return int(name) if name.removeprefix("-").isdigit() else None
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, int]:
+    """Payload, and its full length: of a revisit as its HTTP head says, of records that are not HTTP the whole block."""
+    if not headers.get("Content-Type", "").replace(" ", "").startswith("application/http"):
+        return block, len(block)
+    head, _, body = block.partition(b"\r\n\r\n")
+    told = [v.strip() for k, c, v in (line.partition(b":") for line in head.split(b"\r\n")) if c and k.strip().lower() == b"content-length"]
+    return body, int(told[0]) if told and told[0].isdigit() else len(body)
 
 
-def _number(urn: str) -> int | None:
-    name = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(name) if name else None
+def checked_digest(headers: dict[str, str], payload: bytes) -> bool:
+    """Whether the payload is what its digest says; SHA-256 and SHA-1, in hexadecimal or base 32. Other or no digests are not judged."""
+    kind, _, told = headers.get("WARC-Payload-Digest", "").partition(":")
+    if kind.lower() not in ("sha256", "sha1"):
+        return True
+    own = hashlib.new(kind.lower(), payload)
+    return told.lower() == own.hexdigest() or told.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
 
 
 def plan_revisits(pages: DataFrame, id_col: str, payload_col: str, least: int = LEAST) -> DataFrame:
@@ -193,13 +234,14 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
             for content in b.column(1):
                 rows = []
                 for at, h, block in read_stream(content.as_py()):
-                    http, _, body = block.partition(b"\r\n\r\n")
-                    length = int(http.rpartition(b"Content-Length: ")[2])
-                    digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
-                    kind = h["WARC-Type"]
-                    if kind == "response" and (len(body) != length or hashlib.sha256(body).hexdigest() != digest):
-                        raise ValueError(f"frame at {at}: payload does not match its length or digest")
-                    back = _number(h["WARC-Refers-To"]) if kind == "revisit" else None
+                    kind, told = h["WARC-Type"], h.get("WARC-Payload-Digest", "")
+                    body, length = payload_of(h, block)
+                    if kind == "revisit":
+                        digest, back = told.removeprefix("sha256:") or None, _number(h.get("WARC-Refers-To"))
+                    else:
+                        if "WARC-Truncated" not in h and (len(body) != length or not checked_digest(h, body)):
+                            raise ValueError(f"frame at {at}: payload does not match its length or digest")
+                        digest, back = told.removeprefix("sha256:") if told.startswith("sha256:") else hashlib.sha256(body).hexdigest(), None
                     rows.append((_number(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), length, digest, kind, back) + (body,) * payloads)
                     if len(rows) >= 1000:
                         yield _batch(rows, payloads)
