@@ -6,12 +6,16 @@ on whole batches with numpy; no Python object is made for a word.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 _MUL = U(0x9E3779B97F4A7C15 | 1)
-_INV = U(pow(int(_MUL), -1, 1 << 64))
+_KEY = U(0x8BB84B93962EACC9)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+LONG = 64
 _WMUL = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 _WINV = tuple(U(pow(int(m), -1, 1 << 64)) for m in _WMUL)
 
@@ -77,11 +81,29 @@ def split_words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE)
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(_MUL, len(data) + 1)[:-1], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(_INV, len(data) + 1)[starts]
-    return mix(h ^ ((ends - starts).astype(U) * U(0xC2B2AE3D27D4EB4F)))
+    """A 64-bit hash of each word's bytes, the same wherever the word stands.
+
+    Words of up to ``LONG`` bytes go eight bytes at a time through a mixing that is not linear in them, so no choice of
+    letters cancels out, as it does in a polynomial modulo 2**64; the few longer ones go through keyed BLAKE2b.
+    """
+    size = ends - starts
+    h = mix(size.astype(U) * U(0xC2B2AE3D27D4EB4F) ^ _KEY)
+    if not len(h):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live, at, left = np.arange(len(h)), starts, size
+    odd = np.flatnonzero(size > LONG)
+    if len(odd):
+        few = size <= LONG
+        live, at, left = live[few], at[few], left[few]
+    while len(live):
+        h[live] = mix((h[live] ^ (eight[at] & _LOW[np.minimum(left, 8)])) * _MUL)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in odd.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=_KEY.tobytes()).digest(), "little")
+    return h
 
 
 def window_starts(rows: np.ndarray, width: int) -> np.ndarray:
