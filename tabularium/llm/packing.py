@@ -2,11 +2,12 @@
 
 The program: the fewest sequences of ``capacity`` tokens such that the chosen
 configurations (multisets of lengths) cover the histogram. Multiplicative
-weights solve it: a length's price falls as it is covered, a knapsack dynamic
-program over the capacity prices the next configuration, and a step covers part
-of the scarcest length in it. Rounded down, the solution packs most pieces;
-what remains goes to the fullest place that holds it, longest first. The
-histogram has ``capacity`` cells at most, so the driver's part is bounded.
+weights solve it: a length's price falls as it is covered, and a knapsack dynamic
+program over the capacity prices the next configurations. Their amounts are whole
+numbers, so rounding only has the pieces that no nearly full configuration takes;
+these go to the fullest place that holds them, longest first. Pieces that fill a
+sequence alone need no program. The histogram has ``capacity`` cells at most, so
+the driver's part is bounded, however many pieces there are.
 
 Pieces get their places by rank within their length. Ranks are counted in
 salted groups, so that a length which a third of all pieces share is no one
@@ -35,11 +36,12 @@ from tabularium.llm.textkernel import text_bytes
 CAPACITY = 2048
 END = 0
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-MOST_STEPS = 800
-STEP = 0.5
-ETA = 3.0
+#: Steepness of prices, share of a count that a round covers, and what a configuration may leave free, stage by stage.
+ETA, PART, SLACKS = 2.0, 0.25, (0, 2, 8)
 GROUP = 50_000
 
+Config = tuple[tuple[int, int], ...]
+
 #: First bytes of characters beyond Latin letters. Texts with one, and texts that may hold a special token, go whole to
 #: the tokenizer file's own library; for the others its vocabulary as ranks gives the same ids in a third of the time.
 _BEYOND = np.zeros(256, bool)
@@ -119,8 +121,11 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer_file: str | No
     return docs.select("doc_id", "text").mapInArrow(pieces, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def knapsack(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of greatest price within the capacity, by dynamic programming. ``price[0]`` is unused."""
+def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to the capacity the greatest price of a multiset of lengths in it, and the last length taken there (0: none).
+
+    ``price[l]`` is the price of length ``l``; ``price[0]`` is unused.
+    """
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     back = price[::-1]  # back[-1 - l] is the price of l
     n = len(price)
@@ -132,36 +137,84 @@ def knapsack(price: np.ndarray, capacity: int) -> dict[int, int]:
             best[c], last[c] = gain[k], c - (lo + k)
         else:
             best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c]:
-            out[int(last[c])] = out.get(int(last[c]), 0) + 1
-            c -= int(last[c])
-        else:
-            c -= 1
+    return best, last
+
+
+def taken(last: np.ndarray, room: int) -> Iterator[int]:
+    """The lengths that the dynamic program puts into a room."""
+    while room > 0:
+        x = int(last[room])
+        if x:
+            yield x
+        room -= max(x, 1)
+
+
+def filling(price: np.ndarray, room: np.ndarray, gap: int, slack: int) -> list[int] | None:
+    """Lengths still to be had that fill a gap but for the slack: the longest ones, and at last the dearest pair that fits exactly."""
+    room, out = room.copy(), []
+    while gap > 0:
+        for g in range(gap, max(0, gap - slack - 1), -1):
+            if room[g] > 0:
+                return [*out, g]
+            half = g // 2
+            low, high = np.arange(1, half + 1), g - np.arange(1, half + 1)
+            sums = np.where((room[low] > 0) & (room[high] > (low == high)), price[low] + price[high], -1.0)
+            k = int(sums.argmax()) if half else -1
+            if k >= 0 and sums[k] >= 0:
+                return [*out, k + 1, g - k - 1]
+        if gap <= slack:
+            break
+        fits = np.flatnonzero(room[: gap + 1] > 0)
+        if not len(fits):
+            return None
+        x = int(fits[-1])
+        room[x] -= 1
+        out.append(x)
+        gap -= x
     return out
 
 
-def fractional(counts: np.ndarray, capacity: int, most_steps: int = MOST_STEPS) -> list[tuple[dict[int, int], float]]:
-    """Configurations and their amounts, by multiplicative weights. ``counts[l]`` pieces have length ``l``."""
-    need, got = counts.astype(float), np.zeros(len(counts))
-    sizes = np.arange(len(counts)) / capacity
-    out: dict[tuple, float] = {}
-    for _ in range(most_steps):
-        # A cover within a millionth of the need is complete; what is left of at most one piece is rounding's.
-        open_ = need - got > 1e-6 * need
-        if not open_[1:].any():
-            break
-        price = np.where(open_, sizes * np.exp(-ETA * got / np.maximum(need, 1)), 0)
-        config = knapsack(price, capacity)
-        left = min((need[x] - got[x]) / a for x, a in config.items())
-        step = left if left * STEP < 1 else max(1.0, math.floor(left * STEP))
-        key = tuple(sorted(config.items()))
-        out[key] = out.get(key, 0) + step
-        for x, a in config.items():
-            got[x] += a * step
-    return [(dict(k), v) for k, v in out.items()]
+def fractional(counts: np.ndarray, capacity: int, slacks: tuple[int, ...] = SLACKS) -> list[list[tuple[Config, int]]]:
+    """Configurations and their amounts by multiplicative weights, a list for each of the ``slacks``.
+
+    ``counts[l]`` pieces have length ``l``. In a round the price of a length falls exponentially with the covered share
+    of its count. One dynamic program over the capacity prices all configurations; for every length, the best one that
+    holds it is taken, as often as covers ``PART`` of the scarcest count in it, and no count beyond that in one round. A
+    configuration that asks for more of a length than is to be had gets other lengths in its place. It must leave at most
+    the slack free; when a round takes none, the next slack holds, and after the last the rest is for rounding.
+    """
+    left, sizes, out = counts.copy(), np.arange(len(counts)) / capacity, [[]]
+    share = np.maximum(1, (PART * counts).astype(np.int64))
+    while left.any() and len(out) <= len(slacks):
+        price = np.where(left > 0, sizes * np.exp(-ETA * (counts - left) / np.maximum(counts, 1)), 0)
+        best, last = knapsack(price, capacity)
+        dear = np.flatnonzero(left)
+        dear = dear[np.argsort(-(price[dear] + best[capacity - dear]), kind="stable")].tolist()
+        room, before = np.minimum(left, share), len(out[-1])
+        for x in dear:
+            if room[x] <= 0:
+                continue
+            config, gap = {x: 1}, capacity - x
+            room[x] -= 1
+            for y in taken(last, gap):
+                if room[y] > 0:
+                    room[y] -= 1
+                    config[y], gap = config.get(y, 0) + 1, gap - y
+            more = filling(price, room, gap, slacks[len(out) - 1])
+            for y, a in config.items():
+                room[y] += a
+            if more is None:
+                continue
+            for y in more:
+                config[y] = config.get(y, 0) + 1
+            n = min(int(room[y]) // a for y, a in config.items())
+            for y, a in config.items():
+                room[y] -= a * n
+                left[y] -= a * n
+            out[-1].append((tuple(sorted(config.items(), reverse=True)), n))
+        if len(out[-1]) == before:
+            out.append([])
+    return out[: len(slacks)]
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -192,19 +245,35 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return [(c, n) for group in room.values() for c, n in group]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (lengths in order) and how many sequences take each; together they hold every piece once."""
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Configurations (lengths in order) and how many sequences take each, and how many pieces the linear program placed.
+
+    Together the sequences hold every piece once. The amounts are whole; rounding is what best fit does with the pieces
+    that the configurations leave. While the sequences are more than the bound by volume, it is tried with fewer of the
+    configurations, the last ones first, and the fewest sequences win.
+    """
     left = counts.copy()
     left[0] = 0
-    out = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    whole = [((capacity,), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    for config, amount in sorted(fractional(left, capacity), key=lambda c: -sum(x * a for x, a in c[0].items())):
-        n = min([math.floor(amount + 1e-9)] + [int(left[x] // a) for x, a in config.items()])
-        if n > 0:
-            out.append((tuple(x for x, a in config.items() for _ in range(a)), n))
-            for x, a in config.items():
-                left[x] -= a * n
-    return out + best_fit(left, capacity)
+    bound = math.ceil(int((left * np.arange(capacity + 1)).sum()) / capacity)
+    stages, chosen = fractional(left, capacity), None
+    found, first = [c for stage in stages for c in stage], len(stages[0])
+    for k in (len(found), first, *(first * share // 20 for share in (19, 17, 14, 10))):
+        joint: dict[Config, int] = {}
+        rest = left.copy()
+        for config, n in found[:k]:
+            joint[config] = joint.get(config, 0) + n
+            for x, a in config:
+                rest[x] -= a * n
+        fitted = best_fit(rest, capacity)
+        size = sum(joint.values()) + sum(n for _, n in fitted)
+        if chosen is None or size < chosen[0]:
+            placed = sum(n * sum(a for _, a in c) for c, n in joint.items())
+            chosen = size, [(tuple(x for x, a in c for _ in range(a)), n) for c, n in joint.items()] + fitted, placed
+        if chosen[0] <= bound:
+            break
+    return whole + chosen[1], chosen[2]
 
 
 def slots(configs: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
@@ -240,7 +309,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer_file: st
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
-    table = slots(plan(counts, capacity), capacity)
+    table = slots(plan(counts, capacity)[0], capacity)
     key = table["length"] * (1 << 44) + table["rank"]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

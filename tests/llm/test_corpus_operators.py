@@ -306,13 +306,65 @@ def test_packing(spark):
     assert packing.pack_documents(table(spark, [])).count() == 0
 
 
-def test_plan_is_near_the_bound():
-    rng = random.Random(2)
-    counts = np.bincount([min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(4000)], minlength=2049)
-    plan = packing.plan(counts)
+def check_plan(counts, least_share):
+    plan, placed = packing.plan(counts, len(counts) - 1)
     assert Counter(x for c, n in plan for x in c for _ in range(n)) == Counter({x: int(n) for x, n in enumerate(counts) if n})
+    assert all(sum(c) < len(counts) for c, _ in plan)
+    assert placed >= least_share * counts[:-1].sum()
+    return sum(n for _, n in plan)
+
+
+@pytest.mark.parametrize("pieces, share", [(1, 0), (200, 0.7), (4_000, 0.9), (40_000, 0.98), (1_000_000, 0.99)])
+def test_plan_is_near_the_bound(pieces, share):
+    """The linear program itself places nearly all pieces, and no more sequences than best fit alone."""
+    counts = np.bincount(np.minimum(2048, np.random.default_rng(2).lognormal(6, 1, pieces).astype(int) + 1), minlength=2049)
+    size = check_plan(counts, share)
     bound = math.ceil((counts * np.arange(2049)).sum() / 2048)
-    assert sum(n for _, n in plan) <= max(bound * 1.01, bound + 3)
+    assert size <= bound * 1.0005 + 2 and size <= sum(n for _, n in packing.best_fit(counts.copy(), 2048))
+
+
+def test_plan_of_small_bins_is_optimal():
+    """Against the optimum, by search over all packings."""
+
+    def optimum(lengths, capacity):
+        best = [len(lengths)]
+
+        def put(k, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if k == len(lengths):
+                best[0] = len(rooms)
+                return
+            for i, r in enumerate(rooms):
+                if r >= lengths[k] and r not in rooms[:i]:
+                    put(k + 1, [*rooms[:i], r - lengths[k], *rooms[i + 1 :]])
+            put(k + 1, [*rooms, capacity - lengths[k]])
+
+        put(0, [])
+        return best[0]
+
+    rng, worse = random.Random(4), 0
+    for _ in range(60):
+        lengths = sorted((rng.randrange(1, 13) for _ in range(9)), reverse=True)
+        size = check_plan(np.bincount(lengths, minlength=13), 0)
+        least = optimum(lengths, 12)
+        assert least <= size <= least + 1
+        worse += size > least
+    assert worse <= 3
+
+
+def test_knapsack_is_the_best_multiset():
+    rng = random.Random(5)
+    for _ in range(20):
+        price = np.array([0.0] + [rng.choice([0, rng.random()]) for _ in range(7)])
+        best, last = packing.knapsack(price, 9)
+
+        def search(room, price=price):
+            return max([0.0] + [price[x] + search(room - x) for x in range(1, min(room, 7) + 1)])
+
+        for c in range(10):
+            got = list(packing.taken(last, c))
+            assert sum(got) <= c and math.isclose(sum(price[x] for x in got), best[c]) and math.isclose(best[c], search(c))
 
 
 def brute_repeats(text, width=8):
