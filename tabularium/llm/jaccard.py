@@ -1,17 +1,25 @@
 """Near duplicates by a MinHash LSH forest, verified exactly.
 
 Equal texts are one node. A node's shingles are its windows of ``SHINGLE`` words
-(a shorter text: all its words). Each of ``TREES`` tries holds the nodes by a
-path of min-hashes, up to ``MOST_DEPTH`` of them. Prefixes start at full depth
-and are shortened until nodes at the threshold meet in some trie with
-probability ``RECALL``. Nodes that meet are candidates; their connected
-components are cut into tiles of bounded size, in which shingle sets are
-intersected exactly. Links count and join classes; classes are the connected
-components of verified links, named by their smallest id.
-
-No pair of rows is ever emitted: a tile sends counts and a spanning forest.
-A text goes once to each of its component's tile columns, about the square root
-of the pairs it takes part in.
+(a shorter text: all its words). Each of ``TREES`` tries orders the nodes by a
+label of ``DEPTH`` min-hash symbols, eight bits each.
+
+(1) The labels of every trie are sorted over the cluster; how many labels share a
+prefix with one, at each depth, shows in the sorted order. (2) Each node starts
+from whole labels in all tries and shortens prefixes, first where that brings the
+fewest nodes near, until two texts at the threshold meet in one of its prefixes
+with probability ``RECALL``. (3) In the sorted order the subtree under each
+shortened prefix is marked; the topmost marked ones are the groups of candidates,
+and those of equal members are one. (4) Within a group, in tiles of bounded size,
+whole signatures are compared; texts that look at least ``LOOKALIKE`` alike (well
+under the threshold, see ``LOOKALIKE``) are joined into provisional classes. (5)
+These are cut into tiles, in which shingle sets are intersected exactly. Links
+count and join classes; classes are the connected components of verified links,
+named by their smallest id.
+
+No pair of rows is ever emitted: a tile sends counts and stars. A text goes once to
+each of its class's tile columns. A sorted partition that a subtree spans offers
+the subtree at every depth, so groups do not depend on where partitions end.
 
 Defined cases: null and wordless texts are alone in their class, without links;
 rows without id get a null class and no links; equal rows link like any copies;
@@ -20,6 +28,7 @@ an id that repeats with different texts gathers the links of all of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,21 +36,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import materialise, salted_firsts
+from tabularium.llm.common import discard, materialise, salted_firsts
 from tabularium.llm.textkernel import U, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
 
 SHINGLE = 5
 THRESHOLD = (4, 5)  # as a fraction, so that the comparison is exact
-TREES, MOST_DEPTH, RECALL = 20, 8, 0.999
-TILE = 256
+TREES, DEPTH, LEAST_DEPTH, RECALL = 20, 8, 3, 0.999
+#: Share of equal symbols below which two signatures are not verified. Of texts at the threshold, fewer than one pair in
+#: ten million falls below it by chance (160 symbols; Chernoff's bound).
+LOOKALIKE = 0.6
+TILE, GROUP_TILE = 256, 1024
+SORTED_ROWS = 1_000_000  # labels in a sorted partition, about
 
 
-def depth_for(trees: int = TREES, most: int = MOST_DEPTH, similarity: float = 0.8, recall: float = RECALL) -> int:
-    """The longest prefix at which pairs of this similarity meet in some trie with the wanted probability; at least 1."""
-    depth = most
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def weight(depth: int, similarity: float = THRESHOLD[0] / THRESHOLD[1]) -> float:
+    """What a prefix adds to minus the logarithm of the chance to miss a text of this similarity."""
+    return -math.log1p(-(similarity**depth))
+
+
+def chosen_depths(codes: np.ndarray, trees: int = TREES, recall: float = RECALL) -> np.ndarray:
+    """The depth of each node's prefix in each trie.
+
+    ``codes[i, t, k]`` tells how many labels share the first ``LEAST_DEPTH + k`` symbols (on a growing scale, 0: no
+    other). Steps towards the root are taken in order of what they bring near, until the recall holds.
+    """
+    n, wide = len(codes), DEPTH - LEAST_DEPTH
+    gains = np.array([weight(LEAST_DEPTH + k) - weight(LEAST_DEPTH + k + 1) for k in range(wide)])
+    steps = codes[:, :, :wide].astype(np.int64) * DEPTH + (wide - 1 - np.arange(wide))  # ties: longer prefixes first
+    order = np.argsort(steps.reshape(n, -1), axis=1, kind="stable")
+    have = trees * weight(DEPTH) + np.cumsum(np.tile(gains, trees)[order], axis=1)
+    before = np.concatenate([np.full((n, 1), trees * weight(DEPTH)), have[:, :-1]], axis=1)
+    taken = np.zeros((n, trees * wide), bool)
+    np.put_along_axis(taken, order, before < -math.log1p(-recall), axis=1)
+    return DEPTH - taken.reshape(n, trees, wide).sum(2)
+
+
+def crowd(size: np.ndarray) -> np.ndarray:
+    """A byte that grows with the logarithm of a count; 0 for one."""
+    return np.minimum(np.floor(6 * np.log2(np.maximum(size, 1))), 255).astype(np.uint8)
+
+
+def subtree_starts(labels: np.ndarray, depth: int) -> np.ndarray:
+    """Where in sorted labels each subtree at a depth begins."""
+    top = labels >> np.int64(8 * (DEPTH - depth))
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(top)), bool), top[1:] != top[:-1]]))
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -62,27 +100,27 @@ def shingles(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> tupl
     return hashes, rows
 
 
-def paths(hashes: np.ndarray, rows: np.ndarray, n: int, trees: int, depth: int) -> np.ndarray:
-    """For each row and trie, a hash of the first ``depth`` min-hashes; rows without shingles get garbage."""
+def labels_of(hashes: np.ndarray, rows: np.ndarray, n: int, trees: int) -> np.ndarray:
+    """For each row and trie its ``DEPTH`` symbols, the first in the highest byte; rows without shingles get garbage."""
     full = np.unique(rows)
     first = np.searchsorted(rows, full)
-    salt = mix(np.arange(1, 2 * trees * depth + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    salt = mix(np.arange(1, 2 * trees * DEPTH + 1, dtype=U) * U(0x9E3779B97F4A7C15))
     out = np.zeros((n, trees), U)
     for t in range(trees):
-        label = np.full(len(full), t, U)
-        for k in range(t * depth, (t + 1) * depth):
+        label = np.zeros(len(full), U)
+        for k in range(t * DEPTH, (t + 1) * DEPTH):
             a, b = salt[2 * k], salt[2 * k + 1]
             low = np.minimum.reduceat((hashes ^ b) * (a << U(1) | U(1)), first) if len(full) else np.empty(0, U)
-            label = mix(label * U(0x9E3779B97F4A7C15) ^ low)
+            label = label << U(8) | mix(low) >> U(56)
         out[full, t] = label
     return out
 
 
-def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``doc_id, text_key, n_shingles, path`` for every row; ``path`` is null where there are no shingles."""
+def signatures(docs: DataFrame, trees: int) -> DataFrame:
+    """``doc_id, text_key, n_shingles, labels`` for every row; ``labels`` is null where there are no shingles."""
     import hashlib
 
-    schema = "doc_id bigint, text_key binary, n_shingles int, path array<bigint>"
+    schema = "doc_id bigint, text_key binary, n_shingles int, labels array<bigint>"
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,38 +129,198 @@ def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
             for i, j in row_batches(bounds):
                 h, r = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 counts.append(np.bincount(r, minlength=j - i))
-                labels.append(paths(h, r, j - i, trees, depth))
+                labels.append(labels_of(h, r, j - i, trees))
             n, label = np.concatenate(counts), np.concatenate(labels).view(np.int64)
             keys = [hashlib.sha256(data[s:e]).digest()[:16] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * trees, pa.int32()), pa.array(label.ravel()), mask=pa.array(n == 0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), lists], names=["doc_id", "text_key", "n_shingles", "path"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), lists], names=["doc_id", "text_key", "n_shingles", "labels"])
 
     return docs.select("doc_id", "text").mapInArrow(signed, schema)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """All rows of a sorted partition; its size is bounded, as ranges are of the whole row."""
+    kept = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(kept).combine_chunks() if kept else None
+
+
+def _tries(table: pa.Table) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of one trie."""
+    tree = table.column("tree").to_numpy()
+    cut = np.flatnonzero(np.diff(tree, prepend=-1))
+    yield from zip(cut.tolist(), [*cut[1:].tolist(), len(tree)])
+
+
+def _at_edge(labels: np.ndarray) -> np.ndarray:
+    """Rows of the first and the last subtree at the least depth, which may go on in other partitions."""
+    top = labels >> np.int64(8 * (DEPTH - LEAST_DEPTH))
+    return (top == top[0]) | (top == top[-1])
+
+
+def crowding(rows: DataFrame, parts: int) -> DataFrame:
+    """``node, tree, label, codes`` of the labels that are not alone at the least depth; a byte a depth, the least depth's first."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _partition(batches)
+        for i, j in _tries(table) if table else ():
+            labels = table.column("label").to_numpy()[i:j]
+            codes, near = np.zeros((j - i, 8), np.uint8), _at_edge(labels)
+            for d in range(LEAST_DEPTH, DEPTH + 1):
+                start = subtree_starts(labels, d)
+                size = np.diff(start, append=j - i)
+                codes[:, d - LEAST_DEPTH] = np.repeat(crowd(size), size)
+            near |= codes[:, 0] > 0
+            at = pa.array(np.flatnonzero(near) + i)
+            part = table.take(at).combine_chunks()
+            yield pa.RecordBatch.from_arrays([part.column(c).combine_chunks() for c in ("node", "tree", "label")] + [pa.array(codes[near].view(np.int64).ravel())], names=["node", "tree", "label", "codes"])
+
+    ordered = rows.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    return ordered.mapInArrow(counted, "node bigint, tree int, label bigint, codes bigint")
+
+
+def shortened(near: DataFrame, trees: int, recall: float) -> DataFrame:
+    """``node, tree, label, depth``: the prefix with which each node looks for others in each trie."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            many = np.diff(b.column("at").offsets.to_numpy())
+            flat = b.column("at").flatten()
+            tree, owner = flat.field("tree").to_numpy(), np.repeat(np.arange(b.num_rows), many)
+            codes = np.zeros((b.num_rows, trees, 8), np.uint8)
+            codes[owner, tree] = flat.field("codes").to_numpy().view(np.uint8).reshape(-1, 8)
+            depth = chosen_depths(codes, trees, recall)[owner, tree]
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(owner)), pa.array(tree, pa.int32()), flat.field("label"), pa.array(depth, pa.int32())], names=["node", "tree", "label", "depth"])
+
+    by_node = near.groupBy("node").agg(F.collect_list(F.struct("tree", "label", "codes")).alias("at"))  # one entry a trie at most
+    return by_node.mapInArrow(chosen, "node bigint, tree int, label bigint, depth int")
+
+
+def subtrees(asks: DataFrame, parts: int) -> DataFrame:
+    """``tree, depth, prefix, node, asked``: the members of the topmost subtrees that some node looks into.
+
+    Where a subtree may go on in another partition, its rows are offered at every depth; ``asked`` tells the rows that look there.
+    """
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _partition(batches)
+        for i, j in _tries(table) if table else ():
+            labels, depth, node = (table.column(c).to_numpy()[i:j] for c in ("label", "depth", "node"))
+            edge, open_, rows = _at_edge(labels), np.ones(j - i, bool), []
+            for d in range(LEAST_DEPTH, DEPTH + 1):
+                start = subtree_starts(labels, d)
+                size = np.diff(start, append=j - i)
+                looked = np.repeat(np.logical_or.reduceat(depth == d, start) & (size > 1), size)
+                at = np.flatnonzero(edge | (open_ & looked))
+                open_ &= ~looked
+                rows.append((np.full(len(at), d, np.int32), labels[at] >> np.int64(8 * (DEPTH - d)), node[at], (depth[at] == d)))
+            d, prefix, member, asked = (np.concatenate(c) for c in zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), table.column("tree")[i].as_py()), pa.int32()), pa.array(d, pa.int32()), pa.array(prefix), pa.array(member), pa.array(asked)], names=["tree", "depth", "prefix", "node", "asked"])
+
+    ordered = asks.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    return ordered.mapInArrow(marked, "tree int, depth int, prefix bigint, node bigint, asked boolean")
+
+
+def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each of ``n`` nodes' components under edges ``i, j``."""
+    low = np.arange(n)
+    while True:
+        m = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, m)
+        np.minimum.at(new, j, m)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def alike(left: np.ndarray, right: np.ndarray, most: int = 4_000_000) -> np.ndarray:
+    """Which rows of two tables of symbols agree in ``LOOKALIKE`` of them."""
+    n, m, k = len(left), len(right), left.shape[1]
+    if n * m * k <= most:
+        equal = (left[:, None, :] == right[None, :, :]).sum(2)
+    else:
+        equal = np.zeros((n, m), np.int16)
+        for c in range(k):
+            equal += left[:, c, None] == right[None, :, c]
+    return equal >= LOOKALIKE * k
+
+
+def lookalikes(members: DataFrame) -> DataFrame:
+    """Edges ``a, b`` between nodes whose signatures look alike, a star a component, from rows sorted by tile."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, blocks, labels = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            node, block = np.array(nodes), np.array(blocks)
+            sign = np.array(labels).view(np.uint8).reshape(len(node), -1)
+            left = np.flatnonzero(block == key[-2])
+            right = left if key[-1] == key[-2] else np.flatnonzero(block == key[-1])
+            i, j = np.nonzero(alike(sign[left], sign[right]))
+            low = stars(len(node), left[i], right[j])
+            far = np.flatnonzero(low != np.arange(len(node)))
+            return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[low[far]])], names=["a", "b"])
+
+        for b in batches:
+            keys = zip(*(b.column(c).to_pylist() for c in ("tree", "depth", "prefix", "ti", "tj")))
+            flat = b.column("labels").flatten().to_numpy().reshape(b.num_rows, -1)
+            for k, node, block, label in zip(keys, b.column("node").to_pylist(), b.column("block").to_pylist(), flat):
+                if k != key:
+                    if len(nodes) > 1:
+                        yield done()
+                    key, nodes, blocks, labels = k, [], [], []
+                nodes.append(node)
+                blocks.append(block)
+                labels.append(label)
+        if len(nodes) > 1:
+            yield done()
+
+    return members.mapInArrow(compared, "a bigint, b bigint")
+
+
+def forest_edges(nodes: DataFrame, trees: int = TREES, recall: float = RECALL, tile: int = GROUP_TILE) -> DataFrame:
+    """Edges ``a, b`` that join the nodes which meet in the forest and look alike."""
+    rows = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(nodes.count() * trees / SORTED_ROWS))
+    near = crowding(rows.select("tree", "label", "node"), parts)
+    met = materialise(subtrees(shortened(near, trees, recall), parts), "subtrees")
+    key = ["tree", "depth", "prefix"]
+    groups = met.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    groups = groups.filter("asked and n > 1").groupBy("n", "x", "y").agg(F.min(F.struct(*key)).alias("g")).select("g.*", F.ceil(F.col("n") / tile).cast("int").alias("n"))
+    groups = materialise(groups, "groups")
+    cast = met.select(*key, "node").join(groups, key)
+    cast = cast.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cast = cast.select(*key, F.least("block", "_j").alias("ti"), F.greatest("block", "_j").alias("tj"), "block", "node").join(nodes.select("node", "labels"), "node")
+    order = [*key, "ti", "tj"]
+    edges = materialise(lookalikes(cast.repartition(*order).sortWithinPartitions(*order, "node")).distinct(), "alike")
+    discard(met, groups)
+    return edges
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of undirected edges ``a, b``, by alternating large and small stars; ``root`` is the least node.
 
     A node's least neighbour is a table of its own: joined back it is broadcast while small, and beyond that both
-    sides are plain exchanges, so that adaptive execution may split the edges of a hub among tasks.
+    sides are plain exchanges, so that adaptive execution may split the edges of a hub among tasks. The rounds end, as
+    each lowers some node's root.
     """
     e = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialise(e, "edges")  # u > v, here and in every round
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "least")
         large = materialise(e.join(low, "v").select("u", F.col("m").alias("v")).distinct(), "large")
+        discard(e, low)
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = materialise(small.filter("u != v").distinct(), "edges")
+        discard(large, low)
         seen = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if mark == (seen["n"], seen["h"]):
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = (seen["n"], seen["h"])
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 class Tile:
@@ -135,7 +333,7 @@ class Tile:
         self.sets: list[np.ndarray] = []
 
     def links(self, ti: int, tj: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Links of each row, weighted by the partner's copies, and a spanning forest of the linked rows."""
+        """Links of each row, weighted by the partner's copies, and stars that connect the linked rows."""
         n = len(self.nodes)
         left = np.array([i for i in range(n) if self.blocks[i] == ti], np.int64)
         right = left if ti == tj else np.array([i for i in range(n) if self.blocks[i] == tj], np.int64)
@@ -173,20 +371,8 @@ class Tile:
         np.add.at(count, i, copies[j])
         if ti != tj:
             np.add.at(count, j, copies[i])
-        root, forest = list(range(n)), []
-
-        def top_of(a: int) -> int:
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            return a
-
-        for a, b in zip(i.tolist(), j.tolist()):
-            ra, rb = top_of(a), top_of(b)
-            if ra != rb:
-                root[rb] = ra
-                forest.append((self.nodes[a], self.nodes[b]))
-        return count, forest
+        low = stars(n, i, j)
+        return count, [(self.nodes[k], self.nodes[low[k]]) for k in np.flatnonzero(low != np.arange(n)).tolist()]
 
 
 def verify(texts: DataFrame) -> DataFrame:
@@ -224,17 +410,13 @@ def verify(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(verified, schema)
 
 
-def near_duplicates(docs: DataFrame, trees: int = TREES, most_depth: int = MOST_DEPTH, recall: float = RECALL, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, trees: int = TREES, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """``doc_id, class_id, n_links`` for every row: its class's least id, and how many other rows it links with."""
-    depth = depth_for(trees, most_depth, THRESHOLD[0] / THRESHOLD[1], recall)
-    slim = materialise(signatures(docs, trees, depth), "forest")
-    known = slim.filter(F.col("doc_id").isNotNull() & F.col("path").isNotNull())
-    nodes = materialise(known.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("path").alias("path")), "nodes")
-
-    met = nodes.select("node", F.posexplode("path").alias("tree", "label"))
-    heads = met.groupBy("tree", "label").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("tree", "label", "b")
-    near = met.join(heads, ["tree", "label"]).select(F.col("node").alias("a"), "b")
-    groups = components(near)
+    slim = materialise(signatures(docs, trees), "forest")
+    known = slim.filter(F.col("doc_id").isNotNull() & F.col("labels").isNotNull())
+    nodes = materialise(known.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("labels").alias("labels")), "nodes")
+
+    groups = components(forest_edges(nodes, trees, recall))
     # One row a component, as a table: joined back it meets as many rows as the component has nodes, which AQE can split.
     sizes = materialise(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
     tiles = groups.join(sizes, "root").withColumn("n", F.ceil(F.col("size") / tile).cast("int"))
