@@ -22,10 +22,12 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold a passage which stands earlier."""
+    """Every document: how many words stand in passages met earlier, the ids at which these stand first, and a digest of the rest."""
+    from pyspark.sql import functions as F
+
     from tabularium.llm.suffixes import find_repeats
 
-    return find_repeats(table(spark, sf_dir, "documents")).filter("n_removed > 0")
+    return find_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.array_join("first_docs", ",").alias("first_docs"), "kept_sha256")
 
 
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def oracle_sql() -> dict[str, str]:
     from tabularium.llm.jaccard import ORACLE_SQL as jaccard_sql
     from tabularium.llm.substrings import ORACLE_SQL as substrings_sql
+    from tabularium.llm.suffixes import ORACLE_SQL as suffixes_sql
     from tabularium.llm.urls import oracle_sql as urls_sql
     from tabularium.llm.warc import ORACLE_SQL as warc_sql
 
-    return {"op4_warc": warc_sql, "op5_substrings": substrings_sql, "op9_urls": urls_sql(), "op10_jaccard": jaccard_sql}
+    return {"op3_suffixes": suffixes_sql, "op4_warc": warc_sql, "op5_substrings": substrings_sql, "op9_urls": urls_sql(), "op10_jaccard": jaccard_sql}

@@ -1,26 +1,27 @@
 """Suffix-array dedup over sparse suffixes.
 
-Of every text only the suffixes at minimisers are kept: positions whose ``GRAM``
-words hash lowest (the leftmost on ties) among some ``SPREAD`` neighbouring
-positions. They are chosen by content, so a passage brings its own positions
-along: two copies of ``SPAN`` words share one within their first ``SPREAD``, with
-``DEPTH`` words of the passage behind it. A suffix is compared over ``DEPTH``
-words, as ``SYMBOLS`` symbols of ``STEP`` words, 32 bits each.
-
-Texts are dealt into blocks by a hash of their row. (1) Blocks tell shards which
-suffixes they have, as 64-bit hashes, and learn which occur twice anywhere.
-(2) These suffixes, one a content and block, are sorted symbol by symbol; where a
-suffix and its neighbour agree in all symbols, the later one is told its first
-place. (3) At the ends of repeated runs the blocks ask the block of the first
-place for the words around it, (4) get them, and (5) extend the match to the left
-and to the right, by up to ``SPREAD - 1`` words each: a repeat that goes on for
-longer has a suffix of its own there.
-
-A content has at most one row a block in any group, whatever share of all
-documents holds it. Words of each passage of ``SPAN`` or more that stands earlier
-(at a smaller id, or earlier in the same text) are removed but for at most
-``SPREAD - 1`` at either end, where the first place may differ from the copy;
-passages of ``DEPTH`` to ``SPAN - 1`` words are removed where a minimiser starts them.
+A passage of ``SPAN`` words that stands earlier too, at a smaller id or earlier in
+the same text, is removed. Of every text only the suffixes at minimisers are kept:
+positions whose ``GRAM`` words hash lowest (the leftmost on ties) among ``SPREAD``
+neighbouring positions. They are chosen by content, so a passage brings its own
+positions along: in its first ``SPREAD`` words both of its places have a suffix,
+with at least ``DEPTH`` words of the passage behind it and the rest before it.
+
+Texts are dealt into blocks by a hash of their row. (1) Blocks list hashes of the
+``DEPTH`` words at their suffixes; those that occur once anywhere are out. (2) The
+others are sorted by their words, in each block first: the words that neighbours
+have in common (the LCP array) tell the runs of suffixes that agree for ``r``
+words, for each ``r`` from ``DEPTH`` to ``SPAN``. A match is then extended to the left
+by the ``SPAN - r`` words that it still lacks; of the suffixes that agree in both
+directions, all but the one of the first place are marked. (3) Suffixes whose
+passage is not met earlier in their block are sorted over the whole cluster and
+compared likewise. Where a run goes on in another sorted partition, its passages
+are grouped by hash instead, with partial sums, as such a run may be of any size.
+(4) Blocks remove the passages at their marked suffixes.
+
+Every passage of ``SPAN`` words lies at such a suffix, so exactly the words of
+those that stand earlier are removed, as the SQL twin says. Contents that many
+documents share have at most one row a block and context in any exchange.
 
 Defined cases: null text has no words; rows without id come after all others and
 count as one text by position; rows that repeat an id are the same text by
@@ -37,21 +38,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tabularium.llm.common import materialise, text_size
-from tabularium.llm.substrings import _BLOCK_ROW, BLOCK_BYTES, NO_ID, _ordered, _pack, _split, _table, _unpack
+from tabularium.llm.substrings import BLOCK_BYTES, NO_ID, _ordered, _table
 from tabularium.llm.textkernel import U, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
 
 SPAN = 50
-SPREAD = 7
+SPREAD = 16
 GRAM = 4
-SYMBOLS = 4
-STEP = 11
-DEPTH = SYMBOLS * STEP
 REACH = SPREAD - 1
-SHARD_SUFFIXES = 1_000_000
-
-assert DEPTH == SPAN - REACH
+DEPTH = SPAN - REACH
+#: Bytes of text for a partition of the cluster-wide sort.
+SORTED_BYTES = 16_000_000
 
 
 def minimisers(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -74,132 +73,97 @@ def minimisers(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """The words of a block and its sparse suffixes."""
+    """The words of a block, a blank after each, and its sparse suffixes."""
 
-    def __init__(self, block: pa.Table):
+    def __init__(self, block: pa.Table, spelled: bool = False):
         data, bounds = text_bytes(block.column("text"))
         ids = block.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        words, sizes, at, high, low, row_of, seen = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, U)], [np.empty(0, np.int64)], 0
+        sizes, at, key, row_of, seen, words = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, np.int64)], 0, [np.empty(0, U)]
+        letters, ends, written = [], [np.zeros(1, np.int64)], 0
         for i, j in row_batches(bounds):
             part = data[bounds[i] : bounds[j]]
             s, e, row = split_words(part, bounds[i : j + 1] - bounds[i])
             h = hash_words(part, s, e)
             p = minimisers(h, row)
-            symbols = (hash_windows(h, np.concatenate([p + STEP * k for k in range(SYMBOLS)]), STEP) >> U(32)).reshape(SYMBOLS, -1)
             words.append(h)
             sizes.append(np.bincount(row, minlength=j - i))
             at.append(p + seen)
+            key.append(hash_windows(h, p, DEPTH))
             row_of.append(row[p] + i)
-            high.append(symbols[0] << U(32) | symbols[1])
-            low.append(symbols[2] << U(32) | symbols[3])
             seen += len(h)
-        self.words, self.sizes, self.at, self.row = (np.concatenate(x) for x in (words, sizes, at, row_of))
-        self.high, self.low = np.concatenate(high), np.concatenate(low)
+            if spelled:
+                to = np.cumsum(e - s + 1)
+                from_ = np.repeat(s - (to - (e - s + 1)), e - s + 1) + np.arange(to[-1] if len(to) else 0)
+                plain = part[np.minimum(from_, max(len(part) - 1, 0))]
+                plain[to - 1] = 32
+                letters.append(plain.tobytes())
+                ends.append(to + written)
+                written += len(plain)
+        self.sizes, self.at, self.key, self.row = (np.concatenate(x) for x in (sizes, at, key, row_of))
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.doc, self.start = ids[self.row], (self.at - self.begins[self.row]).astype(np.int32)
-        self.key = mix(self.high ^ mix(self.low))
-
-    def heads(self) -> np.ndarray:
-        """For every suffix, the first one of its content in this block."""
-        order, first = suffix_order(self.high, self.low, self.doc, self.start)
-        out = np.empty(len(order), np.int64)
-        out[order] = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
-        return out
+        self.words = np.concatenate(words)
+        self.letters, self.ends = b"".join(letters), np.concatenate(ends)
 
-    def around(self, which: np.ndarray) -> np.ndarray:
-        """The ``REACH`` words before and after the suffixes, nearest first, as 32 bits; 0 where the text ends."""
+    def spelled(self, which: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Up to ``REACH`` words before each suffix, and up to ``SPAN`` from it on."""
         at, row = self.at[which], self.row[which]
-        left, right = self.begins[row], self.begins[row] + self.sizes[row]
-        out = np.zeros((len(which), 2 * REACH), np.uint32)
-        for k in range(REACH):
-            for column, place in ((k, at - 1 - k), (REACH + k, at + DEPTH + k)):
-                ok = (place >= left) & (place < right)
-                out[ok, column] = (self.words[place[ok]] >> U(32)).astype(np.uint32) | np.uint32(1)
-        return out
-
-
-def suffix_order(high: np.ndarray, low: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their symbols, then place; and whether each differs from its neighbour before."""
-    order = np.lexsort((start, doc, low, high))
-    first = np.ones(len(order), bool)
-    first[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
-    return order, first
-
-
-def _find(doc: np.ndarray, start: np.ndarray, key: np.ndarray, wanted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """For each wanted ``(doc, start, key)`` its first index, -1 where there is none."""
-    n, m = len(doc), len(wanted[0])
-    d, s, k = (np.concatenate([x, y]) for x, y in zip((doc, start, key), wanted))
-    order = np.lexsort((np.arange(n + m), k, s, d))
-    new = np.ones(n + m, bool)
-    new[1:] = (d[order][1:] != d[order][:-1]) | (s[order][1:] != s[order][:-1]) | (k[order][1:] != k[order][:-1])
-    head = np.empty(n + m, np.int64)
-    head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if n + m else order
-    return np.where(head[n:] < n, head[n:], -1)
-
-
-def _parts(info: pa.Table, mark: bytes, *kinds: str) -> list[np.ndarray]:
-    """Columns of all packed rows that begin with ``mark``."""
-    parts = [_unpack(d[1:], *kinds) for d in info.column("data").to_pylist() if d[:1] == mark]
-    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, k) for k in kinds]
-
-
-_MARK = ("i8", "i4", "u8", "i8", "i4", "i4")
-_AROUND = ("i8", "i4", "u8") + ("u4",) * (2 * REACH)
-
-
-class Repeats:
-    """Which suffixes of a block repeat, and where each was first."""
-
-    def __init__(self, block: pa.Table, info: pa.Table):
-        own = self.own = Suffixes(block)
-        self.head = own.heads()
-        self.doc, self.start, self.owner = own.doc[self.head], own.start[self.head], np.full(len(own.at), -1, np.int32)
-        doc, start, key, first_doc, first_start, owner = _parts(info, b"m", *_MARK)
-        told = _find(doc, start, key, (own.doc[self.head], own.start[self.head], own.key))
-        some = np.flatnonzero(told >= 0)
-        self.doc[some], self.start[some], self.owner[some] = first_doc[told[some]], first_start[told[some]], owner[told[some]]
-        self.again = (own.doc > self.doc) | ((own.doc == self.doc) & (own.start > self.start))
-        self.cover = self._covered(np.zeros(len(own.at), np.int64), np.zeros(len(own.at), np.int64))
-        at, row, n = own.at, own.row, len(own.words)
-        before, after = np.maximum(at - 1, 0), np.minimum(at + DEPTH, max(n - 1, 0))
-        self.left = self.again & (own.start > 0) & ~self.cover[before]
-        self.right = self.again & (own.start + DEPTH < own.sizes[row]) & ~self.cover[after]
-        self.ends = np.flatnonzero(self.left | self.right)
-
-    def _covered(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        at, n = self.own.at, len(self.own.words)
-        step = np.zeros(n + 2, np.int32)
-        np.add.at(step, (at - left)[self.again], 1)
-        np.add.at(step, (at + DEPTH + right)[self.again], -1)
-        return np.cumsum(step)[: n + 1] > 0
-
-    def requests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Owner, id, start and key of first places elsewhere whose surroundings are needed, each once."""
-        e = self.ends[self.owner[self.ends] >= 0]
-        cols = self.owner[e].astype(np.int64), self.doc[e], self.start[e], self.own.key[e]
-        order = np.lexsort(cols[::-1])
-        cols = tuple(c[order] for c in cols)
-        new = np.ones(len(e), bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0) if len(e) > 1 else True
-        return tuple(c[new] for c in cols)
-
-    def extended(self, info: pa.Table) -> np.ndarray:
-        """Whether each word is covered once matches are extended."""
-        left, right = np.zeros(len(self.own.at), np.int64), np.zeros(len(self.own.at), np.int64)
-        doc, start, key, *around = _parts(info, b"a", *_AROUND)
-        e = self.ends
-        theirs = np.zeros((len(e), 2 * REACH), np.uint32)
-        near = self.owner[e] < 0
-        theirs[near] = self.own.around(self.head[e[near]])
-        told = _find(doc, start, key, (self.doc[e], self.start[e], self.own.key[e]))
-        far = ~near & (told >= 0)
-        if far.any():
-            theirs[far] = np.stack(around, axis=1)[told[far]]
-        same = (self.own.around(e) == theirs) & (theirs != 0)
-        left[e] = np.where(self.left[e], np.cumprod(same[:, :REACH], axis=1).sum(1), 0)
-        right[e] = np.where(self.right[e], np.cumprod(same[:, REACH:], axis=1).sum(1), 0)
-        return self._covered(left, right)[: len(self.own.words)]
+        begin, end = self.begins[row], self.begins[row] + self.sizes[row]
+        a, b, c = (self.ends[x].tolist() for x in (np.maximum(at - REACH, begin), at, np.minimum(at + SPAN, end)))
+        return [self.letters[x:y] for x, y in zip(a, b)], [self.letters[x:y] for x, y in zip(b, c)]
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """Words that two spelled suffixes have in common from their start on."""
+    if a == b:
+        return a.count(b" ")
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return a.count(b" ", 0, lo)
+
+
+def words_before(left: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix and number of words ``l`` a hash of the ``l`` words before it (column 0: of none), and how many there are."""
+    data, bounds = text_bytes(left.cast(pa.large_binary()).cast(pa.large_string()))
+    s, e, row = split_words(data, bounds)
+    h, many = hash_words(data, s, e), np.bincount(row, minlength=len(left))
+    out = np.zeros((len(left), REACH + 1), U)
+    back = np.cumsum(many)[row] - np.arange(len(row))  # the nearest word: 1
+    out[row, back] = h
+    for k in range(1, REACH + 1):
+        out[:, k] = mix(out[:, k] ^ out[:, k - 1] * U(0x9E3779B97F4A7C15))
+    return out, many
+
+
+def earlier(lcp: np.ndarray, size: np.ndarray, before: np.ndarray, many: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted suffixes: bit ``l`` where the ``SPAN`` words from ``l`` before a suffix on stand earlier, and the first id of each such passage (one column a bit).
+
+    ``lcp[i]`` is what suffix ``i`` has in common with the one before it, ``size`` how many words it has.
+    """
+    n = len(lcp)
+    order = np.lexsort((start, doc))
+    new = np.ones(n, bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new) - 1
+    id_of = doc[order][new]
+    mask, first = np.zeros(n, np.int64), np.full((n, SPREAD), NO_ID)
+    after = np.append(lcp[1:], 0) if n else lcp
+    for k in range(SPREAD):
+        r = SPAN - k
+        at = np.flatnonzero(((lcp >= r) | (after >= r)) & (many >= k) & (size >= r))
+        if not len(at):
+            continue
+        run = np.cumsum(lcp < r)[at]
+        passage = np.unique(mix(before[at, k] ^ mix(run.astype(U))), return_inverse=True)[1]
+        least = np.full(passage.max() + 1, n)
+        np.minimum.at(least, passage, rank[at])
+        late = rank[at] > least[passage]
+        mask[at[late]] |= 1 << k
+        first[at[late], k] = id_of[least[passage[late]]]
+    return mask, first
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -207,125 +171,176 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+_NAMES = ["block", "doc", "start", "key", "mask", "firsts"]
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+_MARKS = "block bigint, doc bigint, start int, key bigint, mask int, firsts array<bigint>"
+
+
+def _firsts(mask: np.ndarray, first: np.ndarray) -> list[list[int]]:
+    """The first id for each bit that is set, in order of bits."""
+    return [[d for k, d in enumerate(row) if m >> k & 1] for m, row in zip(mask.tolist(), first.tolist())]
+
+
 def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, spans, first_docs, kept_sha256`` for every row; on request ``kept_text``.
 
-    ``spans`` are the removed runs of words, ``start:end`` joined by commas; ``first_docs`` the ids at which they stand first.
+    ``spans`` are the removed runs of words, ``start:end`` joined by commas; ``first_docs`` the ids at which their passages stand first.
     """
     _, size = text_size(docs)
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    suffixes = max(1, size // 20)
-    bits = max(1, math.ceil(math.log2(max(1, suffixes / SHARD_SUFFIXES))))
-    groups = max(1, math.ceil(suffixes / SHARD_SUFFIXES))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / SORTED_BYTES))
     text = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
-    def name(block: pa.Table) -> int:
-        return block.column("block")[0].as_py()
-
     def listed(block: pa.Table) -> pa.Table:
-        b = name(block)
         found, counts = np.unique(Suffixes(block).key, return_counts=True)
-        return _table([(s, b, np.packbits(counts[i:j] > 1).tobytes() + _pack(np.diff(found[i:j], prepend=U(0))) + np.uint32(j - i).tobytes()) for s, i, j in _split(found, 64 - bits)], *_BLOCK_ROW)
-
-    def counted(shard: pa.Table) -> pa.Table:
-        s, keys, twice = shard.column("shard")[0].as_py(), [], []
-        for d in shard.column("data").to_pylist():
-            n = int(np.frombuffer(d[-4:], np.uint32)[0])
-            twice.append(np.unpackbits(np.frombuffer(d[: (n + 7) // 8], np.uint8), count=n).astype(bool))
-            keys.append(np.cumsum(_unpack(d[(n + 7) // 8 : -4], "u8")[0]))
-        found, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        often = counts > 1
-        often[inverse[np.concatenate(twice)]] = True
-        at, rows = 0, []
-        for b, k in zip(shard.column("block").to_pylist(), keys):
-            rows.append((s, b, np.packbits(often[inverse[at : at + len(k)]]).tobytes()))
-            at += len(k)
-        return _table(rows, *_BLOCK_ROW)
-
-    def chosen(block: pa.Table, answers: pa.Table) -> pa.Table:
-        if not block.num_rows or not answers.num_rows:
-            return _table([], *_BLOCK_ROW)
-        own = Suffixes(_ordered(block))
-        found, inverse = np.unique(own.key, return_inverse=True)
-        told, often = dict(zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist())), np.zeros(len(found), bool)
-        for shard, i, j in _split(found, 64 - bits):
-            often[i:j] = np.unpackbits(np.frombuffer(told[shard], np.uint8), count=j - i)
-        at = np.flatnonzero(often[inverse] & (own.heads() == np.arange(len(own.at))))
-        at = at[np.lexsort((own.start[at], own.doc[at]))]
-        to, b, rows = (own.key[at] % U(groups)).astype(np.int64), name(block), []
-        for g in np.unique(to).tolist():
-            w = at[to == g]
-            rows.append((g, b, _pack(own.high[w], own.low[w], np.diff(own.doc[w], prepend=0), own.start[w])))
-        return _table(rows, *_BLOCK_ROW)
-
-    def neighbours(group: pa.Table) -> pa.Table:
-        parts = [_unpack(d, "u8", "u8", "i8", "i4") for d in group.column("data").to_pylist()]
-        owner = np.repeat(np.array(group.column("block").to_pylist(), np.int64), [len(p[0]) for p in parts])
-        high, low, start = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
-        doc = np.concatenate([np.cumsum(p[2]) for p in parts])
-        order, first = suffix_order(high, low, doc, start)
-        high, low, doc, start, owner = high[order], low[order], doc[order], start[order], owner[order]
-        head = np.flatnonzero(first)[np.cumsum(first) - 1]
-        again = (owner != owner[head]) & ((doc != doc[head]) | (start != start[head]))
-        key, g, rows = mix(high ^ mix(low)), group.column("shard")[0].as_py(), []
-        told = np.flatnonzero(again)
-        told = told[np.lexsort((start[told], doc[told], owner[told]))]
-        for i, j in zip(*(lambda c: (c, [*c[1:], len(told)]))(np.flatnonzero(np.diff(owner[told], prepend=-1)).tolist())):
-            w = told[i:j]
-            h = head[w]
-            rows.append((g, int(owner[w[0]]), b"m" + _pack(doc[w], start[w], key[w], doc[h], start[h], owner[h].astype(np.int32))))
-        return _table(rows, *_BLOCK_ROW)
-
-    def asked(block: pa.Table, marks: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return _table([], *_BLOCK_ROW)
-        owner, doc, start, key = Repeats(_ordered(block), marks).requests()
-        cut = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
-        return _table([(name(block), int(owner[i]), b"q" + _pack(doc[i:j], start[i:j], key[i:j])) for i, j in zip(cut, [*cut[1:], len(owner)])], *_BLOCK_ROW)
-
-    def answered(block: pa.Table, requests: pa.Table) -> pa.Table:
-        if not block.num_rows or not requests.num_rows:
-            return _table([], *_BLOCK_ROW)
-        own, rows = Suffixes(_ordered(block)), []
-        parts = [_unpack(d[1:], "i8", "i4", "u8") for d in requests.column("data").to_pylist()]
-        wanted = tuple(np.concatenate(c) for c in zip(*parts))
-        at = _find(own.doc, own.start, own.key, wanted)
-        if not len(own.at):
-            return _table([], *_BLOCK_ROW)
-        around, ends = own.around(np.maximum(at, 0)), np.cumsum([len(p[0]) for p in parts]).tolist()
-        for b, i, j in zip(requests.column("shard").to_pylist(), [0, *ends], ends):
-            ok = np.flatnonzero(at[i:j] >= 0) + i
-            rows.append((name(block), b, b"a" + _pack(*(w[ok] for w in wanted), *np.ascontiguousarray(around[ok].T))))
-        return _table(rows, *_BLOCK_ROW)
+        return pa.table([pa.array(found.view(np.int64)), pa.array(np.full(len(found), block.column("block")[0].as_py()), pa.int64()), pa.array(counts > 1)], names=["h", "block", "twice"])
+
+    def chosen(block: pa.Table, often: pa.Table) -> pa.Table:
+        names, kinds = [*_NAMES, "left", "right"], [*_KINDS, pa.binary(), pa.binary()]
+        if not block.num_rows or not often.num_rows:
+            return _table([], names, kinds)
+        own = Suffixes(_ordered(block), spelled=True)
+        known = np.sort(often.column("h").to_numpy().view(U))
+        at = np.flatnonzero(known[np.minimum(np.searchsorted(known, own.key), len(known) - 1)] == own.key)
+        left, right = own.spelled(at)
+        order = sorted(range(len(at)), key=right.__getitem__)
+        at, left, right = at[np.array(order, np.int64)], [left[k] for k in order], [right[k] for k in order]
+        lcp = np.array([0, *map(common_words, right[:-1], right[1:])] if right else [], np.int64)
+        before, many = words_before(pa.array(left, pa.binary()))
+        row = own.row[at]
+        words = np.minimum(SPAN, own.sizes[row] - own.start[at])
+        mask, first = earlier(lcp, words, before, many, own.doc[at], own.start[at])
+        whole = ((1 << (np.minimum(many, REACH) + 1)) - 1) & ~((1 << (SPAN - words)) - 1)  # the passages that a suffix has
+        sent = np.flatnonzero(mask != whole)
+        told = mask != 0
+        lone = np.zeros(len(at), bool)
+        lone[sent] = True
+        use = np.flatnonzero(told | lone)
+        firsts = _firsts(mask[use], first[use])
+        cols = [
+            np.full(len(use), block.column("block")[0].as_py()),
+            own.doc[at][use],
+            own.start[at][use],
+            own.key[at][use].view(np.int64),
+            mask[use],
+            firsts,
+            [left[k] if lone[k] else None for k in use.tolist()],
+            [right[k] if lone[k] else None for k in use.tolist()],
+        ]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    def compared(batches):
+        """Marks of a sorted partition; the suffixes of its first and last run give a row for each of their passages, to be grouped with other partitions'."""
+        names, kinds = [*_NAMES, "bit", "h1", "h2"], [*_KINDS, pa.int32(), pa.int64(), pa.int64()]
+        kept, lcp, size, last, runs = [], [], [], b"", 0
+        begin = now = []  # the words of the first run, and of the one at hand
+        for b in batches:
+            if not b.num_rows:
+                continue
+            for x in b.column("right").to_pylist():
+                lcp.append(common_words(last, x))
+                size.append(x.count(b" "))
+                if lcp[-1] < DEPTH:
+                    now, runs = [], runs + 1
+                    begin = now if runs == 1 else begin
+                now.append(x)
+                last = x
+            kept.append(b.drop_columns(["right"]))
+        if not kept:
+            return
+        table = pa.Table.from_batches(kept).combine_chunks()
+        lcp, size = np.array(lcp, np.int64), np.array(size, np.int64)
+        column = lambda c: table.column(c).combine_chunks().to_numpy()
+        before, many = words_before(table.column("left").combine_chunks())
+        mask, first = earlier(lcp, size, before, many, column("doc"), column("start"))
+        run = np.cumsum(lcp < DEPTH)
+        edge = (run == run[0]) | (run == run[-1])
+        at = np.flatnonzero((mask != 0) & ~edge)
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(column(c)[at]) for c in _NAMES[:4]), pa.array(mask[at], pa.int32()), pa.array(_firsts(mask[at], first[at]), pa.list_(pa.int64())), pa.nulls(len(at), pa.int32()), none, none], names=names)
+        words = dict(enumerate(begin)) | dict(enumerate(now, len(lcp) - len(now)))
+        rows = [(i, k, *_passage(x, SPAN - k)) for i, x in words.items() for k in range(max(0, SPAN - int(size[i])), min(int(many[i]), REACH) + 1)]
+        for c in range(0, len(rows), 100_000):
+            i, k, h1, h2 = (np.array(x) for x in zip(*rows[c : c + 100_000]))
+            h1 = mix(h1.view(U) ^ before[i, k]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(column(x)[i]) for x in _NAMES[:4]), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.list_(pa.int64())), pa.array(k, pa.int32()), pa.array(h1), pa.array(h2)], names=names)
 
     out_names = ["doc_id", "n_words", "n_removed", "spans", "first_docs", "kept_sha256"] + ["kept_text"] * keep_text
     out_kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()] + [pa.string()] * keep_text
 
-    def kept(block: pa.Table, info: pa.Table) -> pa.Table:
+    def kept(block: pa.Table, marks: pa.Table) -> pa.Table:
         if not block.num_rows:
             return _table([], out_names, out_kinds)
         block = _ordered(block)
-        found = Repeats(block, info)
-        own, gone = found.own, found.extended(info)
-        firsts: dict[int, set] = {}
-        again = np.flatnonzero(found.again)
-        for r, d in np.unique(np.stack([own.row[again], found.doc[again]]), axis=1).T.tolist():
-            firsts.setdefault(r, set()).add(None if d == NO_ID else d)
+        data, bounds = text_bytes(block.column("text"))
+        sizes = np.concatenate([np.empty(0, np.int64), *(np.bincount(split_words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])[2], minlength=j - i) for i, j in row_batches(bounds))])
+        begins = np.cumsum(sizes) - sizes
+        step, firsts = np.zeros(int(sizes.sum()) + 1, np.int64), {}
+        if marks.num_rows:
+            own = Suffixes(block)
+            told: dict[tuple, list[tuple[int, list[int]]]] = {}
+            for d, s, k, m, f in zip(*(marks.column(c).to_pylist() for c in _NAMES[1:])):
+                told.setdefault((d, s, k), []).append((m, f))
+            some = np.isin(own.key.view(np.int64), marks.column("key").to_numpy())
+            place, row, first = [], [], []
+            for d, s, k, p, r in zip(*(x[some].tolist() for x in (own.doc, own.start, own.key.view(np.int64), own.at, own.row))):
+                for m, f in told.get((d, s, k), ()):
+                    place += [p - x for x in range(SPREAD) if m >> x & 1]
+                    first += f
+                    row += [r] * len(f)
+            place, first = np.array(place, np.int64), np.array(first, np.int64)
+            np.add.at(step, place, 1)
+            np.add.at(step, place + SPAN, -1)
+            # Of a passage that stands earlier in the block, another suffix knows where it is first of all.
+            passage = np.unique(hash_windows(own.words, place, SPAN), return_inverse=True)[1]
+            least = np.full(passage.max(initial=0) + 1, NO_ID)
+            np.minimum.at(least, passage, first)
+            for r, f in zip(row, least[passage].tolist()):
+                firsts.setdefault(r, set()).add(f)
+        gone = np.cumsum(step)[:-1] > 0
         rows = []
         for k, (i, t) in enumerate(zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist())):
-            words, mask = (t or "").encode().split(), gone[own.begins[k] : own.begins[k] + own.sizes[k]]
+            words, mask = (t or "").encode().split(), gone[begins[k] : begins[k] + sizes[k]]
             removed = int(mask.sum())
             body = b" ".join(compress(words, (~mask).tolist()) if removed else words)
             spans = ",".join(f"{s}:{e}" for s, e in _runs(mask)) if removed else ""
-            ids = sorted(firsts.get(k, ()), key=lambda d: (d is None, d))
+            ids = [None if d == NO_ID else d for d in sorted(firsts.get(k, ()))]
             rows.append((i, len(words), removed, spans, ids, hashlib.sha256(body).hexdigest()) + ((body.decode(),) if keep_text else ()))
         return _table(rows, out_names, out_kinds)
 
-    row = "shard bigint, block bigint, data binary"
-    answers = text.groupBy("block").applyInArrow(listed, row).groupBy("shard").applyInArrow(counted, row)
-    sparse = text.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(chosen, row)
-    marks = materialise(sparse.groupBy("shard").applyInArrow(neighbours, row), "suffixes")
-    requests = text.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(asked, row)
-    around = text.groupBy("block").cogroup(requests.groupBy("block")).applyInArrow(answered, row)
+    everywhere = W.partitionBy("h")
+    found = text.groupBy("block").applyInArrow(listed, "h bigint, block bigint, twice boolean")
+    often = found.withColumn("n", F.count(F.lit(1)).over(everywhere)).filter("n > 1 or twice").select("h", "block")
+    own = materialise(text.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(chosen, _MARKS + ", left binary, right binary"), "suffixes")
+    sent = own.filter("right is not null").select(*_NAMES[:4], "left", "right")
+    ordered = sent.repartitionByRange(parts, "right", "doc", "start").sortWithinPartitions("right", "doc", "start")
+    marks = materialise(ordered.mapInArrow(compared, _MARKS + ", bit int, h1 bigint, h2 bigint"), "marks")
+    passages = marks.filter("bit is not null")
+    places = passages.groupBy("bit", "h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    late = passages.join(places, ["bit", "h1", "h2"]).filter(F.struct("doc", "start") > F.col("first"))
+    late = late.select(*_NAMES[:4], F.expr("shiftleft(1, bit)").alias("mask"), F.array("first.doc").alias("firsts"))
+    told = own.filter("mask != 0").select(*_NAMES).unionByName(marks.filter("bit is null").select(*_NAMES)).unionByName(late)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, spans string, first_docs array<bigint>, kept_sha256 string" + ", kept_text string" * keep_text
-    return text.groupBy("block").cogroup(marks.unionByName(around).groupBy("block")).applyInArrow(kept, schema)
+    return text.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(kept, schema)
+
+
+def _passage(right: bytes, words: int) -> tuple[int, int]:
+    """Two hashes of the first words of a spelled suffix."""
+    digest = hashlib.blake2b(b" ".join(right.split(b" ", words)[:words]), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+#: The same in DuckDB's SQL; passages as digests of joined words.
+ORACLE_SQL = f"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+     p as (select doc_id, unnest(range(1, len(w) - {SPAN - 2})) as s, w from w where len(w) >= {SPAN}),
+     k as (select doc_id, s, md5(array_to_string(w[s : s + {SPAN - 1}], ' ')) as k from p),
+     f as (select k, min((doc_id, s)) as f from k group by k),
+     g as (select doc_id, s, f[1] as first from k join f using (k) where (doc_id, s) > f),
+     h as (select doc_id, array_to_string(list_sort(list_distinct(list(first))), ',') as firsts from g group by doc_id),
+     c as (select distinct doc_id, unnest(range(s, s + {SPAN})) as i from g),
+     d as (select doc_id, count(*) as gone from c group by doc_id),
+     x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from w),
+     y as (select x.doc_id, string_agg(word, ' ' order by x.i) as body from x left join c on x.doc_id = c.doc_id and x.i = c.i where c.i is null group by x.doc_id)
+select w.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(firsts, '') as first_docs, sha256(coalesce(body, '')) as kept_sha256
+from w left join d using (doc_id) left join h using (doc_id) left join y using (doc_id)"""

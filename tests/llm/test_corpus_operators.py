@@ -102,52 +102,46 @@ def brute_jaccard(ids, texts):
     return out
 
 
-def brute_suffixes(ids, texts):
-    """Anchors found one window at a time, whole word sequences compared, matches grown word by word."""
-    size, reach, found = suffixes.DEPTH, suffixes.REACH, []
-    for k, t in enumerate(texts):
-        w = words(t)
-        if len(w) < size:
-            continue
-        data, bounds = textkernel.text_bytes(pa.array([t]))
-        s, e, row = textkernel.split_words(data, bounds)
-        grams = textkernel.hash_windows(textkernel.hash_words(data, s, e), np.arange(len(w) - suffixes.GRAM + 1), suffixes.GRAM).tolist()
-        at = {min(range(i, i + suffixes.SPREAD), key=lambda p: (grams[p], p)) for i in range(len(grams) - suffixes.SPREAD + 1)}
-        found += [(math.inf if ids[k] is None else ids[k], p, k) for p in at if p + size <= len(w)]
-    first, gone, firsts = {}, defaultdict(set), defaultdict(set)
-    for i, p, k in sorted(found):
-        w = words(texts[k])
-        fi, fp, fk = first.setdefault(tuple(w[p : p + size]), (i, p, k))
-        if (fi, fp) >= (i, p):
-            continue
-        f, left, right = words(texts[fk]), 0, 0
-        while left < reach and p - left > 0 and fp - left > 0 and w[p - left - 1] == f[fp - left - 1]:
-            left += 1
-        while right < reach and p + size + right < len(w) and fp + size + right < len(f) and w[p + size + right] == f[fp + size + right]:
-            right += 1
-        gone[k] |= set(range(p - left, p + size + right))
-        firsts[k].add(fi)
-    out = []
-    for k, t in enumerate(texts):
+def brute_suffixes(ids, texts, span=50):
+    """All windows of ``span`` words, compared word by word."""
+    key = lambda i: math.inf if i is None else i
+    first, out = {}, []
+    for i, t in zip(ids, texts):
         w = words(t)
-        body = " ".join(x for i, x in enumerate(w) if i not in gone[k])
-        ids_k = sorted(firsts[k])
-        out.append((ids[k], len(w), len(gone[k]), tuple(None if i == math.inf else i for i in ids_k), hashlib.sha256(body.encode()).hexdigest()))
+        for k in range(len(w) - span + 1):
+            g = tuple(w[k : k + span])
+            first[g] = min(first.get(g, (math.inf, math.inf)), (key(i), k))
+    for i, t in zip(ids, texts):
+        w, gone, firsts = words(t), set(), set()
+        for k in range(len(w) - span + 1):
+            f = first[tuple(w[k : k + span])]
+            if f < (key(i), k):
+                gone.update(range(k, k + span))
+                firsts.add(f[0])
+        body = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), tuple(None if f == math.inf else f for f in sorted(firsts)), hashlib.sha256(body.encode()).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("size", [400, 3_000, 8_000_000])
-def test_suffixes(spark, monkeypatch, size):
-    monkeypatch.setattr(suffixes, "BLOCK_BYTES", size)
-    monkeypatch.setattr(suffixes, "SHARD_SUFFIXES", size // 10)
+def repeating_texts():
     rng = random.Random(3)
     texts = corpus() + [f"{prose(rng, 20)} {corpus()[10]} {prose(rng, 20)}" for _ in range(4)]
-    parts = [prose(rng, n) for n in (43, 44, 50, 51, 75, 200)]
-    texts += [f"{prose(rng, rng.randrange(9))} {p} {prose(rng, rng.randrange(9))}" for p in parts for _ in range(5)]
-    texts += [" ".join(["the same"] * 90), f"{parts[4]} {parts[4]} {parts[5]}"]
-    ids = [*range(len(texts) - 2), None, None]
+    parts = [prose(rng, n) for n in (35, 44, 49, 50, 51, 64, 75, 200)]
+    texts += [f"{prose(rng, rng.randrange(20))} {p} {prose(rng, rng.randrange(20))}" for p in parts for _ in range(6)]
+    # Pieces of one passage, so that what agrees for longest is not what agrees to the left.
+    texts += [f"{prose(rng, 3)} {' '.join(parts[7].split()[a:b])} {prose(rng, 3)}" for a, b in ((0, 60), (20, 200), (11, 61), (3, 52), (30, 95), (10, 59))]
+    return [*texts, " ".join(["the same"] * 90), f"{parts[6]} {parts[6]} {parts[7]}", parts[6], parts[6]]
+
+
+@pytest.mark.parametrize("size, parts", [(400, 3), (3_000, 40), (8_000_000, 1)])
+def test_suffixes(spark, monkeypatch, size, parts):
+    """Many blocks and many sorted partitions, whose ends cut runs of equal suffixes, or one of each."""
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", size)
+    texts = repeating_texts()
+    monkeypatch.setattr(suffixes, "SORTED_BYTES", sum(len(t or "") for t in texts) // parts + 1)
+    ids = [*range(len(texts) - 4), None, None, 7, 7]
     order = [*range(len(texts))]
-    rng.shuffle(order)
+    random.Random(4).shuffle(order)
     rows = suffixes.find_repeats(table(spark, [texts[k] for k in order], [ids[k] for k in order])).collect()
     got = [(r["doc_id"], r["n_words"], r["n_removed"], tuple(r["first_docs"]), r["kept_sha256"]) for r in rows]
     want = brute_suffixes([ids[k] for k in order], [texts[k] for k in order])
@@ -157,17 +151,19 @@ def test_suffixes(spark, monkeypatch, size):
     assert suffixes.find_repeats(table(spark, [])).count() == 0
 
 
-def test_suffixes_leave_no_long_passage(spark):
-    """Of each window of 50 words that starts earlier too, all words go but for six at either end; rows that repeat keep one."""
+def test_common_words():
+    assert suffixes.common_words(b"a bc d ", b"a bc d ") == 3 and suffixes.common_words(b"a bc d ", b"a bcd ") == 1
+    assert suffixes.common_words(b"a bc ", b"a bc de ") == 2 and suffixes.common_words(b"", b"a ") == 0
+
+
+def test_suffixes_keep_text(spark):
     rng = random.Random(5)
     shared = [prose(rng, 50 + k) for k in range(8)]
-    texts = [f"{prose(rng, 15)} {shared[k % 8]} {prose(rng, 15)}" for k in range(40)]
+    texts = [f"{prose(rng, 15, 10**6)} {shared[k % 8]} {prose(rng, 15, 10**6)}" for k in range(40)]
     got = {r["doc_id"]: r for r in suffixes.find_repeats(table(spark, texts), keep_text=True).collect()}
     for k in range(40):
-        removed = got[k]["n_removed"]
-        assert removed == 0 if k < 8 else 50 + k % 8 - 2 * suffixes.REACH <= removed <= 50 + k % 8 + 4
-        assert k < 8 or k % 8 in got[k]["first_docs"]
-        assert len(got[k]["kept_text"].split()) == got[k]["n_words"] - removed
+        assert got[k]["n_removed"] == (0 if k < 8 else 50 + k % 8) and got[k]["first_docs"] == ([] if k < 8 else [k % 8])
+        assert len(got[k]["kept_text"].split()) == got[k]["n_words"] - got[k]["n_removed"]
 
 
 @pytest.mark.parametrize("tile", [256, 2])
