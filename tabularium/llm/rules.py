@@ -2,15 +2,23 @@
 
 Base counts of every whole text, then a vector of transformed statistics: log
 mean word length, square roots of the symbol and repeated-word shares, log of
-repeated lines. For each language and source the minimum-covariance-determinant
-estimate is found by concentration steps: from coordinate-wise medians, the
-``KEEP_SHARE`` of the group with least Mahalanobis distance gives the next mean
-and covariance. A document beyond ``CUTOFF`` is rejected.
-
-Groups of under ``LEAST_GROUP`` fitted documents use their language's estimate,
-and below that the whole corpus'; with fewer there too, only base rules decide.
-Quantiles come from fixed-width histograms, so they need no group in one task
-and do not depend on the order of merging.
+repeated lines. For the corpus, each language, and each
+language and source the minimum-covariance-determinant estimate is sought by
+concentration steps: the ``KEEP_SHARE`` of the group with least Mahalanobis
+distance gives the next mean and covariance. Steps start from three estimates
+(medians with fixed scales, all documents, directions from the medians), and of
+the three ends that of least determinant stays. As in the regularised estimator
+(MRCD), a small constant diagonal is added, since a statistic may be constant in
+a group. A document beyond ``CUTOFF`` is rejected.
+
+A group is never too small to be judged: its estimate is mixed with that of its
+language as if ``SHRINK`` documents were like the language, the language's with the
+corpus' alike, so that what a group's size changes, it changes gradually. The
+corpus' covariance is mixed with the constant diagonal.
+
+One aggregate a step gives counts and moments by bin of the distance, for all
+groups and starts; the nearest bins that hold the share are summed. So no group
+is ever in one task, and nothing depends on the order of merging but roundings.
 
 Defined cases: null text is empty (no words: fails the base rules); null
 language or source is a value of its own; repeated rows are judged each.
@@ -24,13 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabularium.llm.common import materialise
+from tabularium.llm.common import discard, materialise
 
 WINDOW = 8
 LEAST_WORDS = 20
-LEAST_GROUP = 200
+SHRINK = 40
 KEEP_SHARE = 0.75
 STEPS = 4
+BIN = 1 / 256
 DIMS = ("x1", "x2", "x3", "x4")
 #: Standard deviations below which a statistic's spread is not taken to be: what a reader would not notice.
 FLOORS = (0.10, 0.08, 0.15, 0.50)
@@ -118,109 +127,133 @@ def consistency(share: float, dims: int) -> float:
     return share / chi2_cdf(hi, dims + 2)
 
 
-def _with_params(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
+def _with_params(rows: DataFrame, params: DataFrame, groups: int, how: str = "inner") -> DataFrame:
+    """Join by ``grp``: broadcast while groups are few, else with salted rows, as one group may hold a third of them."""
     if groups <= _BROADCAST_GROUPS:
-        return rows.join(F.broadcast(params), "grp")
+        return rows.join(F.broadcast(params), "grp", how)
     salts = 64
     right = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(right, ["grp", "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(right, ["grp", "_salt"], how).drop("_salt")
+
+
+def group_medians(rows: DataFrame, groups: int) -> DataFrame:
+    """``grp`` and ``m_i``: upper edges of the histogram bins in which each group's medians lie."""
+    long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(x) / BIN).alias("bin")) for i, x in enumerate(DIMS)])).alias("e"))
+    bins = long.groupBy("grp", "e.dim", "e.bin").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("grp", "dim")
+    bins = bins.withColumns({"cum": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)}).filter("2 * cum >= all")
+    return bins.groupBy("grp").agg(*[((F.min(F.when(F.col("dim") == i, F.col("bin"))) + 1) * BIN).alias(f"m_{i}") for i in range(len(DIMS))])
 
 
-def group_quantile(rows: DataFrame, keys: list[str], value: Column, share: float, step: float) -> DataFrame:
-    """Upper edge of the histogram bin in which each group's quantile lies."""
-    bins = rows.select(*keys, F.floor(value / step).alias("_bin")).groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*keys)
-    bins = bins.withColumns({"_cum": F.sum("_n").over(w.orderBy("_bin")), "_all": F.sum("_n").over(w)})
-    return bins.filter(F.col("_cum") >= share * F.col("_all")).groupBy(*keys).agg(((F.min("_bin") + 1) * step).alias("q"))
+_PAIRS = [(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
+_PARAMS = [f"m_{i}" for i in range(len(DIMS))] + [f"c_{i}_{j}" for i, j in _PAIRS]
 
 
 def cholesky(params: DataFrame) -> DataFrame:
-    """From ``m_i`` and ``c_i_j`` to ``m_i`` and the lower factor ``l_i_j``; floors are added to the diagonal."""
-    p = len(DIMS)
-    for i in range(p):
-        for j in range(i + 1):
-            at = F.col(f"c_{i}_{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                at = at - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            params = params.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(at, F.lit(1e-9))) if i == j else at / F.col(f"l_{j}_{j}"))
-    return params.select("grp", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
-
-
-def with_distance(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance."""
-    out = _with_params(rows, params, groups)
+    """Adds the lower factor ``l_i_j`` of ``c_i_j`` with floors on the diagonal, and ``det``, the logarithm of its determinant."""
+    det = F.lit(0.0)
+    for i, j in _PAIRS:
+        at = F.col(f"c_{i}_{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
+        for k in range(j):
+            at = at - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        params = params.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(at, F.lit(1e-9))) if i == j else at / F.col(f"l_{j}_{j}"))
+        det = det + F.log(f"l_{i}_{j}") if i == j else det
+    return params.withColumn("det", 2 * det)
+
+
+def with_distance(rows: DataFrame) -> DataFrame:
+    """Adds ``d2``, the squared Mahalanobis distance under the row's ``m_i`` and ``l_i_j``."""
     d2 = F.lit(0.0)
     for i, x in enumerate(DIMS):
         at = F.col(x) - F.col(f"m_{i}")
         for k in range(i):
             at = at - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
-        out = out.withColumn(f"y_{i}", at / F.col(f"l_{i}_{i}"))
+        rows = rows.withColumn(f"y_{i}", at / F.col(f"l_{i}_{i}"))
         d2 = d2 + F.col(f"y_{i}") * F.col(f"y_{i}")
-    return out.withColumn("d2", d2).select(*rows.columns, "d2")
+    return rows.withColumn("d2", d2).drop(*[f"y_{i}" for i in range(len(DIMS))])
 
 
-def _moments(rows: DataFrame, scale: float) -> DataFrame:
-    p = len(DIMS)
-    sums = [F.count(F.lit(1)).alias("n")] + [F.sum(x).alias(f"s_{i}") for i, x in enumerate(DIMS)]
-    sums += [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy("grp").agg(*sums)
-    out = out.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(p)})
-    cov = lambda i, j: (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale
-    out = out.withColumns({f"c_{i}_{j}": F.greatest(cov(i, j), F.lit(0.0)) if i == j else cov(i, j) for i in range(p) for j in range(i + 1)})
-    return cholesky(out)
+def _sums() -> list[Column]:
+    """Count, and sums of the statistics and of their products."""
+    return [F.count(F.lit(1)).alias("n")] + [F.sum(x).alias(f"s_{i}") for i, x in enumerate(DIMS)] + [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q_{i}_{j}") for i, j in _PAIRS]
 
 
-def _start(fit: DataFrame) -> DataFrame:
-    """Coordinate-wise medians and median absolute deviations."""
-    long = fit.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(x).alias("x")) for i, x in enumerate(DIMS)])).alias("e")).select("grp", "e.dim", "e.x")
-    med = group_quantile(long, ["grp", "dim"], F.col("x"), 0.5, 1 / 256)
-    p = len(DIMS)
-    wide = med.groupBy("grp").agg(*[F.max(F.when(F.col("dim") == i, F.col("q"))).alias(f"m_{i}") for i in range(p)])
-    zero = {f"c_{i}_{j}": F.lit(0.04 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
-    return cholesky(wide.withColumns(zero))
+def _moments(sums: DataFrame, scale: float) -> DataFrame:
+    """Mean and covariance from sums."""
+    out = sums.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(len(DIMS))})
+    cov = lambda i, j: (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale
+    return out.withColumns({f"c_{i}_{j}": F.greatest(cov(i, j), F.lit(0.0)) if i == j else cov(i, j) for i, j in _PAIRS})
+
+
+def starts(fit: DataFrame, groups: int) -> DataFrame:
+    """Three estimates a group, ``start`` 0 to 2: medians with fixed scales, all rows, and directions from the medians."""
+    med = materialise(group_medians(fit, groups), "mcd")
+    fixed = med.withColumns({f"c_{i}_{j}": F.lit(0.04 if i == j else 0.0) for i, j in _PAIRS})
+    z = [(F.col(x) - F.col(f"m_{i}")) / FLOORS[i] for i, x in enumerate(DIMS)]
+    way = _with_params(fit, med, groups).withColumn("_z", F.sqrt(F.greatest(sum((v * v for v in z), F.lit(0.0)), F.lit(1e-12))))
+    signs = [F.avg(z[i] * z[j] / (F.col("_z") * F.col("_z"))).alias(f"a_{i}_{j}") for i, j in _PAIRS]
+    sums = way.groupBy("grp").agg(*_sums(), *signs, *[F.first(f"m_{i}").alias(f"med_{i}") for i in range(len(DIMS))])
+    sums = materialise(sums, "mcd")
+    whole = _moments(sums, 1.0)
+    turned = sums.withColumns({f"m_{i}": F.col(f"med_{i}") for i in range(len(DIMS))} | {f"c_{i}_{j}": F.col(f"a_{i}_{j}") * (len(DIMS) * FLOORS[i] * FLOORS[j]) for i, j in _PAIRS})
+    out = [df.select("grp", F.lit(k).alias("start"), *_PARAMS) for k, df in enumerate((fixed, whole, turned))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def concentrated(fit: DataFrame, params: DataFrame, groups: int, share: float = KEEP_SHARE) -> DataFrame:
+    """Mean and covariance of the nearest ``share`` of each group under each start's estimate; ``n_all`` rows in all."""
+    near = with_distance(_with_params(fit, cholesky(params), groups))
+    bins = near.groupBy("grp", "start", F.floor(F.log1p("d2") / BIN).alias("bin")).agg(*_sums())
+    w = W.partitionBy("grp", "start")
+    bins = bins.withColumns({"before": F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n_all": F.sum("n").over(w)})
+    inner = bins.filter(F.col("before") < share * F.col("n_all"))
+    names = ["n", *[f"s_{i}" for i in range(len(DIMS))], *[f"q_{i}_{j}" for i, j in _PAIRS]]
+    return _moments(inner.groupBy("grp", "start").agg(F.max("n_all").alias("n_all"), *[F.sum(c).alias(c) for c in names]), consistency(share, len(DIMS)))
 
 
 def estimate(fit: DataFrame, groups: int, steps: int = STEPS, share: float = KEEP_SHARE) -> DataFrame:
-    """Centre and Cholesky factor of each ``grp`` by concentration steps."""
-    params = materialise(_start(fit), "mcd")
+    """``grp, n_all``, centre and covariance: of the ends of the concentration steps, that of least determinant."""
+    params = materialise(starts(fit, groups), "mcd")
     for _ in range(steps):
-        near = with_distance(fit, params, groups).withColumn("_d", F.log1p("d2"))
-        cut = group_quantile(near, ["grp"], F.col("_d"), share, 1 / 256)
-        params = materialise(_moments(_with_params(near, cut, groups).filter(F.col("_d") < F.col("q")), consistency(share, len(DIMS))), "mcd")
-    return params
+        old, params = params, materialise(concentrated(fit, params, groups, share).select("grp", "start", "n_all", *_PARAMS), "mcd")
+        discard(old)
+    best = cholesky(params).groupBy("grp").agg(F.min(F.struct("det", "start", "n_all", *_PARAMS)).alias("x"))
+    return best.select("grp", "x.det", "x.start", "x.n_all", *[f"x.{c}" for c in _PARAMS])
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, least_group: int = LEAST_GROUP) -> DataFrame:
+def blended(own: DataFrame, wider: DataFrame | None, shrink: float = SHRINK) -> DataFrame:
+    """``own`` (with ``up``, the wider group's name) mixed with ``shrink`` rows of the wider group: mean, and the mixture's covariance."""
+    p = len(DIMS)
+    n, k = F.col("n_all").cast("double"), float(shrink)
+    if wider is None:
+        prior = {f"c_{i}_{j}": (F.col(f"c_{i}_{j}") * n + (k * FLOORS[i] ** 2 if i == j else 0.0)) / (n + k) for i, j in _PAIRS}
+        return own.withColumns(prior)
+    other = wider.select(F.col("grp").alias("up"), *[F.col(c).alias("w" + c) for c in _PARAMS])
+    both = own.join(other, "up")
+    gap = lambda i: F.col(f"m_{i}") - F.col(f"wm_{i}")
+    new = {f"m_{i}": (F.col(f"m_{i}") * n + F.col(f"wm_{i}") * k) / (n + k) for i in range(p)}
+    new |= {f"c_{i}_{j}": (F.col(f"c_{i}_{j}") * n + F.col(f"wc_{i}_{j}") * k) / (n + k) + gap(i) * gap(j) * n * k / ((n + k) * (n + k)) for i, j in _PAIRS}
+    return both.withColumns(new).drop(*["w" + c for c in _PARAMS])
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, shrink: float = SHRINK) -> DataFrame:
     """A slim row a document: id, text hash, counts, base verdict, squared distance (null: not judged), verdict."""
     slim = base_counts(docs.select("doc_id", "text", "lang", "source")).withColumn("text_hash", F.xxhash64("text")).drop("text")
-    slim = materialise(slim.select("*", *transformed()), "rules")
-    fit = slim.filter(~F.col("base_failed"))
-    sizes = fit.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_own"))
-    by_lang = sizes.groupBy("lang").agg(F.sum("n_own").alias("n_lang"))
-    total = sizes.agg(F.sum("n_own")).first()[0] or 0
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
-    grp = (
-        F.when(F.col("n_own") >= least_group, F.concat_ws("\x1f", F.lit("own"), name("lang"), name("source")))
-        .when(F.col("n_lang") >= least_group, F.concat_ws("\x1f", F.lit("lang"), name("lang")))
-        .when(F.lit(total >= least_group), F.lit("all"))
-    )
-    pairs = slim.select("lang", "source").distinct()
-    keyed = pairs.join(sizes, pairs["lang"].eqNullSafe(sizes["lang"]) & pairs["source"].eqNullSafe(sizes["source"]), "left").select(pairs["lang"], pairs["source"], "n_own")
-    keyed = keyed.join(by_lang, keyed["lang"].eqNullSafe(by_lang["lang"]), "left").select(keyed["lang"], "source", "n_own", "n_lang")
-    keyed = materialise(keyed.select(F.concat_ws("\x1f", name("lang"), name("source")).alias("_pair"), grp.alias("grp")), "groups")
-    groups = keyed.count()
-    rows = slim.withColumn("_pair", F.concat_ws("\x1f", name("lang"), name("source")))
-    own = keyed.select(F.col("_pair").alias("grp"), F.col("grp").alias("_g"))
-    rows = _with_params(rows.withColumnRenamed("_pair", "grp"), own, groups).drop("grp").withColumnRenamed("_g", "grp")
-    # A group falls back on a wider one whose estimate rests on all documents of that width.
-    wide = [F.col("grp"), F.concat_ws("\x1f", F.lit("lang"), name("lang")), F.lit("all")]
-    needed = keyed.filter(F.col("grp").isNotNull()).select("grp").distinct()
-    fit = rows.filter(~F.col("base_failed")).withColumn("grp", F.explode(F.array_distinct(F.array(*wide)))).filter(F.col("grp").isNotNull()).select("grp", *DIMS)
-    fit = _with_params(fit, needed, groups)
-    params = estimate(fit, groups)
-    seen = with_distance(rows.filter(F.col("grp").isNotNull()), params, groups)
-    rest = rows.filter(F.col("grp").isNull()).withColumn("d2", F.lit(None).cast("double"))
-    out = seen.unionByName(rest)
+    by_lang, by_pair = F.concat_ws("\x1f", F.lit("lang"), name("lang")), F.concat_ws("\x1f", F.lit("own"), name("lang"), name("source"))
+    slim = materialise(slim.select("*", *transformed(), by_pair.alias("grp"), by_lang.alias("up")), "rules")
+    fit = slim.filter(~F.col("base_failed"))
+    names = materialise(fit.groupBy("grp", "up").agg(F.count(F.lit(1)).alias("n")), "groups")
+    groups = names.count()
+    # Every document counts for its source, its language and the corpus.
+    fit = fit.select(F.explode(F.array("grp", "up", F.lit("all"))).alias("grp"), *DIMS)
+    found = materialise(estimate(fit, groups), "mcd")
+    top = blended(found.filter("grp = 'all'"), None, shrink)
+    langs = blended(found.join(names.select(F.col("up").alias("grp")).distinct(), "grp").withColumn("up", F.lit("all")), top, shrink)
+    own = blended(found.join(names.select("grp", "up"), "grp"), langs, shrink)
+    factor = [f"m_{i}" for i in range(len(DIMS))] + [f"l_{i}_{j}" for i, j in _PAIRS]
+    params = materialise(cholesky(own).select("grp", *factor), "mcd")
+    out = with_distance(_with_params(slim, params, groups, "left")).drop(*factor, "grp", "up")
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff))
 
 

@@ -1,6 +1,7 @@
 """Each corpus operator against brute force on small tables, with nulls, empties, long texts, ties and repeated rows."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -392,6 +393,42 @@ def test_rules_reject_outliers(spark):
     assert rules.judge(table(spark, [])).count() == 0
 
 
+def test_rules_judge_small_corpora(spark):
+    """The method is on at any size: 30 alike documents and one of another kind."""
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randrange(60, 90), 5000) for _ in range(30)] + [" ".join(w + "###" for w in prose(rng, 60, 5000).split())]
+    got = {r["doc_id"]: r for r in rules.judge(table(spark, texts)).collect()}
+    assert all(got[i]["kept"] for i in range(30)) and not got[30]["kept"] and not got[30]["base_failed"]
+
+
+def test_determinant_is_least_of_all_subsets(spark):
+    """Against the least determinant among all subsets of the size that is kept."""
+    rng, rows = np.random.default_rng(3), []
+    for g in range(8):
+        x = rng.normal([1.6, 0.05, 0.05, 0.1], [0.3, 0.2, 0.3, 0.8], (12, 4))
+        x[:3] += rng.normal(3, 1, (3, 4)) * (g % 2)
+        rows += [(f"g{g}", *map(float, r)) for r in x]
+    fit = spark.createDataFrame(rows, "grp string, x1 double, x2 double, x3 double, x4 double")
+    got = {r["grp"]: r for r in rules.estimate(fit, 8).collect()}
+    scale, floors, near = rules.consistency(rules.KEEP_SHARE, 4), np.diag(np.square(rules.FLOORS)), 0
+    for g in range(8):
+        x = np.array([r[1:] for r in rows if r[0] == f"g{g}"])
+        best = min(np.linalg.slogdet(np.cov(x[list(c)].T, bias=True) * scale + floors)[1] for c in itertools.combinations(range(12), 9))
+        assert got[f"g{g}"]["n_all"] == 12 and best - 1e-9 <= got[f"g{g}"]["det"] <= best + 1.0
+        near += got[f"g{g}"]["det"] <= best + 0.01
+    assert near >= 5
+
+
+def test_small_groups_change_gradually(spark):
+    """One more document changes a source's estimate by little, whatever the source's size."""
+    wide = "grp string, up string, n_all long, " + ", ".join(f"{c} double" for c in rules._PARAMS)
+    lang = spark.createDataFrame([("l", "all", 10_000, *[0.0] * 4, *[1.0 if c[2] == c[4] else 0.0 for c in rules._PARAMS[4:]])], wide)
+    own = spark.createDataFrame([(f"s{n}", "l", n, *[1.0] * 4, *[4.0 if c[2] == c[4] else 0.0 for c in rules._PARAMS[4:]]) for n in range(1, 400)], wide)
+    got = sorted((r["n_all"], r["m_0"], r["c_0_0"]) for r in rules.blended(own, lang).collect())
+    assert all(0 < b[1] - a[1] < 0.03 and abs(b[2] - a[2]) < 0.12 for a, b in zip(got, got[1:]))
+    assert got[0][1] < 0.03 and got[-1][1] > 0.9 and got[-1][2] > 3.5
+
+
 def test_secrets(spark):
     rng = random.Random(7)
     key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
