@@ -545,6 +545,34 @@ def test_urls(spark):
     ]
 
 
+def test_url_weights(spark, tmp_path):
+    """Soft terms add up to the limit, each once; a vocabulary may be loaded; terms are whole words in any script."""
+    file = tmp_path / "terms.tsv"
+    file.write_text("# remark\n\nBad\t10\nmild\t4\nsoft\t4\nfaint\t2\nmild\t3\nstraße\t10\n", "utf-8")
+    terms = urls.load_terms(str(file))
+    assert terms == {"bad": 10, "mild": 4, "soft": 4, "faint": 2, "straße": 10}
+    rows = ["http://x.org/mild-mild-soft", "http://x.org/mild/soft?faint", "http://x.org/badly", "http://x.org/BAD", "http://x.org/straße/", "http://x.org/straßen", "mildésoft", "soft.faint mild"]
+    schema = "page_id long, url string, host string, path string, weight string, _id int, _url int, rule string"
+    pages = spark.createDataFrame([(k, u, "h", "p", "w", 1, 2, "r") for k, u in enumerate(rows)] * 2, schema)
+    got = sorted((r["page_id"], r["weight"], r["verdict"]) for r in urls.filter_urls(pages, terms=terms).collect())
+    want = [(8, "allow"), (10, "block"), (0, "allow"), (10, "block"), (10, "block"), (0, "allow"), (0, "allow"), (10, "block")]
+    assert got == sorted([(k, *w) for k, w in enumerate(want)] * 2)
+    assert urls.filter_urls(pages.limit(0)).collect() == [] and {r["verdict"] for r in urls.filter_urls(pages, terms={}).collect()} == {"allow"}
+    assert 60 <= len(urls.load_terms()) <= 200 and urls.filter_urls(pages).columns[-1] == "weight"
+    with pytest.raises(ValueError):
+        file.write_text("x\t0\n")
+        urls.load_terms(str(file))
+
+
+def test_url_vocabulary_against_plain_search():
+    rng = random.Random(2)
+    terms = tuple(sorted(urls.load_terms().items()))
+    for _ in range(300):
+        text = "".join(rng.choice([rng.choice(terms)[0], "-", ".", "x", "7", "é", "/"]) for _ in range(8))
+        found = [w for t, w in terms if re.search(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", text)]
+        assert urls.count_terms(text, terms) == (sum(w >= 10 for w in found), sum(w < 10 for w in found), sum(found))
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     bad = ["idiot", "moron", "pathetic"]
