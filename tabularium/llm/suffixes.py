@@ -2,10 +2,11 @@
 
 A passage of ``SPAN`` words that stands earlier too, at a smaller id or earlier in
 the same text, is removed. Of every text only the suffixes at minimisers are kept:
-positions whose ``GRAM`` words hash lowest (the leftmost on ties) among ``SPREAD``
-neighbouring positions. They are chosen by content, so a passage brings its own
-positions along: in its first ``SPREAD`` words both of its places have a suffix,
-with at least ``DEPTH`` words of the passage behind it and the rest before it.
+of the first ``SPREAD`` positions of a passage that whose ``GRAM`` words hash lowest
+(the leftmost on ties). It is chosen by content, so a passage brings its own
+position along: both of its places have a suffix there, with at least ``DEPTH`` words
+of the passage behind it and the rest before it. A suffix serves the passages that
+begin ``low`` to ``high`` words before it, each passage one suffix.
 
 Texts are dealt into blocks by a hash of their row. (1) Blocks list hashes of the
 ``DEPTH`` words at their suffixes; those that occur once anywhere are out. (2) The
@@ -13,9 +14,9 @@ others are sorted by their words, in each block first: the words that neighbours
 have in common (the LCP array) tell the runs of suffixes that agree for ``r``
 words, for each ``r`` from ``DEPTH`` to ``SPAN``. A match is then extended to the left
 by the ``SPAN - r`` words that it still lacks; of the suffixes that agree in both
-directions, all but the one of the first place are marked. (3) Suffixes whose
-passage is not met earlier in their block are sorted over the whole cluster and
-compared likewise. Where a run goes on in another sorted partition, its passages
+directions, all but the one of the first place are marked. (3) Suffixes with a
+passage that is not met earlier in their block are sorted over the whole cluster
+and compared likewise. Where a run goes on in another sorted partition, its passages
 are grouped by hash instead, with partial sums, as such a run may be of any size.
 (4) Blocks remove the passages at their marked suffixes.
 
@@ -45,7 +46,7 @@ from tabularium.llm.substrings import BLOCK_BYTES, NO_ID, _ordered, _table
 from tabularium.llm.textkernel import U, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
 
 SPAN = 50
-SPREAD = 16
+SPREAD = 24
 GRAM = 4
 REACH = SPREAD - 1
 DEPTH = SPAN - REACH
@@ -53,12 +54,12 @@ DEPTH = SPAN - REACH
 SORTED_BYTES = 16_000_000
 
 
-def minimisers(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Positions of minimisers with ``DEPTH`` words of their text from there on."""
+def minimisers(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of minimisers of passages, and how far before them the last and the first of their passages begins."""
+    passages = window_starts(rows, SPAN)
+    if not len(passages):
+        return passages, passages, passages
     grams = window_starts(rows, GRAM)
-    spans = window_starts(rows, GRAM + SPREAD - 1)
-    if not len(spans):
-        return np.empty(0, np.int64)
     order = np.full(len(words) + SPREAD, np.iinfo(U).max, U)
     order[grams] = hash_windows(words, grams, GRAM)
     least, reach = np.arange(len(words)), 1
@@ -67,27 +68,30 @@ def minimisers(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
         ahead = np.minimum(np.arange(len(words)) + by, len(words) - 1)
         least = np.where(order[least] <= order[least[ahead]], least, least[ahead])
         reach += by
-    at = np.unique(least[spans])
-    at = at[at + DEPTH <= len(words)]
-    return at[rows[at] == rows[at + DEPTH - 1]]
+    at = least[passages]
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    at = at[cut]
+    return at, at - passages[np.append(cut[1:], len(passages)) - 1], at - passages[cut]
 
 
 class Suffixes:
-    """The words of a block, a blank after each, and its sparse suffixes."""
+    """The words of a block, on request spelled with a blank after each, and its sparse suffixes."""
 
     def __init__(self, block: pa.Table, spelled: bool = False):
         data, bounds = text_bytes(block.column("text"))
         ids = block.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes, at, key, row_of, seen, words = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, np.int64)], 0, [np.empty(0, U)]
-        letters, ends, written = [], [np.zeros(1, np.int64)], 0
+        sizes, at, low, high, key, row_of, words = ([np.empty(0, k)] for k in (np.int64, np.int64, np.int64, np.int64, U, np.int64, U))
+        letters, ends, seen, written = [], [np.zeros(1, np.int64)], 0, 0
         for i, j in row_batches(bounds):
             part = data[bounds[i] : bounds[j]]
             s, e, row = split_words(part, bounds[i : j + 1] - bounds[i])
             h = hash_words(part, s, e)
-            p = minimisers(h, row)
+            p, near, far = minimisers(h, row)
             words.append(h)
             sizes.append(np.bincount(row, minlength=j - i))
             at.append(p + seen)
+            low.append(near)
+            high.append(far)
             key.append(hash_windows(h, p, DEPTH))
             row_of.append(row[p] + i)
             seen += len(h)
@@ -99,17 +103,15 @@ class Suffixes:
                 letters.append(plain.tobytes())
                 ends.append(to + written)
                 written += len(plain)
-        self.sizes, self.at, self.key, self.row = (np.concatenate(x) for x in (sizes, at, key, row_of))
+        self.sizes, self.at, self.low, self.high, self.key, self.row, self.words = (np.concatenate(x) for x in (sizes, at, low, high, key, row_of, words))
+        self.letters, self.ends = b"".join(letters), np.concatenate(ends)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.doc, self.start = ids[self.row], (self.at - self.begins[self.row]).astype(np.int32)
-        self.words = np.concatenate(words)
-        self.letters, self.ends = b"".join(letters), np.concatenate(ends)
 
     def spelled(self, which: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-        """Up to ``REACH`` words before each suffix, and up to ``SPAN`` from it on."""
-        at, row = self.at[which], self.row[which]
-        begin, end = self.begins[row], self.begins[row] + self.sizes[row]
-        a, b, c = (self.ends[x].tolist() for x in (np.maximum(at - REACH, begin), at, np.minimum(at + SPAN, end)))
+        """The words of each suffix's passages, before it and from it on."""
+        at = self.at[which]
+        a, b, c = (self.ends[x].tolist() for x in (at - self.high[which], at, at + SPAN - self.low[which]))
         return [self.letters[x:y] for x, y in zip(a, b)], [self.letters[x:y] for x, y in zip(b, c)]
 
 
@@ -124,23 +126,22 @@ def common_words(a: bytes, b: bytes) -> int:
     return a.count(b" ", 0, lo)
 
 
-def words_before(left: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix and number of words ``l`` a hash of the ``l`` words before it (column 0: of none), and how many there are."""
+def words_before(left: pa.Array) -> np.ndarray:
+    """For each suffix and number of words ``l`` a hash of the ``l`` words before it (column 0: of none); garbage where there are fewer."""
     data, bounds = text_bytes(left.cast(pa.large_binary()).cast(pa.large_string()))
     s, e, row = split_words(data, bounds)
-    h, many = hash_words(data, s, e), np.bincount(row, minlength=len(left))
     out = np.zeros((len(left), REACH + 1), U)
-    back = np.cumsum(many)[row] - np.arange(len(row))  # the nearest word: 1
-    out[row, back] = h
+    back = np.cumsum(np.bincount(row, minlength=len(left)))[row] - np.arange(len(row))  # the nearest word: 1
+    out[row, back] = hash_words(data, s, e)
     for k in range(1, REACH + 1):
         out[:, k] = mix(out[:, k] ^ out[:, k - 1] * U(0x9E3779B97F4A7C15))
-    return out, many
+    return out
 
 
-def earlier(lcp: np.ndarray, size: np.ndarray, before: np.ndarray, many: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted suffixes: bit ``l`` where the ``SPAN`` words from ``l`` before a suffix on stand earlier, and the first id of each such passage (one column a bit).
+def earlier(lcp: np.ndarray, before: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted suffixes: bit ``l`` where the passage that begins ``l`` words before a suffix stands earlier, and its first id (one column a bit).
 
-    ``lcp[i]`` is what suffix ``i`` has in common with the one before it, ``size`` how many words it has.
+    ``lcp[i]`` is how many words suffix ``i`` has in common with the one before it; it serves passages from ``low`` to ``high`` words before it.
     """
     n = len(lcp)
     order = np.lexsort((start, doc))
@@ -150,19 +151,21 @@ def earlier(lcp: np.ndarray, size: np.ndarray, before: np.ndarray, many: np.ndar
     rank[order] = np.cumsum(new) - 1
     id_of = doc[order][new]
     mask, first = np.zeros(n, np.int64), np.full((n, SPREAD), NO_ID)
-    after = np.append(lcp[1:], 0) if n else lcp
+    longest = np.maximum(lcp, np.append(lcp[1:], 0)) if n else lcp
     for k in range(SPREAD):
         r = SPAN - k
-        at = np.flatnonzero(((lcp >= r) | (after >= r)) & (many >= k) & (size >= r))
+        at = np.flatnonzero((longest >= r) & (low <= k) & (k <= high))
         if not len(at):
             continue
         run = np.cumsum(lcp < r)[at]
-        passage = np.unique(mix(before[at, k] ^ mix(run.astype(U))), return_inverse=True)[1]
-        least = np.full(passage.max() + 1, n)
-        np.minimum.at(least, passage, rank[at])
-        late = rank[at] > least[passage]
+        passage = mix(before[at, k] ^ mix(run.astype(U)))
+        order = np.argsort(passage, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], passage[order][1:] != passage[order][:-1]]))
+        least = np.empty(len(at), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(rank[at][order], cut), np.diff(np.append(cut, len(at))))
+        late = rank[at] > least
         mask[at[late]] |= 1 << k
-        first[at[late], k] = id_of[least[passage[late]]]
+        first[at[late], k] = id_of[least[late]]
     return mask, first
 
 
@@ -174,11 +177,18 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 _NAMES = ["block", "doc", "start", "key", "mask", "firsts"]
 _KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
 _MARKS = "block bigint, doc bigint, start int, key bigint, mask int, firsts array<bigint>"
+_BITS = np.arange(SPREAD)
 
 
-def _firsts(mask: np.ndarray, first: np.ndarray) -> list[list[int]]:
+def _firsts(mask: np.ndarray, first: np.ndarray) -> pa.Array:
     """The first id for each bit that is set, in order of bits."""
-    return [[d for k, d in enumerate(row) if m >> k & 1] for m, row in zip(mask.tolist(), first.tolist())]
+    bits = (mask[:, None] >> _BITS & 1).astype(bool)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(bits.sum(1))]), pa.int32()), pa.array(first[bits]))
+
+
+def _same(doc: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One number for id, start and content of a suffix."""
+    return mix(mix(doc.view(U) ^ mix(start.astype(U))) ^ key.view(U))
 
 
 def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -196,7 +206,7 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         return pa.table([pa.array(found.view(np.int64)), pa.array(np.full(len(found), block.column("block")[0].as_py()), pa.int64()), pa.array(counts > 1)], names=["h", "block", "twice"])
 
     def chosen(block: pa.Table, often: pa.Table) -> pa.Table:
-        names, kinds = [*_NAMES, "left", "right"], [*_KINDS, pa.binary(), pa.binary()]
+        names, kinds = [*_NAMES, "low", "high", "left", "right"], [*_KINDS, pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         if not block.num_rows or not often.num_rows:
             return _table([], names, kinds)
         own = Suffixes(_ordered(block), spelled=True)
@@ -205,41 +215,26 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         left, right = own.spelled(at)
         order = sorted(range(len(at)), key=right.__getitem__)
         at, left, right = at[np.array(order, np.int64)], [left[k] for k in order], [right[k] for k in order]
-        lcp = np.array([0, *map(common_words, right[:-1], right[1:])] if right else [], np.int64)
-        before, many = words_before(pa.array(left, pa.binary()))
-        row = own.row[at]
-        words = np.minimum(SPAN, own.sizes[row] - own.start[at])
-        mask, first = earlier(lcp, words, before, many, own.doc[at], own.start[at])
-        whole = ((1 << (np.minimum(many, REACH) + 1)) - 1) & ~((1 << (SPAN - words)) - 1)  # the passages that a suffix has
-        sent = np.flatnonzero(mask != whole)
-        told = mask != 0
-        lone = np.zeros(len(at), bool)
-        lone[sent] = True
-        use = np.flatnonzero(told | lone)
-        firsts = _firsts(mask[use], first[use])
-        cols = [
-            np.full(len(use), block.column("block")[0].as_py()),
-            own.doc[at][use],
-            own.start[at][use],
-            own.key[at][use].view(np.int64),
-            mask[use],
-            firsts,
-            [left[k] if lone[k] else None for k in use.tolist()],
-            [right[k] if lone[k] else None for k in use.tolist()],
-        ]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+        lcp = np.array([0, *map(common_words, right, right[1:])][: len(right)], np.int64)
+        low, high = own.low[at], own.high[at]
+        mask, first = earlier(lcp, words_before(pa.array(left, pa.binary())), low, high, own.doc[at], own.start[at])
+        lone = mask != (1 << (high + 1)) - (1 << low)  # some passage is not met earlier in the block
+        use = np.flatnonzero((mask != 0) | lone)
+        at, sent = at[use], lone[use].tolist()
+        cols = [np.full(len(use), block.column("block")[0].as_py()), own.doc[at], own.start[at], own.key[at].view(np.int64), mask[use], _firsts(mask[use], first[use])]
+        cols += [low[use], high[use], *([words[k] if s else None for k, s in zip(use.tolist(), sent)] for words in (left, right))]
+        return pa.table([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(cols, kinds)], names=names)
 
     def compared(batches):
         """Marks of a sorted partition; the suffixes of its first and last run give a row for each of their passages, to be grouped with other partitions'."""
         names, kinds = [*_NAMES, "bit", "h1", "h2"], [*_KINDS, pa.int32(), pa.int64(), pa.int64()]
-        kept, lcp, size, last, runs = [], [], [], b"", 0
+        kept, lcp, last, runs = [], [], b"", 0
         begin = now = []  # the words of the first run, and of the one at hand
         for b in batches:
             if not b.num_rows:
                 continue
             for x in b.column("right").to_pylist():
                 lcp.append(common_words(last, x))
-                size.append(x.count(b" "))
                 if lcp[-1] < DEPTH:
                     now, runs = [], runs + 1
                     begin = now if runs == 1 else begin
@@ -249,21 +244,22 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         if not kept:
             return
         table = pa.Table.from_batches(kept).combine_chunks()
-        lcp, size = np.array(lcp, np.int64), np.array(size, np.int64)
-        column = lambda c: table.column(c).combine_chunks().to_numpy()
-        before, many = words_before(table.column("left").combine_chunks())
-        mask, first = earlier(lcp, size, before, many, column("doc"), column("start"))
+        lcp = np.array(lcp, np.int64)
+        col = {c: table.column(c).combine_chunks().to_numpy() for c in (*_NAMES[:4], "low", "high")}
+        before = words_before(table.column("left").combine_chunks())
+        mask, first = earlier(lcp, before, col["low"], col["high"], col["doc"], col["start"])
         run = np.cumsum(lcp < DEPTH)
-        edge = (run == run[0]) | (run == run[-1])
-        at = np.flatnonzero((mask != 0) & ~edge)
+        at = np.flatnonzero((mask != 0) & (run != run[0]) & (run != run[-1]))
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(column(c)[at]) for c in _NAMES[:4]), pa.array(mask[at], pa.int32()), pa.array(_firsts(mask[at], first[at]), pa.list_(pa.int64())), pa.nulls(len(at), pa.int32()), none, none], names=names)
-        words = dict(enumerate(begin)) | dict(enumerate(now, len(lcp) - len(now)))
-        rows = [(i, k, *_passage(x, SPAN - k)) for i, x in words.items() for k in range(max(0, SPAN - int(size[i])), min(int(many[i]), REACH) + 1)]
-        for c in range(0, len(rows), 100_000):
-            i, k, h1, h2 = (np.array(x) for x in zip(*rows[c : c + 100_000]))
-            h1 = mix(h1.view(U) ^ before[i, k]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(column(x)[i]) for x in _NAMES[:4]), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.list_(pa.int64())), pa.array(k, pa.int32()), pa.array(h1), pa.array(h2)], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(col[c][at]) for c in _NAMES[:4]), pa.array(mask[at], pa.int32()), _firsts(mask[at], first[at]), pa.nulls(len(at), pa.int32()), none, none], names=names)
+        edge, words = np.flatnonzero((run == run[0]) | (run == run[-1])), [*begin, *now] if run[0] != run[-1] else now
+        for c in range(0, len(edge), 5_000):
+            some = edge[c : c + 5_000]
+            many = col["high"][some] - col["low"][some] + 1
+            i, k = np.repeat(some, many), np.concatenate([np.arange(a, b + 1) for a, b in zip(col["low"][some].tolist(), col["high"][some].tolist())])
+            h = np.array([_passage(x, SPAN - n) for x, a, b in zip(words[c : c + 5_000], col["low"][some].tolist(), col["high"][some].tolist()) for n in range(a, b + 1)], np.int64).reshape(-1, 2)
+            h1 = mix(np.ascontiguousarray(h[:, 0]).view(U) ^ before[i, k]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(col[x][i]) for x in _NAMES[:4]), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.list_(pa.int64())), pa.array(k, pa.int32()), pa.array(h1), pa.array(h[:, 1])], names=names)
 
     out_names = ["doc_id", "n_words", "n_removed", "spans", "first_docs", "kept_sha256"] + ["kept_text"] * keep_text
     out_kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()] + [pa.string()] * keep_text
@@ -278,25 +274,31 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         step, firsts = np.zeros(int(sizes.sum()) + 1, np.int64), {}
         if marks.num_rows:
             own = Suffixes(block)
-            told: dict[tuple, list[tuple[int, list[int]]]] = {}
-            for d, s, k, m, f in zip(*(marks.column(c).to_pylist() for c in _NAMES[1:])):
-                told.setdefault((d, s, k), []).append((m, f))
-            some = np.isin(own.key.view(np.int64), marks.column("key").to_numpy())
-            place, row, first = [], [], []
-            for d, s, k, p, r in zip(*(x[some].tolist() for x in (own.doc, own.start, own.key.view(np.int64), own.at, own.row))):
-                for m, f in told.get((d, s, k), ()):
-                    place += [p - x for x in range(SPREAD) if m >> x & 1]
-                    first += f
-                    row += [r] * len(f)
-            place, first = np.array(place, np.int64), np.array(first, np.int64)
-            np.add.at(step, place, 1)
-            np.add.at(step, place + SPAN, -1)
+            col = {c: marks.column(c).combine_chunks() for c in _NAMES[1:]}
+            theirs = _same(*(col[c].to_numpy() for c in _NAMES[1:4]))
+            order = np.argsort(theirs)
+            theirs, mask = theirs[order], col["mask"].to_numpy().astype(np.int64)[order]
+            first, offset = col["firsts"].flatten().to_numpy(), col["firsts"].offsets.to_numpy()[:-1][order] - col["firsts"].offsets[0].as_py()
+            mine = _same(own.doc, own.start, own.key)
+            lo, hi = np.searchsorted(theirs, mine, side="left"), np.searchsorted(theirs, mine, side="right")
+            i = np.repeat(np.arange(len(mine)), hi - lo)  # a suffix, and
+            m = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(i))  # a mark of it
+            place, row, told = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            nth = offset[m]
+            for x in range(SPREAD):
+                has = np.flatnonzero(mask[m] >> x & 1)
+                place.append(own.at[i[has]] - x)
+                row.append(own.row[i[has]])
+                told.append(first[nth[has]])
+                nth[has] += 1
+            place, row, told = (np.concatenate(x) for x in (place, row, told))
+            step += np.bincount(place, minlength=len(step)) - np.bincount(place + SPAN, minlength=len(step))
             # Of a passage that stands earlier in the block, another suffix knows where it is first of all.
             passage = np.unique(hash_windows(own.words, place, SPAN), return_inverse=True)[1]
             least = np.full(passage.max(initial=0) + 1, NO_ID)
-            np.minimum.at(least, passage, first)
-            for r, f in zip(row, least[passage].tolist()):
-                firsts.setdefault(r, set()).add(f)
+            np.minimum.at(least, passage, told)
+            for r, f in np.unique(np.stack([row, least[passage]]), axis=1).T.tolist():
+                firsts.setdefault(r, []).append(f)
         gone = np.cumsum(step)[:-1] > 0
         rows = []
         for k, (i, t) in enumerate(zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist())):
@@ -304,15 +306,15 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             removed = int(mask.sum())
             body = b" ".join(compress(words, (~mask).tolist()) if removed else words)
             spans = ",".join(f"{s}:{e}" for s, e in _runs(mask)) if removed else ""
-            ids = [None if d == NO_ID else d for d in sorted(firsts.get(k, ()))]
+            ids = [None if d == NO_ID else d for d in firsts.get(k, ())]
             rows.append((i, len(words), removed, spans, ids, hashlib.sha256(body).hexdigest()) + ((body.decode(),) if keep_text else ()))
         return _table(rows, out_names, out_kinds)
 
     everywhere = W.partitionBy("h")
     found = text.groupBy("block").applyInArrow(listed, "h bigint, block bigint, twice boolean")
     often = found.withColumn("n", F.count(F.lit(1)).over(everywhere)).filter("n > 1 or twice").select("h", "block")
-    own = materialise(text.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(chosen, _MARKS + ", left binary, right binary"), "suffixes")
-    sent = own.filter("right is not null").select(*_NAMES[:4], "left", "right")
+    own = materialise(text.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(chosen, _MARKS + ", low int, high int, left binary, right binary"), "suffixes")
+    sent = own.filter("right is not null").select(*_NAMES[:4], "low", "high", "left", "right")
     ordered = sent.repartitionByRange(parts, "right", "doc", "start").sortWithinPartitions("right", "doc", "start")
     marks = materialise(ordered.mapInArrow(compared, _MARKS + ", bit int, h1 bigint, h2 bigint"), "marks")
     passages = marks.filter("bit is not null")
