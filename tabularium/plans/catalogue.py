@@ -251,7 +251,7 @@ _UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({0}, '&nbsp
 _A = "(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a>"
 _ANCHOR_SQL = f"""
 a as (select page_id, unnest(regexp_extract_all(html, '{_A}', 1)) as h, unnest(regexp_extract_all(html, '{_A}', 2)) as t, unnest(range(len(regexp_extract_all(html, '{_A}', 1)))) as ord from pages),
-n as (select page_id, ord, {_UNESCAPE.format('h')} as href, trim({_UNESCAPE.format("regexp_replace(t, '<[^>]*>', '', 'g')")}) as label from a)"""
+n as (select page_id, ord, {_UNESCAPE.format('h')} as href, trim({_UNESCAPE.format("regexp_replace(t, '\\s*<[^>]*>\\s*', '', 'g')")}) as label from a)"""
 
 
 @query(f"with {_ANCHOR_SQL} select page_id, cast(ord as integer) as ord, label, case when starts_with(href, 'http') then href else 'https://example.org' || href end as url from n where label <> '' and contains(lower(href), 'th')")

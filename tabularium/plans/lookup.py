@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.match import best_matches
-from tabularium.schema import LINES, LOAD_LINE, SHEET_ROWS, WORDS
+from tabularium.schema import LINES, LOAD_LINE, ROW, SHEET_ROWS, WORDS
 from tabularium.sources import positioned, publishers
 
-LISTING = "source string, ord int, label string, url string"
-HARVEST_DOCS = "doc_id string, source string, cartridge string, item_name string, source_url string, error string"
+#: A row without label tells why a source's listing is not there.
+LISTING = "source string, ord bigint, label string, url string, error string"
+#: ``ord`` is the listing entry's, null: any of that label. A document of stage ``page`` is the entry's own page, which failed.
+HARVEST_DOCS = "doc_id string, source string, ord bigint, cartridge string, item_name string, source_url string, stage string, error string"
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,7 @@ PUBLISHERS: dict[str, Publisher] = {
 
 @dataclass(frozen=True)
 class Lookup:
-    """``lines`` is the flat fact; ``results`` has a row a source, in the order asked: ``pos, source, manufacturer, query, matched, n_tables, n_lines, errors``."""
+    """``lines`` is the flat fact; ``results`` has a row a source, in the order asked: ``pos, source, manufacturer, query, matched, n_tables, n_lines, errors, ok``."""
 
     query: str
     lines: DataFrame
@@ -83,10 +85,13 @@ def lookup(shelf: Shelf, query: str, sources: list[str] | None = None) -> Lookup
     """The best label of each source, the lines of its documents, and errors; a bad document costs only itself."""
     names = chosen(sources)
     spark = shelf.listing.sparkSession
-    listing = shelf.listing.filter(F.col("source").isin(*names))
+    listed = shelf.listing.filter(F.col("source").isin(*names))
+    listing = listed.filter("label is not null")
     asked = spark.createDataFrame([(0, query)], "query_id int, text string")
-    best = best_matches(asked, listing, limit=1).select("source", F.col("label").alias("matched"))
-    docs = shelf.docs.join(best, (shelf.docs["source"] == best["source"]) & (shelf.docs["cartridge"] == best["matched"]), "left_semi")
+    best = best_matches(asked, listing, limit=1).select("source", F.col("label").alias("matched"), F.col("ord").alias("entry"))
+    # Of entries of one label the first is the match, and only its documents are read.
+    here = (shelf.docs["source"] == best["source"]) & (shelf.docs["cartridge"] == best["matched"]) & F.coalesce(shelf.docs["ord"] == best["entry"], F.lit(True))
+    docs = shelf.docs.join(F.broadcast(best), here, "left_semi")  # a row a source
 
     def lines_of(name: str) -> DataFrame:
         mine = docs.filter((F.col("source") == name) & F.col("error").isNull()).select("doc_id", "cartridge", "item_name", "source_url")
@@ -96,20 +101,27 @@ def lookup(shelf: Shelf, query: str, sources: list[str] | None = None) -> Lookup
     lines = reduce(DataFrame.unionByName, [lines_of(n) for n in names])
     head = spark.createDataFrame([(i, n, PUBLISHERS[n].name, PUBLISHERS[n].nothing) for i, n in enumerate(names)], "pos int, source string, manufacturer string, nothing string")
     counts = lines.groupBy("source").agg(F.count_distinct("doc_id", "table_ord").alias("n_tables"), F.count(F.lit(1)).alias("n_lines"))
-    bad = F.concat(F.lit("failed to fetch/parse "), F.coalesce("source_url", F.lit("")), F.lit(": "), F.col("error"))
+    step = F.when(F.col("stage") == "page", "failed to load cartridge page ").otherwise("failed to fetch/parse ")
+    bad = F.concat(step, F.coalesce("source_url", F.lit("")), F.lit(": "), F.col("error"))
     failed = docs.filter("error is not null").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", bad.alias("m")))), lambda x: x["m"]).alias("failed"))
-    stock = listing.groupBy("source").agg(F.count(F.lit(1)).alias("stock"))
+    stock = listed.groupBy("source").agg(F.count("label").alias("stock"), F.min("error").alias("why"))
     out = head.join(stock, "source", "left").join(best, "source", "left").join(counts, "source", "left").join(failed, "source", "left")
     failed_or_none = F.coalesce("failed", F.array().cast("array<string>"))
     errors = (
-        F.when(F.col("stock").isNull(), F.array(F.lit("could not load cartridge list: nothing harvested")))
+        F.when(F.coalesce("stock", F.lit(0)) == 0, F.array(F.concat(F.lit("could not load cartridge list: "), F.coalesce("why", F.lit("nothing harvested")))))
         .when(F.col("matched").isNull(), F.array(F.lit("no matching cartridge found")))
         .when(F.col("n_lines").isNull() & (F.size(failed_or_none) == 0), F.array("nothing"))
         .otherwise(failed_or_none)
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     results = out.select("pos", "source", "manufacturer", F.lit(query).alias("query"), "matched", zero("n_tables"), zero("n_lines"), errors.alias("errors"))
+    results = results.withColumn("ok", (F.col("n_tables") > 0) & (F.size("errors") == 0))
     return Lookup(query, lines, results)
 
 
-__all__ = ["LOAD_LINE", "PUBLISHERS", "Lookup", "Publisher", "Shelf", "chosen", "lookup", "open_shelf", "save_shelf"]
+def rows(lines: DataFrame) -> DataFrame:
+    """The eight columns of a load line, without what its table says."""
+    return lines.select(*ROW)
+
+
+__all__ = ["LOAD_LINE", "PUBLISHERS", "Lookup", "Publisher", "Shelf", "chosen", "lookup", "open_shelf", "rows", "save_shelf"]

@@ -11,3 +11,4 @@ LINES = "doc_id string, line_no int, line string"
 SHEET_ROWS = "doc_id string, row_no int, cells array<string>"
 LISTING_HTML = "source string, page_ord int, url string, html string"
 DOCS = "doc_id string, cartridge string, item_name string, source_url string"
+ROW = ("powder", "charge_gr", "charge_min_gr", "charge_max_gr", "velocity_fps", "velocity_min_fps", "is_max", "flags")

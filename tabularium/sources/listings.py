@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tabularium.functions.text import absolute, name_before_weight, normalize, strip, without_link_note
+from tabularium.sources.html import first_links, links_inside
 
 ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 CACHE_SECONDS = 7 * 24 * 3600.0
+PAGE_LINKS = 1 << 32
+#: Conditions of a store that has no readable listing.
+_MISSES = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE")
 
 
 def unescape(s: Column) -> Column:
@@ -24,7 +28,7 @@ def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
     """``ord, href, label`` of every link of each page, beside the page's columns."""
     hrefs, labels = F.regexp_extract_all(html, F.lit(ANCHOR), 1), F.regexp_extract_all(html, F.lit(ANCHOR), 2)
     found = pages.select(*[c for c in pages.columns if c != html], F.posexplode(F.arrays_zip(hrefs.alias("h"), labels.alias("t"))).alias("ord", "a"))
-    label = strip(unescape(F.regexp_replace(F.col("a.t"), "<[^>]*>", "")))
+    label = strip(unescape(F.regexp_replace(F.col("a.t"), r"\s*<[^>]*>\s*", "")))
     return found.select(*[c for c in found.columns if c != "a"], unescape(F.col("a.h")).alias("href"), label.alias("label"))
 
 
@@ -50,26 +54,21 @@ LISTING_RULES = {
 
 
 def list_items(pages: DataFrame, source: str) -> DataFrame:
-    """``source, ord, label, url, sheet_id`` from ``page_ord, html``."""
+    """``source, ord, label, url, sheet_id`` from ``page_ord, html``. ``ord`` rises with page and place; no sort is needed for it."""
     rule = LISTING_RULES[source]
-    if rule.inside:
-        block = rf'(?is)<div\b[^>]*class\s*=\s*["\'][^"\']*\b{rule.inside}\b[^"\']*["\'][^>]*>(.*?)</div>'
-        pages = pages.withColumn("html", F.array_join(F.regexp_extract_all("html", F.lit(block), 1), "\n"))
-    found = anchors(pages).filter(F.rlike("href", F.lit(rule.href)))
+    found = (links_inside(pages, "div", rule.inside) if rule.inside else anchors(pages)).filter(F.rlike("href", F.lit(rule.href)))
     if rule.drop:
         found = found.filter(~F.rlike("href", F.lit(rule.drop)))
     found = found.withColumn("label", without_link_note(F.col("label")) if rule.link_note else F.col("label")).filter("label != ''")
     sheet = F.regexp_extract("href", rule.href, 1) if rule.sheet else F.lit(None).cast("string")
-    order = F.row_number().over(W.orderBy("page_ord", "ord")) - 1
+    order = F.col("page_ord").cast("long") * PAGE_LINKS + F.col("ord")
     return found.select(F.lit(source).alias("source"), order.alias("ord"), "label", absolute(F.col("href"), rule.base).alias("url"), sheet.alias("sheet_id"))
 
 
 def second_hop(pages: DataFrame, base: str = "https://www.nosler.com") -> DataFrame:
     """``name, pdf_url`` of the first link of every element with a tab name, where it is a PDF."""
-    tab = r"(?is)data-tab-name\s*=\s*[\"']([^\"']*)[\"'].*?<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
-    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(tab), 1).alias("n"), F.regexp_extract_all("html", F.lit(tab), 2).alias("h"))
-    found = pages.select(*[c for c in pages.columns if c != "html"], F.posexplode(both).alias("ord", "t"))
-    return found.filter(F.lower("t.h").endswith(".pdf")).select(*[c for c in found.columns if c != "t"], F.col("t.n").alias("name"), absolute(F.col("t.h"), base).alias("pdf_url"))
+    found = first_links(pages, "data-tab-name").filter(F.lower("href").endswith(".pdf"))
+    return found.withColumn("pdf_url", absolute(F.col("href"), base)).drop("href")
 
 
 RECIPES = "cartridges array<struct<value:string,label:string>>, recipes array<struct<name:string,pdf_url:string,cartridge:array<string>>>"
@@ -106,10 +105,17 @@ def save_cache(items: DataFrame, path: str, now: float) -> None:
         items.withColumn("saved_at", F.lit(now)).write.mode("overwrite").parquet(path)
 
 
+def fresh(items: DataFrame, now: float, most: float = CACHE_SECONDS) -> DataFrame:
+    """Rows kept at most ``most`` seconds ago; those of the very limit still count."""
+    return items.filter(F.lit(now) - F.col("saved_at") <= most)
+
+
 def load_cache(spark: SparkSession, path: str, now: float, most: float = CACHE_SECONDS) -> DataFrame | None:
-    """A kept listing of at most ``most`` seconds; None where there is none or it cannot be read."""
+    """A kept listing of at most ``most`` seconds; None where there is none or its files cannot be read. Other failures are raised."""
     try:
-        items = spark.read.parquet(path)
-        return items.drop("saved_at") if items.filter(F.col("saved_at") >= now - most).limit(1).count() else None
-    except Exception:  # missing or malformed: a miss, whatever the store calls it
-        return None
+        items = fresh(spark.read.parquet(path), now, most)
+        return items.drop("saved_at") if items.limit(1).count() else None
+    except PySparkException as e:
+        if any((e.getCondition() or "").startswith(c) for c in _MISSES) or any(c in str(e) for c in _MISSES):
+            return None
+        raise

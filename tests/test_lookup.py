@@ -4,14 +4,20 @@ import pytest
 
 from tabularium.__main__ import main
 from tabularium.plans import report
-from tabularium.plans.lookup import SCHEMAS, Shelf, lookup, open_shelf, save_shelf
+from tabularium.plans.lookup import SCHEMAS, Shelf, lookup, open_shelf, rows, save_shelf
 
 
 @pytest.fixture(scope="module")
 def shelf(spark):
     rows = {
-        "listing": [("nosler", 0, "9mm Luger", "u"), ("nosler", 1, "223 Remington", "u"), ("hammer", 0, "9mm Luger", "u"), ("sierra", 0, "45 Auto", "u")],
-        "docs": [("n1", "nosler", "9mm Luger", "115 Grain", "http://n1", None), ("n2", "nosler", "9mm Luger", "124 <Grain>", "http://n2", "HTTP 500"), ("h1", "hammer", "9mm Luger", "", "http://h1", None)],
+        "listing": [("nosler", 0, "9mm Luger", "u", None), ("nosler", 1, "223 Remington", "u", None), ("nosler", 2, "9mm Luger", "v", None), ("hammer", 0, "9mm Luger", "u", None), ("sierra", 0, "45 Auto", "u", None), ("speer", -1, None, "u", "HTTP 503")],
+        "docs": [
+            ("n1", "nosler", 0, "9mm Luger", "115 Grain", "http://n1", "document", None),
+            ("n2", "nosler", None, "9mm Luger", "124 <Grain>", "http://n2", "document", "HTTP 500"),
+            ("n3", "nosler", 2, "9mm Luger", "147 Grain", "http://n3", "document", "of the second entry of that label"),
+            ("h1", "hammer", 0, "9mm Luger", "", "http://h1", "document", None),
+            ("s1", "sierra", 0, "45 Auto", None, "http://s", "page", "HTTP 404"),
+        ],
         "lines": [("n1", 0, "CASE TYPE: Brass x"), ("n1", 1, "P<1>      30.0   MAX.   2500   99   98%"), ("n1", 2, "Powder      30.0   MAX.   2500   99   98%"), ("n1", 3, "             29.0     *     2400   99   95%")],
         "words": [],
         "sheet_rows": [],
@@ -26,6 +32,18 @@ def test_results_keep_the_order_and_errors(shelf):
     assert [(r["charge"], r["velocity"]) for r in lines["nosler"]] == [("30 gr (MAX)", "2500 fps"), ("29 gr", "2400 fps")]
 
 
+def test_first_entry_failed_pages_and_listings(shelf):
+    results, _ = report.fetched(lookup(shelf, "9mm luger", ["nosler", "speer"]))
+    assert [(list(r["errors"]), r["ok"]) for r in results] == [(["failed to fetch/parse http://n2: HTTP 500"], False), (["could not load cartridge list: HTTP 503"], False)]
+    (r,), _ = report.fetched(lookup(shelf, "45 auto", ["sierra"]))
+    assert list(r["errors"]) == ["failed to load cartridge page http://s: HTTP 404"] and not r["ok"]
+
+
+def test_rows_have_eight_columns(shelf):
+    got = rows(lookup(shelf, "9mm luger", ["nosler"]).lines)
+    assert got.columns == ["powder", "charge_gr", "charge_min_gr", "charge_max_gr", "velocity_fps", "velocity_min_fps", "is_max", "flags"] and got.count() == 2
+
+
 def test_unknown_source(shelf):
     with pytest.raises(ValueError, match="unknown source"):
         lookup(shelf, "9mm luger", ["nobody"])
@@ -42,7 +60,7 @@ def test_report_escapes_and_warns(shelf, tmp_path):
 
 def test_command_line(spark, shelf, tmp_path, capsys, monkeypatch):
     save_shelf(shelf, str(tmp_path / "s"))
-    assert open_shelf(spark, str(tmp_path / "s")).docs.count() == 3
+    assert open_shelf(spark, str(tmp_path / "s")).docs.count() == 5
     assert main([str(tmp_path / "s"), "9mm luger", "--sources", "nosler", "--no-open", "--report-dir", str(tmp_path / "r")], spark) == 0
     said = capsys.readouterr().out
     assert "Nosler — 9mm Luger, 115gr" in said and "  ! failed to fetch/parse http://n2: HTTP 500" in said and "report: " in said
