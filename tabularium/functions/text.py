@@ -139,3 +139,25 @@ def badges(flags: Column) -> Column:
     some = F.filter(F.transform(F.split(flags, ","), strip), lambda f: f != "")
     kind = lambda f: F.when(F.contains(F.lower(f), F.lit("compress")), "amber").when(F.contains(F.lower(f), F.lit("accurate")), "green").otherwise("plain")
     return F.transform(some, lambda f: F.struct(kind(f).alias("kind"), f.alias("text")))
+
+
+#: Left over from print: a single letter, and a fraction without its whole.
+STRAY = r"^[a-z]$|^\.\d+$"
+
+
+def without_words(tokens: Column, words: list[str]) -> Column:
+    return F.filter(tokens, lambda x: ~x.isin(*words))
+
+
+def without_stray(tokens: Column) -> Column:
+    return F.filter(tokens, lambda x: ~F.rlike(x, F.lit(STRAY)))
+
+
+def tidy(tokens: Column) -> Column:
+    """Tokens without stray ones, joined; blanks and slashes off both ends."""
+    return F.regexp_replace(F.array_join(without_stray(tokens), " "), "^[ /]+|[ /]+$", "")
+
+
+def joined_once(tokens: Column, by: str) -> Column:
+    """Each token once, in its first place."""
+    return F.array_join(F.array_distinct(tokens), by)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from tabularium.functions import match
 from tabularium.functions import text as t
 from tabularium.operators import geometry, sequence
-from tabularium.sources import listings
+from tabularium.sources import listings, publishers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -284,12 +284,16 @@ def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("key", "label", F.size("recipes").cast("long").alias("n_recipes"), F.md5(F.array_join(F.transform("recipes", lambda r: r["name"]), "|").cast("binary")).alias("recipes"))
 
 
-@query("""
-with l as (select doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')) as line, unnest(range(len(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')))) as i from documents)
-select doc_id, count(*) as n_lines, sum(length(line)) as chars, cast(count(*) filter (regexp_matches(line, '(token|secret) [=:]')) as bigint) as marked from l group by doc_id""")
+_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+@query(f"""
+with s as (select doc_id, regexp_split_to_array(text, '{_BREAKS}') as p from documents),
+l as (select doc_id, unnest(case when p[len(p)] = '' then p[:len(p) - 1] else p end) as line from s)
+select doc_id, count(*) as n_lines, cast(sum(length(line)) as bigint) as chars, cast(count(*) filter (regexp_matches(line, '(token|secret) [=:]')) as bigint) as marked from l group by doc_id""")
 def line_split_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every text and those that a pattern marks."""
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", t.LINE_BREAK, -1)).alias("i", "line"))
+    """Lines of every text, the end of the last one off, and those that a pattern marks."""
+    lines = publishers.text_lines(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("chars"), F.count(F.when(F.rlike("line", F.lit("(token|secret) [=:]")), 1)).alias("marked"))
 
 
@@ -309,56 +313,64 @@ def slug_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", t.slug(F.concat("p_name", F.lit(" & "), "p_brand")).alias("slug"), t.escape_html(both).alias("escaped"))
 
 
-@query("""
-with s as (select s_nationkey, count(*) as n, count(*) filter (s_acctbal > 0) as good from supplier group by 1)
-select r_name, n_name, coalesce(n, 0) as n_lines, coalesce(good, 0) > 0 as ok, case when coalesce(n, 0) = 0 then 'no data' else '' end as reasons from nation join region on n_regionkey = r_regionkey left join s on s_nationkey = n_nationkey""")
-def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of each heading, zero included."""
-    s = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("s_acctbal") > 0).alias("good"))
-    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    at = n.join(r, n["n_regionkey"] == r["r_regionkey"]).join(s, n["n_nationkey"] == s["s_nationkey"], "left")
-    errors = F.array_compact(F.array(F.when(F.col("n").isNull(), "no data")))
-    return at.select("r_name", "n_name", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("good", F.lit(False)).alias("ok"), F.concat_ws("; ", errors).alias("reasons"))
-
-
-@query("""
-select 0 as source_ord, doc_id, source from documents where source = 'src3' union all select 1, doc_id, source from documents where source = 'src1' union all select 2, page_id, 'pages' from pages""")
-def source_filter_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen sources in the order of asking."""
-    from functools import reduce
-
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    parts = [docs.filter(F.col("source") == s) for s in ("src3", "src1")]
-    parts.append(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("pages").alias("source")))
-    return reduce(DataFrame.unionByName, [p.select(F.lit(i).alias("source_ord"), "doc_id", "source") for i, p in enumerate(parts)])
-
-
-@query("""
-with g as (select distinct doc_id from documents where contains(text, 'the'))
-select d.doc_id, l.quality, d.source from documents d join labels l using (doc_id) where d.doc_id > 0 and d.doc_id in (select doc_id from g) and not regexp_matches(coalesce(d.source, ''), '(?i)^src2')""")
-def semi_page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows after the first that hold a word, without those that a pattern skips."""
-    d, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    gate = d.filter(F.contains("text", F.lit("the"))).select("doc_id").distinct()
-    kept = d.filter((F.col("doc_id") > 0) & ~F.rlike(F.coalesce("source", F.lit("")), F.lit("(?i)^src2"))).join(gate, "doc_id", "left_semi")
-    return kept.join(labels, "doc_id").select("doc_id", "quality", "source")
-
-
 @query("select event_id, user_id, epoch_us(timestamp '2024-01-20 00:00:00') - epoch_us(ts) as age_us from events where epoch_us(timestamp '2024-01-20 00:00:00') - epoch_us(ts) between 0 and 604800000000")
 def ttl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of at most seven days before a fixed time; the limit itself still counts."""
-    age = F.lit(1705708800000000) - F.col("us")
-    return events(spark, sf_dir).withColumn("age_us", age).filter(F.col("age_us").between(0, 7 * 24 * 3600 * 1_000_000)).select("event_id", "user_id", "age_us")
+    now = 1705708800.0
+    at = events(spark, sf_dir).withColumn("saved_at", F.col("us") / 1e6)
+    kept = listings.fresh(at.filter(F.col("saved_at") <= now), now)
+    return kept.select("event_id", "user_id", (F.lit(int(now * 1e6)) - F.col("us")).alias("age_us"))
 
 
 @query("""
-with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '' and not regexp_matches(x, '^[A-Za-z0-9]$') and x not in ('the', 'and', 'for')) as w from documents),
-     x as (select doc_id, unnest(w) as x, unnest(range(len(w))) as i from w),
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+     k as (select doc_id, list_filter(w, lambda x: x not in ('the', 'and', 'for') and not regexp_matches(x, '^[a-z]$|^\\.[0-9]+$')) as k from w),
+     x as (select doc_id, unnest(k) as x, unnest(range(len(k))) as i from k),
      d as (select doc_id, x, min(i) as i from x group by doc_id, x),
      j as (select doc_id, count(*) as n, string_agg(x, ' / ' order by i) as joined from d group by doc_id)
-select w.doc_id, cast(len(w) as bigint) as n_tokens, coalesce(n, 0) as n_distinct, md5(coalesce(joined, '')) as joined from w left join j using (doc_id)""")
+select k.doc_id, md5(regexp_replace(array_to_string(k, ' '), '^[ /]+|[ /]+$', '', 'g')) as tidy, coalesce(n, 0) as n_distinct, md5(coalesce(joined, '')) as joined from k left join j using (doc_id)""")
 def token_filter_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens without stop words and single letters, each once in its first place."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: (x != "") & ~F.rlike(x, F.lit("^[A-Za-z0-9]$")) & ~x.isin("the", "and", "for"))
-    d = read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).withColumn("d", F.array_distinct("w"))
-    return d.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size("d").cast("long").alias("n_distinct"), F.md5(F.array_join("d", " / ").cast("binary")).alias("joined"))
+    """Tokens without stop words and stray ones, joined; and each once in its first place."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    d = read(spark, sf_dir, "documents").select("doc_id", t.without_words(words, ["the", "and", "for"]).alias("w"))
+    distinct = t.without_stray(F.col("w"))
+    return d.select("doc_id", F.md5(t.tidy(F.col("w")).cast("binary")).alias("tidy"), F.size(F.array_distinct(distinct)).cast("long").alias("n_distinct"), F.md5(t.joined_once(distinct, " / ").cast("binary")).alias("joined"))
+
+
+@query("""
+select distinct p_name || ' ' || p_size as name, case when regexp_matches(p_name || ' ' || p_size, '\\s[0-9]') then p_name end as before_weight,
+       'SIG ' || p_size as noted, p_size::double as lead, case when p_size % 3 = 0 then '' else p_size || ' Grain ' || p_brand end as kind,
+       p_size::double + 0.5 as value, case p_size % 4 when 0 then 'compressed' when 1 then 'long drop tube' when 2 then 'compressed, long drop tube' else '' end as flags,
+       case p_size % 4 when 0 then 'amber:compressed' when 1 then 'green:most accurate' when 2 then 'plain:long tube|amber:compressed load' else '' end as badges
+from part""")
+def name_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names cut from labels, numbers and marks read from cells, flags as badges."""
+    p = read(spark, sf_dir, "part")
+    size, pick = F.col("p_size"), lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("p_size") % 4 + 1).cast("int"))
+    name = F.concat_ws(" ", "p_name", "p_size")
+    value, flags = t.value_and_flags(F.concat(F.lit(" "), size, F.lit(".5"), pick(" c", "•", " C• ", "")))
+    tab = F.concat(size, F.lit(" Grain"), F.when(size % 3 == 0, "s").otherwise(F.concat(F.lit(" "), "p_brand")))
+    marks = t.badges(pick("compressed", " most accurate,", "long tube, compressed load", ""))
+    return p.select(
+        name.alias("name"),
+        t.name_before_weight(name).alias("before_weight"),
+        t.without_link_note(F.concat(F.lit("SIG "), size, pick("- This link will open a PDF", " THIS LINK WILL OPEN", "-  this link will open it", ""))).alias("noted"),
+        t.leading_number(F.concat(size, F.lit("gr"))).alias("lead"),
+        t.bullet_type(tab).alias("kind"),
+        value.alias("value"),
+        flags.alias("flags"),
+        F.array_join(F.transform(marks, lambda m: F.concat_ws(":", m["kind"], m["text"])), "|").alias("badges"),
+    ).distinct()
+
+
+@query("""
+with p as (select distinct p_size as s, p_size % 5 as m from part)
+select s, case m when 0 then s || '–' || s + 2 || '.5 gr' when 1 then s || ' gr (MAX)' when 2 then s || ' gr' when 3 then s || ' gr (start)' else '—' end as charge,
+       case m when 0 then s || '–' || s + 900 || ' fps' when 1 then s + 900 || ' fps' when 2 then s + 900 || ' fps' else '—' end as velocity from p""")
+def charge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charges and velocities as a reader writes them: ranges, single values, starts, none."""
+    s = F.col("s").cast("double")
+    p = read(spark, sf_dir, "part").select(F.col("p_size").alias("s"), (F.col("p_size") % 5).alias("m")).distinct()
+    when = lambda ms, x: F.when(F.col("m").isin(*ms), x)
+    charge = t.charge_display(when((1, 2), s), when((0, 3), s), when((0,), s + 2.5), F.col("m") == 1)
+    return p.select("s", charge.alias("charge"), t.velocity_display(when((0, 1, 2), s + 900), when((0,), s)).alias("velocity"))

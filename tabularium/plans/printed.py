@@ -6,11 +6,15 @@ a document, and a part is a row, a table or a page of it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.plans.catalogue import query, read
-from tabularium.sources import positioned, publishers
+from tabularium.plans.lookup import HARVEST_DOCS, LISTING, PUBLISHERS, Shelf, lookup
+from tabularium.schema import WORDS
+from tabularium.sources import listings, positioned, publishers
 
 _FACTS = """
 f as (select cast(p_partkey // 6 as varchar) as doc_id, p_partkey // 6 as doc, cast(p_partkey % 6 as integer) as k, p_partkey as key, p_size as size, cast(floor(p_retailprice) as bigint) as price from part),
@@ -43,6 +47,25 @@ def words(rows: DataFrame, *placed: tuple) -> DataFrame:
     return rows.select("doc_id", F.explode(F.filter(every, lambda w: w["text"].isNotNull())).alias("w")).select("doc_id", "w.*")
 
 
+def layout_texts(f: DataFrame) -> DataFrame:
+    """``doc_id, value``: text tables, a part a row."""
+    named = F.concat(F.lit("Powder "), "size", F.lit("      "), "c1", F.lit("   MAX.   "), "price", F.lit("   99   98%"))
+    plain = F.concat(F.lit("            "), "c1", F.when(F.col("key") % 2 == 0, "    **    ").otherwise("          "), "price", F.lit("   99   97%"))
+    row = F.concat(F.when(F.col("k") % 3 == 0, named).otherwise(plain), F.when(F.col("k") == 5, "\r\nSee the manual for MAX. loads").otherwise(""))
+    body = f.groupBy("doc_id", "doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", row.alias("x")))), lambda s: s["x"]), "\r\n").alias("body"))
+    coal = F.when(F.col("doc") % 2 == 0, F.concat(F.lit("TESTED O.A.C.L. 2."), "doc", F.lit("\n"))).otherwise("")
+    return body.select("doc_id", F.concat(F.lit("CASE TYPE: Case"), "doc", F.lit(" x\nPRIMER TYPE  Small Rifle "), "doc", F.lit(" \n"), coal, "body").alias("value"))
+
+
+def sheet_files(f: DataFrame) -> DataFrame:
+    """``doc_id, value``: sheets as CSV, a part a table."""
+    bullet = F.concat(F.lit(",†"), "w", F.lit("gr Bullet "), "key", F.lit(",Twist rate or faster 1-"), "size", F.lit(",,"), F.when(F.col("key") % 5 > 0, F.concat(F.lit(".15"), F.col("key") % 5)).otherwise(""), F.when(F.col("key") % 3 == 0, ",√1.75,\n").otherwise(",,\n"))
+    data = F.concat(F.lit(",Powder "), "size", F.lit(","), "c1", F.lit(',"9\n0",'), "v", F.lit(",,"), "price", F.when(F.col("key") % 2 == 0, " c•\n").otherwise("\n"))
+    part = F.concat(bullet, F.lit(",Powder,Start,Fill %,F.P.S.,,Velocity at Max\n"), data, F.lit(",Powder without numbers,,,,,\n,Always start low and work up,,,,,\n,,,,,,\n"))
+    body = f.groupBy("doc_id", "doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", part.alias("x")))), lambda s: s["x"]), "").alias("body"))
+    return body.select("doc_id", F.concat(F.lit(',,,,,,\n,22 Example,"Barrel Length 2'), F.col("doc") % 10, F.lit('""",,,"Case 1.4""",SAAMI COAL\n'), "body").alias("value"))
+
+
 _FORM = ("doc_id", "table_ord", "line_ord", "powder", "flags", "is_max")
 
 
@@ -55,13 +78,7 @@ from r where powder is not null""")
 def extract_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text tables: a powder stands on its MAX. row alone."""
     f = facts(spark, sf_dir)
-    named = F.concat(F.lit("Powder "), "size", F.lit("      "), "c1", F.lit("   MAX.   "), "price", F.lit("   99   98%"))
-    plain = F.concat(F.lit("            "), "c1", F.when(F.col("key") % 2 == 0, "    **    ").otherwise("          "), "price", F.lit("   99   97%"))
-    row = F.concat(F.when(F.col("k") % 3 == 0, named).otherwise(plain), F.when(F.col("k") == 5, "\r\nSee the manual for MAX. loads").otherwise(""))
-    body = f.groupBy("doc_id", "doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", row.alias("x")))), lambda s: s["x"]), "\r\n").alias("body"))
-    coal = F.when(F.col("doc") % 2 == 0, F.concat(F.lit("TESTED O.A.C.L. 2."), "doc", F.lit("\n"))).otherwise("")
-    texts = body.select("doc_id", F.concat(F.lit("CASE TYPE: Case"), "doc", F.lit(" x\nPRIMER TYPE  Small Rifle "), "doc", F.lit(" \n"), coal, "body").alias("value"))
-    out = publishers.from_layout_text(publishers.text_lines(texts), documents(f, "115 gr Round"))
+    out = publishers.from_layout_text(publishers.text_lines(layout_texts(f)), documents(f, "115 gr Round"))
     return out.select("doc_id", "line_ord", "powder", F.col("charge_gr").alias("charge"), F.col("velocity_fps").alias("velocity"), "is_max", "flags", "case_name", "primer", "coal_in", F.col("bullet_weight_gr").alias("weight"), F.col("bullet_type").alias("kind"))
 
 
@@ -74,12 +91,7 @@ from g""")
 def extract_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed sheets: heading, bullets, table heads, rows, and notes to be skipped, as CSV with quoted line ends."""
     f = facts(spark, sf_dir)
-    bullet = F.concat(F.lit(",†"), "w", F.lit("gr Bullet "), "key", F.lit(",Twist rate or faster 1-"), "size", F.lit(",,"), F.when(F.col("key") % 5 > 0, F.concat(F.lit(".15"), F.col("key") % 5)).otherwise(""), F.when(F.col("key") % 3 == 0, ",√1.75,\n").otherwise(",,\n"))
-    data = F.concat(F.lit(",Powder "), "size", F.lit(","), "c1", F.lit(',"9\n0",'), "v", F.lit(",,"), "price", F.when(F.col("key") % 2 == 0, " c•\n").otherwise("\n"))
-    part = F.concat(bullet, F.lit(",Powder,Start,Fill %,F.P.S.,,Velocity at Max\n"), data, F.lit(",Powder without numbers,,,,,\n,Always start low and work up,,,,,\n,,,,,,\n"))
-    body = f.groupBy("doc_id", "doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", part.alias("x")))), lambda s: s["x"]), "").alias("body"))
-    files = body.select("doc_id", F.concat(F.lit(',,,,,,\n,22 Example,"Barrel Length 2'), F.col("doc") % 10, F.lit('""",,,"Case 1.4""",SAAMI COAL\n'), "body").alias("value"))
-    out = publishers.from_sheets(publishers.csv_rows(files), documents(f, ""))
+    out = publishers.from_sheets(publishers.csv_rows(sheet_files(f)), documents(f, ""))
     return out.select(*_FORM, F.col("charge_min_gr").alias("charge_min"), F.col("velocity_min_fps").alias("velocity_min"), F.col("velocity_fps").alias("velocity"), F.col("bullet_weight_gr").alias("weight"), F.col("bullet_type").alias("kind"), "coal_in", "notes", "twist", "barrel", "case_name")
 
 
@@ -141,3 +153,93 @@ def extract_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines_of(f, F.lit("Case: Case"), F.col("doc"), F.lit("  Primer: Small Rifle  COAL 2."), F.col("doc"))
     out = positioned.from_section_words(words(f, *head, *rows), lines, documents(f, ""))
     return out.select(*_FORM, F.col("charge_min_gr").alias("charge_min"), F.col("velocity_min_fps").alias("velocity_min"), F.col("charge_max_gr").alias("charge_max"), F.col("velocity_fps").alias("velocity_max"), F.col("bullet_weight_gr").alias("weight"), "case_name", "primer", "coal_in")
+
+
+def _pages(f: DataFrame, part: Column, before: Column | str = "", after: Column | str = "") -> DataFrame:
+    """``page_ord, html``: what each part prints, in order, a page a document."""
+    one = f.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", part.alias("x")))), lambda s: s["x"]), "").alias("body"))
+    col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return one.select(F.col("doc").alias("page_ord"), F.concat(col(before), "body", col(after)).alias("html"))
+
+
+def _said(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) and x not in ("key", "size", "k", "w") else F.col(x).cast("string") if isinstance(x, str) else x for x in parts])
+
+
+@query(f"""
+with {_FACTS},
+r as (select *, table_ord as spot, sum((key % 3 <> 1)::int) over (partition by doc order by k) - 1 as inner_at from g)
+select 'nosler' as source, doc * 4294967296 + inner_at::bigint as ord, 'Round ' || key as label, 'http://n/' || key as url, null as sheet_id from r where key % 3 = 0
+union all select 'sierra', doc * 4294967296 + spot, 'Round' || key || '&', case when key % 3 = 0 then 'https://sierrabullets.com/x/load-data/' || key || '.PDF' else 'https://s/LOAD-DATA/' || key || '.pdf' end, null from r where key % 3 <> 1
+union all select 'barnes', doc * 4294967296 + spot, 'Round ' || key, 'https://barnesbullets.com/Barnes-LoadData/' || key || '.pdf', null from r where key % 3 = 0
+union all select 'hammer', doc * 4294967296 + spot, 'Round ' || key, 'https://docs/spreadsheets/d/ID_' || key || '-x/edit', 'ID_' || key || '-x' from r where key % 2 = 0""")
+def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of four publishers: containers in containers, paths, notes to be cut, sheets; links that are none of these."""
+    f, kind = facts(spark, sf_dir), F.col("key") % 3
+    link = lambda href, label: F.concat(F.lit('<a class="x" href="'), href, F.lit('">'), label, F.lit("</a>"))
+    box = lambda x: F.concat(F.lit('<div class="x load-data-tab-container"><div><p>'), x, F.lit("</div><br></div>"))
+    mine, name = link(_said("http://n/", "key"), _said(" Round ", "key", " ")), _said("Round ", "key")
+    pages = {
+        "nosler": F.when(kind == 0, box(mine)).when(kind == 1, mine).otherwise(box(link(_said("/n/", "key"), name))),
+        "sierra": link(F.when(kind == 0, _said("/x/load-data/", "key", ".PDF")).when(kind == 1, _said("/load-data/", "key", ".html")).otherwise(_said("https://s/LOAD-DATA/", "key", ".pdf")), _said(" Round <b> ", "key", "</b>&amp; ")),
+        "barnes": link(F.when(kind == 0, _said("/Barnes-LoadData/", "key", ".pdf")).when(kind == 1, _said("/barnes-loaddata/Recall-", "key", ".pdf")).otherwise(_said("/other/", "key", ".pdf")), _said("Round ", "key", "- This link will open a PDF document")),
+        "hammer": link(F.when(F.col("key") % 2 == 0, _said("https://docs/spreadsheets/d/ID_", "key", "-x/edit")).otherwise(_said("/d/", "key")), name),
+    }
+    return reduce(DataFrame.unionByName, [listings.list_items(_pages(f, part), source) for source, part in pages.items()])
+
+
+@query(f"""
+with {_FACTS},
+r as (select *, sum((key % 4 <> 2)::int) over (partition by doc order by k) - 1 as ord from g)
+select doc as page_ord, cast(ord as integer) as ord, w || ' Grain' as name, case when key % 2 = 0 then 'http://n/' else 'https://www.nosler.com/' end || key || '.PDF' as pdf_url from r where key % 4 < 2""")
+def second_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first link of every tab, where it is a document; tabs without links, and links after the first, give none."""
+    base = F.when(F.col("key") % 2 == 0, "http://n/").otherwise("/")
+    inner = F.when(F.col("key") % 4 == 2, F.lit("<b>none</b>")).otherwise(F.concat(F.lit('<span><a href="'), base, "key", F.when(F.col("key") % 4 == 3, ".html").otherwise(".PDF"), F.lit('"></a></span><a href="/late.pdf">x</a>')))
+    pages = _pages(facts(spark, sf_dir), F.concat(_said('<li data-tab-name="', "w", ' Grain">'), inner, F.lit("</li><a href='/out.pdf'>o</a>")))
+    return listings.second_hop(pages).select("page_ord", "ord", "name", "pdf_url")
+
+
+@query(f"""
+with {_FACTS},
+e as (select doc, 0 as kind, table_ord * 2 + unnest([0, 1]) as spot, size, 'R' || key as name, '/' || key || '.pdf' as url from g union all select doc, 1, table_ord, size, 'Round ' || size || ' 150', '/old/' || key || '.pdf' from g)
+select size || ' round' as key, 'Round ' || size as label, count(*) as n, md5(string_agg(name || url, '|' order by doc, kind, spot)) as recipes from e group by size""")
+def recipe_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes of embedded JSON and older links, under one entry a name, none dropped."""
+    f = facts(spark, sf_dir).withColumns({"cartridge": _said('{"value":"c', "k", '","label":"Round ', "size", '"}'), "recipe": _said('{"name":"R', "key", '","pdf_url":"/', "key", '.pdf","cartridge":["c', "k", '","Round ', "size", '"]}')})
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda s: s[c]), ",")
+    data = f.groupBy("doc").agg(F.concat(F.lit('<script>var recipeJson = {"cartridges":['), listed("cartridge"), F.lit('],"recipes":['), listed("recipe"), F.lit("]}; var more = {};</script>")).alias("head"))
+    pages = _pages(f, _said('<a href="/old/', "key", '.pdf">Round&nbsp;', "size", " 150</a>")).join(data.withColumnRenamed("doc", "page_ord"), "page_ord")
+    entries = listings.recipe_entries(pages.select("page_ord", F.concat("head", "html").alias("html")))
+    merged = listings.merge_catalogue(entries, ["page_ord", "kind", "ord"])
+    return merged.select("key", "label", F.size("recipes").cast("long").alias("n"), F.md5(F.array_join(F.transform("recipes", lambda r: F.concat(r["name"], r["pdf_url"])), "|").cast("binary")).alias("recipes"))
+
+
+_NAMES = ", ".join(f"({i}, '{n}', '{PUBLISHERS[n].name}')" for i, n in enumerate(("hammer", "barnes", "nosler", "sierra", "speer")))
+
+
+@query(f"""
+with {_FACTS},
+h as (select count(*) as n from g where doc % 40 = 7 and doc % 3 <> 0),
+e as (select string_agg('failed to fetch/parse http://x/' || doc_id || ': HTTP 500', '; ' order by doc_id) as e from (select distinct doc, doc_id from f) where doc % 40 = 7 and doc % 3 = 0),
+n as (select count(*) as n from f where doc = 7),
+s as (select * from (values {_NAMES}) s(pos, source, manufacturer))
+select pos, source, manufacturer, 'round 7' as query, case when source in ('barnes', 'sierra') then null else 'Round 7' end as matched,
+       case source when 'hammer' then h.n when 'nosler' then 1 else 0 end as n_tables, case source when 'hammer' then h.n when 'nosler' then n.n else 0 end as n_lines,
+       case source when 'hammer' then coalesce(e, '') when 'barnes' then 'could not load cartridge list: HTTP 503' when 'sierra' then 'no matching cartridge found' when 'speer' then 'failed to load cartridge page http://p: HTTP 404' else '' end as errors,
+       case source when 'hammer' then e is null when 'nosler' then true else false end as ok
+from s, h, e, n""")
+def lookup_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sources asked for one name: counts, what matched, and what went wrong at each step."""
+    f = facts(spark, sf_dir)
+    doc, none = f.select("doc_id", "doc").distinct(), F.lit(None).cast("string")
+    label = F.concat(F.lit("Round "), F.col("doc") % 40)
+    entry = lambda source, name: doc.select(F.lit(source).alias("source"), F.col("doc").alias("ord"), name.alias("label"), F.lit("u").alias("url"), none.alias("error"))
+    listing = entry("nosler", label).unionByName(entry("hammer", label)).unionByName(entry("speer", label)).unionByName(entry("sierra", F.concat(F.lit("Square "), 100 + F.col("doc"))))
+    listing = listing.unionByName(spark.createDataFrame([("barnes", -1, None, "u", "HTTP 503")], LISTING))
+    mine = lambda source, order, error: doc.select("doc_id", F.lit(source).alias("source"), order.cast("long").alias("ord"), label.alias("cartridge"), F.lit("").alias("item_name"), F.concat(F.lit("http://x/"), "doc_id").alias("source_url"), F.lit("document").alias("stage"), error.alias("error"))
+    docs = mine("nosler", F.col("doc"), none).unionByName(mine("hammer", F.lit(None), F.when(F.col("doc") % 3 == 0, "HTTP 500")))
+    docs = docs.unionByName(spark.createDataFrame([("p", "speer", None, "Round 7", None, "http://p", "page", "HTTP 404")], HARVEST_DOCS))
+    shelf = Shelf(listing, docs, publishers.text_lines(layout_texts(f)), spark.createDataFrame([], WORDS), publishers.csv_rows(sheet_files(f)))
+    found = lookup(shelf, "round 7", ["hammer", "barnes", "nosler", "sierra", "speer"])
+    return found.results.withColumn("errors", F.array_join("errors", "; "))

@@ -118,7 +118,7 @@ def from_grid_words(words: DataFrame, docs: DataFrame, source: str = "sierra", m
 
     bullets = at.filter(F.col("btop").isNotNull() & (F.col("top") > F.col("btop") + 5) & (F.col("top") < F.coalesce("ptop", F.col("btop") + 200))).drop("columns")
     bullets = cluster_anchored(bullets, page, "top", 1.5, "row").groupBy(*page, "row").agg(_listed(F.lit(True), F.col("text"), F.col("x0"), F.col("top"), F.col("seq")).alias("texts"))
-    bullets = bullets.withColumn("d", _variant(F.col("texts"))).groupBy(*page).agg(F.array_join(F.array_distinct(_listed(F.col("d") != "", F.col("d"), F.col("row"))), " / ").alias("bullet_type"))
+    bullets = bullets.withColumn("d", _variant(F.col("texts"))).groupBy(*page).agg(t.joined_once(_listed(F.col("d") != "", F.col("d"), F.col("row")), " / ").alias("bullet_type"))
 
     out = _table_and_line_order(lines, ["page"], ["row", "k"]).join(bullets, page, "left").join(grid_specs(words), "doc_id", "left")
     text = {n: F.coalesce(F.col(n), F.lit("")) for n in ("bullet_type", "case_name", "primer", "barrel", "twist", "test_firearm")}
@@ -204,8 +204,7 @@ def section_triggers(words: DataFrame) -> DataFrame:
     fall, keep = col("top_r") - col("top_l"), ~col("text_r").isin(*SIDEBAR_STOP)
     same = _listed((F.abs(fall) < 3) & right & keep, col("text_r"), col("x0_r"), col("seq_r"))
     wrap = _listed((fall >= 3) & keep & ~is_grain("text_r"), col("text_r"), col("x0_r"), col("seq_r"))
-    tidy = lambda x: F.regexp_replace(F.array_join(F.filter(x, lambda w: ~_matches(w, r"^[a-z]$|^\.\d+$")), " "), "^[ /]+|[ /]+$", "")
-    boxed = pairs.groupBy("doc_id", "seq_l", "top_l", "text_l").agg(tidy(F.concat(same, wrap)).alias("kind"))
+    boxed = pairs.groupBy("doc_id", "seq_l", "top_l", "text_l").agg(t.tidy(F.concat(same, wrap)).alias("kind"))
     boxed = boxed.select("doc_id", F.lit(1).alias("form"), col("seq_l").alias("seq"), col("top_l").alias("top"), F.regexp_extract("text_l", SIDEBAR_GRAIN, 1).cast("double").alias("weight"), "kind")
 
     heads = near(slim.filter("text = 'SKU'"), slim.filter("text in ('Weight', 'Type')"), 3.0)
