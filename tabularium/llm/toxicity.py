@@ -12,8 +12,11 @@ sample of labelled rows outside the held-out fold, summed over the strongest
 evidence of a text, and mapped to [0, 1] by a logistic curve.
 
 Defined cases: null and empty texts have no evidence and get the curve's value
-at none; rows without id are never learned from; no labels at all give every
-text the score 0; repeated rows are scored each.
+at none; rows without id are never learned from; no labels at all, or none of one
+kind, give every text the score 0; of labels that repeat an id the toxic one
+holds; repeated rows are scored each; long texts and spans are decoded whole;
+of equally likely forms the one whose last letters come later is taken; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -96,46 +99,66 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 20 * bi[None]) / (counts.sum(2) + 20)[:, :, None])
 
 
-def viterbi(span: str, model: list[list[list[float]]]) -> str:
-    """The likeliest restored form of a span.
+Options = list[tuple[str, float]]
+
+
+def lattice(span: str) -> list[Options]:
+    """What each character of a span may stand for, nothing included, and the channel's cost of it.
 
-    States are the last two symbols written. Each character offers letters at a
-    channel cost; a separator, or a letter equal to the last one, may be dropped.
-    A letter written twice costs more to drop than one of a longer run, the less
-    so where several are. Figures among figures and marks around a word stay at no cost.
+    A separator may be dropped, and so may a letter equal to the last one. A letter written twice costs more to drop than
+    one of a longer run, the less so where several are. Figures among figures and marks around a word stay at no cost.
     """
     low = span.lower()
     begin, end = len(low) - len(low.lstrip(_OPENING)), len(low.rstrip(_CLOSING))
     number = low[begin:end].isdigit()
     twice = sum(a == b and a.isalpha() for a, b in zip(low, low[1:]))
     drop = -4.0 if twice < 2 else -1.5
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     spaced = any(c in _SEPARATORS for c in low)
+    out = []
     for i, c in enumerate(low):
         if c in _SEPARATORS and spaced:
-            options: list[tuple[str, float]] = [("", 0.0), (" ", -3.0)]
+            options: Options = [("", 0.0), (" ", -3.0)]
         elif c in LOOKALIKES:
             options = [(x, -1.0) for x in LOOKALIKES[c]] + [(c, 0.0 if number or not begin <= i < end else -3.0 if c.isdigit() else -8.0)]
         else:
             options = [(c, 0.0)]
-        repeated = i > 0 and low[i - 1] == c and c.isalpha()
-        longer = repeated and (low[i - 2 : i - 1] == c or low[i + 1 : i + 2] == c)
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, out) in paths.items():
+        if i > 0 and low[i - 1] == c and c.isalpha():
+            longer = low[i - 2 : i - 1] == c or low[i + 1 : i + 2] == c
+            options.append(("", -0.5 if longer else drop))
+        out.append(options)
+    return out
+
+
+def symbol(x: str) -> int:
+    return ord(x) - 96 if "a" <= x <= "z" else 27 if x.isdigit() else 28 if x.isalpha() else 0
+
+
+def viterbi(span: str, model: list[list[list[float]]]) -> str:
+    """The likeliest restored form of a span, by the channel's costs and the character model.
+
+    States are the last two symbols written; a path is a chain of what it wrote, so time and memory are linear in the span.
+    """
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for options in lattice(span):
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, wrote) in paths.items():
+            after = model[a][b]
             for x, cost in options:
-                if not x:
-                    to, s, o = (a, b), score + cost, out
+                if x:
+                    k = symbol(x)
+                    to, s = (b, k), score + cost + after[k]
                 else:
-                    k = (ord(x) - 96) if "a" <= x <= "z" else 27 if x.isdigit() else 28 if x.isalpha() else 0
-                    to, s, o = (b, k), score + cost + model[a][b][k], out + x
-                if to not in nxt or s > nxt[to][0]:
-                    nxt[to] = (s, o)
-            if repeated:
-                less = score + (-0.5 if longer else drop)
-                if (a, b) not in nxt or less > nxt[(a, b)][0]:
-                    nxt[(a, b)] = (less, out)
+                    to, s = (a, b), score + cost
+                old = nxt.get(to)
+                if old is None or s > old[0]:
+                    nxt[to] = (s, (x, wrote) if x else wrote)
         paths = nxt
-    return max((s + model[a][b][0], o) for (a, b), (s, o) in paths.items())[1]
+    wrote = max(paths.items(), key=lambda p: (p[1][0] + model[p[0][0]][p[0][1]][0], p[0]))[1][1]
+    out = []
+    while wrote is not None:
+        x, wrote = wrote
+        out.append(x)
+    return "".join(reversed(out))
 
 
 SPACED, TOKENS = 1, 2

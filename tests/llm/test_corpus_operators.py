@@ -618,3 +618,51 @@ def test_disguises_are_restored(restore, written, meant):
 def test_ordinary_words_stay(restore):
     text = "the common letter is happy, a good little book; in 2024 all will see better!"
     assert restore(text) == text
+
+
+def test_viterbi_finds_the_best_of_all_paths(restore):
+    """Against the enumeration of everything a short span may stand for."""
+    rng = random.Random(8)
+
+    def cost(path, model):
+        a = b = 0
+        total = 0.0
+        for x, c in path:
+            total += c
+            if x:
+                k = toxicity.symbol(x)
+                total, a, b = total + model[a][b][k], b, k
+        return total + model[a][b][0]
+
+    spans = ["l053r", "i d!0 t", "4$$h0l3", "iddiiott", "m@@r0n", "(()|", "11", "€ 0"] + ["".join(rng.choice("0134$@!| ios") for _ in range(rng.randrange(1, 8))) for _ in range(150)]
+    for span in spans:
+        options = toxicity.lattice(span)
+        best = max(cost(p, restore._model) for p in itertools.product(*options))
+        got = toxicity.viterbi(span, restore._model)
+        same = [cost(p, restore._model) for p in itertools.product(*options) if "".join(x for x, _ in p) == got]
+        assert math.isclose(max(same), best, abs_tol=1e-9), span
+
+
+def test_restoring_is_linear(restore):
+    import time
+
+    took = []
+    for n in (60_000, 240_000):
+        began = time.perf_counter()
+        restore._memo.clear()
+        assert len(restore("0" * n + " " + "a 1" * 10)) > 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_toxicity_edges(spark):
+    """Null ids, empty and very long texts, repeated rows and labels, labels of one kind only, clashing columns."""
+    texts = ["you idiot " + "x1 " * 40_000, None, "", "you 1d10t", "you idiot", "you idiot"] + ["a fine day it is"] * 6
+    ids = [0, 1, 2, None, 4, 4, *range(5, 11)]
+    docs = table(spark, texts, ids).withColumn("toxic", F.lit(7)).withColumn("_id", F.lit(1)).withColumn("f", F.lit("f")).withColumn("score", F.lit(2))
+    labels = spark.createDataFrame([(4, 0), (4, 1), (0, 1), (None, 1), (5, None), *[(i, 0) for i in range(5, 11)]], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels)
+    rows = got.collect()
+    assert got.columns == ["doc_id", "held_out", "score", "predicted", "evidence"] and sorted(str(r["doc_id"]) for r in rows) == sorted(map(str, ids))
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows) and not next(r for r in rows if r["doc_id"] is None)["held_out"]
+    assert {r["predicted"] for r in toxicity.score_toxicity(docs, labels.filter("toxic = 0")).collect()} == {0}
