@@ -666,3 +666,93 @@ def test_toxicity_edges(spark):
     assert got.columns == ["doc_id", "held_out", "score", "predicted", "evidence"] and sorted(str(r["doc_id"]) for r in rows) == sorted(map(str, ids))
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows) and not next(r for r in rows if r["doc_id"] is None)["held_out"]
     assert {r["predicted"] for r in toxicity.score_toxicity(docs, labels.filter("toxic = 0")).collect()} == {0}
+
+
+def plain_battery(run, k):
+    """The four tests and their combination, one run at a time, from their formulas."""
+    alphabet = secretscan.ALPHABETS[k]
+    n, size, x = len(run), len(secretscan.ALPHABETS[k]), [secretscan.ALPHABETS[k].index(c) for c in run]
+    cells = min(max(n // 5, 2), size)
+    chi = 0.0
+    for c in range(cells):
+        members = [v for v in range(size) if v * cells // size == c]
+        expected = n * len(members) / size
+        chi += (sum(v in members for v in x) - expected) ** 2 / expected
+    df = cells - 1
+    normal = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    p = [normal(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))]
+    turns = sum((a >= size / 2) != (b >= size / 2) for a, b in zip(x, x[1:]))
+    p.append(2 * normal(abs(turns - (n - 1) / 2) / math.sqrt((n - 1) / 4)))
+    mean, sd = (size - 1) / 2, math.sqrt((size**2 - 1) / 12)
+    p.append(2 * normal(abs(sum((a - mean) * (b - mean) / sd**2 for a, b in zip(x, x[1:]))) / math.sqrt(n - 1)))
+    letters = [c for c in alphabet if c.isalpha()]
+    table = secretscan._PAIRS
+    every = [table[ord(a), ord(b)] for a in letters for b in letters]
+    seen = [(a, b) for a, b in zip(run, run[1:]) if a.isalpha() and b.isalpha()]
+    if letters:
+        m = sum(every) / len(every)
+        var = sum((v - m) ** 2 for v in every) / len(every)
+        into = {b: sum(table[ord(a), ord(b)] for a in letters) / len(letters) - m for b in letters}
+        out = {b: sum(table[ord(b), ord(c)] for c in letters) / len(letters) - m for b in letters}
+        cov = sum(into[b] * out[b] for b in letters) / len(letters)
+        triples = sum(a.isalpha() and b.isalpha() and c.isalpha() for a, b, c in zip(run, run[1:], run[2:]))
+        z = (sum(table[ord(a), ord(b)] for a, b in seen) - len(seen) * m) / math.sqrt(max(len(seen) * var + 2 * triples * cov, 1))
+    else:
+        z = 0.0
+    p.append(normal(z))
+    half = -sum(math.log(min(max(v, 1e-30), 1)) for v in p)
+    return math.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6)
+
+
+def test_battery_against_plain_tests():
+    rng = random.Random(9)
+    for k, alphabet in enumerate(secretscan.ALPHABETS):
+        runs = ["".join(rng.choice(alphabet[: rng.choice([3, 9, 99])]) for _ in range(rng.choice([20, 21, 40, 64, 130]))) for _ in range(12)]
+        got = secretscan.battery(runs, np.full(len(runs), k))
+        assert all(math.isclose(a, plain_battery(r, k), rel_tol=1e-6, abs_tol=1e-12) for a, r in zip(got, runs))
+
+
+def test_discoveries_against_plain_control(spark, monkeypatch):
+    """The Benjamini-Hochberg rule over single p-values, in each family and length class."""
+    monkeypatch.setattr(secretscan, "fixed_null", lambda: np.zeros(secretscan.FAMILIES * 64 * secretscan.BINS, np.int64))
+    rng = random.Random(10)
+    cell = lambda f, c, b: (f * 64 + c) * secretscan.BINS + b
+    null = Counter(cell(f, c, min(63, int(rng.expovariate(0.12)))) for f in (1, 4) for c in range(17, 29) for _ in range(rng.randrange(400)))
+    found = [cell(f, c, min(63, int(rng.expovariate(0.05)))) for f in (1, 4, 5) for c in (17, 20, 28, 33) for _ in range(30)]
+    scans = spark.createDataFrame([([(1, 2, x) for x in found], list(null.items()))], "cand array<struct<s:int,e:int,cell:int>>, nulls array<struct<c:int,n:bigint>>")
+    got, want = secretscan.discovery_bins(scans), {}
+    for f in range(secretscan.FAMILIES):
+        for c in range(64):
+            bins = sorted((x % 64 for x in found if x // 64 == f * 64 + c), reverse=True)
+            top = min(c, secretscan.LAST_CLASS)
+            like = [(x % 64, n) for x, n in null.items() if x // 64 // 64 == f and top - secretscan.REACH < x // 64 % 64 <= top]
+            p = [(1 + sum(n for b, n in like if b >= v)) / (1 + sum(n for _, n in like)) for v in bins]
+            passed = [k for k in range(len(bins)) if p[k] <= secretscan.FDR * (k + 1) / len(bins)]
+            if passed:
+                want[f * 64 + c] = bins[passed[-1]]
+    taken = lambda least: sorted(x for x in found if x % 64 >= least.get(x // 64, 64))
+    assert taken(got) == taken(want) and 0 < len(taken(want)) < len(found)
+
+
+def test_secrets_recall_and_false_discoveries(spark, small):
+    """Different keys in the prose of sf0.01, with as many paths, slugs and numbers beside them: nine of ten are found, and few others."""
+    rng = random.Random(13)
+    words = "report final version archive summary market history people table water music light stone paper river green".split()
+    keys = ["".join(rng.choice(secretscan.ALPHABETS[6]) for _ in range(40)) for _ in range(50)]
+    decoys = ["-".join(rng.choice(words) for _ in range(rng.randrange(4, 8))) + f"-20{rng.randrange(10, 25)}" for _ in range(50)] + ["/".join(rng.choice(words).title() for _ in range(6)) for _ in range(50)]
+    docs, where = planted(spark, small, keys + decoys)
+    hosts, got = list(where), random_spans(docs)
+    hit = sum(where[h] in got.get(h, []) for h in hosts[:50])
+    others = sum(len(v) for v in got.values()) - hit
+    assert hit >= 45 and others <= max(1, secretscan.FDR * (hit + others))
+
+
+def test_secrets_edges(spark):
+    """Repeated rows, null ids, a very long text and clashing columns."""
+    text = "secret=abcdefghijklmn " + "plain words here " * 60_000 + " 0123456789abcdef"
+    docs = table(spark, [text, text, text, None, "password = 'x'"], [1, 1, None, None, 2]).withColumn("spans", F.lit("s")).withColumn("base", F.lit(1)).withColumn("cand", F.lit(2)).withColumn("nulls", F.lit(3))
+    got = secretscan.query(docs).collect()
+    end = len(text)
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in got) == sorted([("1", f"assign:0:21,hex:{end - 16}:{end}")] * 2 + [("None", f"assign:0:21,hex:{end - 16}:{end}"), ("None", ""), ("2", "")])
+    masked = secretscan.redact_documents(docs)
+    assert masked.columns == docs.columns and masked.filter("text like '<SECRET> plain%<SECRET>'").count() == 3
