@@ -7,12 +7,14 @@ not yet marked on either side is marked, again and again, until none of
 ``LEAST_MATCH`` tokens is left. An item is leaked where the tiles cover
 ``COVERAGE`` of its tokens, in whatever order they stand.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES``; a
-larger one takes several passes over the texts, each with a bounded block.
+The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES`` (a longer
+item alone); a larger one takes several passes over the texts, each with its block.
 
 Defined cases: null texts and items are empty; items of fewer tokens than
 ``LEAST_MATCH`` are never leaked; repeated rows and items are judged each; a row
-without id is reported with a null id.
+without id is reported with a null id; texts of any length are tiled whole; of
+matches of one length that starting first in the text is marked; an empty table
+on either side leaks nothing; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -166,12 +168,16 @@ class Index:
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list]:
-    """The items in blocks of about ``most`` bytes at most."""
-    rows = benchmark.select("item_id", "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(2 * size / most) if size > most else 1
+    """The items in blocks of at most ``most`` bytes, but for an item of more than that, which is a block of its own.
+
+    Items are dealt by a hash of their text; the number of blocks doubles until each fits. Equal items stay together.
+    """
+    rows = benchmark.select("item_id", "text").withColumn("_h", F.xxhash64("text"))
+    n, size = 1, F.sum(F.octet_length("text"))
+    while rows.groupBy(F.pmod("_h", F.lit(n)).alias("k")).agg(size.alias("b"), F.count_distinct("_h").alias("d")).filter((F.col("b") > most) & (F.col("d") > 1)).limit(1).count():
+        n *= 2
     for k in range(n):
-        yield (rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows).orderBy("item_id", "text").collect()
+        yield (rows.filter(F.pmod("_h", F.lit(n)) == k) if n > 1 else rows).drop("_h").orderBy("item_id", "text").collect()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST_MATCH) -> DataFrame:

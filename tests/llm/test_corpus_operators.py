@@ -756,3 +756,118 @@ def test_secrets_edges(spark):
     assert sorted((str(r["doc_id"]), r["spans"]) for r in got) == sorted([("1", f"assign:0:21,hex:{end - 16}:{end}")] * 2 + [("None", f"assign:0:21,hex:{end - 16}:{end}"), ("None", ""), ("2", "")])
     masked = secretscan.redact_documents(docs)
     assert masked.columns == docs.columns and masked.filter("text like '<SECRET> plain%<SECRET>'").count() == 3
+
+
+def test_decontaminate_edges(spark, monkeypatch):
+    """Repeated rows and items, a null id, clashing columns of both tables, and a benchmark in several blocks with a long item."""
+    rng = random.Random(14)
+    items = [prose(rng, 40, 10_000) for _ in range(9)] + [prose(rng, 400, 10_000)]
+    items.append(items[0])
+    texts = [items[0], items[0], items[3] + " tail", None, items[9], "nothing of these"]
+    docs = table(spark, texts, [5, 5, None, 1, 2, 3]).withColumn("item_id", F.lit(9)).withColumn("n_covered", F.lit("x"))
+    bench = spark.createDataFrame([(k, t, 1, "d") for k, t in enumerate(items)], "item_id long, text string, doc_id int, _h string")
+    want = sorted([("5", 0), ("5", 10)] * 2 + [("None", 3), ("2", 9)])
+    for most in (16_000_000, 600):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", most)
+        monkeypatch.setattr(decontaminate.blocks, "__defaults__", (most,))
+        assert sorted((str(r["doc_id"]), r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()) == want
+        kept = decontaminate.drop_leaked(docs, bench)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == docs.columns
+    assert len(list(decontaminate.blocks(bench))) > 4
+
+
+def many_near_pairs(rng, n, words_each=60):
+    """Pairs of texts around the threshold: one word changed in some places."""
+    out = []
+    for _ in range(n):
+        w = [f"x{rng.randrange(10**6)}" for _ in range(words_each)]
+        v = list(w)
+        for _ in range(rng.randrange(1, 3)):
+            v[rng.randrange(words_each)] = f"y{rng.randrange(10**6)}"
+        out += [" ".join(w), " ".join(v)]
+    return out
+
+
+def test_forest_recall(spark):
+    """Of links of exact sets the forest finds nearly all, on many pairs of similarity 0.7 to 0.9."""
+    texts = many_near_pairs(random.Random(15), 400)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    linked = {2 * k for k in range(400) if 5 * len(sets[2 * k] & sets[2 * k + 1]) >= 4 * len(sets[2 * k] | sets[2 * k + 1])}
+    got = {r["doc_id"] for r in jaccard.near_duplicates(table(spark, texts)).collect() if r["n_links"] and r["doc_id"] % 2 == 0}
+    assert got <= linked and len(got) >= 0.99 * len(linked) and 100 < len(linked) < 400
+
+
+def test_prefixes_are_shortened_until_the_recall_holds():
+    rng = np.random.default_rng(4)
+    codes = np.sort(rng.integers(0, 60, (500, jaccard.TREES, 8)) * (rng.random((500, jaccard.TREES, 1)) < 0.6), axis=2)[:, :, ::-1].astype(np.uint8)
+    depth = jaccard.chosen_depths(codes)
+    missed = np.prod(1 - 0.8**depth, axis=1)
+    assert (missed <= 1 - jaccard.RECALL + 1e-12).all() and depth.min() >= jaccard.LEAST_DEPTH and depth.max() <= jaccard.DEPTH
+    for c, d in zip(codes[:60], depth[:60]):  # the same, a step at a time: whichever brings the fewest near
+        now = np.full(jaccard.TREES, jaccard.DEPTH)
+        while np.prod(1 - 0.8**now) > 1 - jaccard.RECALL:
+            now[min((int(c[t, now[t] - 1 - jaccard.LEAST_DEPTH]), -int(now[t]), t) for t in range(jaccard.TREES) if now[t] > jaccard.LEAST_DEPTH)[2]] -= 1
+        assert math.isclose(np.prod(1 - 0.8**now), np.prod(1 - 0.8**d), rel_tol=0.9) and abs(int(now.sum()) - int(d.sum())) <= 1
+
+
+def test_forest_groups_do_not_depend_on_partitions(spark, monkeypatch):
+    """Sorted partitions that cut subtrees find the edges that one partition finds."""
+    rng = random.Random(16)
+    base = prose(rng, 60, 10_000).split()
+    texts = many_near_pairs(rng, 20)
+    for _ in range(60):
+        w = list(base)
+        w[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    nodes = jaccard.signatures(table(spark, texts), jaccard.TREES).select(F.col("doc_id").alias("node"), "labels")
+
+    def classes(rows_each):
+        monkeypatch.setattr(jaccard, "SORTED_ROWS", rows_each)
+        return sorted(tuple(r) for r in jaccard.components(jaccard.forest_edges(nodes, tile=16)).collect())
+
+    assert classes(10**6) == classes(60) and len(classes(10**6)) > 80
+
+
+def test_words_of_crafted_letters(spark):
+    """Two words that cancel out in any polynomial modulo 2**64 stay two words for every operator."""
+    w = "a"
+    for _ in range(10):
+        w += w.translate(str.maketrans("ab", "ba"))
+    v = w.translate(str.maketrans("ab", "ba"))
+    text = lambda x: " ".join([x, "and"] * 40)
+    docs = table(spark, [text(w), text(v)])
+    assert [r["n_removed"] for r in substrings.remove_repeats(docs).orderBy("doc_id").collect()] == [brute_substrings([0, 1], [text(w), text(v)])[k][2] for k in (0, 1)]
+    assert [r["n_removed"] for r in suffixes.find_repeats(docs).orderBy("doc_id").collect()] == [brute_suffixes([0, 1], [text(w), text(v)])[k][2] for k in (0, 1)]
+    assert [r["n_links"] for r in jaccard.near_duplicates(docs).collect()] == [0, 0]
+    assert decontaminate.find_leaks(docs.filter("doc_id = 0"), spark.createDataFrame([(1, text(v))], "item_id long, text string")).count() == 0
+
+
+def test_warc_reads_foreign_archives():
+    """Names in another case, records that are not HTTP, SHA-1 and no digests, further skippable frames."""
+    import base64
+
+    body, zstd = b"<p>x</p>", __import__("zstandard").ZstdCompressor()
+    head = b"warc-type: response\r\nWARC-RECORD-ID: <urn:uuid:1>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n"
+    made = lambda kind, extra, block: b"WARC/1.0\r\n" + head.replace(b"response", kind) + extra + b"content-length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    sha1 = b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest()) + b"\r\n"
+    http = b"HTTP/1.1 200 OK\r\ncontent-length: 8\r\n\r\n" + body
+    records = [made(b"warcinfo", b"", b"software: x"), made(b"response", b"Content-Type: application/http; msgtype=response\r\n" + sha1, http), made(b"resource", sha1, body)]
+    content = b"".join(zstd.compress(r) + b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc" for r in records)
+    got = [(h["WARC-Type"], warc.payload_of(h, b), warc.checked_digest(h, warc.payload_of(h, b)[0])) for _, h, b in warc.read_stream(content)]
+    assert got == [("warcinfo", (b"software: x", 11), True), ("response", (body, 8), True), ("resource", (body, 8), True)]
+    assert not warc.checked_digest({"WARC-Payload-Digest": "sha256:00"}, body) and warc._number("<urn:uuid:1>") is None and warc._number("<urn:page:7>") == 7
+
+
+def test_warc_reader_is_linear():
+    import time
+
+    def took(n):
+        w = warc.ArchiveWriter(b"")
+        for k in range(n):
+            w.add(warc.record(k, "u", b"%d" % k * 99, "d", None))
+        content, began = w.content(), time.perf_counter()
+        assert sum(1 for _ in warc.read_stream(content)) == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 8 * took(4_000) + 0.2
