@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,7 @@ from tabularium.functions.text import normal_tokens, raw_tokens
 LEAST_RATIO = 0.75
 PREFIX_BONUS, PREFIX_CEILING = 0.3, 0.95
 LIMIT, LEAST_SCORE = 5, 0.45
+QUERY_BLOCK = 10_000
 
 
 def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -42,15 +45,27 @@ def score(q_norm: Column, c_norm: Column, q_raw: Column, c_raw: Column, characte
     return F.when(F.array_join(q_norm, " ") == F.array_join(c_norm, " "), 1.0).when(guard, 0.0).otherwise(lifted)
 
 
+def _worth(q_norm: Column, c_norm: Column) -> Column:
+    """Whether the character ratio can decide: the names differ, the query is not a subset, and lengths allow the least ratio."""
+    a, b = F.length(F.array_join(q_norm, " ")), F.length(F.array_join(c_norm, " "))
+    subset = (F.size(q_norm) > 0) & (F.size(F.array_except(q_norm, c_norm)) == 0)
+    digits = F.filter(q_norm, lambda t: F.rlike(t, F.lit("^[0-9]+$")))
+    return ~subset & (F.size(F.array_except(digits, c_norm)) == 0) & (2 * F.least(a, b) >= LEAST_RATIO * (a + b))
+
+
 def scored(queries: DataFrame, listing: DataFrame, use_ratio: bool = True) -> DataFrame:
     """Every query against every label. The listing's tokens are made once a label, before the product.
 
-    ``queries``: ``query_id, text``; ``listing``: ``source, ord, label`` and more. Queries are few: they come from a user.
+    ``queries``: ``query_id, text``; ``listing``: ``source, ord, label`` and more. Queries are the stated side: they go
+    out in blocks of ``QUERY_BLOCK`` at most, and the listing stays where it is. Labels are compared letter by letter
+    only where tokens do not decide.
     """
     q = queries.select("query_id", "text", normal_tokens(F.col("text")).alias("_qn"), raw_tokens(F.col("text")).alias("_qr"))
     c = listing.select("*", normal_tokens(F.col("label")).alias("_cn"), raw_tokens(F.col("label")).alias("_cr"))
-    both = c.join(q, F.lit(True))
-    r = ratio(F.array_join("_qn", " "), F.array_join("_cn", " ")) if use_ratio else None
+    blocks = math.ceil(queries.count() / QUERY_BLOCK)
+    parts = [q] if blocks <= 1 else [q.filter(F.pmod(F.xxhash64("query_id", "text"), F.lit(2 * blocks)) == k) for k in range(2 * blocks)]
+    both = reduce(DataFrame.unionByName, [c.crossJoin(F.broadcast(part)) for part in parts])
+    r = ratio(F.when(_worth(F.col("_qn"), F.col("_cn")), F.array_join("_qn", " ")), F.array_join("_cn", " ")) if use_ratio else None
     return both.withColumn("score", score(F.col("_qn"), F.col("_cn"), F.col("_qr"), F.col("_cr"), r)).drop("_qn", "_qr", "_cn", "_cr")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -36,6 +37,8 @@ def ship(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as tmp:
         top = os.path.join(tmp, "top")
         shutil.copytree(home, os.path.join(top, "tabularium"), ignore=shutil.ignore_patterns("__pycache__"))
-        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tabularium-code-"), "tabularium"), "zip", top)
+        kept = tempfile.mkdtemp(prefix="tabularium-code-")
+        atexit.register(shutil.rmtree, kept, ignore_errors=True)
+        made = shutil.make_archive(os.path.join(kept, "tabularium"), "zip", top)
     sc.addPyFile(made)
     sc._tabularium_sent = True
