@@ -8,7 +8,10 @@ Texts are dealt into blocks by a hash of their row, once; every pass reads that
 exchange. (1) Each block sends a sketch: the cells of its windows in ``DEPTH``
 rows of counters, as delta-coded cell numbers with a mark for two or more.
 (2) Sketches are merged by shards of the cell space, and each block gets back one
-bit a cell: whether the merged count reaches two. The sketch's width follows the
+bit a cell: whether the merged count reaches two. Beyond ``2 ** FAN_BITS`` shards this
+goes level by level: sketches of ``2 ** FAN_BITS`` blocks are merged by a prefix of
+the cells before they are sent to finer shards, and answers come back the same way,
+so that the rows of an exchange grow with the blocks and not with their square. The sketch's width follows the
 number of windows, and no part of it is ever broadcast. (3) The blocks send the
 windows all of whose cells reach two, one a sequence and block, to be grouped
 exactly, by 96 bits of two independent hashes of the words. A window that occurs
@@ -43,6 +46,7 @@ DEPTH = 2
 LOAD = 4  # cells of a sketch row for each window
 BLOCK_BYTES = 8_000_000
 SHARD_CELLS = 2_000_000
+FAN_BITS = 8
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -112,40 +116,78 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     windows = max(1, size // 5)
     bits = min(48, max(12, math.ceil(math.log2(windows * LOAD))))
     shards = max(1, math.ceil(windows * DEPTH / SHARD_CELLS))
-    shift = max(1, bits + (DEPTH - 1).bit_length() - math.ceil(math.log2(shards)) if shards > 1 else bits + 8)
+    whole = bits + (DEPTH - 1).bit_length()
+    fine = min(whole - 1, math.ceil(math.log2(shards)))  # bits of a cell that name its shard
+    levels = [whole - min(k * FAN_BITS, fine) for k in range(1, max(1, math.ceil(fine / FAN_BITS)) + 1)]  # what each level shifts off
     groups = max(1, math.ceil(windows / (4 * SHARD_CELLS)))
 
     text = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
     def sketched(block: pa.Table) -> pa.Table:
-        k1 = _keys(block)[0]
-        found, counts, _ = _cells(k1, bits)
-        b = block.column("block")[0].as_py()
+        found, counts, _ = _cells(_keys(block)[0], bits)
+        return sent(found, counts > 1, block.column("block")[0].as_py(), levels[0])
+
+    def sent(found: np.ndarray, often: np.ndarray, sender: int, shift: int) -> pa.Table:
+        """Sorted cells and which count two or more, a row a shard."""
         rows = []
         for shard, i, j in _split(found, shift):
             delta = np.diff(found[i:j], prepend=U(shard << shift)).astype(np.uint64)
             delta = delta.astype(np.uint32) if int(delta.max()) < 1 << 32 else delta
-            rows.append((shard, b, bytes([delta.itemsize]) + _pack(delta) + np.packbits(counts[i:j] > 1).tobytes() + np.uint32(j - i).tobytes()))
+            rows.append((shard, sender, bytes([delta.itemsize]) + _pack(delta) + np.packbits(often[i:j]).tobytes() + np.uint32(j - i).tobytes()))
         return _table(rows, *_BLOCK_ROW)
 
-    def entries(data: bytes, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    def entries(data: bytes, shard: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
         n = int(np.frombuffer(data[-4:], np.uint32)[0])
         marks = (n + 7) // 8
         (delta,) = _unpack(data[1 : -4 - marks], f"u{data[0]}")
         return np.cumsum(delta.astype(U)) + U(shard << shift), np.unpackbits(np.frombuffer(data[-4 - marks : -4], np.uint8), count=n).astype(bool)
 
-    def merged(shard: pa.Table) -> pa.Table:
-        s = shard.column("shard")[0].as_py()
-        parts = [entries(d.as_py(), s) for d in shard.column("data")]
-        cells = np.concatenate([p[0] for p in parts])
-        found, inverse, counts = np.unique(cells, return_inverse=True, return_counts=True)
+    def together(rows: pa.Table, shift: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The cells of several senders, which of them count two or more together, and where each sender's are among them."""
+        s = rows.column("shard")[0].as_py()
+        parts = [entries(d.as_py(), s, shift) for d in rows.column("data")]
+        found, inverse, counts = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
         often = counts > 1
         often[inverse[np.concatenate([p[1] for p in parts])]] = True
-        at, rows = 0, []
-        for b, (c, _) in zip(shard.column("block").to_pylist(), parts):
-            rows.append((s, b, np.packbits(often[inverse[at : at + len(c)]]).tobytes()))
-            at += len(c)
-        return _table(rows, *_BLOCK_ROW)
+        return found, often, np.split(inverse, np.cumsum([len(p[0]) for p in parts])[:-1])
+
+    def replied(rows: pa.Table, often: np.ndarray, places: list[np.ndarray]) -> pa.Table:
+        s = rows.column("shard")[0].as_py()
+        return _table([(s, b, np.packbits(often[p]).tobytes()) for b, p in zip(rows.column("block").to_pylist(), places)], *_BLOCK_ROW)
+
+    def heard(found: np.ndarray, answers: pa.Table, shift: int) -> np.ndarray:
+        """The answers to sorted cells, put together."""
+        told, often = dict(zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist())), np.zeros(len(found), bool)
+        for shard, i, j in _split(found, shift):
+            often[i:j] = np.unpackbits(np.frombuffer(told[shard], np.uint8), count=j - i)
+        return often
+
+    def answered(rows: DataFrame, level: int) -> DataFrame:
+        """For each row of cells one bit a cell: whether all senders together count two or more."""
+        shift = levels[level]
+        if level == len(levels) - 1:
+
+            def merged(shard: pa.Table) -> pa.Table:
+                _, often, places = together(shard, shift)
+                return replied(shard, often, places)
+
+            return rows.groupBy("shard").applyInArrow(merged, row)
+        below = levels[level + 1]
+
+        def bundled(some: pa.Table) -> pa.Table:
+            found, often, _ = together(some, shift)
+            return sent(found, often, some.column("block")[0].as_py() >> FAN_BITS, below)
+
+        def unbundled(some: pa.Table, answers: pa.Table) -> pa.Table:
+            if not some.num_rows:
+                return _table([], *_BLOCK_ROW)
+            found, _, places = together(some, shift)
+            return replied(some, heard(found, answers, below), places)
+
+        rows = rows.withColumn("bundle", F.shiftright("block", FAN_BITS))
+        told = answered(rows.groupBy("shard", "bundle").applyInArrow(bundled, row), level + 1)
+        told = told.withColumn("above", F.shiftright("shard", shift - below))
+        return rows.groupBy("shard", "bundle").cogroup(told.groupBy("above", "block")).applyInArrow(unbundled, row)
 
     def chosen(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows or not answers.num_rows:
@@ -153,10 +195,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         b = block.column("block")[0].as_py()
         k1, k2, doc, start, _ = _keys(_ordered(block))
         found, _, places = _cells(k1, bits)
-        told, often = dict(zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist())), np.zeros(len(found), bool)
-        for shard, i, j in _split(found, shift):
-            often[i:j] = np.unpackbits(np.frombuffer(told[shard], np.uint8), count=j - i)
-        at = np.flatnonzero(often[places].all(0))
+        at = np.flatnonzero(heard(found, answers, levels[0])[places].all(0))
         at = at[np.lexsort((start[at], doc[at], k2[at], k1[at]))]
         first = np.ones(len(at), bool)
         first[1:] = (k1[at][1:] != k1[at][:-1]) | (k2[at][1:] != k2[at][:-1])
@@ -237,7 +276,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     row = "shard bigint, block bigint, data binary"
     sketch = text.groupBy("block").applyInArrow(sketched, row)
-    answers = sketch.groupBy("shard").applyInArrow(merged, row)
+    answers = answered(sketch, 0)
     found = text.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(chosen, row)
     marks = found.groupBy("shard").applyInArrow(later, row)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text

@@ -75,10 +75,12 @@ def ordered(rows):
     return sorted((tuple(r) for r in rows), key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("size", [8_000_000, 3_000])
-def test_substrings(spark, monkeypatch, size):
+@pytest.mark.parametrize("size, cells, fan", [(8_000_000, 1_000_000, 8), (3_000, 500, 8), (1_000, 100, 2)])
+def test_substrings(spark, monkeypatch, size, cells, fan):
+    """One block, many blocks and shards, and sketches merged in several levels."""
     monkeypatch.setattr(substrings, "BLOCK_BYTES", size)
-    monkeypatch.setattr(substrings, "SHARD_CELLS", size // 6)
+    monkeypatch.setattr(substrings, "SHARD_CELLS", cells)
+    monkeypatch.setattr(substrings, "FAN_BITS", fan)
     texts = corpus()
     ids = [*range(len(texts) - 2), 5, 5]
     assert ordered(substrings.remove_repeats(table(spark, texts, ids)).collect()) == ordered(brute_substrings(ids, texts))
