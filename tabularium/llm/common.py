@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 _own_root: list[str] = []
+_SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +50,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def few_samples(spark: SparkSession, each: int = 10) -> Iterator[None]:
+    """While tables are written inside, range partitioning takes ``each`` rows a partition to the driver, not a hundred.
+
+    With wide sort keys the samples would else be what the driver holds most of.
+    """
+    old = spark.conf.get(_SAMPLES)
+    spark.conf.set(_SAMPLES, str(each))
+    try:
+        yield
+    finally:
+        spark.conf.set(_SAMPLES, old)
+
+
 def text_size(df: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(column)).alias("b")).first()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import discard, materialise, salted_firsts
+from tabularium.llm.common import discard, few_samples, materialise, salted_firsts
 from tabularium.llm.textkernel import U, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
 
 SHINGLE = 5
@@ -284,7 +284,8 @@ def forest_edges(nodes: DataFrame, trees: int = TREES, recall: float = RECALL, t
     rows = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(nodes.count() * trees / SORTED_ROWS))
     near = crowding(rows.select("tree", "label", "node"), parts)
-    met = materialise(subtrees(shortened(near, trees, recall), parts), "subtrees")
+    with few_samples(nodes.sparkSession):
+        met = materialise(subtrees(shortened(near, trees, recall), parts), "subtrees")
     key = ["tree", "depth", "prefix"]
     groups = met.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     groups = groups.filter("asked and n > 1").groupBy("n", "x", "y").agg(F.min(F.struct(*key)).alias("g")).select("g.*", F.ceil(F.col("n") / tile).cast("int").alias("n"))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabularium.llm.common import materialise, text_size
+from tabularium.llm.common import few_samples, materialise, text_size
 from tabularium.llm.substrings import BLOCK_BYTES, NO_ID, _ordered, _table
 from tabularium.llm.textkernel import U, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
 
@@ -316,7 +316,8 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     own = materialise(text.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(chosen, _MARKS + ", low int, high int, left binary, right binary"), "suffixes")
     sent = own.filter("right is not null").select(*_NAMES[:4], "low", "high", "left", "right")
     ordered = sent.repartitionByRange(parts, "right", "doc", "start").sortWithinPartitions("right", "doc", "start")
-    marks = materialise(ordered.mapInArrow(compared, _MARKS + ", bit int, h1 bigint, h2 bigint"), "marks")
+    with few_samples(docs.sparkSession):
+        marks = materialise(ordered.mapInArrow(compared, _MARKS + ", bit int, h1 bigint, h2 bigint"), "marks")
     passages = marks.filter("bit is not null")
     places = passages.groupBy("bit", "h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     late = passages.join(places, ["bit", "h1", "h2"]).filter(F.struct("doc", "start") > F.col("first"))
