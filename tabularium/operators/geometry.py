@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,35 +13,60 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
-def cluster_anchored(df: DataFrame, keys: list[str], coord: str, tol: float, out: str = "anchor") -> DataFrame:
+def cluster_anchored(df: DataFrame, keys: list[str], coord: str, tol: float, out: str = "anchor", split: bool = False) -> DataFrame:
     """Adds the coordinate of each row's cluster: the first that no earlier cluster reaches within ``tol``.
 
-    Anchors do not chain, unlike sessions. A sorted stream with one anchor of state, so groups may be of any size.
+    Anchors do not chain, unlike sessions. A sorted stream with one anchor of state, so groups may be of any size. With
+    ``split`` one group may be many tasks: an empty stretch of ``tol`` ends a cluster for sure, so the islands between
+    such stretches are dealt out, found on the distinct stretches alone.
+
+    Defined cases: a null coordinate is in no cluster (null anchor); null keys are a group; repeated rows share a cluster.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, df.schema[coord].dataType)])
+    schema, columns = T.StructType([*df.schema.fields, T.StructField(out, df.schema[coord].dataType)]), df.columns
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, anchor = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(coord).to_numpy(zero_copy_only=False)
+            known = b.column(coord).is_valid().to_numpy(zero_copy_only=False)
+            x = b.column(coord).fill_null(0).to_numpy(zero_copy_only=False)
             names = list(zip(*(b.column(k).to_pylist() for k in keys)))
-            got, i = np.empty_like(x), 0
+            got, i = np.zeros_like(x), 0
             while i < len(x):
+                if not known[i]:  # nulls come first in a group
+                    key, i = None, i + 1
+                    continue
                 if names[i] != key:
                     key, anchor = names[i], x[i]
                 end = i + 1
-                while end < len(x) and names[end] == key:
+                while end < len(x) and known[end] and names[end] == key:
                     end += 1
                 while i < end:
                     if x[i] - anchor > tol:
                         anchor = x[i]
                     j = i + int(np.searchsorted(x[i:end] - anchor, tol, side="right"))
                     got[i:j], i = anchor, max(j, i + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(got, mask=~known)], names=[*columns, out])
+
+    if not split:
+        return df.repartition(*keys).sortWithinPartitions(*keys, coord).mapInArrow(streamed, schema)
+    island, stretch = spare(df, "island"), spare(df, "stretch")
+    w = W.partitionBy(*keys).orderBy(stretch)
+    apart = F.coalesce(F.col(stretch) - F.lag(stretch).over(w) > 1, F.lit(False))
+    at = df.withColumn(stretch, F.floor(F.col(coord) / tol))
+    islands = at.select(*keys, stretch).distinct().withColumn(island, apart.cast("int")).withColumn(island, F.sum(island).over(w))
+    theirs = {c: spare(df, f"{island}_{c}") for c in (*keys, stretch)}
+    islands = islands.select(island, *[F.col(c).alias(n) for c, n in theirs.items()])
+    dealt = at.join(islands, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in theirs.items()])).select(*columns, island)
+    return dealt.repartition(*keys, island).sortWithinPartitions(*keys, island, coord).mapInArrow(streamed, schema)
+
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, coord).mapInArrow(streamed, schema)
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
 
 
 def nearest_column(x: Column, columns: Column, tol: float) -> Column:
@@ -51,17 +77,19 @@ def nearest_column(x: Column, columns: Column, tol: float) -> Column:
 
 def dedupe_position(df: DataFrame, keys: list[str], x: Column, y: Column, text: Column, order: list[str]) -> DataFrame:
     """One row a rounded position: the first with a point in its text, else the first."""
-    w = W.partitionBy(*keys, "_rx", "_ry").orderBy(F.desc("_dot"), *order)
-    at = df.withColumns({"_rx": F.bround(x, 1), "_ry": F.bround(y, 1), "_dot": F.contains(text, F.lit("."))})
-    return at.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_rx", "_ry", "_dot", "_n")
+    rx, ry, dot, n = (spare(df, c) for c in ("rx", "ry", "dot", "n"))
+    w = W.partitionBy(*keys, rx, ry).orderBy(F.desc(dot), *order)
+    at = df.withColumns({rx: F.bround(x, 1), ry: F.bround(y, 1), dot: F.contains(text, F.lit("."))})
+    return at.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).select(*df.columns)
 
 
 def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], coord: str, width: float) -> DataFrame:
     """Pairs with ``|difference| < width`` of columns suffixed ``_l`` and ``_r``: an equi join on buckets, not a product."""
-    a = left.select(*[F.col(c).alias(c if c in keys else c + "_l") for c in left.columns]).withColumn("_b", F.floor(F.col(coord + "_l") / width))
+    at = spare(left, spare(right, "band"))
+    a = left.select(*[F.col(c).alias(c if c in keys else c + "_l") for c in left.columns]).withColumn(at, F.floor(F.col(coord + "_l") / width))
     b = right.select(*[F.col(c).alias(c if c in keys else c + "_r") for c in right.columns])
-    b = b.withColumn("_b", F.explode(F.array(*[F.floor(F.col(coord + "_r") / width) + d for d in (-1, 0, 1)])))
-    return a.join(b, [*keys, "_b"]).filter(F.abs(F.col(coord + "_l") - F.col(coord + "_r")) < width).drop("_b")
+    b = b.withColumn(at, F.explode(F.array(*[F.floor(F.col(coord + "_r") / width) + d for d in (-1, 0, 1)])))
+    return a.join(b, [*keys, at]).filter(F.abs(F.col(coord + "_l") - F.col(coord + "_r")) < width).drop(at)
 
 
 def next_boundary(df: DataFrame, keys: list[str], order: list[str], at: Column, is_boundary: Column, out: str = "boundary") -> DataFrame:

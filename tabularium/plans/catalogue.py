@@ -133,7 +133,7 @@ select user_id, anchor, count(*) as n from b group by all""")
 def cluster_rows_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user in clusters of a day from their first."""
     e = events(spark, sf_dir).select("user_id", "us")
-    return geometry.cluster_anchored(e, ["user_id"], "us", 86_400_000_000).groupBy("user_id", "anchor").agg(F.count(F.lit(1)).alias("n"))
+    return geometry.cluster_anchored(e, ["user_id"], "us", 86_400_000_000, split=True).groupBy("user_id", "anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
 _REFS = ((5.0, "low"), (15.0, "mid"), (25.0, "high"), (40.0, "top"))

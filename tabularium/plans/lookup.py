@@ -89,6 +89,7 @@ def lookup(shelf: Shelf, query: str, sources: list[str] | None = None) -> Lookup
     listing = listed.filter("label is not null")
     asked = spark.createDataFrame([(0, query)], "query_id int, text string")
     best = best_matches(asked, listing, limit=1).select("source", F.col("label").alias("matched"), F.col("ord").alias("entry"))
+    best = spark.createDataFrame(best.collect(), "source string, matched string, entry bigint")  # a row a source at most
     # Of entries of one label the first is the match, and only its documents are read.
     here = (shelf.docs["source"] == best["source"]) & (shelf.docs["cartridge"] == best["matched"]) & F.coalesce(shelf.docs["ord"] == best["entry"], F.lit(True))
     docs = shelf.docs.join(F.broadcast(best), here, "left_semi")  # a row a source
@@ -98,7 +99,10 @@ def lookup(shelf: Shelf, query: str, sources: list[str] | None = None) -> Lookup
         only = lambda df: df.join(mine.select("doc_id"), "doc_id", "left_semi")
         return PUBLISHERS[name].read(Shelf(shelf.listing, mine, only(shelf.lines), only(shelf.words), only(shelf.sheet_rows)), mine)
 
-    lines = reduce(DataFrame.unionByName, [lines_of(n) for n in names])
+    # Sources without a document to read take no part in the plan; there are as many rows here as sources at most.
+    read = {r["source"] for r in docs.filter("error is null").select("source").distinct().collect()}
+    none = spark.createDataFrame([], LOAD_LINE)
+    lines = reduce(DataFrame.unionByName, [lines_of(n) for n in names if n in read], none)
     head = spark.createDataFrame([(i, n, PUBLISHERS[n].name, PUBLISHERS[n].nothing) for i, n in enumerate(names)], "pos int, source string, manufacturer string, nothing string")
     counts = lines.groupBy("source").agg(F.count_distinct("doc_id", "table_ord").alias("n_tables"), F.count(F.lit(1)).alias("n_lines"))
     step = F.when(F.col("stage") == "page", "failed to load cartridge page ").otherwise("failed to fetch/parse ")

@@ -77,3 +77,35 @@ def test_last_in_group(spark):
     df = spark.createDataFrame([("g", 1.0, 0), ("g", 2.0, 1), ("g", 2.0, 2)], "g string, v double, o int")
     got = df.select("o", sequence.last_in_group(["g"], [F.desc("v"), F.desc("o")]).alias("m")).filter("m").collect()
     assert [r["o"] for r in got] == [2]
+
+
+def test_clusters_of_nulls_ties_and_islands(spark):
+    """Null coordinates and keys, repeated rows, empty tables, clashing names; islands give what one task a group gives."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(k, x, 7, "s") for k in ("a", None, "b") for x in [None, 0, 0, *(rng.randrange(400) for _ in range(60))]]
+    df = spark.createDataFrame(rows, "k string, x long, island int, stretch string")
+    want = []
+    for k in ("a", None, "b"):
+        anchor = None
+        for x in sorted(r[1] for r in rows if r[0] == k and r[1] is not None):
+            if anchor is None or x - anchor > 5:
+                anchor = x
+            want.append((k, x, 7, "s", anchor))
+        want.append((k, None, 7, "s", None))
+    key = lambda r: tuple((v is not None, v) if v is not None else (False, 0) for v in r)
+    for split in (False, True):
+        out = geometry.cluster_anchored(df, ["k"], "x", 5, split=split)
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == ["k", "x", "island", "stretch", "anchor"]
+        assert sorted(got, key=lambda r: str(key(r))) == sorted([r for r in want if not split or r[1] is not None] + ([r for r in want if r[1] is None] if split else []), key=lambda r: str(key(r)))
+        assert geometry.cluster_anchored(df.limit(0), ["k"], "x", 5, split=split).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("k", 1.04, 2.0, "5", 1, 2, 3, 4, 5), ("k", 1.01, 2.0, "5.0", 1, 2, 3, 4, 5)], "k string, x double, y double, t string, rx int, ry int, n int, dot int, band int")
+    (r,) = geometry.dedupe_position(df, ["k"], F.col("x"), F.col("y"), F.col("t"), ["x"]).collect()
+    assert tuple(r) == ("k", 1.01, 2.0, "5.0", 1, 2, 3, 4, 5)
+    pairs = geometry.band_pairs(df, df, ["k"], "x", 0.5)
+    assert pairs.count() == 4 and "band_l" in pairs.columns
