@@ -1,7 +1,8 @@
 """A training-data pipeline: quality rules, near duplicates, decontamination, secrets, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
-kept; all but the last return the columns of ``docs``.
+kept; all but the last return the columns of ``docs``, further ones of any name
+included. An empty table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -14,27 +15,33 @@ from tabularium.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go.
+
+    A null or empty text has no words and goes; null languages and sources are values of their own; equal rows share a verdict.
+    """
     return rules.apply_rules(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of least id."""
+    """One document of each group stays, that of least id.
+
+    Rows without id, and texts without words, are in no group and stay; of rows of equal id and text one stays.
+    """
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go; null texts leak none, and an empty benchmark is not leaked."""
     return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in them are masked."""
+    """All documents stay; secrets in them are masked, and ``n_chars`` counts anew. Null texts stay null."""
     return secretscan.redact_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document, with its sequence and place."""
+    """A row for each piece of each document, with its sequence and place; a null or empty text is its end token."""
     return packing.pack_documents(docs)
 
 
