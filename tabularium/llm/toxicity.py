@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,8 @@ _SEPARATORS = " .-_*~/\\\n\r\t"
 _SYMBOLS = "@$!|+(€£"
 _PART = rf"[^\W_]|[{re.escape(_SYMBOLS)}]"
 _SPACED = re.compile(rf"(?<![^\W_])(?<![{re.escape(_SYMBOLS)}])(?:(?:{_PART})[{re.escape(_SEPARATORS)}]+){{2,}}(?:{_PART})(?!{_PART})")
-_TRIGGER = re.compile(rf"[{re.escape(''.join(LOOKALIKES))}]|([^\W\d_])\1")
-_REST = re.compile(rf"(?:{_PART})*")
+#: A whole token, a run of parts, with a look-alike or a doubled letter in it.
+_TRIGGERED = re.compile(rf"(?<![^\W_])(?<![{re.escape(_SYMBOLS)}])(?:{_PART})*?(?:[{re.escape(''.join(LOOKALIKES))}]|([^\W\d_])\1)(?:{_PART})*")
 #: Marks that end a word, or open one, without standing for a letter.
 _CLOSING, _OPENING = "!|+", "(|+"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -129,6 +130,7 @@ def lattice(span: str) -> list[Options]:
     return out
 
 
+@cache
 def symbol(x: str) -> int:
     return ord(x) - 96 if "a" <= x <= "z" else 27 if x.isdigit() else 28 if x.isalpha() else 0
 
@@ -141,14 +143,14 @@ def viterbi(span: str, model: list[list[list[float]]]) -> str:
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice(span):
         nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        coded = [(x, symbol(x), cost) if x else (x, -1, cost) for x, cost in options]
         for (a, b), (score, wrote) in paths.items():
             after = model[a][b]
-            for x, cost in options:
-                if x:
-                    k = symbol(x)
-                    to, s = (b, k), score + cost + after[k]
-                else:
+            for x, k, cost in coded:
+                if k < 0:
                     to, s = (a, b), score + cost
+                else:
+                    to, s = (b, k), score + cost + after[k]
                 old = nxt.get(to)
                 if old is None or s > old[0]:
                     nxt[to] = (s, (x, wrote) if x else wrote)
@@ -194,7 +196,7 @@ def suspects(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Restorer:
     """Restores texts; keeps the decoded form of the spans seen last."""
 
-    def __init__(self, model: np.ndarray, kept: int = 50_000):
+    def __init__(self, model: np.ndarray, kept: int = 200_000):
         self._model, self._kept, self._memo = model.tolist(), kept, {}
 
     def _decode(self, span: str) -> str:
@@ -205,20 +207,12 @@ class Restorer:
             out = self._memo[span] = viterbi(span, self._model)
         return out
 
+    def _token(self, m: re.Match) -> str:
+        span = m[0]
+        return self._decode(span) if len(span) > 1 and any(c.isalnum() for c in span) else span
+
     def _tokens(self, text: str) -> str:
-        out, last = [], 0
-        for m in _TRIGGER.finditer(text):
-            s = m.start()
-            if s < last:
-                continue
-            while s > last and (text[s - 1].isalnum() or text[s - 1] in _SYMBOLS):
-                s -= 1
-            e = _REST.match(text, m.end()).end()
-            span = text[s:e]
-            if e - s > 1 and any(c.isalnum() for c in span):
-                out += [text[last:s], self._decode(span)]
-                last = e
-        return "".join(out) + text[last:] if out else text
+        return _TRIGGERED.sub(self._token, text)
 
     def __call__(self, text: str, kinds: int = SPACED | TOKENS) -> str:
         text = text.lower()
