@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import bounded_sample
+from tabularium.llm.common import bounded_sample, discard, materialise
 from tabularium.llm.textkernel import row_batches, text_bytes
 
 #: Documented bounds of the fit: labelled rows, and features that the model keeps.
@@ -58,21 +58,10 @@ _SEPARATORS = " .-_*~/\\\n\r\t"
 _SYMBOLS = "@$!|+(€£"
 _PART = rf"[^\W_]|[{re.escape(_SYMBOLS)}]"
 _SPACED = re.compile(rf"(?<![^\W_])(?<![{re.escape(_SYMBOLS)}])(?:(?:{_PART})[{re.escape(_SEPARATORS)}]+){{2,}}(?:{_PART})(?!{_PART})")
-#: A whole token, a run of parts, with a look-alike or a doubled letter in it.
-_TRIGGERED = re.compile(rf"(?<![^\W_])(?<![{re.escape(_SYMBOLS)}])(?:{_PART})*?(?:[{re.escape(''.join(LOOKALIKES))}]|([^\W\d_])\1)(?:{_PART})*")
 #: Marks that end a word, or open one, without standing for a letter.
 _CLOSING, _OPENING = "!|+", "(|+"
 _WORD = re.compile(r"[^\W\d_]+")
 
-_SUSPECT = np.zeros(256, bool)
-_SUSPECT[np.frombuffer(b"013456789@$!|+(", np.uint8)] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_LETTER[128:] = True
-_SEP = np.zeros(256, bool)
-_SEP[np.frombuffer(_SEPARATORS.encode(), np.uint8)] = True
-
-
 def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of the ``SYMBOLS`` cubed trigrams over all texts; a table bounded by the alphabet."""
 
@@ -163,33 +152,48 @@ def viterbi(span: str, model: list[list[list[float]]]) -> str:
     return "".join(reversed(out))
 
 
-SPACED, TOKENS = 1, 2
+_THRICE = re.compile(r"(.)\1\1", re.S)
 
 
-def suspects(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which kinds of suspicious span each row may hold; a superset, found on whole arrays.
+def undoubled(word: str, model: list[list[list[float]]]) -> str:
+    """What :func:`viterbi` gives for letters of which none stands three times in a row.
 
-    It looks at the first byte of each character, and at the second of those beyond ASCII.
+    There each doubled letter is kept or dropped for itself: both states before it end in the same letter, and whichever
+    is left, the letter after the pair sees one of two contexts.
     """
-    out = np.zeros(len(bounds) - 1, np.int64)
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    if len(lead) < 2:
-        return out
-    c = data[lead]
-    letter, odd, sep = _LETTER[c] | ((c >= 48) & (c < 58)), _SUSPECT[c] | (c == 0xC2) | (c == 0xE2), _SEP[c]
-    code = np.where(_LETTER[c], c | 0x20, c).astype(np.int32)
-    high = c >= 128
-    code[high] = c[high].astype(np.int32) * 64 + data[np.minimum(lead[high] + 1, len(data) - 1)]
-    part = letter | odd
-    hit = np.zeros(len(c), bool)
-    hit[1:] = (odd[1:] & part[:-1]) | (part[1:] & odd[:-1]) | (_LETTER[c][1:] & ((code[1:] == code[:-1]) | (high[1:] & high[:-1])))
-    out[np.unique(np.searchsorted(bounds[1:], lead[hit], side="right"))] |= TOKENS
-    one = np.ones(len(c), bool)  # runs of separators count as one
-    one[1:] = ~(sep[1:] & sep[:-1])
-    part, sep, lead = part[one], sep[one], lead[one]
-    if len(lead) >= 5:
-        at = np.flatnonzero(part[:-4] & sep[1:-3] & part[2:-2] & sep[3:-1] & part[4:])
-        out[np.unique(np.searchsorted(bounds[1:], lead[at], side="right"))] |= SPACED
+    pairs = [i for i in range(1, len(word)) if word[i] == word[i - 1]]
+    drop = -4.0 if len(pairs) < 2 else -1.5
+    code = [0, *map(symbol, word), 0]  # code[i + 1] is that of word[i]
+    gone = []
+    for i in pairs:
+        x, before = code[i + 1], code[i - 1]
+        if drop + model[before][x][code[i + 2]] > model[before][x][x] + model[x][x][code[i + 2]]:
+            gone.append(i)
+    for i in reversed(gone):
+        word = word[:i] + word[i + 1 :]
+    return word
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Of every code point of the first plane: bit 0 a part of a token, 1 a letter, 2 a letter or digit, 3 a look-alike."""
+    out = np.zeros(0x10000, np.uint8)
+    for c in range(0x10000):
+        x = chr(c)
+        out[c] = x.isalnum() * 5 + x.isalpha() * 2
+    for x in _SYMBOLS:
+        out[ord(x)] |= 1
+    for x in LOOKALIKES:
+        out[ord(x)] |= 8
+    return out
+
+
+def _class_of(points: np.ndarray) -> np.ndarray:
+    table = _classes()
+    out = table[np.minimum(points, 0xFFFF)]
+    for k in np.flatnonzero(points > 0xFFFF).tolist():
+        x = chr(points[k])
+        out[k] = x.isalnum() * 5 + x.isalpha() * 2
     return out
 
 
@@ -204,21 +208,64 @@ class Restorer:
         if out is None:
             if len(self._memo) >= self._kept:
                 self._memo.clear()
-            out = self._memo[span] = viterbi(span, self._model)
+            out = self._memo[span] = undoubled(span, self._model) if span.isalpha() and not _THRICE.search(span) else viterbi(span, self._model)
         return out
 
-    def _token(self, m: re.Match) -> str:
-        span = m[0]
-        return self._decode(span) if len(span) > 1 and any(c.isalnum() for c in span) else span
-
-    def _tokens(self, text: str) -> str:
-        return _TRIGGERED.sub(self._token, text)
-
-    def __call__(self, text: str, kinds: int = SPACED | TOKENS) -> str:
-        text = text.lower()
-        if kinds & SPACED:
-            text = _SPACED.sub(lambda m: self._decode(m[0]), text)
-        return self._tokens(text)
+    def __call__(self, text: str) -> str:
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str | None], most: int = 1_000_000) -> list[str]:
+        """Restored texts, lower-cased; nulls are empty. Tokens are found on arrays of code points, some texts at a time."""
+        out: list[str] = []
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            some.append((text or "").lower())
+            size += len(some[-1])
+            if size >= most:
+                out += self._restored(some)
+                some, size = [], 0
+        return out + (self._restored(some) if some else [])
+
+    def _restored(self, texts: list[str]) -> list[str]:
+        chained, whole, bounds, start, end, kind = self._tokens(texts)
+        if chained:  # spaced letters are joined first; what comes of them may be a token to restore
+            for k in chained:
+                texts[k] = _SPACED.sub(lambda m: self._decode(m[0]), texts[k])
+            _, whole, bounds, start, end, kind = self._tokens(texts)
+        pieces, last, grown = [], 0, []
+        for s, e in zip(start[kind].tolist(), end[kind].tolist()):
+            x = self._decode(whole[s:e])
+            pieces += [whole[last:s], x]
+            last = e
+            grown.append(len(x) - (e - s))
+        pieces.append(whole[last:])
+        whole = "".join(pieces)
+        shift = np.concatenate([[0], np.cumsum(grown, dtype=np.int64)])[np.searchsorted(start[kind], bounds, side="left")]
+        cut = (bounds + shift).tolist()
+        return [whole[a : b - 1] for a, b in zip(cut, cut[1:])]
+
+    @staticmethod
+    def _tokens(texts: list[str]) -> tuple[list[int], str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts that may hold a chain of single characters; the texts joined, their bounds, their tokens, and which of these to restore."""
+        whole = "\x00".join(texts) + "\x00"
+        bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = _class_of(points)
+        part = (kinds & 1).astype(bool)
+        edge = np.diff(part.astype(np.int8), prepend=0, append=0)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(start):
+            return [], whole, bounds, start, end, np.zeros(0, bool)
+        trigger = (kinds & 8).astype(bool)
+        trigger[1:] |= (points[1:] == points[:-1]) & (kinds[1:] & 2).astype(bool)
+        some = lambda x: np.concatenate([[0], np.cumsum(x)])
+        triggers, signs = some(trigger), some((kinds & 4).astype(bool))
+        kind = (end - start > 1) & (triggers[end] > triggers[start]) & (signs[end] > signs[start])
+        row = np.searchsorted(bounds, start, side="right") - 1
+        one = end - start == 1
+        chain = np.flatnonzero(one[:-2] & one[1:-1] & one[2:] & (row[:-2] == row[2:])) if len(one) > 2 else np.empty(0, np.int64)
+        return np.unique(row[chain]).tolist(), whole, bounds, start, end, kind
 
 
 def features(text: str) -> tuple[set[str], list[set[str]]]:
@@ -250,22 +297,21 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def _restored(texts: list[str | None], column: pa.Array, restore: Restorer) -> Iterator[str]:
-    data, bounds = text_bytes(column)
-    parts = [suspects(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in row_batches(bounds)]
-    odd = np.concatenate([np.empty(0, np.int64), *parts])
-    for i, text in enumerate(texts):
-        yield restore(text, int(odd[i])) if text and odd[i] else text or ""
-
-
 def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from at most ``sample_rows`` labelled rows outside the held-out fold, those of least hash of id."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(known, sample_rows, "doc_id").select(F.col("doc_id").alias("_id"), "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic")
 
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restore = Restorer(lm)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(restore.batch(b.column(0).to_pylist()), pa.string()), pa.array(b.column(1).to_pylist(), pa.int32())], names=["text", "toxic"])
+
+    rows = materialise(rows.mapInArrow(restored, "text string, toxic int"), "restored")  # read twice
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, have = Restorer(lm), (Counter(), Counter())
+        have = (Counter(), Counter())
 
         def drained() -> pa.RecordBatch:
             keys = list(have[0].keys() | have[1].keys())
@@ -275,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int = S
             return out
 
         for b in batches:
-            for text, toxic in zip(_restored(b.column(0).to_pylist(), b.column(0), restore), b.column(1).to_pylist()):
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words, starts = features(text)
                 into = have[1 if toxic else 0]
                 into.update("w" + w for w in words)
@@ -300,14 +346,15 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int = S
         into[r["f"][1:]] = r["w"]
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, have = Restorer(lm), Counter()
+        have: Counter = Counter()
         for b in batches:
-            for text, toxic in zip(_restored(b.column(0).to_pylist(), b.column(0), restore), b.column(1).to_pylist()):
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 have[round(model.evidence(text) * 4), int(bool(toxic))] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in have], pa.int32()), pa.array([k[1] for k in have], pa.int32()), pa.array(list(have.values()), pa.int64())], names=["e", "y", "n"])
 
     seen = [(r["e"] / 4, r["y"], r["n"]) for r in rows.mapInArrow(weighed, "e int, y int, n bigint").groupBy("e", "y").agg(F.sum("n").alias("n")).collect()]
     model.slope, model.bias = logistic(seen)
+    discard(rows)
     return model
 
 
@@ -335,7 +382,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(lm)
         for b in batches:
-            found = [model.evidence(t) for t in _restored(b.column(1).to_pylist(), b.column(1), restore)]
+            found = [model.evidence(t) for t in restore.batch(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(e) for e in found], pa.float64()), pa.array(found, pa.float64())], names=["doc_id", "score", "evidence"])
 
     out = docs.select("doc_id", "text").mapInArrow(scored, "doc_id bigint, score double, evidence double")

@@ -613,8 +613,8 @@ def restore():
 )
 def test_disguises_are_restored(restore, written, meant):
     text = f"this was {written} and so"
-    odd = toxicity.suspects(*toxicity.text_bytes(pa.array([text])))
-    assert odd[0] and restore(text, int(odd[0])).replace("!", "") == f"this was {meant} and so"
+    assert restore(text).replace("!", "") == f"this was {meant} and so"
+    assert restore.batch([None, text, "", text, "plain\x00 words"]) == ["", restore(text), "", restore(text), "plain\x00 words"]
 
 
 def test_ordinary_words_stay(restore):
@@ -873,3 +873,22 @@ def test_warc_reader_is_linear():
 
     took(500)
     assert took(16_000) < 8 * took(4_000) + 0.2
+
+
+def test_doubled_letters_are_decoded_alike(restore):
+    rng = random.Random(17)
+    seen = 0
+    for _ in range(4000):
+        word = "".join(rng.choice("aabeeirstlloéz") * rng.choice((1, 1, 2)) for _ in range(rng.randrange(1, 9)))
+        if not re.search(r"(.)\1\1", word):
+            seen += 1
+            assert toxicity.undoubled(word, restore._model) == toxicity.viterbi(word, restore._model), word
+    assert seen > 1500
+
+
+def test_batches_do_not_matter(restore):
+    """Texts restored together, in small portions, and one by one."""
+    rng = random.Random(18)
+    texts = ["".join(rng.choice(["idiot", "1d10t", "i d i o t", " ", "$", "ll", "é", "\x00", "\n", "h4te", "x", "\U0001f600", "_", "a"]) for _ in range(rng.randrange(20))) for _ in range(200)]
+    each = [restore(t) for t in texts]
+    assert restore.batch(texts) == each == restore.batch(texts, most=50)
