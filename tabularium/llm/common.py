@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly where its estimated size makes splits for less than a quarter of the cores.
+
+    A file with one group of rows is one task otherwise, however much there is to do for a row. Larger inputs are left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 4 * size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one, on a local master only: executors
     of a cluster would each write to a disk of their own."""

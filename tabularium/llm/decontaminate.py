@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.llm.common import spread
 from tabularium.llm.textkernel import hash_windows, hash_words, row_batches, split_words, text_bytes, window_starts
 
 LEAST_MATCH = 5
@@ -182,6 +183,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST_MATCH) -> DataFrame:
     """A row for each leaked item in each text: ``doc_id, item_id, n_tokens, n_covered, n_tiles, longest, coverage``."""
+    texts = spread(docs.select("doc_id", "text"))
     schema = "doc_id bigint, item_id bigint, n_tokens bigint, n_covered bigint, n_tiles bigint, longest bigint"
 
     def scan(items: list) -> DataFrame:
@@ -196,7 +198,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                         rows += [(ids[i + r].as_py(), item, len(index.items[k]), covered, n, longest) for item in index.ids[k]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], names=["doc_id", "item_id", "n_tokens", "n_covered", "n_tiles", "longest"])
 
-        return docs.select("doc_id", "text").mapInArrow(found, schema)
+        return texts.mapInArrow(found, schema)
 
     out = None
     for items in blocks(benchmark):
@@ -206,6 +208,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST_MATCH) -> DataFrame:
     """The rows of ``docs`` that leak no item; texts stay where they are."""
+    docs = spread(docs)
     for items in blocks(benchmark):
         index = Index.of([r["item_id"] for r in items], [r["text"] for r in items], least, coverage)
         docs = docs.mapInArrow(_clean_rows(index), docs.schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import discard, few_samples, materialise, salted_firsts
+from tabularium.llm.common import discard, few_samples, materialise, salted_firsts, spread
 from tabularium.llm.textkernel import U, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
 
 SHINGLE = 5
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, trees: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * trees, pa.int32()), pa.array(label.ravel()), mask=pa.array(n == 0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), lists], names=["doc_id", "text_key", "n_shingles", "labels"])
 
-    return docs.select("doc_id", "text").mapInArrow(signed, schema)
+    return spread(docs.select("doc_id", "text")).mapInArrow(signed, schema)
 
 
 def _partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:

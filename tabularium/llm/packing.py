@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabularium.llm.common import materialise
+from tabularium.llm.common import materialise, spread
 from tabularium.llm.textkernel import text_bytes
 
 CAPACITY = 2048
@@ -118,7 +118,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer_file: str | No
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return spread(docs.select("doc_id", "text")).mapInArrow(pieces, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabularium.llm.common import discard, materialise
+from tabularium.llm.common import discard, materialise, spread
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -238,7 +238,7 @@ def blended(own: DataFrame, wider: DataFrame | None, shrink: float = SHRINK) ->
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, shrink: float = SHRINK) -> DataFrame:
     """A slim row a document: id, text hash, counts, base verdict, squared distance (null: not judged), verdict."""
-    slim = base_counts(docs.select("doc_id", "text", "lang", "source")).withColumn("text_hash", F.xxhash64("text")).drop("text")
+    slim = base_counts(spread(docs.select("doc_id", "text", "lang", "source"))).withColumn("text_hash", F.xxhash64("text")).drop("text")
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
     by_lang, by_pair = F.concat_ws("\x1f", F.lit("lang"), name("lang")), F.concat_ws("\x1f", F.lit("own"), name("lang"), name("source"))
     slim = materialise(slim.select("*", *transformed(), by_pair.alias("grp"), by_lang.alias("up")), "rules")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import materialise
+from tabularium.llm.common import materialise, spread
 from tabularium.llm.textkernel import row_batches, text_bytes
 
 KINDS = ("assign", "access", "hex", "random")
@@ -334,7 +334,7 @@ def scan_table(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base", "cand", "nulls"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(scanned, schema)
+    return spread(docs.select("doc_id", "text")).mapInArrow(scanned, schema)
 
 
 def discovery_bins(scans: DataFrame, q: float = FDR) -> dict[int, int]:
@@ -412,7 +412,7 @@ def redact_documents(docs: DataFrame, q: float = FDR) -> DataFrame:
             at = b.schema.get_field_index("text")
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    out = docs.mapInArrow(masked, docs.schema)
+    out = spread(docs).mapInArrow(masked, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import bounded_sample, discard, materialise
+from tabularium.llm.common import bounded_sample, discard, materialise, spread
 from tabularium.llm.textkernel import row_batches, text_bytes
 
 #: Documented bounds of the fit: labelled rows, and features that the model keeps.
@@ -376,6 +376,7 @@ def logistic(seen: list[tuple[float, int, int]], ridge: float = 1.0) -> tuple[fl
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` for every row."""
+    docs = spread(docs.select("doc_id", "text"))
     lm = log_model(trigram_counts(docs))
     model = fit(docs, labels, lm, sample_rows)
 
