@@ -76,7 +76,11 @@ def nearest_column(x: Column, columns: Column, tol: float) -> Column:
 
 
 def dedupe_position(df: DataFrame, keys: list[str], x: Column, y: Column, text: Column, order: list[str]) -> DataFrame:
-    """One row a rounded position: the first with a point in its text, else the first."""
+    """One row a rounded position: the first with a point in its text, else the first.
+
+    Positions round half to even. Defined cases: null coordinates are a position; null texts have no point; of rows that
+    repeat one stays; no rows give none.
+    """
     rx, ry, dot, n = (spare(df, c) for c in ("rx", "ry", "dot", "n"))
     w = W.partitionBy(*keys, rx, ry).orderBy(F.desc(dot), *order)
     at = df.withColumns({rx: F.bround(x, 1), ry: F.bround(y, 1), dot: F.contains(text, F.lit("."))})
@@ -84,7 +88,10 @@ def dedupe_position(df: DataFrame, keys: list[str], x: Column, y: Column, text:
 
 
 def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], coord: str, width: float) -> DataFrame:
-    """Pairs with ``|difference| < width`` of columns suffixed ``_l`` and ``_r``: an equi join on buckets, not a product."""
+    """Pairs with ``|difference| < width`` of columns suffixed ``_l`` and ``_r``: an equi join on buckets, not a product.
+
+    Defined cases: null keys and coordinates pair with nothing; repeated rows pair each; an empty side gives no pairs.
+    """
     at = spare(left, spare(right, "band"))
     a = left.select(*[F.col(c).alias(c if c in keys else c + "_l") for c in left.columns]).withColumn(at, F.floor(F.col(coord + "_l") / width))
     b = right.select(*[F.col(c).alias(c if c in keys else c + "_r") for c in right.columns])
@@ -93,7 +100,7 @@ def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], coord: str, w
 
 
 def next_boundary(df: DataFrame, keys: list[str], order: list[str], at: Column, is_boundary: Column, out: str = "boundary") -> DataFrame:
-    """Adds the least boundary after each row; null where none follows."""
+    """Adds the least boundary after each row; null where none follows, or only null ones. Null keys are a group; no rows give none."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
     return df.withColumn(out, F.min(F.when(is_boundary, at)).over(w))
 
@@ -147,7 +154,11 @@ def _paired_batch(rows: list[tuple], like: pa.RecordBatch, key: str, ident: str)
 
 
 def pivot4(cells: DataFrame, keys: list[str], column: str, value: Column, order: list[str], names: list[str]) -> DataFrame:
-    """The last value of each named column, and how many are there."""
+    """The last value of each named column, and how many are there.
+
+    Defined cases: a cell of another name is no column, and a group of such alone is a row of nulls; a null value that is
+    last is null; null keys are a group; no rows give none.
+    """
     last = lambda n: F.max_by(value, F.when(F.col(column) == n, F.struct(*order)))
     got = [F.when(F.max(F.col(column) == n), last(n)).alias(n) for n in names]
     out = cells.groupBy(*keys).agg(*got)

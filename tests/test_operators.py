@@ -109,3 +109,30 @@ def test_clashing_names(spark):
     assert tuple(r) == ("k", 1.01, 2.0, "5.0", 1, 2, 3, 4, 5)
     pairs = geometry.band_pairs(df, df, ["k"], "x", 0.5)
     assert pairs.count() == 4 and "band_l" in pairs.columns
+
+
+def test_bands_of_nulls_repeats_and_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", 1.0, 1), ("a", None, 2), (None, 1.0, 3), ("a", 1.4, 4), ("a", 1.5, 5)], "k string, x double, id int")
+    got = sorted((r["id_l"], r["id_r"]) for r in geometry.band_pairs(df, df, ["k"], "x", 0.5).collect())
+    assert got == sorted([(1, 1)] * 4 + [(1, 4), (4, 1)] * 2 + [(4, 4), (4, 5), (5, 4), (5, 5)])
+    assert geometry.band_pairs(df.limit(0), df, ["k"], "x", 0.5).count() == 0
+
+
+def test_positions_boundaries_and_pivots_of_nulls(spark):
+    df = spark.createDataFrame([("a", None, None, None, 1), ("a", None, None, "5.", 2), ("a", 0.25, 0.0, "x", 3), ("a", 0.2, 0.0, "x", 4)], "k string, x double, y double, t string, id int")
+    assert sorted(r["id"] for r in geometry.dedupe_position(df, ["k"], F.col("x"), F.col("y"), F.col("t"), ["id"]).collect()) == [2, 3]
+    out = geometry.next_boundary(df, ["k"], ["id"], F.col("x"), F.col("id") > 1)
+    assert [r["boundary"] for r in out.orderBy("id").collect()] == [0.2, 0.2, 0.2, None]
+    cells = spark.createDataFrame([(None, "p", 1.0, 1), (None, "p", None, 2), (None, "q", 3.0, 1), ("z", "other", 1.0, 1)], "k string, c string, v double, o int")
+    assert sorted((str(r["k"]), r["p"], r["q"], r["n_cells"]) for r in geometry.pivot4(cells, ["k"], "c", F.col("v"), ["o"], ["p", "q"]).collect()) == [("None", None, 3.0, 1), ("z", None, None, 0)]
+    assert geometry.pivot4(cells.limit(0), ["k"], "c", F.col("v"), ["o"], ["p", "q"]).count() == 0
+
+
+def test_sequences_of_nulls_and_clashing_names(spark):
+    rows = [(None, 1, "META", "m1"), (None, 2, "BULLET", "b1"), (None, 3, "BULLET", "b2"), (None, 4, "HEADER", "h"), (None, 5, "DATA", "d1"), (None, 6, "odd", "x"), (None, 7, None, None), (None, 8, "DATA", "d2"), (None, 9, "META", None), (None, 10, "DATA", "d3"), ("k", 1, "HEADER", "h"), ("k", 2, "DATA", "d4")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, "i", "t") for r in rows], "k string, o int, kind string, said string, seg int, active int, first int, table_id int, item string, meta string")
+    out = sequence.sheet_islands(df, ["k"], "o", F.col("kind"), F.col("said"), F.col("said"))
+    assert sorted((r["said"], r["item"], r["meta"], r["table_id"], r["seg"], r["first"]) for r in out.collect()) == [("d1", "b1", "m1", 1, 1, 3), ("d2", "b1", "m1", 1, 1, 3), ("d4", None, None, 1, 1, 3)]
+    assert sequence.sheet_islands(df.limit(0), ["k"], "o", F.col("kind"), F.col("said"), F.col("said")).count() == 0
+    carried = sequence.forward_fill_if(df, ["k"], ["o"], F.col("said"), F.col("kind").isin("META", "HEADER"), "c")
+    assert [r["c"] for r in carried.filter("k is null").orderBy("o").collect()] == ["m1", "m1", "m1", "h", "h", "h", "h", "h", "h", "h"]
