@@ -178,7 +178,9 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list]:
     while rows.groupBy(F.pmod("_h", F.lit(n)).alias("k")).agg(size.alias("b"), F.count_distinct("_h").alias("d")).filter((F.col("b") > most) & (F.col("d") > 1)).limit(1).count():
         n *= 2
     for k in range(n):
-        yield (rows.filter(F.pmod("_h", F.lit(n)) == k) if n > 1 else rows).drop("_h").orderBy("item_id", "text").collect()
+        items = (rows.filter(F.pmod("_h", F.lit(n)) == k) if n > 1 else rows).drop("_h").orderBy("item_id", "text").collect()
+        if items or n == 1:
+            yield items
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST_MATCH) -> DataFrame:
