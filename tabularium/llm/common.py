@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 _own_root: list[str] = []
+_written: list[str] = []
 _SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 
 
@@ -51,14 +52,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    _written.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialise` wrote and that nothing still to be computed reads."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this process's operators wrote to the shared folder; for when their results are saved."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 @contextmanager

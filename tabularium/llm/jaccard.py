@@ -308,7 +308,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialise(e, "edges")  # u > v, here and in every round
-    mark = None
+
+    def marked() -> tuple[int, int | None]:
+        seen = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+        return seen["n"], seen["h"]
+
+    mark = marked()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "least")
@@ -318,10 +323,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = materialise(small.filter("u != v").distinct(), "edges")
         discard(large, low)
-        seen = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if mark == (seen["n"], seen["h"]):
+        before, mark = mark, marked()
+        if mark == before:  # stars around their least nodes
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = (seen["n"], seen["h"])
 
 
 class Tile:

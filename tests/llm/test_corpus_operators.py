@@ -892,3 +892,20 @@ def test_batches_do_not_matter(restore):
     texts = ["".join(rng.choice(["idiot", "1d10t", "i d i o t", " ", "$", "ll", "é", "\x00", "\n", "h4te", "x", "\U0001f600", "_", "a"]) for _ in range(rng.randrange(20))) for _ in range(200)]
     each = [restore(t) for t in texts]
     assert restore.batch(texts) == each == restore.batch(texts, most=50)
+
+
+def test_scratch_tables_are_deleted(spark):
+    import glob
+
+    from tabularium.llm import common
+
+    common.clear(spark)
+    root = common.scratch_root(spark).removeprefix("file://")
+    before = set(glob.glob(f"{root}/*"))
+    one, two = (common.materialise(spark.range(3), "test") for _ in range(2))
+    assert len(set(glob.glob(f"{root}/*")) - before) == 2
+    common.discard(one)
+    assert two.count() == 3 and len(set(glob.glob(f"{root}/*")) - before) == 1
+    jaccard.near_duplicates(table(spark, ["a b c", "a b c"])).collect()
+    common.clear(spark)
+    assert set(glob.glob(f"{root}/*")) == before and common._written == []
