@@ -36,8 +36,9 @@ def strip(s: Column) -> Column:
 
 
 def split_lines(s: Column) -> Column:
-    parts = F.split(s, LINE_BREAK, -1)
-    return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    """Lines without their breaks; a break at the very end opens no further line, and an empty text has none."""
+    whole = F.regexp_replace(s, rf"(?:{LINE_BREAK})\z", "")
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(whole, LINE_BREAK, -1))
 
 
 def first_group(s: Column, pattern: str, group: int = 1) -> Column:

@@ -333,8 +333,8 @@ def token_filter_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens without stop words and stray ones, joined; and each once in its first place."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
     d = read(spark, sf_dir, "documents").select("doc_id", t.without_words(words, ["the", "and", "for"]).alias("w"))
-    distinct = t.without_stray(F.col("w"))
-    return d.select("doc_id", F.md5(t.tidy(F.col("w")).cast("binary")).alias("tidy"), F.size(F.array_distinct(distinct)).cast("long").alias("n_distinct"), F.md5(t.joined_once(distinct, " / ").cast("binary")).alias("joined"))
+    d = d.select("doc_id", "w", F.array_distinct(t.without_stray(F.col("w"))).alias("once"))
+    return d.select("doc_id", F.md5(t.tidy(F.col("w")).cast("binary")).alias("tidy"), F.size("once").cast("long").alias("n_distinct"), F.md5(t.joined_once(F.col("once"), " / ").cast("binary")).alias("joined"))
 
 
 @query("""
