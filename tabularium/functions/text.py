@@ -76,8 +76,18 @@ def normalize(name: Column) -> Column:
 
 
 def display_g(x: Column) -> Column:
-    """A number without a needless fraction; right for up to six significant digits."""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    """A number in six significant digits without needless zeros; as a power of ten below 0.0001 and from a million on.
+
+    A seventh digit of exactly five is rounded up. Null stays null.
+    """
+    told = F.format_string("%.5e", x)
+    mantissa = F.regexp_replace(F.regexp_extract(told, r"^(-?[\d.]+)", 1), r"\.?0+$", "")
+    power = F.regexp_extract(told, r"e([+-]\d+)$", 1).try_cast("int")
+    plain = F.concat(F.regexp_extract(told, r"^(-?[\d.]+)", 1), F.lit("E"), power).try_cast("decimal(24,10)").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    far = F.concat(mantissa, F.regexp_extract(told, r"(e[+-]\d+)$", 1))
+    odd = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+    return F.when(x.isNull(), None).when(F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False)), odd).when((power < -4) | (power >= 6), far).otherwise(plain)
 
 
 def charge_display(point: Column, low: Column, high: Column, is_max: Column | None = None) -> Column:

@@ -297,11 +297,12 @@ def line_split_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("chars"), F.count(F.when(F.rlike("line", F.lit("(token|secret) [=:]")), 1)).alias("marked"))
 
 
-@query("select l_quantity as q, printf('%g', l_quantity) as q_text, l_discount as d, printf('%g', l_discount) as d_text, count(*) as n from lineitem group by all")
+@query("select l_quantity as q, printf('%g', l_quantity) as q_text, l_discount as d, printf('%g', l_discount) as d_text, printf('%g', l_quantity * 7531) as wide, printf('%g', l_discount * l_quantity / 70000) as fine, count(*) as n from lineitem group by all")
 def display_g(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers as a reader writes them."""
+    """Numbers as a reader writes them, small and large ones as powers of ten."""
+    q, d = F.col("q"), F.col("d")
     rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("q"), F.col("l_discount").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("q", t.display_g(F.col("q")).alias("q_text"), "d", t.display_g(F.col("d")).alias("d_text"), "n")
+    return rows.select("q", t.display_g(q).alias("q_text"), "d", t.display_g(d).alias("d_text"), t.display_g(q * 7531).alias("wide"), t.display_g(d * q / 70000).alias("fine"), "n")
 
 
 @query("""

@@ -60,3 +60,13 @@ def test_best_matches_limits_first(spark):
     q = spark.createDataFrame([(0, "223 remington")], "query_id int, text string")
     c = spark.createDataFrame([("s", 0, "223 Remington"), ("s", 1, "223 Rem"), ("s", 2, "222 Remington"), ("u", 0, "x")], "source string, ord int, label string")
     assert [(r["source"], r["ord"]) for r in match.best_matches(q, c, limit=1).collect()] == [("s", 0)]
+
+
+def test_numbers_as_g(spark):
+    import random
+
+    rng = random.Random(1)
+    xs = [0.0, -0.0, 1.0, 100000.0, 999999.0, 999999.4, 999999.6, 1e6, 1234567.0, 0.0001, 0.00009999, 1e-5, -2.5, 30.10, 1e300, -1e-300, 12345.678, float("inf"), float("-inf"), float("nan")]
+    xs += [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randrange(-8, 9) for _ in range(400)]
+    got = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate([*xs, None])], "k int, x double").select(t.display_g(F.col("x")), "k").orderBy("k").collect()]
+    assert [g.replace("-0", "0") if x == 0 else g for g, x in zip(got, xs)] == [f"{x:g}".replace("-0", "0") if x == 0 else f"{x:g}" for x in xs] and got[-1] is None
