@@ -49,6 +49,8 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabularium.llm.periodic import ORACLE_SQL as runs_sql
+    from tabularium.llm.resampling import ORACLE_SQL as resampling_sql
     from tabularium.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
@@ -72,6 +74,24 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabularium.llm.periodic import find_runs
+
+    return find_runs(table(spark, sf_dir, "documents"), remodel=True).drop("n_words")
+
+
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabularium.llm.pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabularium.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_secrets": secrets,
@@ -83,14 +103,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": rules,
     "op9_urls": urls,
     "op10_jaccard": jaccard,
+    "op11_runs": runs,
+    "op12_sentencepiece": sentencepiece,
+    "op13_resampling": resampling,
 }
 
 
 def oracle_sql() -> dict[str, str]:
     from tabularium.llm.jaccard import ORACLE_SQL as jaccard_sql
+    from tabularium.llm.periodic import ORACLE_SQL as runs_sql
+    from tabularium.llm.resampling import ORACLE_SQL as resampling_sql
     from tabularium.llm.substrings import ORACLE_SQL as substrings_sql
     from tabularium.llm.suffixes import ORACLE_SQL as suffixes_sql
     from tabularium.llm.urls import oracle_sql as urls_sql
     from tabularium.llm.warc import ORACLE_SQL as warc_sql
 
-    return {"op3_suffixes": suffixes_sql, "op4_warc": warc_sql, "op5_substrings": substrings_sql, "op9_urls": urls_sql(), "op10_jaccard": jaccard_sql}
+    return {"op3_suffixes": suffixes_sql, "op4_warc": warc_sql, "op5_substrings": substrings_sql, "op9_urls": urls_sql(), "op10_jaccard": jaccard_sql, "op11_runs": runs_sql, "op13_resampling": resampling_sql}
