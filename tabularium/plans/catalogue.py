@@ -60,12 +60,17 @@ def fuzzy_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PHRASES = ("small ring", "ring", "small", "brand 19", "Brand#23", "polished", "small ring small", "45")
-_SCORE_SQL = f"""
-with q as (select i - 1 as query_id, [{', '.join(f"'{p}'" for p in _PHRASES)}][i] as text from range(1, {len(_PHRASES) + 1}) r(i)),
-c as (select 'name' as source, p_name as label, min(p_partkey) as ord from part group by all union all select 'brand', p_brand, min(p_partkey) from part group by all),
-x as (select query_id, source, ord, label, {_normal_sql('text')} as qn, {_raw_sql('text')} as qr, {_normal_sql('label')} as cn, {_raw_sql('label')} as cr from q, c),
+_ASKED_SQL = f"select i - 1 as query_id, [{', '.join(f"'{p}'" for p in _PHRASES)}][i] as text from range(1, {len(_PHRASES) + 1}) r(i)"
+_LISTED_SQL = "select 'name' as source, p_name as label, min(p_partkey) as ord from part group by all union all select 'brand', p_brand, min(p_partkey) from part group by all"
+
+
+def _score_sql(asked: str, listed: str) -> str:
+    """The product of queries and labels, scored by tokens; the five best of each source."""
+    return f"""
+with q as ({asked}), c as ({listed}),
+a as (select query_id, text, {_normal_sql('text')} as qn, {_raw_sql('text')} as qr from q), b as (select source, ord, label, {_normal_sql('label')} as cn, {_raw_sql('label')} as cr from c),
 y as (select *, list_filter(list_distinct(qn), lambda v: not list_contains(cn, v)) as missing,
-             case when len(qn) > 0 and len(list_filter(qn, lambda v: not list_contains(cn, v))) = 0 then 0.75::double + 0.25::double * len(list_distinct(qn)) / greatest(len(list_distinct(cn)), 1) else 0::double end as base from x),
+             case when len(qn) > 0 and len(list_filter(qn, lambda v: not list_contains(cn, v))) = 0 then 0.75::double + 0.25::double * len(list_distinct(qn)) / greatest(len(list_distinct(cn)), 1) else 0::double end as base from a, b),
 z as (select query_id, source, ord, label, cast(case when array_to_string(qn, ' ') = array_to_string(cn, ' ') then 1
              when len(list_filter(missing, lambda v: regexp_full_match(v, '[0-9]+'))) > 0 then 0
              when len(qr) > 0 and cr[1:len(qr)] = qr then least(0.95::double, base + 0.3::double) else base end as double) as score from y),
@@ -83,13 +88,29 @@ def _phrases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, p) for i, p in enumerate(_PHRASES)], "query_id bigint, text string")
 
 
-@query(_SCORE_SQL)
+@query(_score_sql(_ASKED_SQL, _LISTED_SQL))
 def fuzzy_topk_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best labels for phrases, by token sets alone."""
     found = match.best_matches(_phrases(spark), _catalogue(spark, sf_dir), use_ratio=False)
     return found.select("query_id", "source", "ord", "label", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    _score_sql(
+        "select 'first ' || min(p_partkey) as query_id, split_part(p_name, ' ', 1) || ' ' || p_brand as text from part group by 2 union all select 'name ' || min(p_partkey), p_name from part group by 2",
+        "select p_type as source, p_name || ' ' || p_brand || ' ' || p_size as label, min(p_partkey) as ord from part group by all",
+    )
+)
+def fuzzy_topk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best parts of each type for every first word and brand, and for every name; labels are found by an index of their tokens."""
+    part = read(spark, sf_dir, "part")
+    told = lambda name, text: part.groupBy(text.alias("text")).agg(F.concat(F.lit(name), F.min("p_partkey")).alias("query_id")).select("query_id", "text")
+    asked = told("first ", F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), "p_brand")).unionByName(told("name ", F.col("p_name")))
+    listed = part.groupBy(F.col("p_type").alias("source"), F.concat_ws(" ", "p_name", "p_brand", "p_size").alias("label")).agg(F.min("p_partkey").alias("ord"))
+    found = match.best_matches(asked, listed, use_ratio=False)
+    return found.select("query_id", "source", "ord", "label", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 #: The longest common block of two ranges, the leftmost of equals; ranges to either side of it follow in the recursion.
 _BLOCK_SQL = """list_max(flatten(list_transform(range(a_from, a_to), lambda i: list_transform(range(b_from, b_to), lambda j: {
   'n': coalesce(list_max(list_filter(range(1, least(a_to - i, b_to - j) + 1), lambda n: substr(a, i, n) = substr(b, j, n))), 0), 'i': -i, 'j': -j}))))"""
