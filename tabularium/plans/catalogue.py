@@ -144,19 +144,30 @@ def fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "source", "ord", "label", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""
-with recursive e as (select user_id, epoch_us(ts) as us, event_id from events),
-a as (select user_id, min(us) as anchor from e group by user_id
-      union all select a.user_id, (select min(us) from e where e.user_id = a.user_id and us - a.anchor > 86400000000) from a
-      where exists (select 1 from e where e.user_id = a.user_id and us - a.anchor > 86400000000)),
-b as (select e.user_id, max(a.anchor) as anchor from e join a on a.user_id = e.user_id and a.anchor <= e.us group by e.user_id, e.event_id)
-select user_id, anchor, count(*) as n from b group by all""")
+def _anchors_sql(key: str, width: int) -> str:
+    return f"""
+with recursive e as (select {key} as k, epoch_us(ts) as us, event_id from events),
+a as (select k, min(us) as anchor from e group by k
+      union all select a.k, (select min(us) from e where e.k = a.k and us - a.anchor > {width}) from a
+      where exists (select 1 from e where e.k = a.k and us - a.anchor > {width})),
+b as (select e.k, max(a.anchor) as anchor from e join a on a.k = e.k and a.anchor <= e.us group by e.k, e.event_id)
+select k as user_id, anchor, count(*) as n from b group by all"""
+
+
+@query(_anchors_sql("user_id", 86_400_000_000))
 def cluster_rows_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user in clusters of a day from their first."""
     e = events(spark, sf_dir).select("user_id", "us")
     return geometry.cluster_anchored(e, ["user_id"], "us", 86_400_000_000, split=True).groupBy("user_id", "anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_anchors_sql("user_id % 2", 7_200_000_000))
+def cluster_rows_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of half of the users in clusters of two hours, without a gap: each key's order is cut into pieces."""
+    e = events(spark, sf_dir).select((F.col("user_id") % 2).alias("user_id"), "us")
+    return geometry.cluster_anchored(e, ["user_id"], "us", 7_200_000_000, split=True, rows_each=1000).groupBy("user_id", "anchor").agg(F.count(F.lit(1)).alias("n"))
+
+
 _REFS = ((5.0, "low"), (15.0, "mid"), (25.0, "high"), (40.0, "top"))
 
 
@@ -207,8 +218,10 @@ def dedupe_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity", "copies")
 
 
-@query("""
-with recursive e as (select user_id, event_id, event_type = 'signup' as below, row_number() over (partition by user_id order by epoch_us(ts), event_type = 'signup', event_id) as k from events where event_type in ('error', 'signup')),
+def _pairs_sql(key: str) -> str:
+    """Row by row: a stack of unused triggers, or a header that waits."""
+    return f"""
+with recursive e as (select {key} as user_id, event_id, event_type = 'signup' as below, row_number() over (partition by {key} order by epoch_us(ts), event_type = 'signup', event_id) as k from events where event_type in ('error', 'signup')),
 s as (select user_id, 0::bigint as k, []::bigint[] as unused, null::bigint as waiting, null::bigint as header_id, null::bigint as trigger_id from e where k = 1
       union all
       select e.user_id, e.k,
@@ -219,12 +232,22 @@ s as (select user_id, 0::bigint as k, []::bigint[] as unused, null::bigint as wa
       from s join e on e.user_id = s.user_id and e.k = s.k + 1)
 select user_id, header_id, trigger_id from s where header_id is not null
 union all
-select user_id, waiting, null from s where waiting is not null and k = (select max(k) from e where e.user_id = s.user_id)""")
+select user_id, waiting, null from s where waiting is not null and k = (select max(k) from e where e.user_id = s.user_id)"""
+
+
+@query(_pairs_sql("user_id"))
 def asof_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of a user, each with the sign-up it takes."""
     return geometry.pair_exclusive(events(spark, sf_dir), "user_id", "us", "event_id", "event_type", "error", "signup")
 
 
+@query(_pairs_sql("user_id % 2"))
+def asof_exclusive_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of half of the users, each with the sign-up it takes; each key's order is cut into pieces."""
+    e = events(spark, sf_dir).withColumn("user_id", F.col("user_id") % 2)
+    return geometry.pair_exclusive(e, "user_id", "us", "event_id", "event_type", "error", "signup", rows_each=500)
+
+
 @query("""
 select event_id, user_id, min(case when event_type = 'error' then epoch_us(ts) end) over (partition by user_id order by ts, event_id rows between 1 following and unbounded following) as boundary from events""")
 def next_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tabularium.operators import geometry, sequence
+from tabularium.operators import geometry, pieces, sequence
 
 
 def test_anchors_do_not_chain(spark):
@@ -99,7 +100,7 @@ def test_clusters_of_nulls_ties_and_islands(spark):
         out = geometry.cluster_anchored(df, ["k"], "x", 5, split=split)
         got = [tuple(r) for r in out.collect()]
         assert out.columns == ["k", "x", "island", "stretch", "anchor"]
-        assert sorted(got, key=lambda r: str(key(r))) == sorted([r for r in want if not split or r[1] is not None] + ([r for r in want if r[1] is None] if split else []), key=lambda r: str(key(r)))
+        assert sorted(got, key=lambda r: str(key(r))) == sorted(want, key=lambda r: str(key(r)))
         assert geometry.cluster_anchored(df.limit(0), ["k"], "x", 5, split=split).count() == 0
 
 
@@ -136,3 +137,58 @@ def test_sequences_of_nulls_and_clashing_names(spark):
     assert sequence.sheet_islands(df.limit(0), ["k"], "o", F.col("kind"), F.col("said"), F.col("said")).count() == 0
     carried = sequence.forward_fill_if(df, ["k"], ["o"], F.col("said"), F.col("kind").isin("META", "HEADER"), "c")
     assert [r["c"] for r in carried.filter("k is null").orderBy("o").collect()] == ["m1", "m1", "m1", "h", "h", "h", "h", "h", "h", "h"]
+
+
+def test_pieces_of_a_key_pair_as_the_whole(spark):
+    """Keys cut into pieces of few rows, one row each included, nulls of every column, and names that clash."""
+    rng = random.Random(3)
+    for kinds in ("htx", "hhhtx", "tttthx"):
+        rows = [(rng.choice(["d0", "d0", "d1", None]), k, float(rng.randrange(50)), rng.choice(kinds), 0, 1) for k in range(500)]
+        df = spark.createDataFrame([*rows, ("d0", 900, None, "h", 0, 1), ("d0", 901, None, "t", 0, 1), ("d0", 902, 3.0, None, 0, 1)], "doc string, id long, top double, kind string, _piece int, _in int")
+        want = sorted([*plain_pairs([(r[0] or "None", *r[1:4]) for r in rows]), ("d0", 900, None)], key=str)
+        for each in (10**6, 60, 7, 1):
+            got = geometry.pair_exclusive(df, "doc", "top", "id", "kind", "h", "t", rows_each=each)
+            assert got.columns == ["doc", "header_id", "trigger_id"]
+            assert sorted(((r["doc"] or "None", r["header_id"], r["trigger_id"]) for r in got.collect()), key=str) == want
+
+
+def test_one_key_of_many_rows_is_many_tasks(spark):
+    """All rows under one key: no task has more than a small share of them, for pairs and for clusters without a gap."""
+    df = spark.range(200_000).select(F.lit("k").alias("k"), F.col("id"), (F.col("id") * 7919 % 200_003).cast("double").alias("x"), F.when(F.xxhash64("id") % 3 == 0, "h").otherwise("t").alias("kind"))
+    for rows_each, parts in ((10_000, 20),):
+        placed, many = pieces.cut(df, ["k"], "x", "piece", rows_each)
+        sizes = [r["count"] for r in placed.groupBy("piece").count().collect()]
+        assert many and len(sizes) == parts and max(sizes) < 1.2 * rows_each
+    whole = geometry.pair_exclusive(df, "k", "x", "id", "kind", "h", "t")
+    assert whole.exceptAll(geometry.pair_exclusive(df, "k", "x", "id", "kind", "h", "t", rows_each=20_000)).count() == 0 and whole.count() == df.filter("kind = 'h'").count()
+    one = geometry.cluster_anchored(df, ["k"], "x", 2.5)
+    cut = geometry.cluster_anchored(df, ["k"], "x", 2.5, split=True, rows_each=20_000)
+    assert one.exceptAll(cut).count() == 0 and cut.count() == 200_000
+
+
+def test_clusters_of_pieces_are_those_of_the_stream(spark):
+    """Any tolerance, 0 included, integers and fractions, with and without keys."""
+    rng = random.Random(2)
+    rows = [("a", rng.randrange(2000) / rng.choice([1, 2, 10])) for _ in range(700)] + [(k, float(rng.randrange(60))) for k in ("b", None) for _ in range(200)] + [("a", None)] * 3
+    df = spark.createDataFrame(rows, "k string, x double")
+
+    def plain(keyed, tol):
+        want = [(k, None, None) for k, x in rows if x is None]
+        for key in {k if keyed else 0 for k, _ in rows}:
+            anchor = None
+            for x, k in sorted(((x, k) for k, x in rows if x is not None and (k if keyed else 0) == key), key=lambda r: (r[0], str(r[1]))):
+                anchor = x if anchor is None or x - anchor > tol else anchor
+                want.append((k, x, anchor))
+        return sorted(want, key=str)
+
+    for tol in (0.0, 0.35, 25.0, 4000.0):
+        for keys in (["k"], []):
+            for split, each in ((False, 1), (True, 100), (True, 9)):
+                assert sorted(map(tuple, geometry.cluster_anchored(df, keys, "x", tol, split=split, rows_each=each).collect()), key=str) == plain(bool(keys), tol), (tol, keys, each)
+    with pytest.raises(ValueError, match="negative"):
+        geometry.cluster_anchored(df, ["k"], "x", -1.0)
+
+
+def test_bands_of_no_width(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0)], "k string, x double")
+    assert geometry.band_pairs(df, df, ["k"], "x", 0.0).count() == 0
