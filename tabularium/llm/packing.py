@@ -1,13 +1,12 @@
 """Best-fit packing of token pieces by a configuration linear program over the length histogram.
 
-The program: the fewest sequences of ``capacity`` tokens such that the chosen
-configurations (multisets of lengths) cover the histogram. Multiplicative
-weights solve it: a length's price falls as it is covered, and a knapsack dynamic
-program over the capacity prices the next configurations. Their amounts are whole
-numbers, so rounding only has the pieces that no nearly full configuration takes;
-these go to the fullest place that holds them, longest first. Pieces that fill a
-sequence alone need no program. The histogram has ``capacity`` cells at most, so
-the driver's part is bounded, however many pieces there are.
+The program: the least sum of amounts of configurations (multisets of lengths that
+fit ``capacity`` tokens) that covers the histogram. Multiplicative weights solve it
+with a knapsack dynamic program over the capacity that prices the configurations
+(:func:`prices`, :func:`fractional`); the prices prove a bound. Amounts are then
+rounded, and what is left goes to the fullest place that holds it, longest first.
+The histogram has ``capacity`` cells at most, so the driver's part is bounded,
+however many pieces there are.
 
 Pieces get their places by rank within their length. Ranks are counted in
 salted groups, so that a length which a third of all pieces share is no one
@@ -23,6 +22,7 @@ import base64
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,10 @@ from tabularium.llm.textkernel import text_bytes
 CAPACITY = 2048
 END = 0
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-#: Steepness of prices, share of a count that a round covers, and what a configuration may leave free, stage by stage.
-ETA, PART, SLACKS = 2.0, 0.25, (0, 2, 8)
+#: Steepness of prices, share of a count that a step covers, steps for the dual prices and for the solution.
+ETA, PART, STEPS, ROUNDS = 5.0, 0.03, 150, 160
+#: How much less than 1 a configuration that is taken may be worth: at prices found by weights, and where lengths themselves are prices.
+NEAR, TIGHT = 0.03, 0.0005
 GROUP = 50_000
 
 Config = tuple[tuple[int, int], ...]
@@ -149,72 +151,106 @@ def taken(last: np.ndarray, room: int) -> Iterator[int]:
         room -= max(x, 1)
 
 
-def filling(price: np.ndarray, room: np.ndarray, gap: int, slack: int) -> list[int] | None:
-    """Lengths still to be had that fill a gap but for the slack: the longest ones, and at last the dearest pair that fits exactly."""
-    room, out = room.copy(), []
-    while gap > 0:
-        for g in range(gap, max(0, gap - slack - 1), -1):
-            if room[g] > 0:
-                return [*out, g]
-            half = g // 2
-            low, high = np.arange(1, half + 1), g - np.arange(1, half + 1)
-            sums = np.where((room[low] > 0) & (room[high] > (low == high)), price[low] + price[high], -1.0)
-            k = int(sums.argmax()) if half else -1
-            if k >= 0 and sums[k] >= 0:
-                return [*out, k + 1, g - k - 1]
-        if gap <= slack:
-            break
-        fits = np.flatnonzero(room[: gap + 1] > 0)
-        if not len(fits):
-            return None
-        x = int(fits[-1])
-        room[x] -= 1
-        out.append(x)
-        gap -= x
+def holding(x: int, last: np.ndarray, capacity: int) -> dict[int, int]:
+    """The configuration of a length and what the dynamic program puts beside it."""
+    out = {x: 1}
+    for y in taken(last, capacity - x):
+        out[y] = out.get(y, 0) + 1
     return out
 
 
-def fractional(counts: np.ndarray, capacity: int, slacks: tuple[int, ...] = SLACKS) -> list[list[tuple[Config, int]]]:
-    """Configurations and their amounts by multiplicative weights, a list for each of the ``slacks``.
+def prices(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, float, float]:
+    """Prices of lengths at which no configuration is worth more than 1, the bound on sequences that they prove, and how near to 1 to stay.
 
-    ``counts[l]`` pieces have length ``l``. In a round the price of a length falls exponentially with the covered share
-    of its count. One dynamic program over the capacity prices all configurations; for every length, the best one that
-    holds it is taken, as often as covers ``PART`` of the scarcest count in it, and no count beyond that in one round. A
-    configuration that asks for more of a length than is to be had gets other lengths in its place. It must leave at most
-    the slack free; when a round takes none, the next slack holds, and after the last the rest is for rounding.
+    Where every length stands in some configuration that is nearly full, its share of the capacity is such a price. Else
+    multiplicative weights find better ones: in each step every length's best configuration covers a part of its count, and
+    a length's price falls exponentially with how often it is covered beyond the least covered one.
+    """
+    some = np.flatnonzero(counts)
+    need, size = counts.astype(float), np.arange(capacity + 1) / capacity
+    found, bound, cover = None, 0.0, np.zeros(capacity + 1)
+    for step in range(STEPS):
+        share = np.divide(cover, need, out=np.zeros(capacity + 1), where=need > 0)
+        price = np.where(need > 0, size * np.exp(-ETA * (share - share[some].min())), 0)
+        best, last = knapsack(price[: some[-1] + 1], capacity)
+        if best[capacity] and (price * need).sum() / best[capacity] > bound:
+            found, bound = price / best[capacity], float((price * need).sum() / best[capacity])
+        worth = price[some] + best[capacity - some]
+        if step == STEPS // 5 and bound < 1.001 * (size * need).sum():
+            break  # volume is all there is to the bound
+        if not best[capacity] or step == 0 and (worth >= 1 - TIGHT).all():
+            return size, bound, TIGHT
+        room = PART * need
+        for x in some[np.argsort(share[some] - 1e-6 * worth, kind="stable")].tolist():
+            if room[x] > 0:
+                config = holding(x, last, capacity)
+                amount = min(room[y] / a for y, a in config.items())
+                for y, a in config.items():
+                    room[y] -= a * amount
+                    cover[y] += a * amount
+    volume = float((size * need).sum())
+    return (size, max(bound, volume), TIGHT) if found is None or bound < 1.001 * volume else (found, bound, NEAR)
+
+
+def fractional(counts: np.ndarray, capacity: int) -> tuple[dict[Config, float], float]:
+    """A fractional solution, ``configuration -> amount``, that covers no length more than its count; and the dual bound.
+
+    Multiplicative weights over time: after each of ``ROUNDS`` steps every length is to be covered by as large a part. A price
+    is that of :func:`prices`, times an exponential of how far the length is behind; one dynamic program prices all
+    configurations, and for every length the best one that holds it is taken if at the dual prices it is worth nearly 1,
+    by the amount that the length and its neighbours are behind. What no such configuration covers is left over.
     """
-    left, sizes, out = counts.copy(), np.arange(len(counts)) / capacity, [[]]
-    share = np.maximum(1, (PART * counts).astype(np.int64))
-    while left.any() and len(out) <= len(slacks):
-        price = np.where(left > 0, sizes * np.exp(-ETA * (counts - left) / np.maximum(counts, 1)), 0)
-        best, last = knapsack(price, capacity)
-        dear = np.flatnonzero(left)
-        dear = dear[np.argsort(-(price[dear] + best[capacity - dear]), kind="stable")].tolist()
-        room, before = np.minimum(left, share), len(out[-1])
-        for x in dear:
-            if room[x] <= 0:
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return {}, 0.0
+    base, bound, near = prices(counts, capacity)
+    need, cover, out = counts.astype(float), np.zeros(capacity + 1), {}
+    idle = 0
+    for step in range(2 * ROUNDS):
+        level = min(1.0, (step + 1) / ROUNDS)
+        room = need * level - cover
+        behind = room > 1e-6 * need
+        share = np.divide(cover, need, out=np.zeros(capacity + 1), where=need > 0)
+        price = np.where(behind, base * np.exp(-ETA * (share - level)), 0)
+        best, last = knapsack(price[: some[-1] + 1], capacity)
+        asked, before = np.flatnonzero(behind), len(out)
+        took = 0.0
+        for x in asked[np.argsort(-(price[asked] + best[capacity - asked]), kind="stable")].tolist():
+            if room[x] <= 1e-6 * need[x]:
                 continue
-            config, gap = {x: 1}, capacity - x
-            room[x] -= 1
-            for y in taken(last, gap):
-                if room[y] > 0:
-                    room[y] -= 1
-                    config[y], gap = config.get(y, 0) + 1, gap - y
-            more = filling(price, room, gap, slacks[len(out) - 1])
-            for y, a in config.items():
-                room[y] += a
-            if more is None:
+            config = holding(x, last, capacity)
+            if sum(a * base[y] for y, a in config.items()) < 1 - near:
                 continue
-            for y in more:
-                config[y] = config.get(y, 0) + 1
-            n = min(int(room[y]) // a for y, a in config.items())
-            for y, a in config.items():
-                room[y] -= a * n
-                left[y] -= a * n
-            out[-1].append((tuple(sorted(config.items(), reverse=True)), n))
-        if len(out[-1]) == before:
-            out.append([])
-    return out[: len(slacks)]
+            amount = min(room[y] / a for y, a in config.items())
+            if amount > 1e-9:
+                key = tuple(sorted(config.items(), reverse=True))
+                out[key] = out.get(key, 0.0) + amount
+                took += amount
+                for y, a in config.items():
+                    room[y] -= a * amount
+                    cover[y] += a * amount
+        idle = 0 if took else idle + 1
+        if level == 1 and idle > 3:
+            break
+    return out, bound
+
+
+def rounded(found: dict[Config, float], counts: np.ndarray) -> tuple[dict[Config, int], np.ndarray]:
+    """Whole amounts, and the pieces left: floors, then one more of those with the greatest fractions while their pieces last."""
+    left, out = counts.copy(), {}
+
+    def take(config: Config, n: int) -> None:
+        out[config] = out.get(config, 0) + n
+        for x, a in config:
+            left[x] -= a * n
+
+    for config, amount in found.items():
+        if n := int(amount + 1e-6):
+            take(config, n)
+    for config, _ in sorted(found.items(), key=lambda c: -((c[1] + 1e-6) % 1)):
+        if all(left[x] >= a for x, a in config):
+            take(config, 1)
+    return out, left
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -245,35 +281,38 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return [(c, n) for group in room.values() for c, n in group]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """Configurations (lengths in order) and how many sequences take each, and how many pieces the linear program placed.
+@dataclass(frozen=True)
+class Plan:
+    """``configs``: lengths in order and how many sequences take them; every piece is in one.
 
-    Together the sequences hold every piece once. The amounts are whole; rounding is what best fit does with the pieces
-    that the configurations leave. While the sequences are more than the bound by volume, it is tried with fewer of the
-    configurations, the last ones first, and the fewest sequences win.
+    ``value`` is that of the fractional solution with what it leaves packed by best fit, ``bound`` the dual bound, which no
+    packing goes below; ``placed`` of ``pieces`` are in sequences that rounding kept of the program, best fit has the rest.
     """
+
+    configs: list[tuple[tuple[int, ...], int]]
+    value: float
+    bound: float
+    placed: int
+    pieces: int
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """Solve, round, and pack what rounding leaves. Pieces that fill a sequence alone need no program."""
     left = counts.copy()
     left[0] = 0
-    whole = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    whole = int(left[capacity])
     left[capacity] = 0
-    bound = math.ceil(int((left * np.arange(capacity + 1)).sum()) / capacity)
-    stages, chosen = fractional(left, capacity), None
-    found, first = [c for stage in stages for c in stage], len(stages[0])
-    for k in (len(found), first, *(first * share // 20 for share in (19, 17, 14, 10))):
-        joint: dict[Config, int] = {}
-        rest = left.copy()
-        for config, n in found[:k]:
-            joint[config] = joint.get(config, 0) + n
-            for x, a in config:
-                rest[x] -= a * n
-        fitted = best_fit(rest, capacity)
-        size = sum(joint.values()) + sum(n for _, n in fitted)
-        if chosen is None or size < chosen[0]:
-            placed = sum(n * sum(a for _, a in c) for c, n in joint.items())
-            chosen = size, [(tuple(x for x, a in c for _ in range(a)), n) for c, n in joint.items()] + fitted, placed
-        if chosen[0] <= bound:
-            break
-    return whole + chosen[1], chosen[2]
+    pieces = int(left.sum())
+    found, bound = fractional(left, capacity)
+    cover = np.zeros(capacity + 1)
+    for config, amount in found.items():
+        for x, a in config:
+            cover[x] += a * amount
+    open_ = np.maximum(0, np.ceil(left - cover - 1e-6)).astype(np.int64)
+    value = sum(found.values()) + sum(n for _, n in best_fit(open_, capacity))
+    kept, rest = rounded(found, left)
+    configs = [(tuple(x for x, a in c for _ in range(a)), n) for c, n in kept.items()] + best_fit(rest, capacity)
+    return Plan(([((capacity,), whole)] if whole else []) + configs, value + whole, bound + whole, pieces - int(rest.sum()), pieces)
 
 
 def slots(configs: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
@@ -309,7 +348,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer_file: st
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
-    table = slots(plan(counts, capacity)[0], capacity)
+    table = slots(plan(counts, capacity).configs, capacity)
     key = table["length"] * (1 << 44) + table["rank"]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
