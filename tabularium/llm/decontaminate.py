@@ -19,7 +19,6 @@ on either side leaks nothing; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import spread
-from tabularium.llm.textkernel import hash_windows, hash_words, row_batches, split_words, text_bytes, window_starts
+from tabularium.llm.textkernel import draw_key, hash_windows, hash_words, row_batches, split_words, text_bytes, window_starts
 
 LEAST_MATCH = 5
 COVERAGE = 0.5
@@ -43,36 +42,87 @@ _BREAK[48:58] = _BREAK[97:123] = False
 _BREAK[128:] = False
 
 
-def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, bounds: np.ndarray, secret: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every token."""
     data = _FOLD[data]
     s, e, row = split_words(data, bounds, _BREAK)
-    return hash_words(data, s, e), row
-
-
-def tile(text: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray, least: int = LEAST_MATCH) -> list[tuple[int, int, int]]:
-    """Tiles ``(place in text, place in item, length)``; ``p`` and ``q`` are the places of shared seeds of ``least`` tokens."""
-    same = (text[p[:, None] + np.arange(least)] == item[q[:, None] + np.arange(least)]).all(1)
-    p, q = p[same], q[same]
-    order = np.lexsort((q, p - q))
-    p, q = p[order], q[order]
-    cut = np.flatnonzero((np.diff(p - q, prepend=-(1 << 40)) != 0) | (np.diff(q, prepend=-2) != 1))
-    heap = [(-(n + least - 1), int(p[c]), int(q[c])) for c, n in zip(cut, np.diff([*cut, len(p)]).tolist())]
-    heapq.heapify(heap)
-    in_text, in_item, out = np.zeros(len(text), bool), np.zeros(len(item), bool), []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        free = ~(in_text[i : i + n] | in_item[j : j + n])
-        if free.all():
-            in_text[i : i + n] = in_item[j : j + n] = True
-            out.append((i, j, n))
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
-        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if e - s >= least:
-                heapq.heappush(heap, (-(e - s), i + s, j + s))
-    return out
+    return hash_words(data, s, e, secret), row
+
+
+def _free(marked: np.ndarray) -> np.ndarray:
+    """How many tokens from each place on are not marked."""
+    stops = np.append(np.flatnonzero(marked), len(marked))
+    return stops[np.searchsorted(stops, np.arange(len(marked)))] - np.arange(len(marked))
+
+
+def tile(text: np.ndarray, item: np.ndarray, least: int = LEAST_MATCH) -> list[tuple[int, int, int]]:
+    """Tiles ``(place in text, place in item, length)``: the longest match of tokens not yet marked, again and again.
+
+    Running Karp-Rabin: windows of one length on both sides are hashed in one pass, and the length is halved until some
+    agree; between that and the last one tried the greatest is found by bisection. All matches of that length are marked,
+    those starting first in the text first, each with the first free place in the item. Memory is linear in both.
+    """
+    done = [np.zeros(len(text), bool), np.zeros(len(item), bool)]
+    # Tokens in no shared window of `least` are in no tile.
+    for x, y, m in ((text, item, done[0]), (item, text, done[1])):
+        ours, theirs = (hash_windows(z, np.arange(max(0, len(z) - least + 1)), least) for z in (x, y))
+        cover = np.zeros(len(x) + 1, np.int64)
+        seen = np.flatnonzero(np.isin(ours, theirs))
+        np.add.at(cover, seen, 1)
+        np.add.at(cover, seen + least, -1)
+        m |= np.cumsum(cover)[:-1] == 0
+    out: list[tuple[int, int, int]] = []
+    top = min(len(text), len(item))
+    while True:
+        room = [_free(m) for m in done]
+        top = min(top, *(int(r.max(initial=0)) for r in room))
+
+        def shared(n: int) -> tuple[np.ndarray, ...]:
+            """Places and hashes of the free windows of ``n`` tokens that both sides have."""
+            at = [np.flatnonzero(r >= n) for r in room]
+            h = [hash_windows(x, p, n) for x, p in zip((text, item), at)]
+            both = [np.isin(h[0], h[1]), np.isin(h[1], h[0])]
+            return at[0][both[0]], h[0][both[0]], at[1][both[1]], h[1][both[1]]
+
+        n, above, found = top, top + 1, None
+        while n >= least and found is None:
+            got = shared(n)
+            if len(got[0]):
+                found = got
+            elif n == least:
+                return out
+            else:
+                n, above = max(least, n // 2), n
+        if found is None:
+            return out
+        while above - n > 1:
+            mid = (n + above) // 2
+            got = shared(mid)
+            if len(got[0]):
+                n, found = mid, got
+            else:
+                above = mid
+        places, hashes, targets, theirs = found
+        order = np.argsort(theirs, kind="stable")
+        targets, theirs = targets[order].tolist(), theirs[order]
+        low, high = np.searchsorted(theirs, hashes, side="left").tolist(), np.searchsorted(theirs, hashes, side="right").tolist()
+        next_at: dict[int, int] = {}
+        end = 0
+        for i, lo, hi in zip(places.tolist(), low, high):
+            if i < end:
+                continue
+            k = next_at.get(lo, lo)
+            while k < hi and (done[1][targets[k]] or done[1][targets[k] + n - 1]):
+                k += 1  # windows of this length were all free, so one that is marked in part is marked at an end
+            next_at[lo] = k
+            if k < hi:
+                j = targets[k]
+                done[0][i : i + n] = done[1][j : j + n] = True
+                out.append((i, j, n))
+                end = i + n
+        top = n - 1 if n > least else 0
+        if not top:
+            return out
 
 
 @dataclass
@@ -90,11 +140,13 @@ class Index:
     item: np.ndarray
     least: int
     coverage: float
+    secret: bytes
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None], least: int, coverage: float) -> Index:
+        secret = draw_key()
         data, bounds = text_bytes(pa.array(texts, pa.large_string()))
-        words, row = tokens(data, bounds)
+        words, row = tokens(data, bounds, secret)
         ends = np.cumsum(np.bincount(row, minlength=len(ids)))
         same: dict[bytes, list] = {}
         for k, (e, n) in enumerate(zip(ends.tolist(), np.diff(ends, prepend=0).tolist())):
@@ -108,7 +160,7 @@ class Index:
         loud = cls._loud(seeds, item, at, row, np.maximum(np.ceil(coverage * sizes - 1e-9), 1).astype(np.int64), least)
         order = np.argsort(seeds[loud], kind="stable")
         own = np.split(seeds, np.cumsum(sizes - least + 1)[:-1]) if items else []
-        return cls(list(same.values()), items, own, seeds[loud][order], item[loud][order], least, coverage)
+        return cls(list(same.values()), items, own, seeds[loud][order], item[loud][order], least, coverage, secret)
 
     @staticmethod
     def _loud(seeds: np.ndarray, item: np.ndarray, at: np.ndarray, row: np.ndarray, need: np.ndarray, least: int) -> np.ndarray:
@@ -128,6 +180,10 @@ class Index:
 
     def candidates(self, h: np.ndarray, row: np.ndarray, most: int = 2_000_000) -> np.ndarray:
         """``row * items + item`` of all that share a loud seed, sorted; ``most`` bounds what is expanded at a time."""
+        order = np.lexsort((h, row))  # a seed that a text repeats counts once
+        h, row = h[order], row[order]
+        new = np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
+        h, row = h[new], row[new]
         lo = np.searchsorted(self.loud, h, side="left")
         near = np.flatnonzero(self.loud[np.minimum(lo, len(self.loud) - 1)] == h)
         n = np.searchsorted(self.loud, h[near], side="right") - lo[near]
@@ -141,7 +197,7 @@ class Index:
 
     def leaks(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """``(row, item, covered tokens, tiles, longest)`` of every leak in a batch of texts."""
-        words, row = tokens(data, bounds)
+        words, row = tokens(data, bounds, self.secret)
         at = window_starts(row, self.least)
         if not len(at) or not len(self.loud):
             return
@@ -152,17 +208,15 @@ class Index:
             r, k = divmod(pair, len(self.items))
             if r != now:
                 now, (c, e) = r, np.searchsorted(row_at, [r, r + 1])
-                order = np.argsort(h[c:e], kind="stable")
-                mine, text = h[c:e][order], words[ends[r] - (e - c) - self.least + 1 : ends[r]]
-            lo, hi = np.searchsorted(mine, self.own[k], side="left"), np.searchsorted(mine, self.own[k], side="right")
-            n, size = hi - lo, len(self.items[k])
+                mine, text = np.unique(h[c:e]), words[ends[r] - (e - c) - self.least + 1 : ends[r]]
+            size = len(self.items[k])
+            near = np.isin(self.own[k], mine)
             reach = np.zeros(size, bool)
             for i in range(self.least):
-                reach[i : i + len(n)] |= n > 0
+                reach[i : i + len(near)] |= near
             if reach.sum() < self.coverage * size:
                 continue  # what the seeds reach bounds what tiles can cover
-            p = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            tiles = tile(text, self.items[k], p, np.repeat(np.arange(len(n)), n), self.least)
+            tiles = tile(text, self.items[k], self.least)
             covered = sum(t[2] for t in tiles)
             if covered >= self.coverage * size:
                 yield r, k, covered, len(tiles), max(t[2] for t in tiles)
