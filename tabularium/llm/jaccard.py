@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import discard, few_samples, materialise, salted_firsts, spread
-from tabularium.llm.textkernel import U, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
+from tabularium.llm.textkernel import FIXED_KEY, U, draw_key, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
 
 SHINGLE = 5
 THRESHOLD = (4, 5)  # as a fraction, so that the comparison is exact
@@ -82,10 +82,10 @@ def subtree_starts(labels: np.ndarray, depth: int) -> np.ndarray:
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(top)), bool), top[1:] != top[:-1]]))
 
 
-def shingles(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE, key: bytes = FIXED_KEY) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every shingle, in order of rows; a text of fewer words has one, of all its words."""
     s, e, row = split_words(data, bounds)
-    words = hash_words(data, s, e)
+    words = hash_words(data, s, e, key)
     at = window_starts(row, width)
     hashes, rows = hash_windows(words, at, width), row[at]
     sizes = np.bincount(row, minlength=len(bounds) - 1)
@@ -382,7 +382,7 @@ class Tile:
 
 def verify(texts: DataFrame) -> DataFrame:
     """From rows ``root, ti, tj, node, copies, block, text`` sorted by tile: ``node, n_links, other`` (a link, or null)."""
-    schema = "node bigint, n_links bigint, other bigint"
+    schema, secret = "node bigint, n_links bigint, other bigint", draw_key()
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, now = None, Tile()
@@ -397,7 +397,7 @@ def verify(texts: DataFrame) -> DataFrame:
             data, bounds = text_bytes(b.column("text"))
             meta = list(zip(*(b.column(c).to_pylist() for c in ("root", "ti", "tj", "node", "copies", "block"))))
             for i, j in row_batches(bounds):
-                h, r = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                h, r = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], key=secret)
                 cut = np.searchsorted(r, np.arange(j - i + 1))
                 for k in range(i, j):
                     root, ti, tj, node, copies, block = meta[k]

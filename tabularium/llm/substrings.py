@@ -14,7 +14,7 @@ the cells before they are sent to finer shards, and answers come back the same w
 so that the rows of an exchange grow with the blocks and not with their square. The sketch's width follows the
 number of windows, and no part of it is ever broadcast. (3) The blocks send the
 windows all of whose cells reach two, one a sequence and block, to be grouped
-exactly, by 96 bits of two independent hashes of the words. A window that occurs
+exactly, by 96 bits of two hashes of the words under a key drawn for the run. A window that occurs
 twice is always among them. (4) Blocks learn which of their windows start earlier
 elsewhere, and find repeats within the block themselves.
 
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import text_size
-from tabularium.llm.textkernel import U, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
+from tabularium.llm.textkernel import U, draw_key, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
 
 WIDTH = 20
 DEPTH = 2
@@ -70,7 +70,7 @@ def _ordered(block: pa.Table) -> pa.Table:
     return block.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def _keys(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _keys(block: pa.Table, secret: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every window: two hashes (64 and 32 bits), id and starting word; and the words of each row."""
     data, bounds = text_bytes(block.column("text"))
     ids = block.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -79,7 +79,7 @@ def _keys(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         part = data[bounds[i] : bounds[j]]
         s, e, row = split_words(part, bounds[i : j + 1] - bounds[i])
         n = np.bincount(row, minlength=j - i)
-        words, at = hash_words(part, s, e), window_starts(row, WIDTH)
+        words, at = hash_words(part, s, e, secret), window_starts(row, WIDTH)
         k1.append(hash_windows(words, at, WIDTH, 0))
         k2.append((hash_windows(words, at, WIDTH, 1) >> U(32)).astype(np.uint32))
         doc.append(ids[i:j][row[at]])
@@ -111,7 +111,7 @@ _BLOCK_ROW = (["shard", "block", "data"], [pa.int64(), pa.int64(), pa.binary()])
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row; on request ``kept_text``."""
-    _, size = text_size(docs)
+    (_, size), secret = text_size(docs), draw_key()
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     windows = max(1, size // 5)
     bits = min(48, max(12, math.ceil(math.log2(windows * LOAD))))
@@ -124,7 +124,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     text = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
     def sketched(block: pa.Table) -> pa.Table:
-        found, counts, _ = _cells(_keys(block)[0], bits)
+        found, counts, _ = _cells(_keys(block, secret)[0], bits)
         return sent(found, counts > 1, block.column("block")[0].as_py(), levels[0])
 
     def sent(found: np.ndarray, often: np.ndarray, sender: int, shift: int) -> pa.Table:
@@ -193,7 +193,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         if not block.num_rows or not answers.num_rows:
             return _table([], *_BLOCK_ROW)
         b = block.column("block")[0].as_py()
-        k1, k2, doc, start, _ = _keys(_ordered(block))
+        k1, k2, doc, start, _ = _keys(_ordered(block), secret)
         found, _, places = _cells(k1, bits)
         at = np.flatnonzero(heard(found, answers, levels[0])[places].all(0))
         at = at[np.lexsort((start[at], doc[at], k2[at], k1[at]))]
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         if not block.num_rows:
             return _table([], out_names, out_kinds)
         block = _ordered(block)
-        k1, k2, doc, start, sizes = _keys(block)
+        k1, k2, doc, start, sizes = _keys(block, secret)
         gone = np.zeros(len(k1), bool)
         # Repeats within the block: only windows whose first hash repeats are compared.
         order = np.sort(k1)

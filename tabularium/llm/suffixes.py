@@ -43,7 +43,7 @@ from pyspark.sql import Window as W
 
 from tabularium.llm.common import few_samples, materialise, text_size
 from tabularium.llm.substrings import BLOCK_BYTES, NO_ID, _ordered, _table
-from tabularium.llm.textkernel import U, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
+from tabularium.llm.textkernel import U, draw_key, hash_windows, hash_words, mix, row_batches, split_words, text_bytes, window_starts
 
 SPAN = 50
 SPREAD = 24
@@ -77,7 +77,7 @@ def minimisers(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Suffixes:
     """The words of a block, on request spelled with a blank after each, and its sparse suffixes."""
 
-    def __init__(self, block: pa.Table, spelled: bool = False):
+    def __init__(self, block: pa.Table, secret: bytes, spelled: bool = False):
         data, bounds = text_bytes(block.column("text"))
         ids = block.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
         sizes, at, low, high, key, row_of, words = ([np.empty(0, k)] for k in (np.int64, np.int64, np.int64, np.int64, U, np.int64, U))
@@ -85,7 +85,7 @@ class Suffixes:
         for i, j in row_batches(bounds):
             part = data[bounds[i] : bounds[j]]
             s, e, row = split_words(part, bounds[i : j + 1] - bounds[i])
-            h = hash_words(part, s, e)
+            h = hash_words(part, s, e, secret)
             p, near, far = minimisers(h, row)
             words.append(h)
             sizes.append(np.bincount(row, minlength=j - i))
@@ -126,13 +126,13 @@ def common_words(a: bytes, b: bytes) -> int:
     return a.count(b" ", 0, lo)
 
 
-def words_before(left: pa.Array) -> np.ndarray:
+def words_before(left: pa.Array, secret: bytes) -> np.ndarray:
     """For each suffix and number of words ``l`` a hash of the ``l`` words before it (column 0: of none); garbage where there are fewer."""
     data, bounds = text_bytes(left.cast(pa.large_binary()).cast(pa.large_string()))
     s, e, row = split_words(data, bounds)
     out = np.zeros((len(left), REACH + 1), U)
     back = np.cumsum(np.bincount(row, minlength=len(left)))[row] - np.arange(len(row))  # the nearest word: 1
-    out[row, back] = hash_words(data, s, e)
+    out[row, back] = hash_words(data, s, e, secret)
     for k in range(1, REACH + 1):
         out[:, k] = mix(out[:, k] ^ out[:, k - 1] * U(0x9E3779B97F4A7C15))
     return out
@@ -196,20 +196,20 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     ``spans`` are the removed runs of words, ``start:end`` joined by commas; ``first_docs`` the ids at which their passages stand first.
     """
-    _, size = text_size(docs)
+    (_, size), secret = text_size(docs), draw_key()
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / SORTED_BYTES))
     text = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
     def listed(block: pa.Table) -> pa.Table:
-        found, counts = np.unique(Suffixes(block).key, return_counts=True)
+        found, counts = np.unique(Suffixes(block, secret).key, return_counts=True)
         return pa.table([pa.array(found.view(np.int64)), pa.array(np.full(len(found), block.column("block")[0].as_py()), pa.int64()), pa.array(counts > 1)], names=["h", "block", "twice"])
 
     def chosen(block: pa.Table, often: pa.Table) -> pa.Table:
         names, kinds = [*_NAMES, "low", "high", "left", "right"], [*_KINDS, pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         if not block.num_rows or not often.num_rows:
             return _table([], names, kinds)
-        own = Suffixes(_ordered(block), spelled=True)
+        own = Suffixes(_ordered(block), secret, spelled=True)
         known = np.sort(often.column("h").to_numpy().view(U))
         at = np.flatnonzero(known[np.minimum(np.searchsorted(known, own.key), len(known) - 1)] == own.key)
         left, right = own.spelled(at)
@@ -217,7 +217,7 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         at, left, right = at[np.array(order, np.int64)], [left[k] for k in order], [right[k] for k in order]
         lcp = np.array([0, *map(common_words, right, right[1:])][: len(right)], np.int64)
         low, high = own.low[at], own.high[at]
-        mask, first = earlier(lcp, words_before(pa.array(left, pa.binary())), low, high, own.doc[at], own.start[at])
+        mask, first = earlier(lcp, words_before(pa.array(left, pa.binary()), secret), low, high, own.doc[at], own.start[at])
         lone = mask != (1 << (high + 1)) - (1 << low)  # some passage is not met earlier in the block
         use = np.flatnonzero((mask != 0) | lone)
         at, sent = at[use], lone[use].tolist()
@@ -246,7 +246,7 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         table = pa.Table.from_batches(kept).combine_chunks()
         lcp = np.array(lcp, np.int64)
         col = {c: table.column(c).combine_chunks().to_numpy() for c in (*_NAMES[:4], "low", "high")}
-        before = words_before(table.column("left").combine_chunks())
+        before = words_before(table.column("left").combine_chunks(), secret)
         mask, first = earlier(lcp, before, col["low"], col["high"], col["doc"], col["start"])
         run = np.cumsum(lcp < DEPTH)
         at = np.flatnonzero((mask != 0) & (run != run[0]) & (run != run[-1]))
@@ -273,7 +273,7 @@ def find_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         begins = np.cumsum(sizes) - sizes
         step, firsts = np.zeros(int(sizes.sum()) + 1, np.int64), {}
         if marks.num_rows:
-            own = Suffixes(block)
+            own = Suffixes(block, secret)
             col = {c: marks.column(c).combine_chunks() for c in _NAMES[1:]}
             theirs = _same(*(col[c].to_numpy() for c in _NAMES[1:4]))
             order = np.argsort(theirs)

@@ -7,13 +7,16 @@ on whole batches with numpy; no Python object is made for a word.
 from __future__ import annotations
 
 import hashlib
+import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 _MUL = U(0x9E3779B97F4A7C15 | 1)
-_KEY = U(0x8BB84B93962EACC9)
+#: For what must come out alike in every run and is checked by other means, such as min-hash labels.
+FIXED_KEY = bytes(range(16))
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 LONG = 64
 _WMUL = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
@@ -80,29 +83,52 @@ def split_words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE)
     return starts, ends, np.searchsorted(bounds[1:], starts, side="right")
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def draw_key() -> bytes:
+    """A secret for the hashes of one run, drawn on the driver and sent with its functions: who wrote the texts did not know it."""
+    return os.urandom(16)
+
+
+@lru_cache(maxsize=64)
+def _word_keys(key: bytes) -> np.ndarray:
+    """Numbers of 32 bits for both lanes, each block of eight bytes and its halves; and two for the end."""
+    lanes = [np.frombuffer(hashlib.blake2b(bytes([lane]), digest_size=64, key=key).digest() + hashlib.blake2b(bytes([lane, 1]), digest_size=64, key=key).digest(), "<u4") for lane in range(2)]
+    return np.stack(lanes).astype(U)
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes = FIXED_KEY) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same wherever the word stands.
 
-    Words of up to ``LONG`` bytes go eight bytes at a time through a mixing that is not linear in them, so no choice of
-    letters cancels out, as it does in a polynomial modulo 2**64; the few longer ones go through keyed BLAKE2b.
+    Words of up to ``LONG`` bytes: in two lanes, both halves of every eight bytes are added to numbers of the key, multiplied,
+    and the products added up. Whatever two words are, their sums in a lane agree for one key in 2**32, and the lanes' keys are
+    independent; so without the key no two words can be written that agree. Longer words go through keyed BLAKE2b.
     """
     size = ends - starts
-    h = mix(size.astype(U) * U(0xC2B2AE3D27D4EB4F) ^ _KEY)
-    if not len(h):
-        return h
+    if not len(size):
+        return np.empty(0, U)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    live, at, left = np.arange(len(h)), starts, size
+    numbers, half = _word_keys(key), U(0xFFFFFFFF)
+    lanes = np.zeros((2, len(size)), U)
+    live, at, left, block = np.arange(len(size)), starts, size, 0
     odd = np.flatnonzero(size > LONG)
     if len(odd):
         few = size <= LONG
         live, at, left = live[few], at[few], left[few]
     while len(live):
-        h[live] = mix((h[live] ^ (eight[at] & _LOW[np.minimum(left, 8)])) * _MUL)
+        x = eight[at] & _LOW[np.minimum(left, 8)]
+        low, high = x & half, x >> U(32)
+        for lane in range(2):
+            a, b = numbers[lane, 2 * block : 2 * block + 2]
+            product = ((low + a) & half) * ((high + b) & half)
+            if block:
+                lanes[lane, live] += product
+            else:
+                lanes[lane, live] = product
         more = left > 8
-        live, at, left = live[more], at[more] + 8, left[more] - 8
+        live, at, left, block = live[more], at[more] + 8, left[more] - 8, block + 1
+    h = mix(mix(lanes[0] ^ size.astype(U) * U(0xC2B2AE3D27D4EB4F)) + lanes[1] * U(0xD6E8FEB86659FD93))
     for k in odd.tolist():
-        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=_KEY.tobytes()).digest(), "little")
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=key).digest(), "little")
     return h
 
 
