@@ -291,11 +291,11 @@ def sheet_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "user_id", F.col("table_id").cast("long").alias("table_id"), "item", "meta")
 
 
-_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({0}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&')"
-_A = "(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a>"
+#: The pages of the tables have links of one form, without tags inside: cut at that form, no tags are read.
+_PLAIN_TEXT = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&')"
 _ANCHOR_SQL = f"""
-a as (select page_id, unnest(regexp_extract_all(html, '{_A}', 1)) as h, unnest(regexp_extract_all(html, '{_A}', 2)) as t, unnest(range(len(regexp_extract_all(html, '{_A}', 1)))) as ord from pages),
-n as (select page_id, ord, {_UNESCAPE.format('h')} as href, trim({_UNESCAPE.format("regexp_replace(t, '\\s*<[^>]*>\\s*', '', 'g')")}) as label from a)"""
+a as (select page_id, unnest(string_split(html, '<a href="')[2:]) as x, unnest(range(len(string_split(html, '<a href="')) - 1)) as ord from pages),
+n as (select page_id, ord, {_PLAIN_TEXT.format("split_part(x, '\">', 1)")} as href, trim({_PLAIN_TEXT.format("split_part(substr(x, strpos(x, '\">') + 2), '</a>', 1)")}) as label from a)"""
 
 
 @query(f"with {_ANCHOR_SQL} select page_id, cast(ord as integer) as ord, label, case when starts_with(href, 'http') then href else 'https://example.org' || href end as url from n where label <> '' and contains(lower(href), 'th')")

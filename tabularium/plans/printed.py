@@ -170,18 +170,20 @@ def _said(*parts: Column | str) -> Column:
 with {_FACTS},
 r as (select *, table_ord as spot, sum((key % 3 <> 1)::int) over (partition by doc order by k) - 1 as inner_at from g)
 select 'nosler' as source, doc * 4294967296 + inner_at::bigint as ord, 'Round ' || key as label, 'http://n/' || key as url, null as sheet_id from r where key % 3 = 0
-union all select 'sierra', doc * 4294967296 + spot, 'Round' || key || '&', case when key % 3 = 0 then 'https://sierrabullets.com/x/load-data/' || key || '.PDF' else 'https://s/LOAD-DATA/' || key || '.pdf' end, null from r where key % 3 <> 1
+union all select 'sierra', doc * 4294967296 + spot, 'Round' || key || '&®–éé', case when key % 3 = 0 then 'https://sierrabullets.com/x/load-data/' || key || '.PDF' else 'https://s/LOAD-DATA/' || key || '.pdf' end, null from r where key % 3 <> 1
 union all select 'barnes', doc * 4294967296 + spot, 'Round ' || key, 'https://barnesbullets.com/Barnes-LoadData/' || key || '.pdf', null from r where key % 3 = 0
 union all select 'hammer', doc * 4294967296 + spot, 'Round ' || key, 'https://docs/spreadsheets/d/ID_' || key || '-x/edit', 'ID_' || key || '-x' from r where key % 2 = 0""")
 def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings of four publishers: containers in containers, paths, notes to be cut, sheets; links that are none of these."""
     f, kind = facts(spark, sf_dir), F.col("key") % 3
-    link = lambda href, label: F.concat(F.lit('<a class="x" href="'), href, F.lit('">'), label, F.lit("</a>"))
+    # Attributes of other names, values without quotes, and links in comments and scripts are all around.
+    quote = F.element_at(F.array(F.lit('"'), F.lit("'"), F.lit("")), (F.col("key") % 3 + 1).cast("int"))
+    link = lambda href, label: F.concat(F.lit('<!-- <a href="/load-data/no.pdf">no</a> --><script>"<a href=/load-data/no.pdf>no</a>"</script><a data-href="/load-data/wrong.pdf" class=x HREF = '), quote, href, quote, F.lit(">"), label, F.lit("</a>"))
     box = lambda x: F.concat(F.lit('<div class="x load-data-tab-container"><div><p>'), x, F.lit("</div><br></div>"))
     mine, name = link(_said("http://n/", "key"), _said(" Round ", "key", " ")), _said("Round ", "key")
     pages = {
         "nosler": F.when(kind == 0, box(mine)).when(kind == 1, mine).otherwise(box(link(_said("/n/", "key"), name))),
-        "sierra": link(F.when(kind == 0, _said("/x/load-data/", "key", ".PDF")).when(kind == 1, _said("/load-data/", "key", ".html")).otherwise(_said("https://s/LOAD-DATA/", "key", ".pdf")), _said(" Round <b> ", "key", "</b>&amp; ")),
+        "sierra": link(F.when(kind == 0, _said("/x/load-data/", "key", ".PDF")).when(kind == 1, _said("/load-data/", "key", ".html")).otherwise(_said("https://s/LOAD-DATA/", "key", ".pdf")), _said(" Round <b> ", "key", "</b>&amp; <i>&reg;&#8211;&#xe9;&eacute;</i>")),
         "barnes": link(F.when(kind == 0, _said("/Barnes-LoadData/", "key", ".pdf")).when(kind == 1, _said("/barnes-loaddata/Recall-", "key", ".pdf")).otherwise(_said("/other/", "key", ".pdf")), _said("Round ", "key", "- This link will open a PDF document")),
         "hammer": link(F.when(F.col("key") % 2 == 0, _said("https://docs/spreadsheets/d/ID_", "key", "-x/edit")).otherwise(_said("/d/", "key")), name),
     }

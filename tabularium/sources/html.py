@@ -2,49 +2,58 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tabularium.sources.markup import tokens
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
-class _Walk(HTMLParser):
-    """Collects, for each element that ``wanted`` names, the links inside it: ``[name, [(href, label)]]``."""
 
-    def __init__(self, wanted: Callable[[str, dict], str | None]):
-        super().__init__(convert_charrefs=True)
-        self._wanted, self._open, self._pieces = wanted, [], []
+class _Walk:
+    """All links of a page as ``[href, pieces of label]``, and for each element that ``wanted`` names those inside it."""
+
+    def __init__(self, page: str, wanted: Callable[[str, dict], str | None] = lambda tag, have: None):
+        self.links: list[list] = []
         self.found: list[tuple[str, list]] = []
+        open_: list[tuple[str, list | None, list | None]] = []
+        live, boxes, depth = [], [], Counter()  # what of the open elements is a link or wanted, and how many are of each tag
+        for kind, told, have in tokens(page):
+            if kind == "text":
+                piece = told.strip()
+                for link in live if piece else ():
+                    link[1].append(piece)
+            elif kind == "end":
+                while depth[told]:
+                    tag, box, link = open_.pop()
+                    depth[tag] -= 1
+                    if box is not None:
+                        boxes.pop()
+                    if link is not None:
+                        live.pop()
+                    if tag == told:
+                        break
+            else:
+                name, links = wanted(told, have), None
+                if name is not None:
+                    links = []
+                    self.found.append((name, links))
+                if told in _VOID:
+                    continue
+                link = [have["href"], []] if told == "a" and "href" in have else None
+                if links is not None:
+                    boxes.append(links)
+                if link is not None:
+                    self.links.append(link)
+                    live.append(link)
+                    for box in boxes:
+                        box.append(link)
+                open_.append((told, links, link))
+                depth[told] += 1
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        have = {k: v or "" for k, v in attrs}
-        name, links = self._wanted(tag, have), None
-        if name is not None:
-            links = []
-            self.found.append((name, links))
-        if tag in _VOID:
-            return
-        link = [have["href"], []] if tag == "a" and "href" in have else None
-        if link:
-            for _, box, _ in self._open:
-                if box is not None:
-                    box.append(link)
-            if links is not None:
-                links.append(link)
-        self._open.append((tag, links, link))
-
-    def handle_endtag(self, tag: str) -> None:
-        at = next((i for i in range(len(self._open) - 1, -1, -1) if self._open[i][0] == tag), None)
-        if at is not None:
-            del self._open[at:]
-
-    def handle_data(self, data: str) -> None:
-        piece = data.strip()
-        for _, _, link in self._open if piece else ():
-            if link:
-                link[1].append(piece)
 
 def _rows(pages: DataFrame, walk: Callable[[str], list[tuple]], fields: str) -> DataFrame:
     names = [c for c in pages.columns if c != "html"]
@@ -64,6 +73,16 @@ def _rows(pages: DataFrame, walk: Callable[[str], list[tuple]], fields: str) ->
 
     return pages.select(*names, "html").mapInArrow(walked, schema)
 
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """``ord, href, label`` of every link of each page, beside the page's columns.
+
+    Null and empty pages have none; a link that is not closed ends with what is around it; a label's pieces are stripped and
+    joined, and may be empty. Comments, scripts and attributes of other names hold no links.
+    """
+    return _rows(pages, lambda html: [(href, "".join(pieces)) for href, pieces in _Walk(html).links], "href string, label string")
+
+
 def links_inside(pages: DataFrame, tag: str, css_class: str) -> DataFrame:
     """``ord, href, label`` of every link in an element of a class, once for each such element around it.
 
@@ -71,34 +90,22 @@ def links_inside(pages: DataFrame, tag: str, css_class: str) -> DataFrame:
     """
 
     def walk(html: str) -> list[tuple]:
-        w = _Walk(lambda t, have: "" if t == tag and css_class in have.get("class", "").split() else None)
-        w.feed(html)
-        w.close()
+        w = _Walk(html, lambda t, have: "" if t == tag and css_class in have.get("class", "").split() else None)
         return [(href, "".join(pieces)) for _, links in w.found for href, pieces in links]
 
     return _rows(pages, walk, "href string, label string")
 
+
 def first_links(pages: DataFrame, attribute: str) -> DataFrame:
     """``ord, name, href`` of the first link inside every element that has an attribute; elements without a link give none."""
 
     def walk(html: str) -> list[tuple]:
-        w = _Walk(lambda _, have: have.get(attribute))
-        w.feed(html)
-        w.close()
+        w = _Walk(html, lambda _, have: have.get(attribute))
         return [(name, links[0][0]) for name, links in w.found if links]
 
     return _rows(pages, walk, "name string, href string")
 
-def hidden_value(html: str, name: str) -> str | None:
-    """The value of the first input of a name."""
-    found: list[str] = []
-
-    class Inputs(HTMLParser):
-        def handle_starttag(self, tag, attrs):
-            have = dict(attrs)
-            if tag == "input" and have.get("name") == name and have.get("value"):
-                found.append(have["value"])
-
-    Inputs().feed(html)
-    return found[0] if found else None
 
+def hidden_value(html: str, name: str) -> str | None:
+    """The value of the first input of a name that has one."""
+    return next((have["value"] for kind, tag, have in tokens(html) if kind == "start" and tag == "input" and have.get("name") == name and have.get("value")), None)

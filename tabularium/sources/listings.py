@@ -9,29 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.text import absolute, name_before_weight, normalize, strip, without_link_note
-from tabularium.sources.html import first_links, links_inside
+from tabularium.sources.html import anchors, first_links, links_inside
 
-ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 CACHE_SECONDS = 7 * 24 * 3600.0
 PAGE_LINKS = 1 << 32
 #: Conditions of a store that has no readable listing.
 _MISSES = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE")
 
 
-def unescape(s: Column) -> Column:
-    for a, b in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
-
-
-def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``ord, href, label`` of every link of each page, beside the page's columns."""
-    hrefs, labels = F.regexp_extract_all(html, F.lit(ANCHOR), 1), F.regexp_extract_all(html, F.lit(ANCHOR), 2)
-    found = pages.select(*[c for c in pages.columns if c != html], F.posexplode(F.arrays_zip(hrefs.alias("h"), labels.alias("t"))).alias("ord", "a"))
-    label = strip(unescape(F.regexp_replace(F.col("a.t"), r"\s*<[^>]*>\s*", "")))
-    return found.select(*[c for c in found.columns if c != "a"], unescape(F.col("a.h")).alias("href"), label.alias("label"))
-
-
 @dataclass(frozen=True)
 class ListingRule:
     """How a publisher's page names its documents."""

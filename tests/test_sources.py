@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from tabularium.sources import listings, publishers
+from tabularium.sources import html, listings, markup, publishers
 
 
 def docs(spark, name="115 Grain"):
@@ -47,3 +49,74 @@ def test_cache(spark, tmp_path):
     listings.save_cache(items, path, 100.0)
     assert listings.load_cache(spark, path, 100.0 + listings.CACHE_SECONDS).count() == 1
     assert listings.load_cache(spark, path, 101.0 + listings.CACHE_SECONDS) is None
+
+
+PAGE = """<!DOCTYPE html><p>x < y &amp; z<br/>
+<a data-href="/wrong.pdf" href="/right.pdf">R&reg; &#8211; &#xE9; &eacute; <b> bold </b></a>
+<A class=x HREF=/bare.pdf?a=1&amp;b=2&copy=3>bare</A><!-- <a href="/no.pdf">no</a> --><a href='/q"uote.pdf' href="/last.pdf">last of two</a>
+<script>"<a href='/script.pdf'>no</a>"</script><STYLE><a href=/style.pdf>no</style ><title><a href=/title.pdf>no</title>
+<a href="/empty.pdf"></a><a name=none>no href</a><div><a href="/open.pdf">open <i>in</div> not in it
+<a href="/nested.pdf">outer <a href="/inner.pdf">inner</a> rest</a></nothing><a href="/cut"""
+
+
+def test_links_of_odd_markup(spark):
+    pages = spark.createDataFrame([(1, PAGE, 0), (2, None, 0), (3, "", 0), (4, "<!-- never closed <a href=x>y</a>", 0), (5, "<script><a href=x>y</a>", 0), (6, "a <1> </> <?x?> <a\thref = ' /x '\n>&nbsp;y\u00a0</a", 0)], "page_id int, html string, href int").drop("href")
+    got = {}
+    for r in html.anchors(pages).orderBy("page_id", "ord").collect():
+        got.setdefault(r["page_id"], []).append((r["ord"], r["href"], r["label"]))
+    assert got[1] == [
+        (0, "/right.pdf", "R® – é ébold"),
+        (1, "/bare.pdf?a=1&b=2&copy=3", "bare"),
+        (2, "/last.pdf", "last of two"),
+        (3, "/empty.pdf", ""),
+        (4, "/open.pdf", "openin"),
+        (5, "/nested.pdf", "outerinnerrest"),
+        (6, "/inner.pdf", "inner"),
+    ]
+    assert got[6] == [(0, " /x ", "y")] and got.keys() == {1, 6}
+
+
+def test_tokens_are_those_of_a_parser():
+    """Against the standard parser, on pages put together at random of well-formed pieces and odd text."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.got = []
+
+        def handle_starttag(self, tag, attrs):
+            self.got.append(("start", tag, {k: v or "" for k, v in attrs}))
+
+        def handle_endtag(self, tag):
+            self.got.append(("end", tag, None))
+
+        def handle_data(self, data):
+            self.got.append(("text", data, None))
+
+    def joined(found):
+        out = []
+        for t in found:
+            if t[0] == "text" and out and out[-1][0] == "text":
+                out[-1] = ("text", out[-1][1] + t[1], None)
+            elif t[1]:
+                out.append(t)
+        return out
+
+    rng = random.Random(3)
+    some = ["<p>", "</p>", "<a href=x>", '<a href="a b&amp;c" class=\'q\' data-x>', "</a>", "text ", "&eacute;&#233;&#xe9;&lt;b&gt;", "<br>", "<!-- <p> -->", "<!doctype html>", "a < b ", "<DIV ID = 7 >", "</DIV>", "\n", "&nosuch; & &#38;"]
+    for _ in range(400):
+        page = "".join(rng.choice(some) for _ in range(rng.randrange(20))) + "<hr>"
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert joined(markup.tokens(page)) == joined(plain.got), page
+
+
+def test_odd_pages_take_linear_time():
+    import time
+
+    for page in ("<" * 400_000, "<p>" * 200_000 + "x</b>" * 100_000, '<a href="' * 100_000, "<a " + "b=c " * 200_000, "<!--" * 200_000, "</p" * 200_000, "&" * 400_000, "<a href=x>" + "<i>t" * 100_000 + "</i>" * 100_000, "<script>" + "</scrip" * 100_000):
+        began = time.perf_counter()
+        html._Walk(page)
+        assert time.perf_counter() - began < 3, page[:20]
