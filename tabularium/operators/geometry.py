@@ -167,7 +167,7 @@ def next_boundary(df: DataFrame, keys: list[str], order: list[str], at: Column,
     return df.withColumn(out, F.min(F.when(is_boundary, at)).over(w))
 
 
-def pair_exclusive(df: DataFrame, key: str, coord: str, ident: str, kind: str, header: str, trigger: str, rows_each: int = ROWS_EACH) -> DataFrame:
+def pair_exclusive(df: DataFrame, key: str, coord: str, ident: str, kind: str, header: str, trigger: str, rows_each: int | None = ROWS_EACH) -> DataFrame:
     """Each header, in order, takes the nearest unused trigger above it, else the first unused one before the next header.
 
     Unused triggers are a stack, and a header that finds none waits until the next row. How high the stack is follows
@@ -176,13 +176,14 @@ def pair_exclusive(df: DataFrame, key: str, coord: str, ident: str, kind: str, h
     come, heights between pieces follow from running sums and maxima of these, and every piece then pairs its rows by
     itself. What a piece leaves open at a height is paired with the next that a later piece leaves open there.
 
-    ``key, header_id, trigger_id`` (null: none left). Of several triggers at one height the first is taken.
+    ``key, header_id, trigger_id`` (null: none left). With ``rows_each`` None no key is cut, and none is counted. Of several triggers at one height the first is taken.
     Defined cases: rows of another or no kind take no part; a header without a coordinate has no trigger, and a trigger
     without one is not used; null keys are a group; rows of one coordinate of a key are one task's; no rows give none.
     """
     one = df.schema[ident].dataType
     slim = df.filter(F.col(kind).isin(header, trigger)).select(F.col(key).alias("_key"), F.col(coord).alias("_at"), F.col(ident).alias("_id"), (F.col(kind) == trigger).alias("_below"))
-    placed, many = cut(slim.filter("_at is not null"), ["_key"], "_at", "_piece", rows_each)
+    known = slim.filter("_at is not null")
+    placed, many = (known.withColumn("_piece", F.lit(0)), False) if rows_each is None else cut(known, ["_key"], "_at", "_piece", rows_each)
     by = ["_key", "_piece"]
     # At one height headers come first: a trigger there is not above them.
     ordered = lambda x: x.repartition(*by).sortWithinPartitions(*by, "_at", "_below", "_id")

@@ -138,21 +138,33 @@ def extract_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {_FACTS},
-l as (select *, unnest([{{'n': 0, 'p': 'Powder' || size, 'c': c2, 'f': case when key % 2 = 0 then 'most accurate' else '' end || case when key % 6 = 0 then ', ' else '' end || case when key % 3 = 0 then 'compressed' else '' end}}, {{'n': 1, 'p': 'Late Max', 'c': null, 'f': ''}}]) as x from g)
+h as (select *, lead(key) over (partition by doc_id order by k) as after from g),
+l as (select *, unnest([{{'n': 0, 'p': 'Powder' || size, 'c': c2, 'f': array_to_string(list_filter([case when key % 2 = 0 then 'most accurate' end, case when key % 3 = 0 then 'compressed' end, case when key % 5 = 0 then 'compressed' end], lambda y: y is not null), ', ')}}, {{'n': 1, 'p': 'Late Max', 'c': null, 'f': ''}}]) as x from h)
 select doc_id, table_ord, cast(x.n as bigint) as line_ord, x.p as powder, x.f as flags, true as is_max, cast(c1 as double) as charge_min, cast(v as double) as velocity_min, cast(x.c as double) as charge_max, cast(v + 90 as double) as velocity_max,
-       cast(w as double) as weight, 'Case' || doc as case_name, 'Small Rifle' as primer, '2.' || doc as coal_in
+       cast(w as double) as weight, case key % 3 when 0 then case when key % 2 = 0 then 'Flat' else '' end when 1 then 'Soft Point' else 'Match' end as kind,
+       case when key % 4 = 0 then 'Own' || key when after % 4 = 0 and after % 3 <> 2 then 'Own' || after else 'Case' || doc end as case_name, 'Small Rifle' as primer, '2.' || doc as coal_in
 from l""")
 def extract_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of several pages: each head takes its own bullet, words printed twice count once, falling rows are no loads."""
+    """Sections of several pages: each head takes its own bullet, words printed twice count once, falling rows are no loads.
+
+    Bullets are told in a line, in a sidebar or in a table of references. Some sections have a case of their own, which also
+    stands in the section before, as that reaches to the next head or table of references.
+    """
     f, page = facts(spark, sf_dir), F.col("k")
-    head = [(page, "Bullet", 60, 80), (page, "Weight:", 90, 80), (page, F.col("w"), 125, 80), (page, "Powder", 60, 100), (page, "Charge", 170, 100), (page, "Velocity", 230, 100), (page, "Charge", 300, 100), (page, "Velocity", 360, 100)]
-    star, squeezed = F.when(F.col("key") % 2 == 0, "*").otherwise(""), F.when(F.col("key") % 3 == 0, "c").otherwise("")
-    rows = [(page, F.concat(star, F.lit("Powder"), "size"), 60, 120), (page, F.col("c1"), 171, 120), (page, F.col("v"), 231, 120), (page, F.concat(F.replace("c2", F.lit("."), F.lit("")), squeezed), 301, 120), (page, F.concat("c2", squeezed), 301, 120), (page, F.col("v") + 90, 361, 120.5)]
+    form = lambda k: lambda x: F.when(F.col("key") % 3 == k, x)
+    line, side, table = map(form, range(3))
+    own, flat = (lambda x: F.when(F.col("key") % 4 == 0, x)), (lambda x: F.when(F.col("key") % 6 == 0, x))
+    head = [(page, line("Bullet"), 60, 80), (page, line("Weight:"), 90, 80), (page, line(F.col("w")), 125, 80), (page, flat("Style:"), 60, 86), (page, flat("Flat"), 95, 87), (page, flat("Base"), 130, 86)]
+    head += [(page, side(F.concat("w", F.lit("-Grain"))), 40, 80), (page, side("Soft"), 80, 81), (page, side("Density"), 110, 81), (page, side("Point"), 40, 90)]
+    head += [(page, table("Weight"), 60, 70), (page, table("SKU"), 170, 70), (page, table("Type"), 100, 70), (page, table(F.concat("w", F.lit("gr."))), 61, 80), (page, table("Match"), 100, 81)]
+    head += [(page, own("Case:"), 200, 92), (page, own(F.concat(F.lit("Own"), "key")), 240, 92), (page, "Powder", 60, 100), (page, "Charge", 170, 100), (page, "Velocity", 230, 100), (page, "Charge", 300, 100), (page, "Velocity", 360, 100)]
+    star, squeezed, too = F.when(F.col("key") % 2 == 0, "*").otherwise(""), F.when(F.col("key") % 3 == 0, "c").otherwise(""), F.when(F.col("key") % 5 == 0, "C").otherwise("")
+    rows = [(page, F.concat(star, F.lit("Powder"), "size"), 60, 120), (page, F.concat("c1", too), 171, 120), (page, F.col("v"), 231, 120), (page, F.concat(F.replace("c2", F.lit("."), F.lit("")), squeezed), 301, 120), (page, F.concat("c2", squeezed), 301, 120), (page, F.col("v") + 90, 361, 120.5)]
     rows += [(page, "Falling", 60, 130), (page, F.col("c2"), 171, 130), (page, F.col("v"), 231, 130), (page, F.col("c1"), 301, 130), (page, F.col("v") + 90, 361, 130)]
     rows += [(page, "Late", 60, 140), (page, "Max", 85, 140), (page, "x", 110, 140), (page, F.col("c1"), 171, 140), (page, F.col("v"), 231, 140), (page, F.col("v") + 90, 361, 140), (page, "Two", 60, 150), (page, F.col("c1"), 171, 150), (page, F.col("v"), 231, 150)]
     lines = lines_of(f, F.lit("Case: Case"), F.col("doc"), F.lit("  Primer: Small Rifle  COAL 2."), F.col("doc"))
     out = positioned.from_section_words(words(f, *head, *rows), lines, documents(f, ""))
-    return out.select(*_FORM, F.col("charge_min_gr").alias("charge_min"), F.col("velocity_min_fps").alias("velocity_min"), F.col("charge_max_gr").alias("charge_max"), F.col("velocity_fps").alias("velocity_max"), F.col("bullet_weight_gr").alias("weight"), "case_name", "primer", "coal_in")
+    return out.select(*_FORM, F.col("charge_min_gr").alias("charge_min"), F.col("velocity_min_fps").alias("velocity_min"), F.col("charge_max_gr").alias("charge_max"), F.col("velocity_fps").alias("velocity_max"), F.col("bullet_weight_gr").alias("weight"), F.col("bullet_type").alias("kind"), "case_name", "primer", "coal_in")
 
 
 def _pages(f: DataFrame, part: Column, before: Column | str = "", after: Column | str = "") -> DataFrame:

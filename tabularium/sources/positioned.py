@@ -36,6 +36,8 @@ SIDEBAR = (30.0, 160.0)
 SIDEBAR_GRAIN = r"(?i)^(\d+)-?grain$"
 SIDEBAR_STOP = ["Sectional", "Ballistic", "Density", "Coefficient", "C.O.A.L", "Suggested", "Bullet", "Use"]
 SKU_WEIGHT = r"(?i)^(\d+)gr\.?$"
+#: Heights of print that differ differ by this at least.
+NEXT_TOP = 0.000001
 RANGE_COLUMNS = ["charge_min", "velocity_min", "charge_max", "velocity_max"]
 
 
@@ -183,41 +185,72 @@ def from_recipe_words(words: DataFrame, lines: DataFrame, docs: DataFrame, sourc
     return _as_ranges(out, docs, source, manufacturer, F.when(col("n_compressed") > 0, "compressed").otherwise(""), notes=col("item_name"), **text)
 
 
+def _over(value: str, width: float) -> Column:
+    """An aggregate over the words of a document so far above and below a word, and somewhat further: callers look at distances anew."""
+    return F.expr(f"{value} over (partition by doc_id order by top range between {width + 0.5}D preceding and {width + 0.5}D following)")
+
+
+def section_marks(words: DataFrame) -> DataFrame:
+    """``doc_id, mark`` of every header and every trigger (what opens a bullet's section), in one sweep down the words.
+
+    ``mark`` is ``form, seq, top, weight, kind, charges, velocities, block``; form 3 is a header, the others are triggers;
+    ``block`` is where the next block of references begins. ``top`` counts on over pages. All that is looked up beside or
+    around a word comes from frames over one order of the words, so they are dealt out and sorted once.
+    """
+    col, near = F.col, lambda x, width: F.abs(x["top"] - F.col("top")) < width
+    texts = lambda found, *order: F.transform(F.array_sort(F.transform(found, lambda x: F.struct(*[x[o].alias(f"o{i}") for i, o in enumerate(order)], x["text"].alias("v")))), lambda x: x["v"])
+    least = lambda found, *order: F.array_min(F.transform(found, lambda x: F.struct(*[x[o].alias(o) for o in order])))
+    side = (col("x0") >= SIDEBAR[0]) & (col("x1") <= SIDEBAR[1])
+    is_grain = lambda c: F.coalesce(_matches(c, SIDEBAR_GRAIN), F.lit(False))
+    at = words.select("doc_id", "seq", "text", "x0", "top", F.coalesce(side, F.lit(False)).alias("side"))
+    at = at.withColumns({"grain": col("side") & is_grain(col("text")), "sku": F.coalesce(_matches(col("text"), SKU_WEIGHT), F.lit(False)), "word": F.struct("top", "x0", "seq", "text")})
+    # Words are gathered only beside those that ask for them.
+    at = at.withColumns({"by_label": _over("max(text in ('Weight:', 'Style:'))", 3), "by_grain": _over("max(grain)", 14), "by_sku": _over("max(sku)", 10)})
+    at = at.withColumns(
+        {
+            "line": _over("collect_list(if(by_label, word, null))", 3),
+            "box": _over("collect_list(if(by_grain and side, word, null))", 14),
+            "row": _over("collect_list(if(by_sku, word, null))", 10),
+            "heads": _over("collect_list(if(text in ('Weight', 'Type'), word, null))", 3),
+            "columns": _over("collect_list(if(text in ('Charge', 'Velocity'), word, null))", 20),
+        }
+    )
+    right = F.filter("line", lambda x: near(x, 3.0) & (x["x0"] > col("x0")))
+    at = at.withColumn("said", least(right, "x0", "seq", "text")["text"])
+    named = lambda t: least(F.filter("heads", lambda x: near(x, 3.0) & (x["text"] == t)), "seq", "x0")["x0"]
+    at = at.withColumn("head", F.when(col("text") == "SKU", F.struct("seq", "top", named("Weight").alias("wx"), named("Type").alias("tx"))))
+    at = at.withColumns({"styles": _over("collect_list(if(text = 'Style:', struct(seq, top, said), null))", 20), "above": F.expr("collect_list(head) over (partition by doc_id order by top range between unbounded preceding and current row)")})
+
+    mark = lambda form, weight, kind: F.struct(F.lit(form).alias("form"), "seq", "top", weight.alias("weight"), kind.alias("kind"), none.alias("charges"), none.alias("velocities"))
+    none, number = F.lit(None).cast("array<double>"), F.lit(None).cast("double")
+    bullet = F.exists("line", lambda x: near(x, 3.0) & (x["x0"] < col("x0")) & (x["text"] == "Bullet"))
+    style = least(F.filter("styles", lambda x: near(x, 20.0) & (x["top"] > col("top"))), "seq", "said")["said"]
+    lined = F.when((col("text") == "Weight:") & bullet, mark(0, F.nullif(F.regexp_extract("said", r"^([\d.]+)", 1), F.lit("")).try_cast("double"), F.coalesce(style, F.lit(""))))
+
+    kept = lambda x: near(x, 14.0) & ~x["text"].isin(*SIDEBAR_STOP)
+    same = F.filter("box", lambda x: kept(x) & near(x, 3.0) & (x["x0"] > col("x0")))
+    wrap = F.filter("box", lambda x: kept(x) & (x["top"] - col("top") >= 3) & ~is_grain(x["text"]))
+    boxed = F.when(col("grain"), mark(1, F.regexp_extract("text", SIDEBAR_GRAIN, 1).cast("double"), t.tidy(F.concat(texts(same, "x0", "seq"), texts(wrap, "x0", "seq")))))
+
+    over = F.filter("above", lambda h: (h["top"] < col("top")) & (col("top") - h["top"] < 150.0) & (F.abs(col("x0") - h["wx"]) < 20))
+    inside = lambda h: F.filter("row", lambda x: near(x, 10.0) & (x["x0"] >= h["tx"] - 10) & (x["x0"] < h["tx"] + 80))
+    listed = F.when(col("sku"), F.transform(over, lambda h: mark(2, F.regexp_extract("text", SKU_WEIGHT, 1).cast("double"), F.array_join(texts(inside(h), "top", "x0", "seq"), " "))))
+
+    xs = lambda name: F.array_sort(F.transform(F.filter("columns", lambda x: near(x, 20.0) & (x["text"] == name)), lambda x: x["x0"]))
+    header = F.struct(F.lit(3).alias("form"), "seq", "top", number.alias("weight"), F.lit(None).cast("string").alias("kind"), xs("Charge").alias("charges"), xs("Velocity").alias("velocities"))
+    header = F.when((col("text") == "Powder") & (F.size(xs("Charge")) >= 2) & (F.size(xs("Velocity")) >= 2), header)
+    block = F.when(col("text") == "SKU", mark(4, number, F.lit(None).cast("string")))
+    some = F.filter(F.array(lined, boxed, header, block), lambda m: m.isNotNull())
+    found = at.select("doc_id", F.explode(F.concat(some, F.coalesce(listed, F.slice(some, F.lit(1), F.lit(0))))).alias("m")).select("doc_id", "m.*")
+    later = F.expr(f"min(if(form = 4, top, null)) over (partition by doc_id order by top range between {NEXT_TOP}D following and unbounded following)")
+    return found.withColumn("block", later).filter("form < 4").select("doc_id", F.struct("form", "seq", "top", "weight", "kind", "charges", "velocities", "block").alias("mark"))
+
+
 def section_triggers(words: DataFrame) -> DataFrame:
     """``doc_id, trigger_id, top, weight, kind`` of every mark that opens a bullet's section. ``top`` counts on over pages."""
-    col, doc = F.col, ["doc_id"]
-    slim = words.select("doc_id", "seq", "text", "x0", "x1", "top")
-    right = col("x0_r") > col("x0_l")
-    near = lambda a, b, width: band_pairs(a, b, doc, "top", width)
-    first_right = F.min(F.when(right, F.struct("x0_r", "seq_r", "text_r")))["text_r"]
-
-    marks = slim.filter("text = 'Weight:'")
-    rows = near(marks, slim, 3.0).groupBy("doc_id", "seq_l", "top_l").agg(F.bool_or((col("text_r") == "Bullet") & ~right & (col("x0_r") < col("x0_l"))).alias("ok"), first_right.alias("w")).filter("ok")
-    styles = near(marks, slim.filter("text = 'Style:'"), 20.0).filter("top_r > top_l").groupBy("doc_id", "seq_l").agg(F.min("seq_r").alias("style"))
-    named = near(slim.filter("text = 'Style:'"), slim, 3.0).groupBy("doc_id", col("seq_l").alias("style")).agg(first_right.alias("kind"))
-    rows = rows.join(styles, ["doc_id", "seq_l"], "left").join(named, ["doc_id", "style"], "left")
-    lined = rows.select("doc_id", F.lit(0).alias("form"), col("seq_l").alias("seq"), col("top_l").alias("top"), F.nullif(F.regexp_extract("w", r"^([\d.]+)", 1), F.lit("")).try_cast("double").alias("weight"), F.coalesce("kind", F.lit("")).alias("kind"))
-
-    side = slim.filter((col("x0") >= SIDEBAR[0]) & (col("x1") <= SIDEBAR[1]))
-    is_grain = lambda c: _matches(F.col(c), SIDEBAR_GRAIN)
-    pairs = near(side.filter(is_grain("text")), side, 14.0)
-    fall, keep = col("top_r") - col("top_l"), ~col("text_r").isin(*SIDEBAR_STOP)
-    same = _listed((F.abs(fall) < 3) & right & keep, col("text_r"), col("x0_r"), col("seq_r"))
-    wrap = _listed((fall >= 3) & keep & ~is_grain("text_r"), col("text_r"), col("x0_r"), col("seq_r"))
-    boxed = pairs.groupBy("doc_id", "seq_l", "top_l", "text_l").agg(t.tidy(F.concat(same, wrap)).alias("kind"))
-    boxed = boxed.select("doc_id", F.lit(1).alias("form"), col("seq_l").alias("seq"), col("top_l").alias("top"), F.regexp_extract("text_l", SIDEBAR_GRAIN, 1).cast("double").alias("weight"), "kind")
-
-    heads = near(slim.filter("text = 'SKU'"), slim.filter("text in ('Weight', 'Type')"), 3.0)
-    at = lambda x: F.min(F.when(col("text_r") == x, F.struct("seq_r", "x0_r")))["x0_r"]
-    heads = heads.groupBy("doc_id", col("seq_l").alias("sku"), col("top_l").alias("top")).agg(at("Weight").alias("wx"), at("Type").alias("tx")).filter("wx is not null")
-    weights = near(heads, slim.filter(_matches(col("text"), SKU_WEIGHT)), 150.0).filter("top_r > top_l and abs(x0_r - wx_l) < 20")
-    weights = weights.select("doc_id", col("sku_l").alias("sku"), col("tx_l").alias("tx"), col("seq_r").alias("seq"), col("top_r").alias("top"), F.regexp_extract("text_r", SKU_WEIGHT, 1).cast("double").alias("weight"))
-    inside = (col("x0_r") >= col("tx_l") - 10) & (col("x0_r") < col("tx_l") + 80)
-    listed = near(weights, slim, 10.0).groupBy("doc_id", "sku_l", "seq_l", "top_l", "weight_l").agg(_joined(inside, col("text_r"), col("top_r"), col("x0_r"), col("seq_r")).alias("kind"))
-    listed = listed.select("doc_id", F.lit(2).alias("form"), col("seq_l").alias("seq"), col("top_l").alias("top"), col("weight_l").alias("weight"), "kind")
-
+    found = section_marks(words).filter("mark.form < 3").select("doc_id", "mark.*")
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("top", "form", "seq")).cast("long")
-    return lined.unionByName(boxed).unionByName(listed).withColumn("trigger_id", order).select("doc_id", "trigger_id", "top", "weight", "kind")
+    return found.withColumn("trigger_id", order).select("doc_id", "trigger_id", "top", "weight", "kind")
 
 
 def from_section_words(words: DataFrame, lines: DataFrame, docs: DataFrame, source: str = "barnes", manufacturer: str = "Barnes") -> DataFrame:
@@ -227,19 +260,21 @@ def from_section_words(words: DataFrame, lines: DataFrame, docs: DataFrame, sour
     col = F.col
     # One flow and one height over all pages of a document.
     flat = words.select("doc_id", (col("page").cast("long") * 1_000_000 + col("seq")).alias("seq"), "text", "x0", "x1", (col("top") + col("page") * PAGE_HEIGHT).alias("top"))
-    near = band_pairs(flat.filter("text = 'Powder'"), flat.filter("text in ('Charge', 'Velocity')"), ["doc_id"], "top", 20.0)
-    xs = lambda x: _listed(col("text_r") == x, col("x0_r"), col("x0_r"))
-    heads = near.groupBy("doc_id", col("seq_l").alias("header_id"), col("top_l").alias("htop")).agg(xs("Charge").alias("c"), xs("Velocity").alias("v")).filter("size(c) >= 2 and size(v) >= 2")
-    heads = heads.select("doc_id", "header_id", "htop", _range_columns(col("c"), col("v")).alias("columns"))
-
-    triggers = section_triggers(flat)
-    both = heads.select("doc_id", col("header_id").alias("id"), col("htop").alias("top"), F.lit("h").alias("role")).unionByName(triggers.select("doc_id", col("trigger_id").alias("id"), "top", F.lit("t").alias("role")))
-    pairs = pair_exclusive(both, "doc_id", "top", "id", "role", "h", "t").join(triggers.withColumnRenamed("top", "ttop"), ["doc_id", "trigger_id"], "left")
-    blocks = flat.filter("text = 'SKU'").groupBy("doc_id").agg(F.collect_list("top").alias("blocks"))
-    end = F.lead("htop").over(W.partitionBy("doc_id").orderBy("htop", "header_id"))
-    heads = heads.withColumn("next", end).join(pairs, ["doc_id", "header_id"]).join(blocks, "doc_id", "left")
-    hi = F.least(F.coalesce("next", F.lit(float("inf"))), F.coalesce(F.array_min(F.filter("blocks", lambda b: b > col("htop"))), F.lit(float("inf"))))
-    heads = heads.select("doc_id", "header_id", "htop", "columns", "weight", "kind", hi.alias("hi"), (F.least(F.coalesce("ttop", "htop"), "htop") - 5).alias("lo"))
+    marks = section_marks(flat).select("doc_id", "mark", col("mark.top").alias("top"), (col("mark.form") == 3).cast("string").alias("role"))
+    pairs = pair_exclusive(marks, "doc_id", "top", "mark", "role", "true", "false", rows_each=None)
+    h = lambda name: col(f"header_id.{name}")
+    end = F.lead(h("top")).over(W.partitionBy("doc_id").orderBy(h("top"), h("seq")))
+    far = F.lit(float("inf"))
+    heads = pairs.select(
+        "doc_id",
+        h("seq").alias("header_id"),
+        h("top").alias("htop"),
+        _range_columns(h("charges"), h("velocities")).alias("columns"),
+        col("trigger_id.weight").alias("weight"),
+        col("trigger_id.kind").alias("kind"),
+        F.least(F.coalesce(end, far), F.coalesce(h("block"), far)).alias("hi"),
+        (F.least(F.coalesce("trigger_id.top", h("top")), h("top")) - 5).alias("lo"),
+    )
     spans = heads.groupBy("doc_id").agg(F.collect_list(F.struct("header_id", "htop", "lo", "hi", "columns")).alias("spans"))
     placed = flat.join(spans, "doc_id").withColumn("s", F.explode(F.filter("spans", lambda s: (col("top") > s["lo"]) & (col("top") < s["hi"])))).drop("spans")
     placed = placed.select("doc_id", col("s.header_id").alias("header_id"), "seq", "text", "x0", "top", (col("top") > col("s.htop") + 5).alias("body"), col("s.columns").alias("columns"))
