@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.match import best_matches
 from tabularium.schema import LINES, LOAD_LINE, ROW, SHEET_ROWS, WORDS
+from tabularium.session import settled
 from tabularium.sources import positioned, publishers
 
 #: A row without label tells why a source's listing is not there.
@@ -85,31 +86,68 @@ def lookup(shelf: Shelf, query: str, sources: list[str] | None = None) -> Lookup
     """The best label of each source, the lines of its documents, and errors; a bad document costs only itself."""
     names = chosen(sources)
     spark = shelf.listing.sparkSession
-    listed = shelf.listing.filter(F.col("source").isin(*names))
-    listing = listed.filter("label is not null")
     asked = spark.createDataFrame([(0, query)], "query_id int, text string")
-    best = best_matches(asked, listing, limit=1).select("source", F.col("label").alias("matched"), F.col("ord").alias("entry"))
-    best = spark.createDataFrame(best.collect(), "source string, matched string, entry bigint")  # a row a source at most
-    # Of entries of one label the first is the match, and only its documents are read.
-    here = (shelf.docs["source"] == best["source"]) & (shelf.docs["cartridge"] == best["matched"]) & F.coalesce(shelf.docs["ord"] == best["entry"], F.lit(True))
-    docs = shelf.docs.join(F.broadcast(best), here, "left_semi")  # a row a source
+    best = _best(shelf, asked, names)
+    best = spark.createDataFrame(best.collect(), best.schema)  # a row a source at most
+    # Sources without a document to read take no part in the plan; there are as many rows here as sources at most.
+    met = _documents(shelf, best)
+    read = {r["source"] for r in met.filter("error is null").select("source").distinct().collect()}
+    found = _looked_up(shelf, asked, names, best, [n for n in names if n in read])
+    return Lookup(query, found.lines.drop("query_id"), found.results.drop("query_id"))
+
+
+@dataclass(frozen=True)
+class Lookups:
+    """The flat fact and the results of many names, as in :class:`Lookup`, each with ``query_id``."""
+
+    lines: DataFrame
+    results: DataFrame
+
+
+def lookup_many(shelf: Shelf, queries: DataFrame, sources: list[str] | None = None) -> Lookups:
+    """As :func:`lookup` of each of ``queries`` (``query_id, text``), in one plan: a document that several names match is read once.
+
+    Defined cases: equal rows of queries are one; a null name has results, as of a name that matches nothing; no queries give none.
+    """
+    names = chosen(sources)
+    asked = queries.select("query_id", "text").distinct()
+    best = settled(_best(shelf, asked, names))  # what each name matches is used by every publisher's plan
+    return _looked_up(shelf, asked, names, best, names)
+
+
+def _best(shelf: Shelf, asked: DataFrame, names: list[str]) -> DataFrame:
+    listing = shelf.listing.filter(F.col("source").isin(*names) & F.col("label").isNotNull())
+    return best_matches(asked, listing, limit=1).select("query_id", "source", F.col("label").alias("matched"), F.col("ord").alias("entry"))
+
+
+def _documents(shelf: Shelf, best: DataFrame) -> DataFrame:
+    """Documents of each query. Of entries of one label the first is the match, and only its documents are read."""
+    docs = shelf.docs.withColumnRenamed("source", "_source")
+    here = (F.col("_source") == best["source"]) & (docs["cartridge"] == best["matched"]) & F.coalesce(docs["ord"] == best["entry"], F.lit(True))
+    return docs.join(best, here).select("query_id", "source", *[docs[c] for c in docs.columns if c != "_source"])
+
+
+def _looked_up(shelf: Shelf, asked: DataFrame, names: list[str], best: DataFrame, read: list[str]) -> Lookups:
+    spark = shelf.listing.sparkSession
+    met = settled(_documents(shelf, best))
 
     def lines_of(name: str) -> DataFrame:
-        mine = docs.filter((F.col("source") == name) & F.col("error").isNull()).select("doc_id", "cartridge", "item_name", "source_url")
+        mine = met.filter((F.col("source") == name) & F.col("error").isNull()).select("doc_id", "cartridge", "item_name", "source_url").distinct()
         only = lambda df: df.join(mine.select("doc_id"), "doc_id", "left_semi")
         return PUBLISHERS[name].read(Shelf(shelf.listing, mine, only(shelf.lines), only(shelf.words), only(shelf.sheet_rows)), mine)
 
-    # Sources without a document to read take no part in the plan; there are as many rows here as sources at most.
-    read = {r["source"] for r in docs.filter("error is null").select("source").distinct().collect()}
-    none = spark.createDataFrame([], LOAD_LINE)
-    lines = reduce(DataFrame.unionByName, [lines_of(n) for n in names if n in read], none)
-    head = spark.createDataFrame([(i, n, PUBLISHERS[n].name, PUBLISHERS[n].nothing) for i, n in enumerate(names)], "pos int, source string, manufacturer string, nothing string")
-    counts = lines.groupBy("source").agg(F.count_distinct("doc_id", "table_ord").alias("n_tables"), F.count(F.lit(1)).alias("n_lines"))
+    lines = reduce(DataFrame.unionByName, [lines_of(n) for n in read], spark.createDataFrame([], LOAD_LINE))
+    lines = lines.join(met.filter("error is null").select("query_id", "source", "doc_id").distinct(), ["source", "doc_id"]).select("query_id", *[f.name for f in lines.schema.fields])
+    head = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("source"), F.lit(PUBLISHERS[n].name).alias("manufacturer"), F.lit(PUBLISHERS[n].nothing).alias("nothing")) for i, n in enumerate(names)])
+    head = asked.select("query_id", F.col("text").alias("query"), F.explode(head).alias("h")).select("query_id", "query", "h.*")
+    counts = lines.groupBy("query_id", "source").agg(F.count_distinct("doc_id", "table_ord").alias("n_tables"), F.count(F.lit(1)).alias("n_lines"))
     step = F.when(F.col("stage") == "page", "failed to load cartridge page ").otherwise("failed to fetch/parse ")
     bad = F.concat(step, F.coalesce("source_url", F.lit("")), F.lit(": "), F.col("error"))
-    failed = docs.filter("error is not null").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", bad.alias("m")))), lambda x: x["m"]).alias("failed"))
-    stock = listed.groupBy("source").agg(F.count("label").alias("stock"), F.min("error").alias("why"))
-    out = head.join(stock, "source", "left").join(best, "source", "left").join(counts, "source", "left").join(failed, "source", "left")
+    failed = met.filter("error is not null").groupBy("query_id", "source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", bad.alias("m")))), lambda x: x["m"]).alias("failed"))
+    stock = shelf.listing.filter(F.col("source").isin(*names)).groupBy("source").agg(F.count("label").alias("stock"), F.min("error").alias("why"))
+    out = head.join(stock, "source", "left")
+    for told in (best, counts, failed):
+        out = out.join(told, ["query_id", "source"], "left")
     failed_or_none = F.coalesce("failed", F.array().cast("array<string>"))
     errors = (
         F.when(F.coalesce("stock", F.lit(0)) == 0, F.array(F.concat(F.lit("could not load cartridge list: "), F.coalesce("why", F.lit("nothing harvested")))))
@@ -118,9 +156,8 @@ def lookup(shelf: Shelf, query: str, sources: list[str] | None = None) -> Lookup
         .otherwise(failed_or_none)
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    results = out.select("pos", "source", "manufacturer", F.lit(query).alias("query"), "matched", zero("n_tables"), zero("n_lines"), errors.alias("errors"))
-    results = results.withColumn("ok", (F.col("n_tables") > 0) & (F.size("errors") == 0))
-    return Lookup(query, lines, results)
+    results = out.select("query_id", "pos", "source", "manufacturer", "query", "matched", zero("n_tables"), zero("n_lines"), errors.alias("errors"))
+    return Lookups(lines, results.withColumn("ok", (F.col("n_tables") > 0) & (F.size("errors") == 0)))
 
 
 def rows(lines: DataFrame) -> DataFrame:
@@ -128,4 +165,4 @@ def rows(lines: DataFrame) -> DataFrame:
     return lines.select(*ROW)
 
 
-__all__ = ["LOAD_LINE", "PUBLISHERS", "Lookup", "Publisher", "Shelf", "chosen", "lookup", "open_shelf", "rows", "save_shelf"]
+__all__ = ["LOAD_LINE", "PUBLISHERS", "Lookup", "Lookups", "Publisher", "Shelf", "chosen", "lookup", "lookup_many", "open_shelf", "rows", "save_shelf"]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.plans.catalogue import query, read
-from tabularium.plans.lookup import HARVEST_DOCS, LISTING, PUBLISHERS, Shelf, lookup
+from tabularium.plans.lookup import HARVEST_DOCS, LISTING, PUBLISHERS, Shelf, lookup, lookup_many
 from tabularium.schema import WORDS
 from tabularium.sources import listings, positioned, publishers
 
@@ -245,6 +245,12 @@ select pos, source, manufacturer, 'round 7' as query, case when source in ('barn
 from s, h, e, n""")
 def lookup_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five sources asked for one name: counts, what matched, and what went wrong at each step."""
+    found = lookup(_shelf(spark, sf_dir), "round 7", ["hammer", "barnes", "nosler", "sierra", "speer"])
+    return found.results.withColumn("errors", F.array_join("errors", "; "))
+
+
+def _shelf(spark: SparkSession, sf_dir: str) -> Shelf:
+    """Rounds 0 to 39 of two publishers, some of whose documents failed; others have no listing, other names, or a failed page."""
     f = facts(spark, sf_dir)
     doc, none = f.select("doc_id", "doc").distinct(), F.lit(None).cast("string")
     label = F.concat(F.lit("Round "), F.col("doc") % 40)
@@ -254,6 +260,24 @@ def lookup_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = lambda source, order, error: doc.select("doc_id", F.lit(source).alias("source"), order.cast("long").alias("ord"), label.alias("cartridge"), F.lit("").alias("item_name"), F.concat(F.lit("http://x/"), "doc_id").alias("source_url"), F.lit("document").alias("stage"), error.alias("error"))
     docs = mine("nosler", F.col("doc"), none).unionByName(mine("hammer", F.lit(None), F.when(F.col("doc") % 3 == 0, "HTTP 500")))
     docs = docs.unionByName(spark.createDataFrame([("p", "speer", None, "Round 7", None, "http://p", "page", "HTTP 404")], HARVEST_DOCS))
-    shelf = Shelf(listing, docs, publishers.text_lines(layout_texts(f)), spark.createDataFrame([], WORDS), publishers.csv_rows(sheet_files(f)))
-    found = lookup(shelf, "round 7", ["hammer", "barnes", "nosler", "sierra", "speer"])
+    return Shelf(listing, docs, publishers.text_lines(layout_texts(f)), spark.createDataFrame([], WORDS), publishers.csv_rows(sheet_files(f)))
+
+
+@query(f"""
+with {_FACTS},
+q as (select distinct doc % 40 as r from f),
+h as (select doc % 40 as r, count(*) filter (doc % 3 <> 0) as n from g group by 1),
+e as (select doc % 40 as r, string_agg('failed to fetch/parse http://x/' || doc_id || ': HTTP 500', '; ' order by doc_id) as e from (select distinct doc, doc_id from f) where doc % 3 = 0 group by 1),
+n as (select doc as r, count(*) as n from f where doc < 40 group by 1),
+s as (select * from (values {_NAMES}) s(pos, source, manufacturer))
+select q.r as query_id, pos, source, manufacturer, 'Round ' || q.r as query, case when source in ('barnes', 'sierra') then null else 'Round ' || q.r end as matched,
+       case source when 'hammer' then h.n when 'nosler' then 1 else 0 end as n_tables, case source when 'hammer' then h.n when 'nosler' then n.n else 0 end as n_lines,
+       case source when 'hammer' then coalesce(e, '') when 'barnes' then 'could not load cartridge list: HTTP 503' when 'sierra' then 'no matching cartridge found'
+                   when 'speer' then case when q.r = 7 then 'failed to load cartridge page http://p: HTTP 404' else '{PUBLISHERS["speer"].nothing}' end else '' end as errors,
+       case source when 'hammer' then e is null when 'nosler' then true else false end as ok
+from q join h using (r) left join e using (r) join n using (r), s""")
+def lookup_many_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sources asked for every round that parts name, in one plan."""
+    asked = facts(spark, sf_dir).select((F.col("doc") % 40).alias("query_id")).distinct().withColumn("text", F.concat(F.lit("Round "), "query_id"))
+    found = lookup_many(_shelf(spark, sf_dir), asked, ["hammer", "barnes", "nosler", "sierra", "speer"])
     return found.results.withColumn("errors", F.array_join("errors", "; "))

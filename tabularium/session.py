@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -28,6 +28,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g
     return spark
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder of ``spark.checkpoint.dir``; its lineage ends there, so that plans that use it often stay small.
+
+    Where that is unset a temporary folder is used, on a local master only.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and sc.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not root:
+            root = tempfile.mkdtemp(prefix="tabularium-checkpoint-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+        sc.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, so that functions sent there can be loaded; once a context."""
     sc = spark.sparkContext

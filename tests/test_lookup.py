@@ -4,7 +4,7 @@ import pytest
 
 from tabularium.__main__ import main
 from tabularium.plans import report
-from tabularium.plans.lookup import SCHEMAS, Shelf, lookup, open_shelf, rows, save_shelf
+from tabularium.plans.lookup import SCHEMAS, Shelf, lookup, lookup_many, open_shelf, rows, save_shelf
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +39,24 @@ def test_first_entry_failed_pages_and_listings(shelf):
     assert list(r["errors"]) == ["failed to load cartridge page http://s: HTTP 404"] and not r["ok"]
 
 
+def test_many_names_are_looked_up_as_one_by_one(spark, shelf):
+    """Names that share documents, odd ones, and none: the same lines, counts and errors, from one plan."""
+    names = ["9mm luger", "9mm Luger", "45 auto", "223 rem", "nothing of these", ""]
+    asked = spark.createDataFrame([*enumerate(names), (0, names[0]), (99, None)], "query_id int, text string")
+    found = lookup_many(shelf, asked)
+    got, lines = {}, {}
+    for r in found.results.orderBy("query_id", "pos").collect():
+        got.setdefault(r["query_id"], []).append(tuple(r)[1:])
+    for r in found.lines.collect():
+        lines.setdefault(r["query_id"], []).append(tuple(r)[1:])
+    assert got.keys() == {*range(len(names)), 99} and {r[4] for r in got[99]} == {None}
+    for k, name in enumerate(names):
+        one = lookup(shelf, name)
+        assert got[k] == [tuple(r) for r in one.results.orderBy("pos").collect()]
+        assert sorted(lines.get(k, []), key=str) == sorted(map(tuple, one.lines.collect()), key=str)
+    assert lookup_many(shelf, asked.limit(0)).results.count() == 0
+
+
 def test_rows_have_eight_columns(shelf):
     got = rows(lookup(shelf, "9mm luger", ["nosler"]).lines)
     assert got.columns == ["powder", "charge_gr", "charge_min_gr", "charge_max_gr", "velocity_fps", "velocity_min_fps", "is_max", "flags"] and got.count() == 2
