@@ -275,10 +275,10 @@ def from_section_words(words: DataFrame, lines: DataFrame, docs: DataFrame, sour
         F.least(F.coalesce(end, far), F.coalesce(h("block"), far)).alias("hi"),
         (F.least(F.coalesce("trigger_id.top", h("top")), h("top")) - 5).alias("lo"),
     )
-    spans = heads.groupBy("doc_id").agg(F.collect_list(F.struct("header_id", "htop", "lo", "hi", "columns")).alias("spans"))
+    spans = heads.groupBy("doc_id").agg(F.collect_list(F.struct("header_id", "htop", "lo", "hi", "columns", "weight", "kind")).alias("spans"))
     placed = flat.join(spans, "doc_id").withColumn("s", F.explode(F.filter("spans", lambda s: (col("top") > s["lo"]) & (col("top") < s["hi"])))).drop("spans")
-    placed = placed.select("doc_id", col("s.header_id").alias("header_id"), "seq", "text", "x0", "top", (col("top") > col("s.htop") + 5).alias("body"), col("s.columns").alias("columns"))
-    keys = ["doc_id", "header_id"]
+    placed = placed.select("doc_id", "s.header_id", "s.htop", "s.weight", "s.kind", "seq", "text", "x0", "top", (col("top") > col("s.htop") + 5).alias("body"), "s.columns")
+    keys, told = ["doc_id", "header_id"], ["htop", "weight", "kind"]
     local = placed.groupBy(*keys).agg(_joined(F.lit(True), col("text"), col("seq")).alias("here"))
 
     rows = cluster_anchored(placed.filter("body").drop("body"), keys, "top", 1.2, "row")
@@ -287,10 +287,10 @@ def from_section_words(words: DataFrame, lines: DataFrame, docs: DataFrame, sour
     rows = rows.withColumn("col", F.when(col("num").isNotNull(), nearest_column(col("x0"), col("columns"), 15.0)))
     rows = rows.withColumn("left", F.min(F.when(col("col").isNotNull(), col("x0"))).over(W.partitionBy(*keys, "row")))
     squeezed = col("col").isNotNull() & F.contains(F.lower(F.regexp_extract("text", SECTION_NUMBER, 2)), F.lit("c"))
-    found = _range_lines(rows, keys, ["x0", "top", "seq"], col("x0") < col("left") - 2, squeezed)
+    found = _range_lines(rows, [*keys, *told], ["x0", "top", "seq"], col("x0") < col("left") - 2, squeezed)
     found = found.filter("(charge_min is null or charge_max is null or charge_max > charge_min) and (velocity_min is null or velocity_max is null or velocity_max > velocity_min)")
     found = found.withColumn("name", F.array_join(F.filter("names", lambda n: ~_matches(n, "^[A-Za-z0-9]$")), " "))
-    found = found.join(heads.select(*keys, "htop", "weight", "kind"), keys).join(local, keys)
+    found = found.join(local, keys)
     got = lambda c, p: F.nullif(t.strip(t.first_group(F.col(c), p)), F.lit(""))
     found = _table_and_line_order(found, ["htop", "header_id"], ["row"]).join(_whole(lines), "doc_id", "left")
     meta = {n: F.coalesce(got("here", p), got("whole", p), F.lit(None if n == "coal_in" else "")) for n, p in SECTION_META.items()}
