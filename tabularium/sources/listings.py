@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from tabularium.functions.text import absolute, name_before_weight, normalize, s
 from tabularium.sources.html import anchors, first_links, links_inside
 
 CACHE_SECONDS = 7 * 24 * 3600.0
+KEPT_VERSIONS = 2
 PAGE_LINKS = 1 << 32
 #: Conditions of a store that has no readable listing.
 _MISSES = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE")
@@ -84,10 +87,43 @@ def merge_catalogue(entries: DataFrame, order: list[str], key: Column | None = N
     return entries.withColumn("key", key).groupBy("key").agg(F.min_by("label", at).alias("label"), F.min(at).alias("first"), F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.struct("name", "pdf_url").alias("r")))), lambda x: x["r"]).alias("recipes"))
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the whole versions of a kept listing, the newest first. A version is whole once its writer has marked it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    at = lambda name, of: spark._jvm.org.apache.hadoop.fs.Path(of, name)
+    names = [x.getPath().getName() for x in fs.listStatus(root) if x.isDirectory()]
+    return sorted((n for n in names if n.startswith("v-") and fs.exists(at("_SUCCESS", at(n, root)))), reverse=True)
+
+
 def save_cache(items: DataFrame, path: str, now: float) -> None:
-    """Keep a listing with its time; an empty one is not kept."""
-    if items.limit(1).count():
-        items.withColumn("saved_at", F.lit(now)).write.mode("overwrite").parquet(path)
+    """Keep a listing with its time, as a new version beside those before it; an empty one is not kept.
+
+    Readers take the newest whole version, so that they have the one before while this is written, and never a part of it.
+    The ``KEPT_VERSIONS`` newest stay for those who read them still.
+    """
+    if not items.limit(1).count():
+        return
+    spark = items.sparkSession
+    items.withColumn("saved_at", F.lit(now)).write.parquet(f"{path}/v-{int(now * 1000):016d}-{uuid.uuid4().hex}")
+    for name in _versions(spark, path)[KEPT_VERSIONS:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def refresh_cache(items: DataFrame, path: str, now: float, keys: list[str]) -> None:
+    """Keep a listing together with the kept rows whose ``keys`` it does not have, nulls included, as a new version.
+
+    What is kept on keeps its values and takes the new time; where there is nothing kept, this is :func:`save_cache`.
+    """
+    spark, names = items.sparkSession, _versions(items.sparkSession, path)
+    if names:
+        old = spark.read.parquet(f"{path}/{names[0]}").drop("saved_at")
+        same = reduce(Column.__and__, [old[k].eqNullSafe(items[k]) for k in keys])
+        items = items.unionByName(old.join(items, same, "left_anti"))
+    save_cache(items, path, now)
 
 
 def fresh(items: DataFrame, now: float, most: float = CACHE_SECONDS) -> DataFrame:
@@ -98,7 +134,10 @@ def fresh(items: DataFrame, now: float, most: float = CACHE_SECONDS) -> DataFram
 def load_cache(spark: SparkSession, path: str, now: float, most: float = CACHE_SECONDS) -> DataFrame | None:
     """A kept listing of at most ``most`` seconds; None where there is none or its files cannot be read. Other failures are raised."""
     try:
-        items = fresh(spark.read.parquet(path), now, most)
+        names = _versions(spark, path)
+        if not names:
+            return None
+        items = fresh(spark.read.parquet(f"{path}/{names[0]}"), now, most)
         return items.drop("saved_at") if items.limit(1).count() else None
     except PySparkException as e:
         if any((e.getCondition() or "").startswith(c) for c in _MISSES) or any(c in str(e) for c in _MISSES):

@@ -51,6 +51,30 @@ def test_cache(spark, tmp_path):
     assert listings.load_cache(spark, path, 101.0 + listings.CACHE_SECONDS) is None
 
 
+def test_cache_versions(spark, tmp_path):
+    """Readers have the newest whole version, whatever is being written; what they began to read stays for them."""
+    path = str(tmp_path / "c")
+    rows = lambda *r: spark.createDataFrame(list(r), "label string, ord int")
+    told = lambda now: sorted(map(tuple, listings.load_cache(spark, path, now).collect()), key=str)
+    listings.save_cache(rows(("a", 0), (None, 1)), path, 100.0)
+    reader = listings.load_cache(spark, path, 100.0)
+    torn = tmp_path / "c" / "v-9999999999999999-x" / "_temporary"
+    torn.mkdir(parents=True)
+    (torn.parent / "part-0.parquet").write_bytes(b"half")
+    assert told(100.0) == [("a", 0), (None, 1)]
+    listings.save_cache(rows(("b", 2)), path, 200.0)
+    assert told(200.0) == [("b", 2)] and reader.count() == 2
+    listings.refresh_cache(rows(("b", 3), (None, 4)), path, 300.0, ["label"])
+    assert told(300.0) == [("b", 3), (None, 4)]
+    listings.refresh_cache(rows(("c", 5)), path, 400.0, ["label"])
+    assert told(400.0) == [("b", 3), ("c", 5), (None, 4)]
+    listings.refresh_cache(rows(), path, 500.0, ["label"])
+    assert told(500.0 + listings.CACHE_SECONDS) == [("b", 3), ("c", 5), (None, 4)]
+    assert len(listings._versions(spark, path)) == listings.KEPT_VERSIONS and torn.exists()
+    listings.refresh_cache(rows(("n", 1)), str(tmp_path / "new"), 1.0, ["label"])
+    assert listings.load_cache(spark, str(tmp_path / "new"), 1.0).count() == 1
+
+
 PAGE = """<!DOCTYPE html><p>x < y &amp; z<br/>
 <a data-href="/wrong.pdf" href="/right.pdf">R&reg; &#8211; &#xE9; &eacute; <b> bold </b></a>
 <A class=x HREF=/bare.pdf?a=1&amp;b=2&copy=3>bare</A><!-- <a href="/no.pdf">no</a> --><a href='/q"uote.pdf' href="/last.pdf">last of two</a>
