@@ -92,7 +92,7 @@ def lookup(shelf: Shelf, query: str, sources: list[str] | None = None) -> Lookup
     # Sources without a document to read take no part in the plan; there are as many rows here as sources at most.
     met = _documents(shelf, best)
     read = {r["source"] for r in met.filter("error is null").select("source").distinct().collect()}
-    found = _looked_up(shelf, asked, names, best, [n for n in names if n in read])
+    found = _looked_up(shelf, asked, names, best, met, [n for n in names if n in read])
     return Lookup(query, found.lines.drop("query_id"), found.results.drop("query_id"))
 
 
@@ -111,8 +111,8 @@ def lookup_many(shelf: Shelf, queries: DataFrame, sources: list[str] | None = No
     """
     names = chosen(sources)
     asked = queries.select("query_id", "text").distinct()
-    best = settled(_best(shelf, asked, names))  # what each name matches is used by every publisher's plan
-    return _looked_up(shelf, asked, names, best, names)
+    best = settled(_best(shelf, asked, names))  # every publisher's plan reads what names match and their documents
+    return _looked_up(shelf, asked, names, best, settled(_documents(shelf, best)), names)
 
 
 def _best(shelf: Shelf, asked: DataFrame, names: list[str]) -> DataFrame:
@@ -127,9 +127,8 @@ def _documents(shelf: Shelf, best: DataFrame) -> DataFrame:
     return docs.join(best, here).select("query_id", "source", *[docs[c] for c in docs.columns if c != "_source"])
 
 
-def _looked_up(shelf: Shelf, asked: DataFrame, names: list[str], best: DataFrame, read: list[str]) -> Lookups:
+def _looked_up(shelf: Shelf, asked: DataFrame, names: list[str], best: DataFrame, met: DataFrame, read: list[str]) -> Lookups:
     spark = shelf.listing.sparkSession
-    met = settled(_documents(shelf, best))
 
     def lines_of(name: str) -> DataFrame:
         mine = met.filter((F.col("source") == name) & F.col("error").isNull()).select("doc_id", "cartridge", "item_name", "source_url").distinct()
