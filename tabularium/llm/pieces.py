@@ -50,18 +50,25 @@ codecs.register_error("tabularium-bytes", _one_by_one)
 
 
 class _Parts(dict):
-    """Packed ids of the parts of texts, made when first asked for."""
+    """Packed ids of the parts of texts, made when first asked for. What was not asked for since half of ``KEPT`` others came goes."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, part: str) -> bytes:
-        out = self.make(part)
+        out = self.before.get(part)
+        if out is None:
+            out = self.make(part)
         if len(part) <= SHORT:
             self[part] = out
         return out
 
+    def turn(self) -> None:
+        if len(self) > KEPT // 2:
+            self.before = dict(self)
+            self.clear()
+
 
 class Pieces:
     """Encoder and decoder of one model file."""
@@ -82,6 +89,7 @@ class Pieces:
         self.begin, self.end, self.unknown = (np.array([k], "<u4").tobytes() for k in (model.trainer_spec.bos_id, model.trainer_spec.eos_id, model.trainer_spec.unk_id))
         self.byte_ids = {int(p.piece[1:-1], 16): k for k, p in enumerate(model.pieces) if p.type == _BYTE}
         self.id = {p.piece: k for k, p in enumerate(model.pieces) if p.type == _NORMAL}
+        self.packed = {p: k.to_bytes(4, "little") for p, k in self.id.items()}
         self.cost = {p.piece: -p.score for p in model.pieces if p.type == _NORMAL}
         #: The two parts that a piece of several letters was last merged from. A piece that merging never makes has none and does not occur.
         self.made: dict[str, tuple[str, str]] = {}
@@ -165,7 +173,24 @@ class Pieces:
         return last
 
     def pieces(self, part: str) -> list[str]:
-        last, at, out = self.prefix_table(part), len(part), []
+        # As in prefix_table, where all letters are of pieces.
+        last, fits = [None] * (len(part) + 1), self.fits
+        for at, piece in self.automaton.iter(part):
+            at += 1
+            if last[at] is None:
+                start = at - len(piece)
+                if not start:
+                    last[at] = piece
+                else:
+                    before = last[start]
+                    if before is None:
+                        break  # beside a letter of no piece
+                    known = fits.get((before, piece))
+                    if known or known is None and self.compatible(before, piece):
+                        last[at] = piece
+        if None in last[1:]:
+            last = self.prefix_table(part)
+        at, out = len(part), []
         while at:
             out.append(last[at])
             at -= len(last[at])
@@ -175,8 +200,9 @@ class Pieces:
         return b"".join(map(self._ids, self.pieces(part)))
 
     def _ids(self, piece: str) -> bytes:
-        if piece in self.id:
-            return np.array([self.id[piece]], "<u4").tobytes()
+        known = self.packed.get(piece)
+        if known is not None:
+            return known
         own = [self.byte_ids.get(x) for x in piece.encode()]
         return self.unknown if None in own else np.array(own, "<u4").tobytes()
 
@@ -184,8 +210,7 @@ class Pieces:
         """Packed little-endian ids of a text, with those of begin and end."""
         if not text:
             return self.begin + self.end
-        if len(self.parts) > KEPT:
-            self.parts.clear()
+        self.parts.turn()
         whole = (BLANK if self.dummy else "") + text.replace(" ", BLANK)
         return self.begin + b"".join(map(self.parts.__getitem__, self.cut(whole))) + self.end
 
