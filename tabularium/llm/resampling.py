@@ -42,7 +42,7 @@ PERCENT = 5
 LEAST_WORDS = 20
 SLICE = 1_000_000  # bytes of a text whose features are held at a time
 RUN = 250_000
-RANGE, MOST_RANGES, PER_RANGE = 50_000, 10_000, 100
+RANGE, MOST_RANGES, PER_RANGE = 50_000, 2_000, 20
 NO_ID = np.iinfo(np.int64).max
 
 #: Letters A to Z in lower case; what is no digit, letter or byte of a further character parts words.
