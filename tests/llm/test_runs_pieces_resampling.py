@@ -258,3 +258,26 @@ def test_tournament_merges_runs():
     for k in (0, 1, 2, 3, 5, 8, 13):
         runs = [sorted((rng.randrange(9), rng.randrange(9), rng.randrange(10**6)) for _ in range(rng.randrange(6))) for _ in range(k)]
         assert list(resampling.merged(runs)) == sorted(x for r in runs for x in r)
+
+
+def test_ranks_and_tokenizer_file_agree_on_all_documents(spark, small):
+    """The ids that packing computes from ranks are those of the tokenizer file, for every document of the largest small table."""
+    import os
+
+    import pyarrow as pa
+
+    from tabularium.llm import packing
+
+    large = small.replace("sf0.001", "sf0.1")
+    docs = spark.read.parquet(f"{large if os.path.isdir(large) else small}/documents.parquet").select("text")
+
+    def compared(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        known = packing.encoder(None)
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            bad = sum(ids != known.whole(t or "") for t, ids in zip(texts, known.encode(b.column(0))))
+            yield pa.RecordBatch.from_arrays([pa.array([len(texts)]), pa.array([bad])], names=["n", "bad"])
+
+    got = docs.repartition(8).mapInArrow(compared, "n bigint, bad bigint").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    assert got["n"] == docs.count() and got["bad"] == 0
