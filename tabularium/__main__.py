@@ -70,14 +70,15 @@ def main(argv: list[str] | None = None, spark=None, **fetching) -> int:
 
             harvest(spark, name, args.shelf, args.sources, **fetching)
         results, lines = report.fetched(lookup(open_shelf(spark, args.shelf), name, args.sources))
-        print(report.as_text(results, lines))
-        if not args.no_report:
-            path = report.write_report(name, results, lines, args.report_dir)
-            print(f"report: {path}")
-            if not args.no_open:
-                webbrowser.open("file://" + os.path.abspath(path))
+        page = None if args.no_report else report.write_report(name, results, lines, args.report_dir)
+        said = [report.as_text(results, lines)]
         if not lines:
-            print(f"No load data found for {name!r} from any of: {', '.join(args.sources)}.")
+            said.append(f"Nothing on {name!r}; asked were {', '.join(args.sources)}.")
+        if page is not None:
+            said.append(f"Page written to {page}")
+        print("\n".join(said))
+        if page is not None and not args.no_open:
+            webbrowser.open("file://" + os.path.abspath(page))
         return bool(lines)
 
     if args.cartridge is not None:

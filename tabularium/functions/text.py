@@ -152,7 +152,7 @@ def badges(flags: Column) -> Column:
     return F.transform(some, lambda f: F.struct(kind(f).alias("kind"), f.alias("text")))
 
 
-#: Left over from print: a single letter, and a fraction without its whole.
+# Fixed value: what is left over from print, a single letter and a fraction without its whole.
 STRAY = r"^[a-z]$|^\.\d+$"
 
 

@@ -81,7 +81,7 @@ def test_command_line(spark, shelf, tmp_path, capsys, monkeypatch):
     assert open_shelf(spark, str(tmp_path / "s")).docs.count() == 5
     assert main([str(tmp_path / "s"), "9mm luger", "--sources", "nosler", "--no-open", "--report-dir", str(tmp_path / "r")], spark) == 0
     said = capsys.readouterr().out
-    assert "Nosler — 9mm Luger, 115gr" in said and "  ! failed to fetch/parse http://n2: HTTP 500" in said and "report: " in said
+    assert "Nosler — 9mm Luger, 115gr" in said and "  ! failed to fetch/parse http://n2: HTTP 500" in said and "Page written to " in said
     assert main([str(tmp_path / "s"), "45 auto", "--sources", "nosler", "--no-report"], spark) == 1
     answers = iter(["9mm luger", "q"])
     monkeypatch.setattr("builtins.input", lambda _: next(answers))
