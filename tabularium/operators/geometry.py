@@ -16,7 +16,8 @@ from tabularium.operators.pieces import ROWS_EACH, cut, same, spare, starts, who
 def cluster_anchored(df: DataFrame, keys: list[str], coord: str, tol: float, out: str = "anchor", split: bool = False, rows_each: int = ROWS_EACH) -> DataFrame:
     """Adds the coordinate of each row's cluster: the first that no earlier cluster reaches within ``tol``.
 
-    Anchors do not chain, unlike sessions. A sorted stream with one anchor of state, so groups may be of any size. With
+    Anchors do not chain, unlike sessions. A sorted stream with one anchor of state, so groups may be of any size; rows without
+    a coordinate come first in it, so that ``df`` is computed once. With
     ``split`` a group of more than ``rows_each`` rows is many tasks: each piece of its order tells which anchor it leaves for
     whichever it is entered with (:func:`_passage`), these are followed from piece to piece, and then pieces stream on their own.
 
@@ -30,8 +31,8 @@ def cluster_anchored(df: DataFrame, keys: list[str], coord: str, tol: float, out
         return cluster_anchored(df.withColumn(lone, F.lit(0)), [lone], coord, tol, out, split, rows_each).drop(lone)
     kind, columns = df.schema[coord].dataType, df.columns
     piece, entry = spare(df, "piece"), spare(df, "entry")
-    known, by = df.filter(F.col(coord).isNotNull()), [*keys, piece]
-    placed, many = cut(known, keys, coord, piece, rows_each) if split else (known.withColumn(piece, F.lit(0)), False)
+    by = [*keys, piece] if split else keys
+    placed, many = cut(df.filter(F.col(coord).isNotNull()), keys, coord, piece, rows_each) if split else (df, False)
     ordered = lambda x: x.repartition(*by).sortWithinPartitions(*by, coord)
     if many:
         told = T.StructType([*placed.select(*by).schema.fields, *[T.StructField(n, T.ArrayType(kind)) for n in ("_from", "_leave")], T.StructField("_last", kind)])
@@ -49,24 +50,27 @@ def cluster_anchored(df: DataFrame, keys: list[str], coord: str, tol: float, out
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(coord).to_numpy(zero_copy_only=False)
-            got = np.zeros_like(x)
-            first = np.flatnonzero(starts([b.column(k) for k in by])).tolist()
-            for i, end in zip(first, [*first[1:], len(x)]):
-                names = tuple(b.column(k)[i].as_py() for k in by)
-                if names != key:
-                    key, anchor = names, x[i]
-                    if b.column(entry)[i].is_valid:
-                        anchor = b.column(entry)[i].as_py()
-                while i < end:
-                    if x[i] - anchor > tol:
-                        anchor = x[i]
-                    j = i + int(np.searchsorted(x[i:end] - anchor, tol, side="right"))
-                    got[i:j], i = anchor, max(j, i + 1)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(got)], names=[*columns, out])
-
-    lost = df.filter(F.col(coord).isNull()).withColumn(out, F.lit(None).cast(kind))
-    return ordered(placed).mapInArrow(streamed, schema).unionByName(lost)
+            own = b.column(coord)
+            lost, x = own.is_null(), (own.fill_null(0) if own.null_count else own).to_numpy(zero_copy_only=False)
+            got, values = [], x.tolist()
+            first = np.flatnonzero(starts([*(b.column(k) for k in by), lost])).tolist()
+            names = list(zip(*(c.take(pa.array(first)).to_pylist() for c in (lost, *(b.column(k) for k in by), b.column(entry)))))
+            for (*name, entered), i, end in zip(names, first, [*first[1:], len(values)]):
+                if name != key:
+                    key, anchor = name, values[i] if entered is None else entered
+                for v in values[i:end]:
+                    if v - anchor > tol:
+                        anchor = v
+                    got.append(anchor)
+            anchors = pa.array(np.array(got, x.dtype), mask=lost.to_numpy(zero_copy_only=False)) if own.null_count else pa.array(np.array(got, x.dtype))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), anchors], names=[*columns, out])
+
+    if not split:
+        # A window leaves rows of a key together and in order, and deals them out only where they are not together yet.
+        placed = placed.withColumn(piece, F.row_number().over(W.partitionBy(*keys).orderBy(coord)))
+        return placed.sortWithinPartitions(*keys, coord).mapInArrow(streamed, schema)
+    found = ordered(placed).mapInArrow(streamed, schema)
+    return found.unionByName(df.filter(F.col(coord).isNull()).withColumn(out, F.lit(None).cast(kind)))
 
 
 def _passage(x: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:

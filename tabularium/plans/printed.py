@@ -6,6 +6,7 @@ a document, and a part is a row, a table or a page of it.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +22,21 @@ f as (select cast(p_partkey // 6 as varchar) as doc_id, p_partkey // 6 as doc, c
 g as (select *, size || '.' || key % 10 as c1, (size + 5) || '.' || key % 10 as c2, 1000 + key % 500 as v, 100 + key % 100 as w, dense_rank() over (partition by doc_id order by k) - 1 as table_ord from f)"""
 
 
+#: Parts that one task prints and reads again at most, but for those of one document; a part is some 35 words.
+PARTS_EACH = 20_000
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document, place in it, and the numbers to be printed of each part."""
+    """Document, place in it, and the numbers to be printed of each part.
+
+    Parts are narrow and lie in few files, what is printed of them is wide: they are dealt out by document before anything
+    is printed, in as many tasks as there are parts for, so that printing is no work of a few tasks and its words need not be dealt out again.
+    """
     key = F.col("p_partkey")
     doc = F.floor(key / 6)
-    at = read(spark, sf_dir, "part").select(doc.cast("string").alias("doc_id"), doc.alias("doc"), (key % 6).cast("int").alias("k"), key.alias("key"), F.col("p_size").alias("size"), F.floor("p_retailprice").cast("long").alias("price"))
+    part = read(spark, sf_dir, "part")
+    at = part.select(doc.cast("string").alias("doc_id"), doc.alias("doc"), (key % 6).cast("int").alias("k"), key.alias("key"), F.col("p_size").alias("size"), F.floor("p_retailprice").cast("long").alias("price"))
+    at = at.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(part.count() / PARTS_EACH)), "doc_id")
     text = lambda *c: F.concat_ws("", *[F.lit(x) if isinstance(x, str) else x for x in c])
     last = F.col("key") % 10
     return at.withColumns({"c1": text(F.col("size"), ".", last), "c2": text(F.col("size") + 5, ".", last), "v": 1000 + F.col("key") % 500, "w": 100 + F.col("key") % 100})

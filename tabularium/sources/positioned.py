@@ -72,8 +72,18 @@ def _whole(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(_listed(F.lit(True), F.col("line"), F.col("line_no")), "\n").alias("whole"))
 
 
+def _beside(rows: DataFrame, told: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that sends neither side whole to every task: what is printed of few bytes is far more than planners think."""
+    return rows.join(told.hint("merge"), keys, how)
+
+
 def _document(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.join(docs.select("doc_id", "cartridge", "item_name", "source_url"), "doc_id")
+    return _beside(rows, docs.select("doc_id", "cartridge", "item_name", "source_url"), "doc_id")
+
+
+def _printed_rows(words: DataFrame, keys: list[str], tol: float) -> DataFrame:
+    """Adds ``row``, the height of each word's row. All that follows is of one document, so words are dealt out by it once."""
+    return cluster_anchored(words, keys, "top", tol, "row").repartition("doc_id")
 
 
 def grid_specs(words: DataFrame) -> DataFrame:
@@ -110,19 +120,19 @@ def from_grid_words(words: DataFrame, docs: DataFrame, source: str = "sierra", m
     at = at.withColumn("columns", F.array_sort(F.collect_list(column).over(by_page)))
 
     body = at.filter((F.size("columns") > 0) & (F.col("top") > F.col("ptop") + 5) & (F.col("top") < F.coalesce("etop", F.col("ptop") + 300)))
-    rows = cluster_anchored(body, page, "top", 3.0, "row")
-    rows = rows.withColumn("num", F.nullif(F.regexp_extract("text", GRID_NUMBER, 1), F.lit("")).cast("double"))
-    rows = rows.withColumn("col", F.when(F.col("num").isNotNull(), nearest_column(F.col("x0"), F.col("columns"), 12.0)))
+    body = body.withColumn("num", F.nullif(F.regexp_extract("text", GRID_NUMBER, 1), F.lit("")).cast("double"))
+    body = body.withColumn("col", F.when(F.col("num").isNotNull(), nearest_column(F.col("x0"), F.col("columns"), 12.0)))
+    rows = _printed_rows(body.select(*page, "seq", "text", "x0", "top", "num", "col"), page, 3.0)
     rows = rows.withColumn("left", F.min(F.when(F.col("col").isNotNull(), F.col("x0"))).over(W.partitionBy(*page, "row")))
     cells = F.array_sort(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "x0", "top", "seq", "num"))))
     rows = rows.groupBy(*page, "row").agg(_joined(F.col("x0") < F.col("left") - 2, F.col("text"), F.col("x0"), F.col("top"), F.col("seq")).alias("powder"), cells.alias("cells")).filter("powder != ''")
     lines = rows.select(*page, "row", "powder", F.size("cells").alias("n"), F.posexplode("cells").alias("k", "cell"))
 
-    bullets = at.filter(F.col("btop").isNotNull() & (F.col("top") > F.col("btop") + 5) & (F.col("top") < F.coalesce("ptop", F.col("btop") + 200))).drop("columns")
-    bullets = cluster_anchored(bullets, page, "top", 1.5, "row").groupBy(*page, "row").agg(_listed(F.lit(True), F.col("text"), F.col("x0"), F.col("top"), F.col("seq")).alias("texts"))
+    bullets = at.filter(F.col("btop").isNotNull() & (F.col("top") > F.col("btop") + 5) & (F.col("top") < F.coalesce("ptop", F.col("btop") + 200))).select(*page, "seq", "text", "x0", "top")
+    bullets = _printed_rows(bullets, page, 1.5).groupBy(*page, "row").agg(_listed(F.lit(True), F.col("text"), F.col("x0"), F.col("top"), F.col("seq")).alias("texts"))
     bullets = bullets.withColumn("d", _variant(F.col("texts"))).groupBy(*page).agg(t.joined_once(_listed(F.col("d") != "", F.col("d"), F.col("row")), " / ").alias("bullet_type"))
 
-    out = _table_and_line_order(lines, ["page"], ["row", "k"]).join(bullets, page, "left").join(grid_specs(words), "doc_id", "left")
+    out = _beside(_beside(_table_and_line_order(lines, ["page"], ["row", "k"]), bullets, page, "left"), grid_specs(words), "doc_id", "left")
     text = {n: F.coalesce(F.col(n), F.lit("")) for n in ("bullet_type", "case_name", "primer", "barrel", "twist", "test_firearm")}
     return as_load_lines(_document(out, docs), source=F.lit(source), manufacturer=F.lit(manufacturer), charge_gr=F.col("cell.num"), velocity_fps=F.col("cell.col"), is_max=F.col("k") == F.col("n") - 1, **text)
 
@@ -157,17 +167,17 @@ def from_recipe_words(words: DataFrame, lines: DataFrame, docs: DataFrame, sourc
     at = at.withColumns({"case_x": last("Case"), "primer_x": last("Primer"), "grains": every("Grain", "Weight"), "speeds": every("Velocity")})
     at = at.filter("case_x is not null and primer_x is not null and size(grains) >= 2 and size(speeds) >= 2").withColumn("columns", _range_columns(col("grains"), col("speeds")))
 
-    rows = cluster_anchored(at.filter("top > htop + 5"), page, "top", 2.0, "row")
     value = col("x0") >= F.get("grains", F.lit(0)) - 20
-    rows = rows.withColumn("num", F.when(value & _matches(col("text"), r"^\d+(?:\.\d+)?$"), col("text").cast("double")))
-    rows = rows.withColumn("col", F.when(col("num").isNotNull(), nearest_column(col("x0"), col("columns"), 16.0)))
-    found = _range_lines(rows, page, ["x0", "top", "seq"], col("x0") < (col("px") + col("case_x")) / 2, value & (F.upper("text") == "C")).withColumn("powder", F.array_join("names", " "))
+    body = at.filter("top > htop + 5").withColumn("num", F.when(value & _matches(col("text"), r"^\d+(?:\.\d+)?$"), col("text").cast("double")))
+    body = body.withColumns({"col": F.when(col("num").isNotNull(), nearest_column(col("x0"), col("columns"), 16.0)), "in_name": col("x0") < (col("px") + col("case_x")) / 2, "squeezed": value & (F.upper("text") == "C")})
+    rows = _printed_rows(body.select(*page, "seq", "text", "x0", "top", "num", "col", "in_name", "squeezed"), page, 2.0)
+    found = _range_lines(rows, page, ["x0", "top", "seq"], col("in_name"), col("squeezed")).withColumn("powder", F.array_join("names", " "))
 
     above = at.filter("top < htop - 10")
     first = above.groupBy(*page).agg(F.min(F.when(is_word("gr"), F.struct("seq", "top")))["top"].alias("gtop"), F.min(F.when(is_word("Weight"), F.struct("seq", "top")))["top"].alias("wtop"))
     number = r'^\.?\d+(\.\d+)?"?$'
     beside = lambda c: F.abs(col("top") - col(c)) < 3
-    told = at.join(first, page).groupBy(*page, "gtop").agg(
+    told = _beside(at, first, page).groupBy(*page, "gtop").agg(
         _listed(beside("gtop"), col("text"), col("x0"), col("seq")).alias("row_texts"),
         F.min(F.when(beside("wtop") & _matches(col("text"), r"^\d+$"), F.struct("seq", "text")))["text"].alias("legacy_weight"),
         _joined((col("top") > col("wtop") - 60) & (col("top") < col("wtop") - 3) & ~_matches(col("text"), number), col("text"), col("seq")).alias("legacy_name"),
@@ -180,7 +190,7 @@ def from_recipe_words(words: DataFrame, lines: DataFrame, docs: DataFrame, sourc
     told = told.select(*page, F.when(col("gtop").isNotNull(), name).otherwise(col("legacy_name")).alias("bullet_type"), F.when(col("gtop").isNotNull(), F.when(weighed, F.get("row_texts", F.lit(0)))).otherwise(col("legacy_weight")).cast("double").alias("bullet_weight_gr"))
 
     meta = _whole(lines).select("doc_id", *[t.strip(t.first_group(col("whole"), p)).alias(n) for n, p in RECIPE_META.items()])
-    out = _table_and_line_order(found, ["page"], ["row"]).join(told, page, "left").join(meta, "doc_id", "left")
+    out = _beside(_beside(_table_and_line_order(found, ["page"], ["row"]), told, page, "left"), meta, "doc_id", "left")
     text = {n: F.coalesce(col(n), F.lit("")) for n in ("bullet_type", "case_name", "barrel", "test_firearm")}
     return _as_ranges(out, docs, source, manufacturer, F.when(col("n_compressed") > 0, "compressed").otherwise(""), notes=col("item_name"), **text)
 
@@ -206,6 +216,8 @@ def section_marks(words: DataFrame) -> DataFrame:
     at = at.withColumns({"grain": col("side") & is_grain(col("text")), "sku": F.coalesce(_matches(col("text"), SKU_WEIGHT), F.lit(False)), "word": F.struct("top", "x0", "seq", "text")})
     # Words are gathered only beside those that ask for them.
     at = at.withColumns({"by_label": _over("max(text in ('Weight:', 'Style:'))", 3), "by_grain": _over("max(grain)", 14), "by_sku": _over("max(sku)", 10)})
+    # All others are neither marks nor looked at by any.
+    at = at.filter("by_label or (by_grain and side) or by_sku or text in ('Weight', 'Type', 'SKU', 'Powder', 'Charge', 'Velocity')")
     at = at.withColumns(
         {
             "line": _over("collect_list(if(by_label, word, null))", 3),
@@ -260,7 +272,8 @@ def from_section_words(words: DataFrame, lines: DataFrame, docs: DataFrame, sour
     col = F.col
     # One flow and one height over all pages of a document.
     flat = words.select("doc_id", (col("page").cast("long") * 1_000_000 + col("seq")).alias("seq"), "text", "x0", "x1", (col("top") + col("page") * PAGE_HEIGHT).alias("top"))
-    marks = section_marks(flat).select("doc_id", "mark", col("mark.top").alias("top"), (col("mark.form") == 3).cast("string").alias("role"))
+    # A mark without a height is no header, and opens no section.
+    marks = section_marks(flat).filter("mark.top is not null").select("doc_id", "mark", F.coalesce("mark.top", F.lit(0.0)).alias("top"), (col("mark.form") == 3).cast("string").alias("role"))
     pairs = pair_exclusive(marks, "doc_id", "top", "mark", "role", "true", "false", rows_each=None)
     h = lambda name: col(f"header_id.{name}")
     end = F.lead(h("top")).over(W.partitionBy("doc_id").orderBy(h("top"), h("seq")))
@@ -276,24 +289,23 @@ def from_section_words(words: DataFrame, lines: DataFrame, docs: DataFrame, sour
         (F.least(F.coalesce("trigger_id.top", h("top")), h("top")) - 5).alias("lo"),
     )
     spans = heads.groupBy("doc_id").agg(F.collect_list(F.struct("header_id", "htop", "lo", "hi", "columns", "weight", "kind")).alias("spans"))
-    placed = flat.join(spans, "doc_id").withColumn("s", F.explode(F.filter("spans", lambda s: (col("top") > s["lo"]) & (col("top") < s["hi"])))).drop("spans")
-    placed = placed.select("doc_id", "s.header_id", "s.htop", "s.weight", "s.kind", "seq", "text", "x0", "top", (col("top") > col("s.htop") + 5).alias("body"), "s.columns")
-    keys, told = ["doc_id", "header_id"], ["htop", "weight", "kind"]
-    local = placed.groupBy(*keys).agg(_joined(F.lit(True), col("text"), col("seq")).alias("here"))
-
-    rows = cluster_anchored(placed.filter("body").drop("body"), keys, "top", 1.2, "row")
+    placed = _beside(flat, spans, "doc_id").withColumn("s", F.explode(F.filter("spans", lambda s: (col("top") > s["lo"]) & (col("top") < s["hi"])))).drop("spans")
+    keys, told, own = ["doc_id", "header_id"], ["htop", "weight", "kind"], {n: f"own_{n}" for n in SECTION_META}
+    got = lambda c, p: F.nullif(t.strip(t.first_group(F.col(c), p)), F.lit(""))
+    # What a section says is read off the same gathering of its words that its rows are taken from.
+    num = F.nullif(F.regexp_extract("text", SECTION_NUMBER, 1), F.lit("")).cast("double")
+    word = F.when(col("top") > col("s.htop") + 5, F.struct("seq", "text", "x0", "top", num.alias("num"), F.when(num.isNotNull(), nearest_column(col("x0"), col("s.columns"), 15.0)).alias("col")))
+    sections = placed.groupBy("doc_id", "s.header_id", *[f"s.{n}" for n in told]).agg(_joined(F.lit(True), col("text"), col("seq")).alias("here"), F.collect_list(word).alias("body"))
+    sections = sections.select(*keys, *told, *[got("here", p).alias(own[n]) for n, p in SECTION_META.items()], "body")
+    rows = _printed_rows(sections.withColumn("w", F.explode("body")).select(*keys, *told, *own.values(), "w.*"), keys, 1.2)
     rows = dedupe_position(rows, [*keys, "row"], col("x0"), col("top"), col("text"), ["x0", "top", "seq"])
-    rows = rows.withColumn("num", F.nullif(F.regexp_extract("text", SECTION_NUMBER, 1), F.lit("")).cast("double"))
-    rows = rows.withColumn("col", F.when(col("num").isNotNull(), nearest_column(col("x0"), col("columns"), 15.0)))
     rows = rows.withColumn("left", F.min(F.when(col("col").isNotNull(), col("x0"))).over(W.partitionBy(*keys, "row")))
     squeezed = col("col").isNotNull() & F.contains(F.lower(F.regexp_extract("text", SECTION_NUMBER, 2)), F.lit("c"))
-    found = _range_lines(rows, [*keys, *told], ["x0", "top", "seq"], col("x0") < col("left") - 2, squeezed)
+    found = _range_lines(rows, [*keys, *told, *own.values()], ["x0", "top", "seq"], col("x0") < col("left") - 2, squeezed)
     found = found.filter("(charge_min is null or charge_max is null or charge_max > charge_min) and (velocity_min is null or velocity_max is null or velocity_max > velocity_min)")
     found = found.withColumn("name", F.array_join(F.filter("names", lambda n: ~_matches(n, "^[A-Za-z0-9]$")), " "))
-    found = found.join(local, keys)
-    got = lambda c, p: F.nullif(t.strip(t.first_group(F.col(c), p)), F.lit(""))
-    found = _table_and_line_order(found, ["htop", "header_id"], ["row"]).join(_whole(lines), "doc_id", "left")
-    meta = {n: F.coalesce(got("here", p), got("whole", p), F.lit(None if n == "coal_in" else "")) for n, p in SECTION_META.items()}
+    found = _beside(_table_and_line_order(found, ["htop", "header_id"], ["row"]), _whole(lines), "doc_id", "left")
+    meta = {n: F.coalesce(own[n], got("whole", p), F.lit(None if n == "coal_in" else "")) for n, p in SECTION_META.items()}
     flags = F.array_join(F.concat(F.when(col("name").startswith("*"), F.array(F.lit("most accurate"))).otherwise(F.array().cast("array<string>")), F.array_repeat(F.lit("compressed"), col("n_compressed").cast("int"))), ", ")
     powder = t.strip(F.regexp_replace("name", r"^\*+", ""))
     return _as_ranges(found, docs, source, manufacturer, flags, powder=powder, bullet_weight_gr=col("weight"), bullet_type=F.coalesce("kind", F.lit("")), **meta)
