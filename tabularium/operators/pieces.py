@@ -54,6 +54,15 @@ def cut(df: DataFrame, keys: list[str], coord: str, out: str, rows_each: int = R
     return both.select(*[df[c] for c in df.columns], F.coalesce(_below(held[splits], df[coord], parts), F.lit(0)).alias(out)), True
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int, rows_each: int = ROWS_EACH) -> DataFrame:
+    """``df`` by ``keys`` in as many tasks as exchanges have, and in more where ``rows`` are more than ``rows_each`` a task.
+
+    A task then holds as much of a large table as of a small one; tasks are not merged while the query runs.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, math.ceil(rows / rows_each)), *keys)
+
+
 def starts(columns: list[pa.ChunkedArray | pa.Array]) -> np.ndarray:
     """Where rows of sorted columns differ from the row before; the first row does."""
     n = len(columns[0])

@@ -6,12 +6,12 @@ a document, and a part is a row, a table or a page of it.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.operators.pieces import dealt
 from tabularium.plans.catalogue import query, read
 from tabularium.plans.lookup import HARVEST_DOCS, LISTING, PUBLISHERS, Shelf, lookup, lookup_many
 from tabularium.schema import WORDS
@@ -36,7 +36,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.floor(key / 6)
     part = read(spark, sf_dir, "part")
     at = part.select(doc.cast("string").alias("doc_id"), doc.alias("doc"), (key % 6).cast("int").alias("k"), key.alias("key"), F.col("p_size").alias("size"), F.floor("p_retailprice").cast("long").alias("price"))
-    at = at.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(part.count() / PARTS_EACH)), "doc_id")
+    at = dealt(at, ["doc_id"], part.count(), PARTS_EACH)
     text = lambda *c: F.concat_ws("", *[F.lit(x) if isinstance(x, str) else x for x in c])
     last = F.col("key") % 10
     return at.withColumns({"c1": text(F.col("size"), ".", last), "c2": text(F.col("size") + 5, ".", last), "v": 1000 + F.col("key") % 500, "w": 100 + F.col("key") % 100})

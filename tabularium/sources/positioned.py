@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabularium.functions import text as t
-from tabularium.operators.geometry import band_pairs, cluster_anchored, dedupe_position, nearest_column
+from tabularium.operators.geometry import cluster_anchored, dedupe_position, nearest_column
 from tabularium.sources.publishers import as_load_lines
 
 # Labels, distances and printed forms of each layout.
@@ -55,12 +55,6 @@ def _joined(when: Column, value: Column, *order: Column) -> Column:
     return F.array_join(_listed(when, value, *order), " ")
 
 
-def _line_right(marks: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """``value``: the words right of each mark on its line, from left to right. ``marks``: keys, ``mark``, ``x0``, ``top``."""
-    near = band_pairs(marks, words.select(*keys, "seq", "text", "x0", "top"), keys, "top", 3.0)
-    return near.groupBy(*keys, "mark_l").agg(_joined(F.col("x0_r") > F.col("x0_l"), F.col("text_r"), F.col("x0_r"), F.col("seq_r")).alias("value")).withColumnRenamed("mark_l", "mark")
-
-
 def _table_and_line_order(rows: DataFrame, table: list[str], line: list[str]) -> DataFrame:
     """Adds the place of each table in its document and of each line in its table."""
     tables = F.dense_rank().over(W.partitionBy("doc_id").orderBy(*table)) - 1
@@ -87,17 +81,24 @@ def _printed_rows(words: DataFrame, keys: list[str], tol: float) -> DataFrame:
 
 
 def grid_specs(words: DataFrame) -> DataFrame:
-    """The labelled values of page 0; a later label of one name wins."""
-    page = words.filter("page = 0 and x0 >= 0")
-    names = F.create_map(*[F.lit(x) for kv in GRID_LABELS.items() for x in kv])
-    marks = page.filter(F.col("text").isin(*GRID_LABELS)).select("doc_id", F.struct("seq", names[F.col("text")].alias("name")).alias("mark"), "x0", "top")
-    for word, (follows, name) in GRID_SPLIT_LABELS.items():
-        a, b = page.filter(F.col("text") == word).select("doc_id", "seq", "top"), page.filter(F.col("text") == follows).select("doc_id", "seq", "x0", "top")
-        first = band_pairs(a, b, ["doc_id"], "top", 3.0).groupBy("doc_id", "seq_l").agg(F.min(F.struct("seq_r", "x0_r", "top_r")).alias("f"))
-        marks = marks.unionByName(first.select("doc_id", F.struct(F.col("seq_l").alias("seq"), F.lit(name).alias("name")).alias("mark"), F.col("f.x0_r").alias("x0"), F.col("f.top_r").alias("top")))
-    values = _line_right(marks, page, ["doc_id"])
-    fields = [*GRID_LABELS.values(), *(n for _, n in GRID_SPLIT_LABELS.values())]
-    return values.groupBy("doc_id").agg(*[F.max_by("value", F.when(F.col("mark.name") == n, F.col("mark.seq"))).alias(n) for n in fields])
+    """The labelled values of page 0; a later label of one name wins. A page's words are gathered once and looked up there."""
+    page = words.filter("page = 0 and x0 >= 0 and top is not null").groupBy("doc_id").agg(F.collect_list(F.struct("seq", "text", "x0", "top")).alias("at"))
+    near = lambda a, b: F.abs(a["top"] - b["top"]) < 3.0
+    mark = lambda seq, w: F.struct(seq.alias("seq"), w["x0"].alias("x0"), w["top"].alias("top"))
+    by_word = lambda word: F.transform(F.filter("at", lambda w: w["text"] == word), lambda w: mark(w["seq"], w))
+
+    def by_two(word: str, follows: str) -> Column:
+        first = lambda a: F.array_min(F.transform(F.filter("at", lambda b: (b["text"] == follows) & near(a, b)), lambda b: F.struct(b["seq"], b["x0"].alias("x0"), b["top"].alias("top"))))
+        return F.transform(F.filter("at", lambda w: w["text"] == word), lambda w: F.when(first(w).isNotNull(), mark(w["seq"], first(w))))
+
+    marks = {name: by_word(word) for word, name in GRID_LABELS.items()} | {name: by_two(word, follows) for word, (follows, name) in GRID_SPLIT_LABELS.items()}
+    page = page.withColumns({f"{n}_at": F.array_max(m) for n, m in marks.items()})
+
+    def right(m: Column) -> Column:
+        found = F.transform(F.filter("at", lambda w: near(w, m) & (w["x0"] > m["x0"])), lambda w: F.struct(w["x0"], w["seq"], w["text"].alias("v")))
+        return F.when(m.isNotNull(), F.array_join(F.transform(F.array_sort(found), lambda x: x["v"]), " "))
+
+    return page.select("doc_id", *[right(F.col(f"{n}_at")).alias(n) for n in marks])
 
 
 def _variant(texts: Column) -> Column:

@@ -1,5 +1,6 @@
 """Plans whose work stays spread over tasks as tables grow."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabularium.operators.geometry import cluster_anchored
@@ -26,6 +27,13 @@ def test_words_of_sections_are_not_sent_whole(spark, small):
     assert "BroadcastHashJoin" not in plan and plan.count("Generate explode(filter(array(") == 2
 
 
+@pytest.mark.parametrize("name", ["extract_grid"])
+def test_words_of_pages_are_not_sent_whole(name, spark, small):
+    """Three prints at most (rows, what stands above them, the first page), joined without broadcasts."""
+    plan = planned(catalogue.QUERIES[name](spark, small))
+    assert "BroadcastHashJoin" not in plan and plan.count("Generate explode(filter(array(") <= 3
+
+
 def test_clusters_read_their_input_once(spark):
     """Rows without a coordinate are no second computation; rows that lie together are not dealt out again."""
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 2.5), ("a", 4.0), (None, 3.0), ("b", None), ("b", 9.0), (None, None), ("b", 10.0)], "k string, x double")
