@@ -27,7 +27,7 @@ def test_words_of_sections_are_not_sent_whole(spark, small):
     assert "BroadcastHashJoin" not in plan and plan.count("Generate explode(filter(array(") == 2
 
 
-@pytest.mark.parametrize("name", ["extract_grid"])
+@pytest.mark.parametrize("name", ["extract_grid", "extract_recipes"])
 def test_words_of_pages_are_not_sent_whole(name, spark, small):
     """Three prints at most (rows, what stands above them, the first page), joined without broadcasts."""
     plan = planned(catalogue.QUERIES[name](spark, small))
