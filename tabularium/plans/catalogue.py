@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tabularium.functions import match
 from tabularium.functions import text as t
 from tabularium.operators import geometry, sequence
+from tabularium.operators.pieces import dealt
 from tabularium.sources import listings, publishers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines of orders that one task sorts and counts, some 300 bytes each.
+LINES_EACH = 500_000
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their time in microseconds."""
     return read(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -190,7 +195,8 @@ select l_orderkey, l_partkey, l_discount as velocity, l_quantity as charge, is_m
 def grid_unpivot_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of an order's grid as rows, the highest column marked."""
     order = [F.desc(c) for c in ("l_discount", "l_quantity", "l_partkey", "l_suppkey", "l_linenumber")]
-    rows = read(spark, sf_dir, "lineitem").withColumn("is_max", sequence.last_in_group(["l_orderkey"], order))
+    lines = read(spark, sf_dir, "lineitem")
+    rows = dealt(lines, ["l_orderkey"], lines.count(), LINES_EACH).withColumn("is_max", sequence.last_in_group(["l_orderkey"], order))
     return rows.groupBy("l_orderkey", "l_partkey", F.col("l_discount").alias("velocity"), F.col("l_quantity").alias("charge"), "is_max").agg(F.count(F.lit(1)).alias("n"))
 
 

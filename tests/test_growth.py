@@ -40,3 +40,12 @@ def test_clusters_read_their_input_once(spark):
     got = cluster_anchored(df.repartition(3, "k"), ["k"], "x", 2.0)
     assert planned(got).count("Exchange") == 1 and "Union" not in planned(got)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 1.0, 1.0), ("a", None, None), ("a", 2.5, 1.0), ("a", 4.0, 4.0), (None, 3.0, 3.0), ("b", None, None), ("b", 9.0, 9.0), (None, None, None), ("b", 10.0, 9.0)], key=str)
+
+
+def test_orders_are_dealt_out_by_rows(spark, small, monkeypatch, same_as_sql):
+    """Lines are sorted and counted in as many tasks as they fill, with the twin's rows."""
+    n = catalogue.read(spark, small, "lineitem").count()
+    monkeypatch.setattr(catalogue, "LINES_EACH", n // 20)
+    assert catalogue.grid_unpivot_max(spark, small).rdd.getNumPartitions() == -(-n // (n // 20)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got, want = same_as_sql(catalogue.grid_unpivot_max, catalogue.ORACLES["grid_unpivot_max"])
+    assert got == want and got
