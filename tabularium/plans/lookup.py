@@ -89,10 +89,8 @@ def lookup(shelf: Shelf, query: str, sources: list[str] | None = None) -> Lookup
     asked = spark.createDataFrame([(0, query)], "query_id int, text string")
     best = _best(shelf, asked, names)
     best = spark.createDataFrame(best.collect(), best.schema)  # a row a source at most
-    # Sources without a document to read take no part in the plan; there are as many rows here as sources at most.
-    met = _documents(shelf, best)
-    read = {r["source"] for r in met.filter("error is null").select("source").distinct().collect()}
-    found = _looked_up(shelf, asked, names, best, met, [n for n in names if n in read])
+    met = settled(_documents(shelf, best))
+    found = _looked_up(shelf, asked, names, best, met)
     return Lookup(query, found.lines.drop("query_id"), found.results.drop("query_id"))
 
 
@@ -112,12 +110,14 @@ def lookup_many(shelf: Shelf, queries: DataFrame, sources: list[str] | None = No
     names = chosen(sources)
     asked = queries.select("query_id", "text").distinct()
     best = settled(_best(shelf, asked, names))  # every publisher's plan reads what names match and their documents
-    return _looked_up(shelf, asked, names, best, settled(_documents(shelf, best)), names)
+    return _looked_up(shelf, asked, names, best, settled(_documents(shelf, best)))
 
 
 def _best(shelf: Shelf, asked: DataFrame, names: list[str]) -> DataFrame:
     listing = shelf.listing.filter(F.col("source").isin(*names) & F.col("label").isNotNull())
-    return best_matches(asked, listing, limit=1).select("query_id", "source", F.col("label").alias("matched"), F.col("ord").alias("entry"))
+    # Of entries of one label only the first can be the best; labels are few where entries are many, and are read several times.
+    first = listing.groupBy("source", "label").agg(F.min(F.struct("ord")).alias("first")).select("source", "label", "first.ord")
+    return best_matches(asked, settled(first), limit=1).select("query_id", "source", F.col("label").alias("matched"), F.col("ord").alias("entry"))
 
 
 def _documents(shelf: Shelf, best: DataFrame) -> DataFrame:
@@ -127,8 +127,11 @@ def _documents(shelf: Shelf, best: DataFrame) -> DataFrame:
     return docs.join(best, here).select("query_id", "source", *[docs[c] for c in docs.columns if c != "_source"])
 
 
-def _looked_up(shelf: Shelf, asked: DataFrame, names: list[str], best: DataFrame, met: DataFrame, read: list[str]) -> Lookups:
+def _looked_up(shelf: Shelf, asked: DataFrame, names: list[str], best: DataFrame, met: DataFrame) -> Lookups:
     spark = shelf.listing.sparkSession
+    # Sources without a document to read take no part in the plan; there are as many rows here as sources at most.
+    some = {r["source"] for r in met.filter("error is null").select("source").distinct().collect()}
+    read = [n for n in names if n in some]
 
     def lines_of(name: str) -> DataFrame:
         mine = met.filter((F.col("source") == name) & F.col("error").isNull()).select("doc_id", "cartridge", "item_name", "source_url").distinct()

@@ -49,3 +49,20 @@ def test_orders_are_dealt_out_by_rows(spark, small, monkeypatch, same_as_sql):
     assert catalogue.grid_unpivot_max(spark, small).rdd.getNumPartitions() == -(-n // (n // 20)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     got, want = same_as_sql(catalogue.grid_unpivot_max, catalogue.ORACLES["grid_unpivot_max"])
     assert got == want and got
+
+
+def test_labels_are_matched_once(spark, monkeypatch):
+    """Of many entries of one label one is compared, the first (nulls are before all), and no source without documents is read."""
+    from tabularium.plans import lookup
+
+    seen, read = [], []
+    best_matches = lookup.best_matches
+    monkeypatch.setattr(lookup, "best_matches", lambda asked, listing, **k: seen.append(listing) or best_matches(asked, listing, **k))
+    for name, p in list(lookup.PUBLISHERS.items()):
+        monkeypatch.setitem(lookup.PUBLISHERS, name, lookup.Publisher(p.name, lambda s, d, name=name, p=p: read.append(name) or p.read(s, d), p.nothing))
+    listing = spark.createDataFrame([("nosler", k, f"Round {k % 3}", "u", None) for k in range(30)] + [("hammer", 5, "Round 1", "u", None), ("hammer", None, "Round 1", "v", None)], lookup.LISTING)
+    docs = spark.createDataFrame([("d", "nosler", 1, "Round 1", "", "u", "document", None), ("e", "hammer", None, "Round 1", "", "u", "document", "HTTP 500")], lookup.HARVEST_DOCS)
+    empty = {n: spark.createDataFrame([], lookup.SCHEMAS[n]) for n in ("lines", "words", "sheet_rows")}
+    found = lookup.lookup_many(lookup.Shelf(listing, docs, **empty), spark.createDataFrame([(1, "Round 1")], "query_id int, text string"))
+    assert sorted(((r["source"], r["label"], r["ord"]) for r in seen[0].collect()), key=str) == [("hammer", "Round 1", None), *[("nosler", f"Round {k}", k) for k in range(3)]]
+    assert read == ["nosler"] and found.results.count() == 5
