@@ -73,6 +73,20 @@ def cluster_anchored(df: DataFrame, keys: list[str], coord: str, tol: float, out
     return found.unionByName(df.filter(F.col(coord).isNull()).withColumn(out, F.lit(None).cast(kind)))
 
 
+def gathered_clusters(items: Column, coord: str, tol: float) -> Column:
+    """The clusters of :func:`cluster_anchored` of items that are gathered already, such as the words of a page: an array of ``anchor, items`` by anchor.
+
+    Time grows with items times clusters, so that this is for few. Items without a coordinate are in no cluster; none, or a null array, give none.
+    """
+    if tol < 0:
+        raise ValueError("a tolerance is not negative")
+    xs = F.sort_array(F.filter(F.transform(items, lambda w: w[coord]), lambda x: x.isNotNull()))
+    beyond = lambda x, anchor: F.coalesce(~F.isnan(x - anchor) & (x - anchor > tol), F.lit(True))
+    inside = lambda a, after: F.filter(items, lambda w: (w[coord] >= a) & F.coalesce(w[coord] < after, F.lit(True)))
+    clusters = lambda anchors: F.zip_with(anchors, F.slice(anchors, F.lit(2), F.size(anchors)), lambda a, after: F.struct(a.alias("anchor"), inside(a, after).alias("items")))
+    return F.aggregate(xs, F.slice(xs, 1, 0), lambda got, x: F.when(beyond(x, F.get(got, F.size(got) - 1)), F.concat(got, F.array(x))).otherwise(got), clusters)
+
+
 def _passage(x: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted distinct coordinates the anchor that is left behind, for whichever anchor before them they are entered with.
 

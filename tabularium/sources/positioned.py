@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabularium.functions import text as t
-from tabularium.operators.geometry import cluster_anchored, dedupe_position, nearest_column
+from tabularium.operators.geometry import cluster_anchored, dedupe_position, gathered_clusters, nearest_column
 from tabularium.sources.publishers import as_load_lines
 
 # Labels, distances and printed forms of each layout.
@@ -146,6 +146,21 @@ def _range_lines(rows: DataFrame, keys: list[str], order: list[str], in_name: Co
     return out.filter((F.size("names") > 0) & (sum((F.col(n).isNotNull().cast("int") for n in RANGE_COLUMNS), F.lit(0)) >= 3))
 
 
+def _gathered_ranges(clusters: Column, columns: Column, order: list[str], tol: float) -> Column:
+    """As :func:`_range_lines`, of the clusters of a page's words with ``num``, ``in_name`` and ``squeezed``, by cluster.
+
+    One expression, step by step, as planners copy what a later filter asks for into it.
+    """
+    at = lambda w: [w[o].alias(f"o{i}") for i, o in enumerate(order)]
+    names = lambda ws: F.transform(F.sort_array(F.transform(F.filter(ws, lambda w: w["in_name"]), lambda w: F.struct(*at(w), w["text"].alias("v")))), lambda x: x["v"])
+    nums = lambda ws: F.transform(F.filter(ws, lambda w: w["num"].isNotNull()), lambda w: F.struct(*at(w), w["num"].alias("v"), nearest_column(w["x0"], columns, tol).alias("col")))
+    named = F.filter(clusters, lambda c: F.exists(c["items"], lambda w: F.coalesce(w["in_name"], F.lit(False))))
+    told = F.transform(named, lambda c: F.struct(c["anchor"].alias("row"), names(c["items"]).alias("names"), nums(c["items"]).alias("nums"), F.size(F.filter(c["items"], lambda w: w["squeezed"])).alias("n_compressed")))
+    value = lambda r, n: F.array_max(F.filter(r["nums"], lambda w: w["col"] == n))["v"].alias(n)
+    valued = F.transform(told, lambda r: F.struct(r["row"].alias("row"), F.array_join(r["names"], " ").alias("powder"), r["n_compressed"].alias("n_compressed"), *[value(r, n) for n in RANGE_COLUMNS]))
+    return F.filter(valued, lambda r: sum((r[n].isNotNull().cast("int") for n in RANGE_COLUMNS), F.lit(0)) >= 3)
+
+
 def _as_ranges(rows: DataFrame, docs: DataFrame, source: str, manufacturer: str, flags: Column, **given: Column) -> DataFrame:
     ranges = {"charge_min_gr": F.col("charge_min"), "velocity_min_fps": F.col("velocity_min"), "charge_max_gr": F.col("charge_max"), "velocity_fps": F.col("velocity_max")}
     return as_load_lines(_document(rows, docs), source=F.lit(source), manufacturer=F.lit(manufacturer), is_max=F.lit(True), flags=flags, **ranges, **given)
@@ -157,41 +172,50 @@ def _range_columns(charges: Column, velocities: Column) -> Column:
 
 
 def from_recipe_words(words: DataFrame, lines: DataFrame, docs: DataFrame, source: str = "speer", manufacturer: str = "Speer") -> DataFrame:
-    """Recipe pages of either template: one table a page at most, its notes the recipe's name."""
-    page, by_page = ["doc_id", "page"], W.partitionBy("doc_id", "page")
-    col, is_word = F.col, lambda *x: F.col("text").isin(*x)
-    at = words.withColumn("head", F.min(F.when(is_word("Propellant"), F.struct("seq", "top", "x0"))).over(by_page)).filter("head is not null")
-    at = at.withColumns({"htop": col("head.top"), "px": col("head.x0")})
-    near = F.abs(col("top") - col("htop")) < 15
-    last = lambda x: F.max(F.when(near & is_word(x), F.struct("seq", "x0"))).over(by_page)["x0"]
-    every = lambda *x: F.array_sort(F.collect_list(F.when(near & is_word(*x), col("x0"))).over(by_page))
-    at = at.withColumns({"case_x": last("Case"), "primer_x": last("Primer"), "grains": every("Grain", "Weight"), "speeds": every("Velocity")})
+    """Recipe pages of either template: one table a page at most, its notes the recipe's name.
+
+    A page's words are gathered once, and all that is looked up on it is looked up there.
+    """
+    page, col = ["doc_id", "page"], F.col
+    is_word = lambda w, *x: w["text"].isin(*x)
+    marks = F.col("text").isin("Case", "Primer", "Grain", "Weight", "Velocity", "gr")
+    word = F.struct("seq", "text", "x0", "top")
+    at = words.groupBy(*page).agg(F.min(F.when(col("text") == "Propellant", F.struct("seq", "top", "x0"))).alias("head"), F.collect_list(F.when(marks, word)).alias("marks"), F.collect_list(word).alias("at"))
+    at = at.filter("head is not null").select(*page, "marks", "at", col("head.top").alias("htop"), col("head.x0").alias("px"))
+    near = lambda w: F.abs(w["top"] - col("htop")) < 15
+    last = lambda x: F.array_max(F.transform(F.filter("marks", lambda w: near(w) & is_word(w, x)), lambda w: F.struct(w["seq"], w["x0"])))["x0"]
+    every = lambda *x: F.sort_array(F.transform(F.filter("marks", lambda w: near(w) & is_word(w, *x) & w["x0"].isNotNull()), lambda w: w["x0"]))
+    above = lambda x: F.array_min(F.transform(F.filter("marks", lambda w: (w["top"] < col("htop") - 10) & is_word(w, x)), lambda w: F.struct(w["seq"], w["top"])))["top"]
+    at = at.select(*page, "at", "htop", "px", last("Case").alias("case_x"), last("Primer").alias("primer_x"), every("Grain", "Weight").alias("grains"), every("Velocity").alias("speeds"), above("gr").alias("gtop"), above("Weight").alias("wtop"))
     at = at.filter("case_x is not null and primer_x is not null and size(grains) >= 2 and size(speeds) >= 2").withColumn("columns", _range_columns(col("grains"), col("speeds")))
 
-    value = col("x0") >= F.get("grains", F.lit(0)) - 20
-    body = at.filter("top > htop + 5").withColumn("num", F.when(value & _matches(col("text"), r"^\d+(?:\.\d+)?$"), col("text").cast("double")))
-    body = body.withColumns({"col": F.when(col("num").isNotNull(), nearest_column(col("x0"), col("columns"), 16.0)), "in_name": col("x0") < (col("px") + col("case_x")) / 2, "squeezed": value & (F.upper("text") == "C")})
-    rows = _printed_rows(body.select(*page, "seq", "text", "x0", "top", "num", "col", "in_name", "squeezed"), page, 2.0)
-    found = _range_lines(rows, page, ["x0", "top", "seq"], col("in_name"), col("squeezed")).withColumn("powder", F.array_join("names", " "))
-
-    above = at.filter("top < htop - 10")
-    first = above.groupBy(*page).agg(F.min(F.when(is_word("gr"), F.struct("seq", "top")))["top"].alias("gtop"), F.min(F.when(is_word("Weight"), F.struct("seq", "top")))["top"].alias("wtop"))
-    number = r'^\.?\d+(\.\d+)?"?$'
-    beside = lambda c: F.abs(col("top") - col(c)) < 3
-    told = _beside(at, first, page).groupBy(*page, "gtop").agg(
-        _listed(beside("gtop"), col("text"), col("x0"), col("seq")).alias("row_texts"),
-        F.min(F.when(beside("wtop") & _matches(col("text"), r"^\d+$"), F.struct("seq", "text")))["text"].alias("legacy_weight"),
-        _joined((col("top") > col("wtop") - 60) & (col("top") < col("wtop") - 3) & ~_matches(col("text"), number), col("text"), col("seq")).alias("legacy_name"),
+    value = lambda w: w["x0"] >= F.get("grains", F.lit(0)) - 20
+    number = lambda w: F.when(value(w) & _matches(w["text"], r"^\d+(?:\.\d+)?$"), w["text"].cast("double"))
+    body = F.transform(F.filter("at", lambda w: w["top"] > col("htop") + 5), lambda w: F.struct(*[w[c].alias(c) for c in ("seq", "text", "x0", "top")], number(w).alias("num"), (w["x0"] < (col("px") + col("case_x")) / 2).alias("in_name"), (value(w) & (F.upper(w["text"]) == "C")).alias("squeezed")))
+
+    beside = lambda w, c: F.abs(w["top"] - col(c)) < 3
+    said = lambda when, *order: F.transform(F.sort_array(F.transform(F.filter("at", when), lambda w: F.struct(*[w[o].alias(f"o{i}") for i, o in enumerate(order)], w["text"].alias("v")))), lambda x: x["v"])
+    told = at.select(
+        *page,
+        "columns",
+        "gtop",
+        body.alias("body"),
+        said(lambda w: beside(w, "gtop"), "x0", "seq").alias("row_texts"),
+        F.get(said(lambda w: beside(w, "wtop") & _matches(w["text"], r"^\d+$"), "seq"), F.lit(0)).alias("legacy_weight"),
+        F.array_join(said(lambda w: (w["top"] > col("wtop") - 60) & (w["top"] < col("wtop") - 3) & ~_matches(w["text"], r'^\.?\d+(\.\d+)?"?$'), "seq"), " ").alias("legacy_name"),
     )
     weighed = _matches(F.get("row_texts", F.lit(0)), r"^\d+$")
     skip = F.when(weighed & (F.get("row_texts", F.lit(1)) == "gr"), 2).when(weighed, 1).otherwise(0)
     rest = F.slice("row_texts", skip + 1, F.greatest(F.size("row_texts"), F.lit(1)))
     stop = F.get(F.filter(F.transform(rest, lambda x, i: F.when(_matches(x, r'^[\d.]+"?$'), i)), lambda i: i.isNotNull()), F.lit(0))
     name = F.array_join(F.slice(rest, F.lit(1), F.coalesce(stop, F.size(rest))), " ")
-    told = told.select(*page, F.when(col("gtop").isNotNull(), name).otherwise(col("legacy_name")).alias("bullet_type"), F.when(col("gtop").isNotNull(), F.when(weighed, F.get("row_texts", F.lit(0)))).otherwise(col("legacy_weight")).cast("double").alias("bullet_weight_gr"))
+    told = told.select(*page, "columns", "body", F.when(col("gtop").isNotNull(), name).otherwise(col("legacy_name")).alias("bullet_type"), F.when(col("gtop").isNotNull(), F.when(weighed, F.get("row_texts", F.lit(0)))).otherwise(col("legacy_weight")).cast("double").alias("bullet_weight_gr"))
+
+    ranges = _gathered_ranges(gathered_clusters(col("body"), "top", 2.0), col("columns"), ["x0", "top", "seq"], 16.0)
+    found = told.select(*page, "bullet_type", "bullet_weight_gr", F.explode(ranges).alias("r")).select(*page, "bullet_type", "bullet_weight_gr", "r.*")
 
     meta = _whole(lines).select("doc_id", *[t.strip(t.first_group(col("whole"), p)).alias(n) for n, p in RECIPE_META.items()])
-    out = _beside(_beside(_table_and_line_order(found, ["page"], ["row"]), told, page, "left"), meta, "doc_id", "left")
+    out = _beside(_table_and_line_order(found, ["page"], ["row"]), meta, "doc_id", "left")
     text = {n: F.coalesce(col(n), F.lit("")) for n in ("bullet_type", "case_name", "barrel", "test_firearm")}
     return _as_ranges(out, docs, source, manufacturer, F.when(col("n_compressed") > 0, "compressed").otherwise(""), notes=col("item_name"), **text)
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabularium.operators.geometry import cluster_anchored
+from tabularium.operators.geometry import cluster_anchored, gathered_clusters
 from tabularium.plans import catalogue, printed
 
 
@@ -34,6 +34,26 @@ def test_words_of_pages_are_not_sent_whole(name, spark, small):
     assert "BroadcastHashJoin" not in plan and plan.count("Generate explode(filter(array(") <= 3
 
 
+def test_recipe_pages_are_gathered_once(spark, small):
+    """One print of the words, which leave neither their task nor the JVM; parts are dealt out once for each of words, lines and documents."""
+    plan = planned(printed.extract_recipes(spark, small))
+    assert plan.count("Generate explode(filter(array(") == 1 and "MapInArrow" not in plan and plan.count("Exchange") == 3
+
+
+def test_gathered_clusters_are_the_streamed_ones(spark):
+    """Anchors do not chain; coordinates at the very tolerance, equal, missing or not numbers, pages without any, whole numbers."""
+    inf, nan = float("inf"), float("nan")
+    pages = {"a": [1.0, 3.0, 3.1, 5.0, 5.1, 7.2, 1.0], "b": [None, 4.0, None, 9.0], "c": [None], "d": [nan, 2.0, 1.0], "e": [inf, inf, -inf, 0.0], "f": [0.1 * k for k in range(90, 0, -1)], "g": [nan]}
+    df = spark.createDataFrame([(k, i, x) for k, xs in pages.items() for i, x in enumerate(xs)], "k string, i int, x double")
+    for kind in ("double", "int"):
+        one = df if kind == "double" else df.filter("x > -1e9 and x < 1e9").withColumn("x", F.col("x").cast(kind))
+        got = one.groupBy("k").agg(F.collect_list(F.struct("i", "x")).alias("at")).select("k", F.explode(gathered_clusters(F.col("at"), "x", 2.0)).alias("c")).select("k", "c.anchor", F.explode("c.items").alias("w")).select("k", "w.i", "anchor")
+        want = cluster_anchored(one, ["k"], "x", 2.0).filter("x is not null").select("k", "i", "anchor")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError):
+        gathered_clusters(F.col("at"), "x", -1.0)
+
+
 def test_clusters_read_their_input_once(spark):
     """Rows without a coordinate are no second computation; rows that lie together are not dealt out again."""
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 2.5), ("a", 4.0), (None, 3.0), ("b", None), ("b", 9.0), (None, None), ("b", 10.0)], "k string, x double")
