@@ -79,30 +79,42 @@ def _or_empty(tokens: Column) -> Column:
     return F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(tokens)
 
 
-def _held(q: DataFrame, c: DataFrame, limit: int) -> DataFrame:
-    """Pairs whose label holds every token of the query; of one-token queries those that can be among the ``limit`` best."""
+def _single() -> Column:
+    """Whether a query is of one token."""
+    return (F.size("_qs") <= 1) & (F.size("_qr") == 1)
+
+
+def _held(q: DataFrame, c: DataFrame, limit: int, some_single: bool) -> DataFrame:
+    """Pairs whose label holds every token of the query; of one-token queries, if there are some, those that can be among the ``limit`` best."""
     posts = c.withColumn("_t", F.explode(_or_empty(F.col("_cs")))).withColumn("_first", F.get("_cr", F.lit(0)))
     counts = c.select(F.explode(_or_empty(F.col("_cs"))).alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
     asked = q.withColumn("_t", F.explode(_or_empty(F.col("_qs")))).join(counts, "_t", "left")
     rare = asked.groupBy("query_id", "text").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), F.col("_t"))).alias("_rare"), *[F.first(x).alias(x) for x in ("_qn", "_qr", "_qs", "_q")])
     rare = rare.select("query_id", "text", "_qn", "_qr", "_qs", "_q", F.col("_rare._t").alias("_t"))
-    single = (F.size("_qs") <= 1) & (F.size("_qr") == 1)
-    one, many = rare.filter(single), rare.filter(~single)
+    one, many = rare.filter(_single()), rare.filter(~_single())
     holds = F.size(F.array_except("_qs", "_cs")) == 0
+    all_held = posts.join(many, "_t").filter(holds).drop("_t", "_first")
+    if not some_single:
+        return all_held
     best = lambda keys, *order: posts.withColumn("_rank", F.row_number().over(W.partitionBy("source", *keys).orderBy(*order))).filter(F.col("_rank") <= limit).drop("_rank")
     # A label that begins with the token scores more than any that does not, but for those of that token alone.
     begun = best(["_t", "_first"], F.col("_c") != F.col("_t"), "ord").withColumnRenamed("_first", "_begin").join(one.withColumn("_begin", F.get("_qr", F.lit(0))), ["_t", "_begin"]).drop("_begin")
     inside = best(["_t", F.when(F.size("_cs") <= 1, F.col("_first"))], F.size("_cs"), "ord").join(one, "_t").filter(~F.coalesce(F.col("_first") == F.get("_qr", F.lit(0)), F.lit(False)))
-    return reduce(DataFrame.unionByName, [x.drop("_t", "_first") for x in (posts.join(many, "_t").filter(holds), begun, inside)])
+    return reduce(DataFrame.unionByName, [all_held, *[x.drop("_t", "_first") for x in (begun, inside)]])
 
 
 #: Tokens of which a normal form can differ from the raw one by what stands beside them.
 _TURNED = ("s", "mm")
 
 
+def _turned() -> Column:
+    """Whether a query has a token whose normal form can differ by what stands beside it."""
+    return F.coalesce(F.arrays_overlap("_qr", F.array(*map(F.lit, _TURNED))), F.lit(False))
+
+
 def _begun(q: DataFrame, c: DataFrame) -> DataFrame:
     """Pairs whose label begins with the query's raw tokens but lacks a normal one."""
-    odd = q.filter(F.arrays_overlap("_qr", F.array(*map(F.lit, _TURNED)))).withColumn("_first", F.get("_qr", F.lit(0)))
+    odd = q.filter(_turned()).withColumn("_first", F.get("_qr", F.lit(0)))
     both = c.withColumn("_first", F.get("_cr", F.lit(0))).join(odd, "_first").drop("_first")
     return both.filter(_starts(F.col("_qr"), F.col("_cr")) & (F.size(F.array_except("_qs", "_cs")) > 0))
 
@@ -123,10 +135,16 @@ def _letters(s: Column, width: int) -> Column:
 SHORT = 9
 
 
-def _alike(q: DataFrame, c: DataFrame, least: float, wanted: list[int], grams: dict[str, int]) -> DataFrame:
+def _long_enough(size: Column, shortest: int, longest: int, least: float) -> Column:
+    """Whether a label of ``size`` letters can be alike to a query of some length between these."""
+    return (size >= least * shortest / (2.0 - least) - 1e-6) & (size <= (2.0 - least) * longest / least + 1e-6)
+
+
+def _alike(q: DataFrame, c: DataFrame, least: float, wanted: dict[int, tuple[int, int]], grams: dict[str, int]) -> DataFrame:
     """Pairs whose letters may be alike to ``least``: a query of more than ``SHORT`` letters by pairs of letters, others by letters.
 
-    ``wanted`` are the lengths of runs, 2 and 1, for which there are queries; ``grams`` has the counts of both.
+    ``wanted`` are the lengths of runs, 2 and 1, for which there are queries, with these queries' least and greatest length;
+    ``grams`` has the counts of both. Labels that are too short or too long for all queries are left out first.
 
     ``q`` has a least ratio of its own in ``_least``. The letters of tokens are few, so the counts are a table of bounded size.
     """
@@ -136,6 +154,7 @@ def _alike(q: DataFrame, c: DataFrame, least: float, wanted: list[int], grams: d
     sides = {2: (q.filter(own > SHORT), c.filter(size > 1)), 1: (q.filter((own <= SHORT) & (own > 0)), c.filter((size > 0) & (size <= int(SHORT * (2 - least) / least))))}
     for width in wanted:
         part, labels = sides[width]
+        labels = labels.filter(_long_enough(size, *wanted[width], least))
         posts = labels.withColumn("_grams", _letters(F.col("_c"), width))
         counts = {g: n for g, n in grams.items() if len(g) == width}
         if width == 2:  # so many pairs of letters are shared at least
@@ -164,20 +183,27 @@ def candidates(queries: DataFrame, listing: DataFrame, limit: int = LIMIT, least
     q = q.withColumns({"_qs": F.array_distinct("_qn"), "_q": F.array_join("_qn", " ")})
     c = listing.filter("label is not null").select("*", normal_tokens(F.col("label")).alias("_cn"), raw_tokens(F.col("label")).alias("_cr"))
     c = c.withColumns({"_cs": F.array_distinct("_cn"), "_c": F.array_join("_cn", " ")})
-    held = _held(q, c, limit).withColumn("score", _own_score(None)).withColumn("way", F.lit("tokens"))
+    # Which ways of finding labels any query needs; what no query needs is not done for any label.
+    long, floor = F.length("_q") > SHORT, max(LEAST_RATIO, least)
+    told = q.groupBy(_single().alias("single"), _turned().alias("turned"), long.alias("long")).agg(F.min(F.nullif(F.length("_q"), F.lit(0))).alias("shortest"), F.max(F.length("_q")).alias("longest")).collect()
+    held = _held(q, c, limit, any(r["single"] for r in told)).withColumn("score", _own_score(None)).withColumn("way", F.lit("tokens"))
     out = [held]
-    if use_ratio or least <= PREFIX_BONUS:
+    if (use_ratio or least <= PREFIX_BONUS) and any(r["turned"] for r in told):
         begun = _begun(q, c)
         own = ratio(F.col("_q"), F.col("_c"), F.lit(LEAST_RATIO)) if use_ratio else None
         out.append(begun.withColumn("score", _own_score(own)).withColumn("way", F.lit("beginning")))
-    long = F.length("_q") > SHORT
-    wanted = [2 if r["long"] else 1 for r in q.filter("_q != ''").select(long.alias("long")).distinct().collect()] if use_ratio else []
+    wanted: dict[int, tuple[int, int]] = {}
+    for r in told if use_ratio else []:
+        if r["longest"]:
+            width = 2 if r["long"] else 1
+            low, high = wanted.get(width, (r["shortest"], r["longest"]))
+            wanted[width] = (min(low, r["shortest"]), max(high, r["longest"]))
     if wanted:
-        floor = max(LEAST_RATIO, least)
         w = W.partitionBy("query_id", "text", "source").orderBy(F.desc("score"))
         last = held.select("query_id", "text", "source", "score").withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") == limit)
         last = last.select("query_id", "text", "source", F.greatest("score", F.lit(floor)).alias("_last"))
-        told = c.select(F.explode(F.concat(*[F.transform(_letters(F.col("_c"), n), lambda g: F.struct(F.lit("g").alias("k"), g.alias("v"))) for n in wanted], F.array(F.struct(F.lit("s").alias("k"), F.col("source").cast("string").alias("v"))))).alias("x"))
+        letters = lambda n: F.when(_long_enough(F.length("_c"), *wanted[n], floor), _letters(F.col("_c"), n)).otherwise(F.array().cast("array<string>"))
+        told = c.select(F.explode(F.concat(*[F.transform(letters(n), lambda g: F.struct(F.lit("g").alias("k"), g.alias("v"))) for n in wanted], F.array(F.struct(F.lit("s").alias("k"), F.col("source").cast("string").alias("v"))))).alias("x"))
         counted = told.groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("n")).collect()  # letters and sources are few
         grams, sources = {r["x"]["v"]: r["n"] for r in counted if r["x"]["k"] == "g"}, sum(r["x"]["k"] == "s" for r in counted)
         met = last.groupBy("query_id", "text").agg(F.min("_last").alias("_least"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == sources).drop("_n")

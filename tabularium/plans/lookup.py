@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.match import best_matches
+from tabularium.operators.pieces import dealt
 from tabularium.schema import LINES, LOAD_LINE, ROW, SHEET_ROWS, WORDS
 from tabularium.session import settled
 from tabularium.sources import positioned, publishers
@@ -20,15 +21,30 @@ LISTING = "source string, ord bigint, label string, url string, error string"
 HARVEST_DOCS = "doc_id string, source string, ord bigint, cartridge string, item_name string, source_url string, stage string, error string"
 
 
+#: Labels that one task tokenises at most.
+LABELS_EACH = 20_000
+#: Documents up to this number, some 10 MB of names, are sent to every task, so that contents of others are dropped before they are read.
+DOCS_SENT = 200_000
+
+
+#: A table, or what makes one: it is given a function that leaves of any table with ``doc_id`` the rows of the documents asked for.
+Contents = DataFrame | Callable[[Callable[[DataFrame], DataFrame]], DataFrame]
+
+
 @dataclass(frozen=True)
 class Shelf:
     """What was harvested: catalogues, their documents, and the documents' contents by kind."""
 
     listing: DataFrame
     docs: DataFrame
-    lines: DataFrame
-    words: DataFrame
-    sheet_rows: DataFrame
+    lines: Contents
+    words: Contents
+    sheet_rows: Contents
+
+
+def contents(of: Contents, only: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The contents that ``only`` leaves; what is made by a function is made of these documents alone."""
+    return only(of) if isinstance(of, DataFrame) else of(only)
 
 
 SCHEMAS = {"listing": LISTING, "docs": HARVEST_DOCS, "lines": LINES, "words": WORDS, "sheet_rows": SHEET_ROWS}
@@ -42,7 +58,7 @@ def open_shelf(spark: SparkSession, path: str) -> Shelf:
 def save_shelf(shelf: Shelf, path: str) -> None:
     """Documents' contents lie by document, so that a lookup of few reads few files' row groups."""
     for n in SCHEMAS:
-        df = getattr(shelf, n)
+        df = contents(getattr(shelf, n), lambda whole: whole)
         (df.sortWithinPartitions("doc_id") if "doc_id" in df.columns else df).write.mode("overwrite").parquet(f"{path}/{n}")
 
 
@@ -117,7 +133,9 @@ def _best(shelf: Shelf, asked: DataFrame, names: list[str]) -> DataFrame:
     listing = shelf.listing.filter(F.col("source").isin(*names) & F.col("label").isNotNull())
     # Of entries of one label only the first can be the best; labels are few where entries are many, and are read several times.
     first = listing.groupBy("source", "label").agg(F.min(F.struct("ord")).alias("first")).select("source", "label", "first.ord")
-    return best_matches(asked, settled(first), limit=1).select("query_id", "source", F.col("label").alias("matched"), F.col("ord").alias("entry"))
+    first = settled(first)
+    first = settled(dealt(first, ["source", "label"], first.count(), LABELS_EACH))  # tokens and letters of labels are far more than labels
+    return best_matches(asked, first, limit=1).select("query_id", "source", F.col("label").alias("matched"), F.col("ord").alias("entry"))
 
 
 def _documents(shelf: Shelf, best: DataFrame) -> DataFrame:
@@ -130,13 +148,14 @@ def _documents(shelf: Shelf, best: DataFrame) -> DataFrame:
 def _looked_up(shelf: Shelf, asked: DataFrame, names: list[str], best: DataFrame, met: DataFrame) -> Lookups:
     spark = shelf.listing.sparkSession
     # Sources without a document to read take no part in the plan; there are as many rows here as sources at most.
-    some = {r["source"] for r in met.filter("error is null").select("source").distinct().collect()}
+    some = {r["source"]: r["count"] for r in met.filter("error is null").groupBy("source").count().collect()}
     read = [n for n in names if n in some]
 
     def lines_of(name: str) -> DataFrame:
         mine = met.filter((F.col("source") == name) & F.col("error").isNull()).select("doc_id", "cartridge", "item_name", "source_url").distinct()
-        only = lambda df: df.join(mine.select("doc_id"), "doc_id", "left_semi")
-        return PUBLISHERS[name].read(Shelf(shelf.listing, mine, only(shelf.lines), only(shelf.words), only(shelf.sheet_rows)), mine)
+        ids = F.broadcast(mine.select("doc_id")) if some[name] <= DOCS_SENT else mine.select("doc_id")
+        only = lambda df: df.join(ids, "doc_id", "left_semi")
+        return PUBLISHERS[name].read(Shelf(shelf.listing, mine, *[contents(c, only) for c in (shelf.lines, shelf.words, shelf.sheet_rows)]), mine)
 
     lines = reduce(DataFrame.unionByName, [lines_of(n) for n in read], spark.createDataFrame([], LOAD_LINE))
     lines = lines.join(met.filter("error is null").select("query_id", "source", "doc_id").distinct(), ["source", "doc_id"]).select("query_id", *[f.name for f in lines.schema.fields])

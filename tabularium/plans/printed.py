@@ -15,6 +15,7 @@ from tabularium.operators.pieces import dealt
 from tabularium.plans.catalogue import query, read
 from tabularium.plans.lookup import HARVEST_DOCS, LISTING, PUBLISHERS, Shelf, lookup, lookup_many
 from tabularium.schema import WORDS
+from tabularium.session import settled
 from tabularium.sources import listings, positioned, publishers
 
 _FACTS = """
@@ -263,7 +264,8 @@ def lookup_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _shelf(spark: SparkSession, sf_dir: str) -> Shelf:
     """Rounds 0 to 39 of two publishers, some of whose documents failed; others have no listing, other names, or a failed page."""
     f = facts(spark, sf_dir)
-    doc, none = f.select("doc_id", "doc").distinct(), F.lit(None).cast("string")
+    # Listings and documents read the documents' names a dozen times.
+    doc, none = settled(f.select("doc_id", "doc").distinct()), F.lit(None).cast("string")
     label = F.concat(F.lit("Round "), F.col("doc") % 40)
     entry = lambda source, name: doc.select(F.lit(source).alias("source"), F.col("doc").alias("ord"), name.alias("label"), F.lit("u").alias("url"), none.alias("error"))
     listing = entry("nosler", label).unionByName(entry("hammer", label)).unionByName(entry("speer", label)).unionByName(entry("sierra", F.concat(F.lit("Square "), 100 + F.col("doc"))))
@@ -271,7 +273,7 @@ def _shelf(spark: SparkSession, sf_dir: str) -> Shelf:
     mine = lambda source, order, error: doc.select("doc_id", F.lit(source).alias("source"), order.cast("long").alias("ord"), label.alias("cartridge"), F.lit("").alias("item_name"), F.concat(F.lit("http://x/"), "doc_id").alias("source_url"), F.lit("document").alias("stage"), error.alias("error"))
     docs = mine("nosler", F.col("doc"), none).unionByName(mine("hammer", F.lit(None), F.when(F.col("doc") % 3 == 0, "HTTP 500")))
     docs = docs.unionByName(spark.createDataFrame([("p", "speer", None, "Round 7", None, "http://p", "page", "HTTP 404")], HARVEST_DOCS))
-    return Shelf(listing, docs, publishers.text_lines(layout_texts(f)), spark.createDataFrame([], WORDS), publishers.csv_rows(sheet_files(f)))
+    return Shelf(listing, docs, lambda only: publishers.text_lines(layout_texts(only(f))), spark.createDataFrame([], WORDS), lambda only: publishers.csv_rows(sheet_files(only(f))))
 
 
 @query(f"""

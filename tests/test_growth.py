@@ -86,3 +86,39 @@ def test_labels_are_matched_once(spark, monkeypatch):
     found = lookup.lookup_many(lookup.Shelf(listing, docs, **empty), spark.createDataFrame([(1, "Round 1")], "query_id int, text string"))
     assert sorted(((r["source"], r["label"], r["ord"]) for r in seen[0].collect()), key=str) == [("hammer", "Round 1", None), *[("nosler", f"Round {k}", k) for k in range(3)]]
     assert read == ["nosler"] and found.results.count() == 5
+
+
+def test_labels_are_prepared_only_as_queries_need(spark):
+    """Labels are ranked for queries of one token alone, and none is left out whose length allows the least ratio."""
+    from tabularium.functions import match
+
+    listing = spark.createDataFrame([("s", k, f"Round {k}") for k in range(9)], "source string, ord bigint, label string")
+    of = lambda text: planned(match.candidates(spark.createDataFrame([(0, text)], "query_id int, text string"), listing, use_ratio=False))
+    assert "Window" not in of("Round 7") and "Window" in of("Round")
+    sizes = spark.range(1, 80).selectExpr("cast(id as int) as s").crossJoin(spark.range(1, 40).selectExpr("cast(id as int) as o"))
+    for least in (0.75, 0.8, 1.0):
+        pairs = sizes.filter(2 * F.least("s", "o") >= least * (F.col("s") + F.col("o")) - 1e-9)
+        for low, high in ((7, 7), (3, 12), (1, 39)):
+            assert pairs.filter(F.col("o").between(low, high) & ~match._long_enough(F.col("s"), low, high, least)).count() == 0
+        assert sizes.filter(match._long_enough(F.col("s"), 7, 7, least)).select(F.max("s")).first()[0] == int(7 * (2 - least) / least + 1e-6)
+
+
+@pytest.mark.parametrize("sent", [0, 10])
+def test_contents_are_made_of_asked_documents_alone(sent, spark, monkeypatch):
+    """Labels are dealt out before they are tokenised, and contents that a function makes are made of what is looked up."""
+    from tabularium.plans import lookup
+    from tabularium.sources import publishers
+
+    seen, labels, best_matches = [], [], lookup.best_matches
+    monkeypatch.setattr(lookup, "best_matches", lambda asked, listing, **k: labels.append(listing) or best_matches(asked, listing, **k))
+    monkeypatch.setattr(lookup, "DOCS_SENT", sent)
+    monkeypatch.setattr(lookup, "LABELS_EACH", 3)
+    texts = spark.createDataFrame([(d, f"Powder {d}      30.0   MAX.   2500   99   98%") for d in "def"], "doc_id string, value string")
+    listing = spark.createDataFrame([("nosler", k, f"Round {k}", "u", None) for k in range(40)], lookup.LISTING)
+    docs = spark.createDataFrame([("d", "nosler", 1, "Round 1", "", "u", "document", None), ("e", "nosler", 2, "Round 2", "", "u", "document", None)], lookup.HARVEST_DOCS)
+    made = lambda only: seen.append(only(texts)) or publishers.text_lines(only(texts))
+    empty = {n: spark.createDataFrame([], lookup.SCHEMAS[n]) for n in ("words", "sheet_rows")}
+    shelf = lookup.Shelf(listing, docs, made, **empty)
+    for found in (lookup.lookup(shelf, "Round 1"), lookup.lookup_many(shelf, spark.createDataFrame([(1, "Round 1")], "query_id int, text string"))):
+        assert [(r["doc_id"], r["powder"]) for r in found.lines.collect()] == [("d", "Powder d")]
+        assert [r["doc_id"] for r in seen[-1].collect()] == ["d"] and labels[-1].rdd.getNumPartitions() == 14
